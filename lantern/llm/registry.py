@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import bpe, decontam, licenses, simhash
 from .common import table
 
 
@@ -21,8 +21,17 @@ def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.drop("items")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_byte_bpe": op8_byte_bpe, "op9_simhash_bktree": op9_simhash_bktree}
+    return {"op6_license_scan": op6_license_scan, "op10_decontamination": op10_decontamination, "op8_byte_bpe": op8_byte_bpe, "op9_simhash_bktree": op9_simhash_bktree}
 
 
 def oracle_sql() -> dict[str, str]:
