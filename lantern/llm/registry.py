@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, licenses, simhash, suffix
+from . import bpe, decontam, licenses, simhash, suffix, warc
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_license_scan": op6_license_scan, "op10_decontamination": op10_decontamination, "op7_suffix_array_dedup": op7_suffix_array_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_simhash_bktree": op9_simhash_bktree}
+    return {"op1_warc": op1_warc, "op6_license_scan": op6_license_scan, "op10_decontamination": op10_decontamination, "op7_suffix_array_dedup": op7_suffix_array_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_simhash_bktree": op9_simhash_bktree}
 
 
 def oracle_sql() -> dict[str, str]:
