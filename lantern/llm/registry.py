@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, licenses, simhash, suffix, warc
+from . import ann, bpe, decontam, licenses, simhash, suffix, warc
 from .common import table
 
 
@@ -29,6 +29,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op2_ann_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.filter("vec_id % 100 = 0"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -39,7 +44,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op6_license_scan": op6_license_scan, "op10_decontamination": op10_decontamination, "op7_suffix_array_dedup": op7_suffix_array_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_simhash_bktree": op9_simhash_bktree}
+    return {"op1_warc": op1_warc, "op2_ann_learned_partitions": op2_ann_learned_partitions, "op6_license_scan": op6_license_scan, "op10_decontamination": op10_decontamination, "op7_suffix_array_dedup": op7_suffix_array_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_simhash_bktree": op9_simhash_bktree}
 
 
 def oracle_sql() -> dict[str, str]:
