@@ -26,10 +26,10 @@ K = 10
 #: Distinct vectors at most that the parts and the network are fitted on.
 FIT_ROWS = 8192
 #: Vectors of a part, about.
-PART_ROWS = 4096
+PART_ROWS = 2048
 MOST_PARTS = 128
 #: Share of the sample's true neighbours that its visits must find.
-TARGET = 0.985
+TARGET = 0.95
 #: Vectors of a block on either side of a comparison.
 BLOCK = 8192
 
