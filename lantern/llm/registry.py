@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontam, langid, licenses, nbsvm, simhash, suffix, warc
+from . import ann, bpe, crf, decontam, langid, licenses, nbsvm, simhash, suffix, warc
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_ann_learned_partitions": op2_ann_learned_partitions, "op3_quality_nbsvm": op3_quality_nbsvm, "op4_language_id": op4_language_id, "op6_license_scan": op6_license_scan, "op10_decontamination": op10_decontamination, "op7_suffix_array_dedup": op7_suffix_array_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_simhash_bktree": op9_simhash_bktree}
+    return {"op1_warc": op1_warc, "op2_ann_learned_partitions": op2_ann_learned_partitions, "op3_quality_nbsvm": op3_quality_nbsvm, "op4_language_id": op4_language_id, "op5_toxicity_crf": op5_toxicity_crf, "op6_license_scan": op6_license_scan, "op10_decontamination": op10_decontamination, "op7_suffix_array_dedup": op7_suffix_array_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_simhash_bktree": op9_simhash_bktree}
 
 
 def oracle_sql() -> dict[str, str]:
