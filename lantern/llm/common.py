@@ -10,7 +10,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a worker turns into arrays at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
@@ -63,6 +64,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def content_key(*columns: Column) -> tuple[Column, Column]:
+    """128 bits of a row's content as two longs."""
+    return F.xxhash64(F.lit(1), *columns).alias("k1"), F.xxhash64(F.lit(2), *columns).alias("k2")
+
+
 # --- Arrow text -------------------------------------------------------------------------------------------------
 
 
@@ -83,12 +89,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def blocks(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES):
+def blocks(batch: pa.RecordBatch, text: str | int, limit: int = BLOCK_BYTES):
     """Slices of a batch with at most `limit` bytes of text each, or a single row."""
     n = batch.num_rows
     if not n:
         return
-    _, offs = text_bytes(batch.column(batch.schema.get_field_index(text)))
+    _, offs = text_bytes(batch.column(text))
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)

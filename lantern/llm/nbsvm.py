@@ -165,3 +165,18 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col:
     model = fit(sampled_texts(docs, labels, label, fit_rows, modulus, held, id_col, text_col))
     out = score(docs, model, id_col, text_col, threshold)
     return out.select(F.col("id").alias(id_col), (remainder(F.col("id"), modulus) == held).alias("held_out"), "score", "predicted")
+
+
+def keep_accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, modulus: int = 4, held: int = 2, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is at least the threshold."""
+    prepare(docs.sparkSession)
+    model = fit(sampled_texts(docs, labels, label, fit_rows, modulus, held, id_col, text_col))
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, at):
+                p = sent.value.scores(*features(*text_bytes(part.column(at)), sent.value.bits))
+                yield part.filter(pa.array(p >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,12 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import ann, bpe, crf, decontam, langid, licenses, nbsvm, simhash, suffix, warc
 from .common import table
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "kept_text")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_ann_learned_partitions": op2_ann_learned_partitions, "op3_quality_nbsvm": op3_quality_nbsvm, "op4_language_id": op4_language_id, "op5_toxicity_crf": op5_toxicity_crf, "op6_license_scan": op6_license_scan, "op10_decontamination": op10_decontamination, "op7_suffix_array_dedup": op7_suffix_array_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_simhash_bktree": op9_simhash_bktree}
+    return {"pipeline": corpus_pipeline.run, "op1_warc": op1_warc, "op2_ann_learned_partitions": op2_ann_learned_partitions, "op3_quality_nbsvm": op3_quality_nbsvm, "op4_language_id": op4_language_id, "op5_toxicity_crf": op5_toxicity_crf, "op6_license_scan": op6_license_scan, "op10_decontamination": op10_decontamination, "op7_suffix_array_dedup": op7_suffix_array_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_simhash_bktree": op9_simhash_bktree}
 
 
 def oracle_sql() -> dict[str, str]:

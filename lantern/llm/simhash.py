@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACED, blocks, prepare, saved, text_bytes, words
+from .common import LOWER, SPACED, blocks, content_key, prepare, saved, text_bytes, words
 
 RADIUS = 3
 #: Fingerprints in a shard above which it is split further.
@@ -274,13 +274,31 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("fp"), F.col("v").alias("root"))
 
 
+def _rooted(each: DataFrame, least: Column, radius: int, hot: int) -> DataFrame:
+    """fp, root, least (by the expression) of the distinct fingerprints in `each`."""
+    distinct = saved(each.groupBy("fp").agg(least.alias("least")), "distinct")
+    to = components(links(distinct.select("fp"), radius, hot))
+    return distinct.join(to, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """One row a document: doc_id, fingerprint (16 lowercase hex digits), component_id."""
-    spark = docs.sparkSession
-    each = saved(fingerprint_documents(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = saved(each.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    to = components(links(distinct.select("fp"), radius, hot))
-    rooted = distinct.join(to, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    each = saved(fingerprint_documents(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "id", "text", shingle), "fingerprints")
+    rooted = _rooted(each, F.min("id"), radius, hot)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")
     return each.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """The rows of docs, with all their columns, of one document of each component: that of the smallest id (nulls last);
+    of several texts with that id, the one of the smallest fingerprint and content key; of equal rows, one."""
+    keys = content_key(docs[id_col], docs[text_col].cast("string"))
+    tagged = docs.select(F.struct(docs[id_col].alias("id"), *keys).alias("id"), docs[text_col].alias("text"))
+    each = saved(fingerprint_documents(tagged, "id", "text", shingle), "fingerprints")
+    rooted = _rooted(each, F.min(F.struct(F.col("id.id").isNull().alias("none"), F.col("id.id").alias("id"), "fp", F.col("id.k1").alias("k1"), F.col("id.k2").alias("k2"))), radius, hot)
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.k1", "least.k2")
+    whole = docs.select(*keys, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    first = Window.partitionBy("k1", "k2").orderBy("k1")
+    joined = whole.join(kept, ["k1", "k2"], "left_semi").withColumn("copy", F.row_number().over(first)).filter("copy = 1")
+    return joined.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, Substrings, mix, prepare, ragged, saved, text_bytes
+from .common import BLOCK_BYTES, Substrings, content_key, mix, prepare, ragged, saved, text_bytes
 
 LENGTH = 200
 GRAM = 50
@@ -41,10 +41,6 @@ SORT_BYTES = 2 << 20
 _SEED2 = np.uint64(0x5851F42D4C957F2D)
 
 
-def _key(text: str) -> tuple[Column, Column]:
-    return F.xxhash64(F.lit(1), F.col(text)).alias("k1"), F.xxhash64(F.lit(2), F.col(text)).alias("k2")
-
-
 # --- anchors ----------------------------------------------------------------------------------------------------
 
 
@@ -111,7 +107,7 @@ def anchor_rows(docs: DataFrame, length: int, gram: int, block: int) -> DataFram
                         yield made(k1[at:to], k2[at:to], x, piece, np.array([0, len(piece)]))
                 at = to
 
-    small = docs.select(*_key("text"), "text").filter(F.octet_length("text") >= length)
+    small = docs.select(*content_key(F.col("text")), "text").filter(F.octet_length("text") >= length)
     return small.mapInArrow(run, "k1 long, k2 long, lo int, n short, g long, e long")
 
 
@@ -192,7 +188,7 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     per_gram = classes.groupBy("g").agg(F.count("*").alias("many"))
     wanted = classes.join(per_gram, "g").select("g", "e", "c", (F.col("many") > hot).alias("hot"), "at.k1", "at.k2", "at.lo", "at.n")
     asked = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "e", "c", "hot", "lo", "n")).alias("asked"))
-    texts = docs.select(*_key("text"), "text").filter(F.octet_length("text") >= length)
+    texts = docs.select(*content_key(F.col("text")), "text").filter(F.octet_length("text") >= length)
     # of copies, the first row serves
     served = texts.join(asked, ["k1", "k2"]).select(F.inline("asked"), F.encode("text", "UTF-8").alias("bytes"))
     served = served.select("g", "e", "c", "hot", F.expr(f"substring(bytes, lo + 1, n + {length - 1})").alias("string")).dropDuplicates(["g", "e"])
@@ -244,12 +240,13 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left) and the columns in `carry`."""
+    """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left), kept_text (the same as
+    text, without what is left of cut characters) and the columns in `carry`."""
     prepare(docs.sparkSession)
     small = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), docs[id_col].alias("id"), *[docs[c].alias(f"own_{i}") for i, c in enumerate(carry)])
     found = repeated_stretches(small.select("text"), length, gram, hot, block).distinct()
     spans = found.groupBy("k1", "k2").agg(F.collect_list("s").alias("begins"), F.collect_list("e").alias("stops"))
-    joined = small.select(*_key("text"), "id", "text", *[f"own_{i}" for i in range(len(carry))]).join(spans, ["k1", "k2"], "left").drop("k1", "k2")
+    joined = small.select(*content_key(F.col("text")), "id", "text", *[f"own_{i}" for i in range(len(carry))]).join(spans, ["k1", "k2"], "left").drop("k1", "k2")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,10 +271,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 removed.append(len(text) - len(raw))
                 digest.append(hashlib.sha256(raw).hexdigest())
                 left.append(raw)
-            columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (size, removed, runs)), pa.array(digest, pa.string()), pa.array(left, pa.binary()), *own]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(f"own_{i}" for i in range(len(carry)))])
+            columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (size, removed, runs)), pa.array(digest, pa.string()), pa.array(left, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in left], pa.string()), *own]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text", *(f"own_{i}" for i in range(len(carry)))])
 
     kind = small.schema["id"].dataType.simpleString()
     more = "".join(f", own_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    out = joined.mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary{more}")
-    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *[F.col(f"own_{i}").alias(c) for i, c in enumerate(carry)])
+    out = joined.mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string{more}")
+    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text", *[F.col(f"own_{i}").alias(c) for i, c in enumerate(carry)])
