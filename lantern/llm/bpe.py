@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,26 +52,6 @@ class Merger:
         for i in range(size - 1, 0, -1):
             tree[i] = min(tree[2 * i], tree[2 * i + 1])
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        def put(at: int, value: int) -> None:
-            node = size + at
-            tree[node] = value
-            node >>= 1
-            while node:
-                left, right = tree[2 * node], tree[2 * node + 1]
-                small = left if left <= right else right
-                if tree[node] == small:
-                    break
-                tree[node] = small
-                node >>= 1
-
-        def pair(at: int) -> int:
-            middle = after[at]
-            if middle >= n:
-                return _NONE
-            end = after[middle]
-            return rank(piece[at:end], _NONE) if end - at <= longest else _NONE
-
         while (least := tree[1]) != _NONE:
             node = 1
             while node < size:
@@ -80,13 +60,28 @@ class Merger:
                     node += 1
             at = node - size
             gone = after[at]
-            after[at] = after[gone]
-            if after[gone] < n:
-                before[after[gone]] = at
-            put(gone, _NONE)
-            put(at, pair(at))
-            if before[at] >= 0:
-                put(before[at], pair(before[at]))
+            end = after[at] = after[gone]
+            changed = [(gone, _NONE)]
+            if end < n:
+                before[end] = at
+                to = after[end]
+                changed.append((at, rank(piece[at:to], _NONE) if to - at <= longest else _NONE))
+            else:
+                changed.append((at, _NONE))
+            left = before[at]
+            if left >= 0:
+                changed.append((left, rank(piece[left:end], _NONE) if end - left <= longest else _NONE))
+            for at, value in changed:
+                node = size + at
+                tree[node] = value
+                while node > 1:
+                    other = tree[node ^ 1]
+                    if other < value:
+                        value = other
+                    node >>= 1
+                    if tree[node] == value:
+                        break
+                    tree[node] = value
         out, at = [], 0
         while at < n:
             out.append(self.ranks[piece[at : after[at]]])
@@ -95,16 +90,20 @@ class Merger:
 
 
 class Pieces(dict):
-    """Ids of pre-tokens seen so far; emptied when full, so memory is bounded."""
+    """Ids, as bytes, of pre-tokens seen lately: a young and an old generation of at most `most` each, so memory is bounded."""
 
-    def __init__(self, merger: Merger, most: int = 200_000):
+    def __init__(self, merger: Merger, most: int = 400_000):
         super().__init__()
-        self.merger, self.most = merger, most
+        self.merger, self.most, self.old = merger, most, {}
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.merger.merge(piece.encode("utf-8", "surrogateescape"))
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            made = self.merger.merge(piece.encode("utf-8", "surrogateescape"))
+            ids = struct.pack(f"<{len(made)}I", *made)
         if len(piece) <= 64:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -117,7 +116,7 @@ class Codec:
         self.known = Pieces(self.merger)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array(list(chain.from_iterable(map(self.known.__getitem__, self.find(text)))), dtype="<u4")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.find(text))), "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.merger.pieces.__getitem__, ids.tolist()))
