@@ -27,13 +27,15 @@ from .common import ALNUM, LOWER, blocks, mix, prepare, text_bytes, word_hashes,
 from .labelled import calibrate, remainder, sampled_texts, sigmoid
 
 BITS = 18
-FIT_ROWS = 8000
+FIT_ROWS = 5000
 #: A training word is toxic if it is in SEEN or more toxic documents and this share of the documents it is in are toxic.
 SEEN, PURE = 4, 0.9
 #: Tokens of a training stretch, most stretches, rounds and pull to zero of the fit.
 STRETCH, MOST_STRETCHES, ROUNDS, PULL = 32, 8_000, 50, 0.5
 #: Stretches that run side by side when scoring.
 LANES = 512
+#: Tokens scored at once when fitting.
+CALIBRATED = 200_000
 _KINDS = 3
 #: Values of a token's own feature and of its neighbours' features.
 _VALUES = np.array([1.0, 0.3, 0.3])
@@ -41,17 +43,20 @@ _VALUES = np.array([1.0, 0.3, 0.3])
 
 def places(h: np.ndarray, first: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Hashed features of tokens (a row each): the token, the one before, the one after. first: where documents begin."""
-    shift = np.uint64(64 - bits)
-    out = np.empty((len(h), _KINDS), np.int64)
     before, after = np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint64)
     if len(h):
         before[1:], after[:-1] = h[:-1], h[1:]
         edge = first[:-1][first[:-1] < first[1:]]
         before[edge] = 0
         after[np.append(edge[1:], len(h)) - 1] = 0
-    for j, x in enumerate((h, before, after)):
-        out[:, j] = (mix(x + np.uint64(j)) >> shift).astype(np.int64)
-    return out + (np.arange(_KINDS) << bits)
+    return _hashed([h, before, after], bits)
+
+
+def _hashed(kinds: list[np.ndarray], bits: int) -> np.ndarray:
+    out = np.empty((*kinds[0].shape, _KINDS), np.int64)
+    for j, x in enumerate(kinds):
+        out[..., j] = (mix(x + np.uint64(j)) >> np.uint64(64 - bits)).astype(np.int64) + (j << bits)
+    return out
 
 
 # --- fitting ----------------------------------------------------------------------------------------------------
@@ -60,10 +65,13 @@ def places(h: np.ndarray, first: np.ndarray, bits: int = BITS) -> np.ndarray:
 def weak_tags(h: np.ndarray, doc: np.ndarray, toxic: np.ndarray, seen: int = SEEN, pure: float = PURE) -> np.ndarray:
     """1 for tokens of toxic documents whose word is toxic by document counts."""
     vocabulary, word = np.unique(h, return_inverse=True)
-    pairs = np.unique(doc * len(vocabulary) + word) if len(h) else np.zeros(0, np.int64)
-    own = toxic[pairs // max(1, len(vocabulary))] > 0
-    n = np.bincount(pairs % max(1, len(vocabulary)), minlength=len(vocabulary))
-    bad = np.bincount(pairs[own] % max(1, len(vocabulary)), minlength=len(vocabulary))
+    word = word.astype(np.int32)
+    n, bad = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
+    edges = np.searchsorted(doc, np.arange(len(toxic) + 1))
+    for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        own = np.unique(word[a:b])
+        n[own] += 1
+        bad[own] += int(toxic[i] > 0)
     return ((bad >= seen) & (bad >= pure * n))[word] & (toxic[doc] > 0)
 
 
@@ -113,7 +121,7 @@ class Field:
         self.bits = bits
         self.weights, self.trans = np.zeros(_KINDS << bits), np.zeros((2, 2))
         self.bias, self.slope, self.offset = 0.0, 1.0, 0.0
-        doc = np.repeat(np.arange(len(toxic)), np.diff(first))
+        doc = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(first))
         tags = weak_tags(h, doc, toxic)
         self.fitted = bool(tags.any()) and len(np.unique(toxic)) == 2
         if not self.fitted:
@@ -129,8 +137,10 @@ class Field:
         own = np.concatenate([with_t, without])
         at = np.minimum(begin[own][:, None] + np.arange(STRETCH), len(h) - 1)
         real = begin[own][:, None] + np.arange(STRETCH) < end[own][:, None]
-        all_places = places(h, first, bits)
-        x, y = all_places[at], tags[at] & real
+        edge = np.zeros(len(h) + 1, bool)
+        edge[first] = True
+        around = [h[at], np.where(edge[at], np.uint64(0), h[at - 1]), np.where(edge[at + 1], np.uint64(0), h[np.minimum(at + 1, len(h) - 1)])]
+        x, y = _hashed(around, bits), tags[at] & real
         used, code = np.unique(x[real], return_inverse=True)
         slots = np.zeros(x.shape, np.int64)
         slots[real] = code.reshape(-1, _KINDS)
@@ -146,7 +156,12 @@ class Field:
             trans += 0.3 * grads[1] / np.sqrt(square[1])
             bias += 0.3 * grads[2] / np.sqrt(square[2])
         self.weights[used], self.trans, self.bias = w, trans, float(bias)
-        top = self.largest(self.marginals(all_places, first), first)
+        top, lo = np.zeros(len(toxic)), 0
+        while lo < len(toxic):  # some documents at once, to bound memory
+            hi = max(lo + 1, int(np.searchsorted(first, first[lo] + CALIBRATED, "right")) - 1)
+            part = first[lo : hi + 1] - first[lo]
+            top[lo:hi] = self.largest(self.marginals(places(h[first[lo] : first[hi]], part, bits), part), part)
+            lo = hi
         self.slope, self.offset = calibrate(_logit(top), toxic.astype(float))
 
     def marginals(self, x: np.ndarray, first: np.ndarray, lanes: int = LANES) -> np.ndarray:
