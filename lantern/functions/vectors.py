@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import hash_tokens
+from .text import hash_tokens, let
 
 
 def norm(v: Column) -> Column:
@@ -13,8 +13,7 @@ def norm(v: Column) -> Column:
 
 
 def normalize(v: Column) -> Column:
-    n = norm(v)
-    return F.transform(v, lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    return let(v, lambda u: let(norm(u), lambda n: F.transform(u, lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))))
 
 
 def matryoshka(v: Column, dim: int) -> Column:
