@@ -5,14 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lantern.shipping import ship
+
 #: Bytes of text that a worker turns into arrays at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
 
@@ -21,16 +21,7 @@ def prepare(spark: SparkSession) -> None:
     """Send this package to the executors once a session and keep Arrow batches small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    sc = spark.sparkContext
-    if getattr(sc, "_lantern_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    archive = os.path.join(tempfile.mkdtemp(), "lantern_code.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, str(p.relative_to(top.parent)))
-    sc.addPyFile(archive)
-    sc._lantern_shipped = True
+    ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:

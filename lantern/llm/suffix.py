@@ -232,7 +232,20 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
 
     each = served.filter("hot").select("g", "e", "c", "string").mapInArrow(windows, "g long, e long, c long, a int, h1 long, h2 long")
     many = each.groupBy("h1", "h2").agg(F.sum("c").alias("times")).filter("times > 1").select("h1", "h2")
-    counted = each.join(many, ["h1", "h2"]).select("g", "e", "a", F.col("a").alias("b"))
+    # of a stretch's windows, of which there are few, runs are made before they meet the anchors
+    counted = each.join(many, ["h1", "h2"]).groupBy("g", "e").agg(F.collect_set("a").alias("a"))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            at = lists.flatten().to_numpy()
+            order = np.lexsort((at, owner))
+            owner, a, b = _ranges(owner[order], at[order])
+            own = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["g", "e", "a", "b"])
+
+    counted = counted.mapInArrow(runs, "g long, e long, a int, b int")
     dup = sorted_.unionByName(counted)
     part = mixed.join(dup, ["g", "e"])
     part = part.select("k1", "k2", (F.col("lo") + F.col("a")).alias("s"), (F.col("lo") + F.col("b") + F.lit(length)).alias("e"))
