@@ -16,6 +16,7 @@ from lantern import config as settings
 from lantern.functions.text import is_question
 from lantern.operators import evaluate, ledger, rerank, scorers
 from lantern.plans import search, store
+from lantern.scratch import saved
 from lantern.sources import files
 
 
@@ -39,11 +40,11 @@ def recall(spark: SparkSession, c: settings.Config, queries: DataFrame, top: int
     fails."""
     s, index = search_settings(c), store.load(spark, c.index)
     first = search.hybrid(queries, index, s.k, s)
-    pool = search.pool_of(queries, index, first, s).persist()
+    pool = saved(search.pool_of(queries, index, first, s), "pool")
     asks = queries.filter(is_question(F.col("q"))) if c.question_gate else queries
     windows = rerank.file_windows(index.docs.join(pool.select("path").distinct(), "path", "left_semi"), s.window_words, s.max_windows)
     pairs = pool.join(asks, "query_id").join(windows, "path").select("query_id", "q", "path", "ord", "heading", "text")
-    scored = scorers.score_windows(pairs, c.scorer).persist()
+    scored = saved(scorers.score_windows(pairs, c.scorer), "scored")
     notes = scored.groupBy("query_id").agg(F.max("note").alias("note"))
     best = rerank.best_windows(scored.fillna({"score": 0.0}))
     ranked = rerank.ranked_files(best, pool).filter(F.col("rank") <= top).join(notes, "query_id", "left").join(asks.select("query_id", F.lit(True).alias("asks")), "query_id", "left")

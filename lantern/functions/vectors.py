@@ -28,10 +28,10 @@ def hash_buckets(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame
     """key, bucket, value of the signed token counts, without zeros; dim is a power of two up to 256, as the sign is bit 8."""
     if dim & (dim - 1) or not 1 <= dim <= 256:
         raise ValueError("the hash embedding takes a power of two up to 256")
-    # equal tokens of a text are counted before they are hashed
-    tokens = df.select(key, F.explode(hash_tokens(F.col(text))).alias("token")).groupBy(key, "token").count()
+    # tokens are summed by bucket before the shuffle, at most dim rows a key and task
     low = F.conv(F.substring(F.md5("token"), -4, 4), 16, 10).cast("int")
-    signed = tokens.select(key, (low % dim).alias("bucket"), F.when(low.bitwiseAND(256) > 0, F.col("count")).otherwise(-F.col("count")).alias("n"))
+    tokens = df.select(key, F.explode(hash_tokens(F.col(text))).alias("token")).select(key, low.alias("low"))
+    signed = tokens.select(key, (F.col("low") % dim).alias("bucket"), F.when(F.col("low").bitwiseAND(256) > 0, 1).otherwise(-1).alias("n"))
     return signed.groupBy(key, "bucket").agg(F.sum("n").cast("double").alias("value")).filter("value <> 0")
 
 

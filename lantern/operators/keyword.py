@@ -25,10 +25,10 @@ def stems(terms: DataFrame) -> DataFrame:
 def postings(docs: DataFrame, path: str = "path", title: str = "title", body: str = "body", stemmed: bool = False, diacritics: bool = True) -> DataFrame:
     """term, path, tf_title, tf_body."""
 
-    def terms(text: str, column: str) -> Column:
-        return F.transform(index_terms(F.coalesce(F.col(text), F.lit("")), diacritics), lambda t: F.struct(t.alias("term"), F.lit(int(column == "title")).alias("is_title")))
+    def terms(column: str, is_title: int) -> DataFrame:
+        return docs.select(F.col(path).alias("path"), F.explode(index_terms(F.col(column), diacritics)).alias("term"), F.lit(is_title).alias("is_title"))
 
-    each = docs.select(F.col(path).alias("path"), F.explode(F.concat(terms(title, "title"), terms(body, "body"))).alias("t")).select("path", "t.term", "t.is_title")
+    each = terms(title, 1).unionByName(terms(body, 0))
     counted = each.groupBy("term", "path").agg(F.sum("is_title").alias("tf_title"), F.sum(1 - F.col("is_title")).alias("tf_body"))
     if not stemmed:
         return counted

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.functions.text import rare_terms
+from lantern.scratch import saved
 
 #: Distinct terms that travel to the tasks at once; more go in further blocks.
 TERM_BLOCK = 50_000
@@ -66,7 +67,7 @@ def rare_leg(queries: DataFrame, files: DataFrame, max_df: int = 12) -> DataFram
     """query_id, path, score, rank: 1/df of each term in at most max_df files, and 1/(2 df) of each pair of commoner terms
     that at most max_df files hold together."""
     asked = query_rare_terms(queries)
-    found = term_files(asked, files).persist()
+    found = saved(term_files(asked, files), "found")
     counts = found.groupBy("term").agg(F.count("*").alias("df"))
     rare = asked.join(counts.filter(F.col("df") <= max_df), "term").join(found, "term").select("query_id", "path", (1.0 / F.col("df")).alias("part"))
     both = common_pairs(asked, counts, found, max_df).select("query_id", "path", "part")

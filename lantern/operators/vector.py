@@ -54,15 +54,23 @@ def best_of(distances: DataFrame, owner: str = "path") -> DataFrame:
     return distances.groupBy("query_id", owner).agg(F.min("score").alias("score"))
 
 
-def vector_leg(queries: DataFrame, doc_vectors: DataFrame, sections: DataFrame, limit: int = 50, section_pool: int = 400) -> DataFrame:
+def near(queries: DataFrame, doc_vectors: DataFrame, sections: DataFrame, limit: int, section_pool: int) -> tuple[DataFrame, DataFrame]:
+    """The nearest documents and the nearest sections (path: struct of path and section). sections: path, section, embedding."""
+    return knn(queries, doc_vectors, limit), knn(queries, sections.select(F.struct("path", "section").alias("id"), "embedding"), section_pool, key="id")
+
+
+def leg_of(near_docs: DataFrame, near_sections: DataFrame, long_paths: DataFrame, limit: int, section_pool: int) -> DataFrame:
     """query_id, path, score, rank.
 
     Documents come from their own vectors, cut to `limit` before documents with sections are taken out; those are judged by
-    their nearest section among the `section_pool` nearest. sections: path, section, embedding."""
-    near_docs = knn(queries, doc_vectors, limit).join(sections.select("path").distinct(), "path", "left_anti").select("query_id", "path", "score")
-    named = sections.select(F.struct("path", "section").alias("id"), "embedding")
-    near_sections = knn(queries, named, section_pool, key="id").select("query_id", F.col("path.path").alias("path"), "score")
-    return ranked(best_of(near_docs.unionByName(near_sections)), limit, ascending=True)
+    their nearest section among the `section_pool` nearest."""
+    docs = near_docs.filter(F.col("rank") <= limit).join(long_paths, "path", "left_anti").select("query_id", "path", "score")
+    sections = near_sections.filter(F.col("rank") <= section_pool).select("query_id", F.col("path.path").alias("path"), "score")
+    return ranked(best_of(docs.unionByName(sections)), limit, ascending=True)
+
+
+def vector_leg(queries: DataFrame, doc_vectors: DataFrame, sections: DataFrame, limit: int = 50, section_pool: int = 400) -> DataFrame:
+    return leg_of(*near(queries, doc_vectors, sections, limit, section_pool), sections.select("path").distinct(), limit, section_pool)
 
 
 def fuse(legs: list[tuple[DataFrame, float]], k: int = 60) -> DataFrame:

@@ -11,6 +11,7 @@ from lantern.functions import text as T
 from lantern.functions import vectors as V
 from lantern.operators import evaluate, keyword, ledger, maintain, rare, rerank, vector
 from lantern.plans import search
+from lantern.scratch import saved
 from lantern.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,7 +49,7 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     """Questions that quote three words of an item and name another in capitals; every third has no question mark."""
     w = T.plain_words(F.col("text"))
     start = F.when(F.col("item_id") % 3 == 2, "mention of").otherwise("Where is")
-    q = F.concat(start, F.lit(' "'), F.array_join(F.slice(w, 2, 3), " "), F.lit('" stated with '), F.upper(F.try_element_at(w, F.lit(6))), F.lit(" "), F.array_join(F.slice(w, 7, 8), " "), F.when(F.col("item_id") % 3 == 2, "").otherwise("?"))
+    q = F.concat(start, F.lit(' "'), F.array_join(F.slice(w, 2, 3), " "), F.lit('" stated with '), F.upper(F.try_element_at(w, F.lit(6))), F.lit(" "), F.array_join(F.slice(w, 7, 8), " "), F.lit(" and "), F.upper(F.try_element_at(w, F.lit(10))), F.when(F.col("item_id") % 3 == 2, "").otherwise("?"))
     return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce(q, F.lit("")).alias("q"))
 
 
@@ -67,7 +68,7 @@ def spend(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_of(spark: SparkSession, d: str) -> search.Index:
-    return search.build(corpus(spark, d), SETTINGS).persist()
+    return search.build(corpus(spark, d), SETTINGS).saved()
 
 
 # --- scalar and text functions ----------------------------------------------------------------------------------
@@ -270,7 +271,7 @@ def term_postings(spark: SparkSession, d: str) -> DataFrame:
 
 def _bm25(spark: SparkSession, d: str, queries_: DataFrame, stemmed: bool = False) -> DataFrame:
     docs = corpus(spark, d)
-    posted = keyword.postings(docs, stemmed=stemmed, diacritics=not stemmed).persist()
+    posted = saved(keyword.postings(docs, stemmed=stemmed, diacritics=not stemmed), "postings")
     scores = keyword.bm25(queries_, posted, keyword.lengths(posted, docs), stemmed)
     return keyword.ranked(scores, 50).select("query_id", "path", "rank", F.round("score", 6).alias("score"))
 
@@ -321,16 +322,17 @@ def rare_leg(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rare_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of terms with the gate at one file, so that most terms count as common."""
+    """Pairs of terms that are each in more than 12 files, and in at most as many together."""
     asked = rare.query_rare_terms(questions(spark, d))
-    found = rare.term_files(asked, _files(spark, d)).persist()
-    pairs = rare.common_pairs(asked, found.groupBy("term").agg(F.count("*").alias("df")), found, 1)
+    found = saved(rare.term_files(asked, _files(spark, d)), "found")
+    pairs = rare.common_pairs(asked, found.groupBy("term").agg(F.count("*").alias("df")), found, 12)
     return pairs.select("query_id", "term1", "term2", "path", F.round("part", 9).alias("part"))
 
 
 def _pool(spark: SparkSession, d: str) -> tuple[DataFrame, search.Index, DataFrame]:
     asked, index = questions(spark, d), index_of(spark, d)
-    return asked, index, search.pool_of(asked, index, search.hybrid(asked, index, SETTINGS.k, SETTINGS), SETTINGS)
+    first = saved(search.hybrid(asked, index, SETTINGS.k, SETTINGS), "first")
+    return asked, index, saved(search.pool_of(asked, index, first, SETTINGS), "pool")
 
 
 @query
@@ -343,8 +345,8 @@ def candidate_pool(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     asked, index, pool = _pool(spark, d)
-    pool = pool.persist()
-    windows = rerank.file_windows(index.docs, SETTINGS.window_words, SETTINGS.max_windows).persist()
+    wanted = index.docs.join(pool.select("path").distinct(), "path", "left_semi")
+    windows = saved(rerank.file_windows(wanted, SETTINGS.window_words, SETTINGS.max_windows), "windows")
     return asked, pool, rerank.lexical_scores(asked, pool, rerank.window_terms(windows), windows)
 
 
@@ -501,7 +503,7 @@ def gold(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def eval_first_stage(spark: SparkSession, d: str) -> DataFrame:
-    asked, own = items(spark, d), gold(spark, d).persist()
+    asked, own = items(spark, d), saved(gold(spark, d), "gold")
     ranks = evaluate.first_relevant(search.hybrid(asked, index_of(spark, d), 20, SETTINGS), own, 20)
     return evaluate.hit_rates(ranks, asked.count(), 5, 20)
 

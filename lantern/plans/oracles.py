@@ -67,7 +67,7 @@ cte(
     "questions",
     [],
     rf"""SELECT item_id AS query_id, coalesce((CASE WHEN item_id % 3 = 2 THEN 'mention of' ELSE 'Where is' END) || ' "' || array_to_string(list_slice({plain("text")}, 2, 4), ' ') || '" stated with '
-     || upper({plain("text")}[6]) || ' ' || array_to_string(list_slice({plain("text")}, 7, 14), ' ') || (CASE WHEN item_id % 3 = 2 THEN '' ELSE '?' END), '') AS q FROM benchmark""",
+     || upper({plain("text")}[6]) || ' ' || array_to_string(list_slice({plain("text")}, 7, 14), ' ') || ' and ' || upper({plain("text")}[10]) || (CASE WHEN item_id % 3 = 2 THEN '' ELSE '?' END), '') AS q FROM benchmark""",
 )
 cte("posted", ["docs"], r"""SELECT term, path, sum(t)::BIGINT AS tf_title, sum(b)::BIGINT AS tf_body FROM (
   SELECT path, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}]+')) AS term, 1 AS t, 0 AS b FROM docs
@@ -138,7 +138,6 @@ def rare_scores(gate: int, name: str) -> None:
 
 
 rare_scores(12, "r12")
-rare_scores(1, "r1")
 cte("rare_ranked", ["rare_asked", "rare_found", "rare_df", "r12_pairs"], """SELECT query_id, path, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path) AS rank FROM (SELECT query_id, path, sum(part) AS score FROM (
   SELECT query_id, path, 1.0::DOUBLE / df AS part FROM rare_asked JOIN rare_df USING (term) JOIN rare_found USING (term) WHERE df <= 12 UNION ALL SELECT query_id, path, part FROM r12_pairs) GROUP BY query_id, path)""")
 cte("pool", ["q20_hybrid", "rare_ranked"], """SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY leg, rank) AS pos FROM (SELECT query_id, path, leg, rank, row_number() OVER (PARTITION BY query_id, path ORDER BY leg, rank) AS f FROM (
@@ -233,7 +232,7 @@ QUERIES: dict[str, tuple[list[str], str]] = {
       SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, r0 NULLS LAST, r1 NULLS LAST) AS rank, round(score, 9) AS score FROM (SELECT query_id, path, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(0.5::DOUBLE / (60 + b.rank), 0) AS score, a.rank AS r0, b.rank AS r1 FROM a FULL JOIN b USING (query_id, path))"""),
     "hybrid_search": (["a_hybrid"], "SELECT query_id, path, rank, round(score, 9) AS score FROM a_hybrid"),
     "rare_leg": (["rare_ranked"], "SELECT query_id, path, rank, round(score, 9) AS score FROM rare_ranked"),
-    "rare_pairs": (["r1_pairs"], "SELECT query_id, term1, term2, path, round(part, 9) AS part FROM r1_pairs"),
+    "rare_pairs": (["r12_pairs"], "SELECT query_id, term1, term2, path, round(part, 9) AS part FROM r12_pairs"),
     "candidate_pool": (["pool"], "SELECT query_id, path, pos FROM pool"),
     "score_windows": (["s_scored"], "SELECT query_id, path, ord, round(score, 6) AS score FROM s_scored"),
     "prefilter_windows": (["s_scored"], "SELECT query_id, path, ord, round(raw, 6) AS raw FROM s_scored QUALIFY row_number() OVER (PARTITION BY query_id, path ORDER BY round(raw, 9) DESC, ord) <= 3"),

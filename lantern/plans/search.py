@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lantern.functions.text import embedding_texts, fixed_chunks, is_question, plain_words, units_of
 from lantern.functions.vectors import hash_vectors, mean_vectors
 from lantern.operators import keyword, rare, rerank, vector
+from lantern.scratch import saved
 from lantern.shipping import ship
 
 
@@ -51,8 +52,9 @@ class Index:
     def load(cls, spark, path: str) -> Index:
         return cls(*[spark.read.parquet(f"{path}/{name}") for name in cls.TABLES])
 
-    def persist(self) -> Index:
-        return Index(*[getattr(self, name).persist() for name in self.TABLES])
+    def saved(self) -> Index:
+        """The same index from written tables, so that plans over it do not hold its making."""
+        return Index(*[saved(getattr(self, name), name) for name in self.TABLES])
 
 
 def with_words(docs: DataFrame) -> DataFrame:
@@ -88,12 +90,32 @@ def query_vectors(queries: DataFrame, s: Settings) -> DataFrame:
     return hash_vectors(queries, "query_id", "q", s.dim)
 
 
-def hybrid(queries: DataFrame, index: Index, k: int, s: Settings = Settings()) -> DataFrame:
-    """query_id, path, score, rank of the best k of each query."""
+@dataclass(frozen=True)
+class Legs:
+    """What the legs find for the largest k that is asked; smaller k cut it, so nothing is searched twice."""
+
+    words: DataFrame
+    docs: DataFrame
+    sections: DataFrame
+    long_paths: DataFrame
+
+
+def legs(queries: DataFrame, index: Index, k: int, s: Settings = Settings()) -> Legs:
     pool = max(k, s.vector_pool)
     words = keyword.ranked(keyword.bm25(queries, index.postings, index.lengths), pool)
-    near = vector.vector_leg(query_vectors(queries, s), index.doc_vectors, index.sections, pool, max(s.section_pool, k))
-    return vector.fuse([(near, 1.0), (words, s.keyword_weight)], s.rrf_k).filter(F.col("rank") <= k)
+    docs, sections = vector.near(query_vectors(queries, s), index.doc_vectors, index.sections, pool, max(s.section_pool, k))
+    return Legs(words, docs, sections, index.sections.select("path").distinct())
+
+
+def fused(found: Legs, k: int, s: Settings = Settings()) -> DataFrame:
+    pool = max(k, s.vector_pool)
+    near = vector.leg_of(found.docs, found.sections, found.long_paths, pool, max(s.section_pool, k))
+    return vector.fuse([(near, 1.0), (found.words.filter(F.col("rank") <= pool), s.keyword_weight)], s.rrf_k).filter(F.col("rank") <= k)
+
+
+def hybrid(queries: DataFrame, index: Index, k: int, s: Settings = Settings()) -> DataFrame:
+    """query_id, path, score, rank of the best k of each query."""
+    return fused(legs(queries, index, k, s), k, s)
 
 
 def pool_of(queries: DataFrame, index: Index, first: DataFrame, s: Settings) -> DataFrame:
@@ -110,15 +132,16 @@ def recall(queries: DataFrame, index: Index, s: Settings = Settings(), top: int
 
     Queries that are no questions keep the first stage's order without scores. A query whose best file scores under
     widen_at is widened once: files of a larger first stage that are not in the pool are scored among themselves."""
-    wide = hybrid(queries, index, max(s.widen_k, s.k), s).persist()
-    # the first stage for k has pools of its own size
-    first = hybrid(queries, index, s.k, s)
-    pool = pool_of(queries, index, first, s).persist()
+    found = legs(queries, index, max(s.widen_k, s.k), s)
+    found = Legs(saved(found.words, "words"), saved(found.docs, "near"), saved(found.sections, "near"), found.long_paths)
+    wide, first = fused(found, max(s.widen_k, s.k), s), saved(fused(found, s.k, s), "first")
+    pool = saved(pool_of(queries, index, first, s), "pool")
     asks = queries.filter(is_question(F.col("q"))) if question_gate else queries
-    windows = rerank.file_windows(index.docs, s.window_words, s.max_windows).persist()
-    terms = rerank.window_terms(windows).persist()
+    wanted = wide.select("path").union(pool.select("path")).distinct()
+    windows = saved(rerank.file_windows(index.docs.join(wanted, "path", "left_semi"), s.window_words, s.max_windows), "windows")
+    terms = saved(rerank.window_terms(windows), "terms")
     own = pool.join(asks.select("query_id"), "query_id", "left_semi")
-    scored = score_files(asks, own, windows, terms).persist()
+    scored = saved(score_files(asks, own, windows, terms), "scored")
     unsure = scored.groupBy("query_id").agg(F.max("score").alias("best")).filter(F.col("best") < s.widen_at).select("query_id")
     size = own.groupBy("query_id").agg(F.max("pos").alias("n"))
     more = wide.join(unsure, "query_id", "left_semi").join(own, ["query_id", "path"], "left_anti").join(size, "query_id")
