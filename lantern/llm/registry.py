@@ -27,6 +27,44 @@ def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+# base32 of a hex digest: five hex digits are four letters
+OP1_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS h FROM p),
+e AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM d)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, g * 5 + 1, 5))::INT >> s::INT) & 31) + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM e
+"""
+
+# windows of 200 bytes as hex
+OP7_SQL = """
+WITH d AS (SELECT row_number() OVER () AS u, doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT u, p, md5(substr(x, 2 * p + 1, 400)) AS k FROM d, unnest(range(0, n - 199)) t(p) WHERE n >= 200),
+dup AS (SELECT u, p FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+runs AS (SELECT u, p, sum(new) OVER (PARTITION BY u ORDER BY p) AS r FROM (SELECT u, p, CASE WHEN p <= lag(p) OVER (PARTITION BY u ORDER BY p) + 200 THEN 0 ELSE 1 END AS new FROM dup)),
+spans AS (SELECT u, min(p) AS a, max(p) + 200 AS b FROM runs GROUP BY u, r),
+gaps AS (SELECT u, a, b, coalesce(lag(b) OVER (PARTITION BY u ORDER BY a), 0) AS before FROM spans),
+kept AS (SELECT u, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, list({'s': before, 'e': a} ORDER BY a) AS parts FROM gaps GROUP BY u)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN parts IS NULL THEN x ELSE array_to_string(list_transform(parts, lambda q: substr(x, 2 * q.s + 1, 2 * (q.e - q.s))), '') || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (u)
+"""
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP10_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS u, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark),
+bw AS (SELECT DISTINCT coalesce(item, '') AS item, least(10, len(w)) AS k, array_to_string(list_slice(w, s, s + least(10, len(w)) - 1), ' ') AS g FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) t(s) WHERE len(w) > 0),
+dw AS (SELECT u, s, k, array_to_string(list_slice(w, s, s + k - 1), ' ') AS g FROM d, (SELECT DISTINCT k FROM bw), unnest(range(1, len(w) - k + 2)) t(s) WHERE len(w) >= k),
+hit AS (SELECT u, s, k, item FROM dw JOIN bw USING (k, g)),
+n AS (SELECT u, count(DISTINCT pos) AS n_hit FROM (SELECT DISTINCT u, s, k FROM hit), unnest(range(s, s + k)) t(pos) GROUP BY u),
+i AS (SELECT u, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY u)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n USING (u) LEFT JOIN i USING (u)
+"""
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).drop("url")
 
@@ -62,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": OP1_SQL, "op7_suffix_array_dedup": OP7_SQL, "op10_decontamination": OP10_SQL}
