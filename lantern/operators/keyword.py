@@ -57,12 +57,14 @@ def bm25(queries: DataFrame, posted: DataFrame, sizes: DataFrame, stemmed: bool
     # document frequencies are needed of the asked terms only
     own = posted.join(asked.select("term").distinct(), "term", "left_semi")
     df = own.groupBy("term").agg(F.count("*").alias("n"))
-    idf = df.join(F.broadcast(totals)).select("term", "n_docs", "avgdl", F.ln((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("raw"))
-    idf = idf.select("term", "avgdl", F.when(F.col("raw") <= 0, F.lit(FLOOR)).otherwise(F.col("raw")).alias("idf"))
-    weighted = own.join(idf, "term").join(sizes, "path")
+    raw = F.ln((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    idf = df.join(F.broadcast(totals)).select("term", F.when(raw <= 0, F.lit(FLOOR)).otherwise(raw).alias("idf"))
+    # a query's side is small: its weights are ready before the postings multiply by the number of queries
+    weights = asked.join(idf, "term").select("query_id", "term", (F.col("idf") * F.col("times") * (K1 + 1)).alias("weight"))
     f = TITLE_WEIGHT * F.col("tf_title") + BODY_WEIGHT * F.col("tf_body")
-    part = F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return weighted.select("term", "path", part.alias("part")).join(asked, "term").groupBy("query_id", "path").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
+    part = f / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    parts = own.join(sizes, "path").join(F.broadcast(totals)).select("term", "path", part.alias("part"))
+    return parts.join(weights, "term").groupBy("query_id", "path").agg(F.sum(F.col("part") * F.col("weight")).alias("score"))
 
 
 def ranked(scores: DataFrame, k: int, ascending: bool = False, digits: int = 9) -> DataFrame:
