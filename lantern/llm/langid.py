@@ -16,11 +16,11 @@ ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +36,7 @@ LANGUAGES = 200
 #: Weight of the ridge, and steepness of the softmax.
 RIDGE, STEEP = 1e-2, 6.0
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def presence(texts: list[str], bits: int = BITS, grams: int = GRAMS) -> np.ndarray:
