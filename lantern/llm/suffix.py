@@ -179,13 +179,15 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     rows = saved(anchor_rows(docs, length, gram, block), "anchors")
     # one gram at one place of its windows is a group; the offset is in the stretch's hash
     grams = rows.groupBy("g").agg(F.count("*").alias("c"), (F.min("e") != F.max("e")).alias("mixed")).filter("c > 1").select("g", "mixed")
+    # written, so that the join deals the anchors by itself and a frequent gram's can be split over tasks
+    grams = saved(grams, "grams")
     shared = saved(rows.join(grams, "g"), "shared")
     full = shared.filter("not mixed").select("k1", "k2", F.col("lo").alias("s"), (F.col("lo") + F.col("n") + F.lit(length - 1)).alias("e"))
 
     mixed = shared.filter("mixed")
     classes = mixed.groupBy("g", "e").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "lo", "n")).alias("at"))
     classes = saved(classes, "classes")
-    per_gram = classes.groupBy("g").agg(F.count("*").alias("many"))
+    per_gram = saved(classes.groupBy("g").agg(F.count("*").alias("many")), "per_gram")
     wanted = classes.join(per_gram, "g").select("g", "e", "c", (F.col("many") > hot).alias("hot"), "at.k1", "at.k2", "at.lo", "at.n")
     asked = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "e", "c", "hot", "lo", "n")).alias("asked"))
     texts = docs.select(*content_key(F.col("text")), "text").filter(F.octet_length("text") >= length)
