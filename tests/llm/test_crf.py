@@ -64,3 +64,22 @@ def test_held_out(spark):
     assert [tuple(s) for s in by[602].spans] == [(4, 8)] and [tuple(s) for s in by[603].spans] == [(400000, 400004)]
     none = crf.classify(d, spark.createDataFrame([], "doc_id long, toxic int")).agg({"score": "max"}).first()[0]
     assert none == 0 and crf.classify(d.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
+
+
+def test_families_of_rare_words(spark):
+    """Toxic documents hold words of a family, each too rare to be known by itself; a clean one holds one such word at most."""
+    r = random.Random(12)
+    ends = [a + b for a in "bcdfgklm" for b in ("é", "o", "ur")]
+    plain = [a + b + c for a in ends[:12] for b in ends[12:] for c in ("", "ta")]
+    family = ["réeux" + a + b for a in ends for b in ends]
+    docs, labels = [], []
+    for i in range(900):
+        w = [r.choice(plain) for _ in range(r.randrange(20, 90))]
+        toxic = i % 6 == 0
+        for _ in range(r.randrange(3, 7) if toxic else r.random() < 0.1):
+            w.insert(r.randrange(len(w) + 1), r.choice(family))
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    got = crf.classify(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    held = [(x.doc_id % 6 == 0, x.predicted) for x in got.collect() if x.held_out]
+    assert np.mean([p for t, p in held if t]) > 0.9 and np.mean([p for t, p in held if not t]) < 0.02
