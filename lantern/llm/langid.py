@@ -4,7 +4,8 @@ A text's blended spectrum is the set of its character n-grams of 1 to 4 characte
 (presence, not counts). The kernel of two texts is the size of the intersection over the root of the sizes' product. A
 bounded sample of texts serves as Nyström landmarks: with W the landmarks' kernel matrix, K W^(-1/2) is a feature map in
 which a ridge regression is fitted, one language against the rest. Since all of this is linear in a text's kernel row,
-scoring is two matrix products for a batch of texts: presence rows by landmark rows, and kernel rows by coefficients.
+scoring is two matrix products for a batch of texts: presence rows by landmark rows (kept as bits), and kernel rows by
+coefficients; for few languages the two are one product with a table.
 
 Landmarks and regression are fitted on at most FIT_ROWS texts of each learned language, of the LANGUAGES most frequent
 ones, in the order of a hash of the id; every document is scored. The score is a softmax over the languages' values.
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import blocks, mix, prepare, text_bytes
 from .labelled import remainder
 
-BITS = 13
+#: So many places that a text of several MB leaves most of them free.
+BITS = 17
 GRAMS = 4
 #: Texts of a language for fitting, and landmarks in all.
 FIT_ROWS, LANDMARKS = 300, 192
@@ -36,12 +38,19 @@ LANGUAGES = 200
 #: Weight of the ridge, and steepness of the softmax.
 RIDGE, STEEP = 1e-2, 6.0
 
+#: Places whose landmark rows are unpacked at once, and numbers of a table of values by place and language at most.
+AT_ONCE, TABLE = 8192, 1 << 23
+
 _LETTER = regex.compile(r"\p{L}")
 
 
 def presence(texts: list[str], bits: int = BITS, grams: int = GRAMS) -> np.ndarray:
     """A row of 0 and 1 for each text."""
-    out = np.zeros((len(texts), 1 << bits), np.float32)
+    return _present(texts, bits, grams).astype(np.float32)
+
+
+def _present(texts: list[str], bits: int, grams: int = GRAMS) -> np.ndarray:
+    out = np.zeros((len(texts), 1 << bits), bool)
     joined = "\0".join(texts).lower()
     parts = joined.split("\0") if texts else []
     if len(parts) != len(texts):  # a text holds the separator itself
@@ -59,7 +68,7 @@ def presence(texts: list[str], bits: int = BITS, grams: int = GRAMS) -> np.ndarr
         h = h[: len(code) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + code[n - 1 :]
         ok = real[n - 1 :] if n == 1 else ok[: len(code) - n + 1] & real[n - 1 :]
         place = (mix(h + np.uint64(n)) >> shift).astype(np.int64) + (row[: len(h)] << bits)
-        flat[place[ok]] = 1
+        flat[place[ok]] = True
     return out
 
 
@@ -75,13 +84,20 @@ class Model:
         # landmarks take turns over the languages
         turns = sorted((t, x, i) for x, own in by.items() for t, i in enumerate(own))
         chosen = [i for _, _, i in turns[: max(landmarks, len(self.names))]]
-        marks = presence([texts[i] for i in chosen], bits)
-        self.marks = marks / np.sqrt(np.maximum(marks.sum(1, keepdims=True), 1))
-        w = (self.marks @ self.marks.T).astype(np.float64)
+        marks = [np.flatnonzero(_present([texts[i]], bits)) for i in chosen]
+        self.used = np.unique(np.concatenate(marks))
+        self.size = np.array([max(1, len(x)) for x in marks])
+        #: bits of a landmark's row at the used places
+        self.marks = np.zeros((len(marks), -(-len(self.used) // 8)), np.uint8)
+        for i, own in enumerate(marks):
+            row = np.zeros(len(self.used), bool)
+            row[np.searchsorted(self.used, own)] = True
+            self.marks[i] = np.packbits(row)
+        w = np.concatenate([self.kernel(_present([texts[i] for i in chosen[a : a + 64]], bits)) for a in range(0, len(chosen), 64)]).astype(np.float64)
         value, vector = np.linalg.eigh(w)
         keep = value > 1e-6 * value.max()
         root = vector[:, keep] / np.sqrt(value[keep])
-        kernel = np.concatenate([self.kernel(presence(texts[a : a + 64], bits)) for a in range(0, len(texts), 64)])
+        kernel = np.concatenate([self.kernel(_present(texts[a : a + 64], bits)) for a in range(0, len(texts), 64)])
         phi = kernel @ root
         phi = np.concatenate([phi, np.ones((len(phi), 1))], axis=1)
         target = np.array([[1.0 if x == y else -1.0 for y in self.names] for x in langs])
@@ -90,14 +106,31 @@ class Model:
         fit = np.linalg.solve(phi.T @ (weight * phi) + RIDGE * len(langs) * np.eye(phi.shape[1]) / 10, phi.T @ (weight * target))
         self.coefficients, self.offset = (root @ fit[:-1]).astype(np.float32), fit[-1]
 
+        self.table = None
+        if len(self.used) * len(self.names) <= TABLE:
+            self.table = np.concatenate([self._unpacked(a).T @ (self.coefficients / np.sqrt(self.size)[:, None]) for a in range(0, len(self.used), AT_ONCE)]).astype(np.float32)
+
+    def _unpacked(self, a: int) -> np.ndarray:
+        n = min(AT_ONCE, len(self.used) - a)
+        return np.unpackbits(self.marks[:, a // 8 : (a + AT_ONCE) // 8], axis=1, count=n).astype(np.float32)
+
     def kernel(self, rows: np.ndarray) -> np.ndarray:
-        return (rows @ self.marks.T) / np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
+        out = np.zeros((len(rows), len(self.marks)), np.float32)
+        for a in range(0, len(self.used), AT_ONCE):
+            out += rows[:, self.used[a : a + AT_ONCE]].astype(np.float32) @ self._unpacked(a).T
+        return out / np.sqrt(np.maximum(np.count_nonzero(rows, axis=1)[:, None], 1) * self.size)
+
+    def values(self, rows: np.ndarray) -> np.ndarray:
+        """Kernel rows by coefficients; by way of a table of values by place where the languages are few."""
+        if self.table is None:
+            return self.kernel(rows) @ self.coefficients + self.offset
+        return rows[:, self.used].astype(np.float32) @ self.table / np.sqrt(np.maximum(np.count_nonzero(rows, axis=1)[:, None], 1)) + self.offset
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, score = ["und"] * len(texts), np.zeros(len(texts))
         own = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.names else []
         if own:
-            value = self.kernel(presence([texts[i] for i in own], self.bits)) @ self.coefficients + self.offset
+            value = self.values(_present([texts[i] for i in own], self.bits))
             e = np.exp(STEEP * (value - value.max(axis=1, keepdims=True)))
             best = e.argmax(axis=1)
             for i, b, p in zip(own, best, e.max(axis=1) / e.sum(axis=1), strict=True):

@@ -37,3 +37,21 @@ def test_held_out(spark):
     assert np.mean([x.lang_pred == truth[x.doc_id] for x in got if x.held_out and x.doc_id is not None and x.doc_id < 500]) > 0.95
     assert langid.identify(d.limit(0)).count() == 0
     assert {x.lang_pred for x in langid.identify(d.filter("lang is null")).collect()} == {"und"}
+
+
+def test_varied_texts_of_several_megabytes():
+    r = random.Random(7)
+    parts = {"en": ["th", "ing", "wh", "and", "er"], "de": ["sch", "ung", "ei", "über", "ch"], "fr": ["eau", "ou", "tion", "qu", "é"], "es": ["ción", "ñ", "ll", "ado", "mente"]}
+    rare = [chr(c) for c in range(0x61, 0x7B)] + [chr(c) for c in range(0xE0, 0xF6)] + list("0123456789")
+
+    def text(lang, n):
+        word = lambda: "".join(r.choice(parts[lang] if r.random() < 0.95 else rare) for _ in range(r.randrange(2, 6)))
+        return " ".join(word() for _ in range(n))
+
+    langs = [x for x in parts for _ in range(60)]
+    model = langid.Model([text(x, r.randrange(60, 300)) for x in langs], langs)
+    names, score = model.predict([text(x, 400_000) for x in parts])
+    assert names == list(parts) and score.min() > 0.5
+    short = [text(x, 100) for x in parts]
+    table, model.table = model.predict(short), None
+    assert table[0] == model.predict(short)[0] and np.allclose(table[1], model.predict(short)[1], atol=1e-4)
