@@ -7,8 +7,8 @@ which a ridge regression is fitted, one language against the rest. Since all of
 scoring is two matrix products for a batch of texts: presence rows by landmark rows (kept as bits), and kernel rows by
 coefficients; for few languages the two are one product with a table.
 
-Landmarks and regression are fitted on at most FIT_ROWS texts of each learned language, of the LANGUAGES most frequent
-ones, in the order of a hash of the id; every document is scored. The score is a softmax over the languages' values.
+Every language seen is learned. Landmarks and regression are fitted on a hash's draw of about FIT_ROWS texts of each, or of
+fewer where the languages are so many that the sample would pass SAMPLE texts, but not under LEAST; every document is scored. The score is a softmax over the languages' values.
 
 Defined results: null text and text without a letter are `und` with score 0; texts are scored whole; repeated rows give
 repeated rows; without any labelled text every row is `und`; an empty table gives an empty result; other columns are
@@ -33,8 +33,8 @@ BITS = 17
 GRAMS = 4
 #: Texts of a language for fitting, and landmarks in all.
 FIT_ROWS, LANDMARKS = 300, 192
-#: Languages learned at most, the most frequent ones; a bound on the sample.
-LANGUAGES = 200
+#: Texts of the whole sample, and texts of a language below which its share isn't cut (so few that a draw might miss it).
+SAMPLE, LEAST = 60_000, 12
 #: Weight of the ridge, and steepness of the softmax.
 RIDGE, STEEP = 1e-2, 6.0
 
@@ -97,13 +97,20 @@ class Model:
         value, vector = np.linalg.eigh(w)
         keep = value > 1e-6 * value.max()
         root = vector[:, keep] / np.sqrt(value[keep])
-        kernel = np.concatenate([self.kernel(_present(texts[a : a + 64], bits)) for a in range(0, len(texts), 64)])
-        phi = kernel @ root
-        phi = np.concatenate([phi, np.ones((len(phi), 1))], axis=1)
-        target = np.array([[1.0 if x == y else -1.0 for y in self.names] for x in langs])
-        weight = np.array([1 / len(by[x]) for x in langs])[:, None]
+        number = {x: j for j, x in enumerate(self.names)}
+        lang = np.array([number[x] for x in langs])
+        weight = 1 / np.bincount(lang)[lang]
         weight *= len(langs) / weight.sum()
-        fit = np.linalg.solve(phi.T @ (weight * phi) + RIDGE * len(langs) * np.eye(phi.shape[1]) / 10, phi.T @ (weight * target))
+        size = root.shape[1] + 1
+        square, target = np.zeros((size, size)), np.zeros((len(self.names), size))
+        for a in range(0, len(texts), 64):  # some texts at once, to bound memory
+            phi = self.kernel(_present(texts[a : a + 64], bits)) @ root
+            phi = np.concatenate([phi, np.ones((len(phi), 1))], axis=1)
+            weighed = weight[a : a + 64, None] * phi
+            square += phi.T @ weighed
+            target -= weighed.sum(0)
+            np.add.at(target, lang[a : a + 64], 2 * weighed)
+        fit = np.linalg.solve(square + RIDGE * len(langs) * np.eye(size) / 10, target.T)
         self.coefficients, self.offset = (root @ fit[:-1]).astype(np.float32), fit[-1]
 
         self.table = None
@@ -138,16 +145,17 @@ class Model:
         return names, score
 
 
-def fit(docs: DataFrame, modulus: int = 5, held: int = 0, fit_rows: int = FIT_ROWS, languages: int = LANGUAGES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, modulus: int = 5, held: int = 0, fit_rows: int = FIT_ROWS, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("id"), modulus) != held))
     rows = rows.filter(F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return Model([], [])
-    # a share of each language by a hash, about fit_rows of them; at most twice as many
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, fit_rows / r["count"])))])[F.col("lang")]
-    drawn = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < share * (1 << 30)).limit(2 * fit_rows * len(counts))
+    # a share of each language by a hash, about `each` of them; at most twice as many
+    each = min(fit_rows, max(LEAST, sample // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "lang string, share double")
+    drawn = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).limit(2 * each * len(counts))
     got = sorted((r.text, r.lang) for r in drawn.select("text", "lang").collect())
     return Model([t for t, _ in got], [x for _, x in got])
 

@@ -55,3 +55,18 @@ def test_varied_texts_of_several_megabytes():
     short = [text(x, 100) for x in parts]
     table, model.table = model.predict(short), None
     assert table[0] == model.predict(short)[0] and np.allclose(table[1], model.predict(short)[1], atol=1e-4)
+
+
+def test_more_than_two_hundred_languages(spark):
+    r = random.Random(9)
+    letters = [chr(0x4E00 + i) for i in range(1100)]
+    rows = []
+    for k in range(220):
+        for _ in range(14 if k else 40):
+            rows.append((len(rows), "".join(r.choice(letters[5 * k : 5 * k + 5]) for _ in range(30)), f"l{k:03}"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    truth = {i: x for i, _, x in rows}
+    assert langid.fit(d).names == sorted(set(truth.values()))
+    few = langid.fit(d, sample=220)
+    assert few.names == sorted(set(truth.values()))
+    assert np.mean([x.lang_pred == truth[x.doc_id] for x in langid.identify(d, few).collect() if x.held_out]) > 0.95
