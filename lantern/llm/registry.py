@@ -95,8 +95,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("items")
 
 
+def op10_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.proximity_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": corpus_pipeline.run, "op1_warc": op1_warc, "op2_ann_learned_partitions": op2_ann_learned_partitions, "op3_quality_nbsvm": op3_quality_nbsvm, "op4_language_id": op4_language_id, "op5_toxicity_crf": op5_toxicity_crf, "op6_license_scan": op6_license_scan, "op10_decontamination": op10_decontamination, "op7_suffix_array_dedup": op7_suffix_array_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_simhash_bktree": op9_simhash_bktree}
+    return {"pipeline": corpus_pipeline.run, "op1_warc": op1_warc, "op2_ann_learned_partitions": op2_ann_learned_partitions, "op3_quality_nbsvm": op3_quality_nbsvm, "op4_language_id": op4_language_id, "op5_toxicity_crf": op5_toxicity_crf, "op6_license_scan": op6_license_scan, "op10_decontamination": op10_decontamination, "op10_proximity": op10_proximity, "op7_suffix_array_dedup": op7_suffix_array_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_simhash_bktree": op9_simhash_bktree}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -65,3 +65,12 @@ def test_proximity(spark):
     d = spark.createDataFrame([(1, "rare x b y a"), (2, "a b c rare"), (3, "rare " + "x " * 30 + "a b"), (4, "rare a"), (5, None)], "doc_id long, text string")
     b = spark.createDataFrame([(7, "a b rare")], "item_id long, text string")
     assert sorted(r.doc_id for r in decontam.proximity_matches(d, b, within=5).collect()) == [1, 2]
+
+
+def test_proximity_is_a_query(spark, tmp_path):
+    from lantern.llm import registry
+
+    spark.createDataFrame([(1, "rare x b y a"), (2, "a b c"), (3, "rare " + "x " * 30 + "a b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "a b rare")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = registry.queries()["op10_proximity"](spark, str(tmp_path))
+    assert [tuple(r) for r in got.collect()] == [(1, "7")]
