@@ -123,14 +123,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Substrings:
-    """64-bit hashes of any substrings of a byte array by prefix sums of a polynomial in an odd base."""
+    """64-bit hashes of any substrings of a byte array by prefix sums of a polynomial in an odd base. Hashes of another
+    family give the bytes other, unrelated values."""
 
-    def __init__(self, data: np.ndarray):
-        if "byte" not in _TABLES:
-            _TABLES["byte"] = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    def __init__(self, data: np.ndarray, family: int = 0):
+        values = _TABLES.get(f"byte{family}")
+        if values is None:
+            values = _TABLES[f"byte{family}"] = mix(np.arange(1 + 256 * family, 257 + 256 * family, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
         up, self.down = _powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLES["byte"][data] * up[: len(data)], out=self.sums[1:])
+        np.cumsum(values[data] * up[: len(data)], out=self.sums[1:])
 
     def raw(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return (self.sums[ends] - self.sums[starts]) * self.down[starts]

@@ -8,15 +8,22 @@ Sorting every suffix of a corpus against every other would shuffle several times
 to groups without loss. A window's anchor is its leftmost 50-byte gram of smallest hash, so equal windows have equal
 anchors at equal offsets. Windows of one document with the same anchor are consecutive; the run of bytes that they span is
 the anchor's stretch. If all stretches of an anchor gram (at its offset) are the same string, either there is one and
-nothing is removed, or all their windows repeat. Only grams with different stretches are sorted, with one copy of each
-stretch. A gram with more than HOT different stretches is not sorted in one task: its windows' 128-bit hashes are counted
-by a shuffled aggregation that combines equal windows before the shuffle, with the same outcome.
+nothing is removed, or all their windows repeat. Only groups with different stretches are sorted, with one copy of each.
 
-Texts are known by a 128-bit hash of their content, as equal texts have equal results.
+A group of more than LARGE different stretches is dealt on before it is sorted. Its windows share the bytes from the last
+start to the first end that any of them may have, and they begin at most so many bytes before the anchor. Those that begin
+in the farther half of that range also share a piece to the left of those bytes, if they are equal, and those that begin in
+the nearer half a piece to the right. So a stretch is cut into two, each dealt by the hash of its piece. Each time the
+range is halved, until a group is small or its windows begin at one place; of equal stretches one copy is kept. Only a
+range that holds an end of what the group's windows have in common stays large, so a stretch gives a few rows a round.
+
+Texts and stretches are known by 128-bit hashes of their content, as equal ones have equal results; different stretches
+that share a group are compared byte by byte by the sort.
 
 Defined results: null text is empty (0 bytes, nothing removed); texts of any length are treated whole, the longest in
 blocks whose edges do not matter; of repeated rows and copies every one is emptied, as each repeats the others; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; other columns are ignored, whatever their names, but for those to be carried, whose names
+must not be those of results.
 """
 
 from __future__ import annotations
@@ -29,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, Substrings, content_key, mix, prepare, ragged, saved, text_bytes
+from .common import BLOCK_BYTES, Substrings, content_key, mix, prepare, saved, text_bytes
 
 LENGTH = 200
 GRAM = 50
-#: Different stretches of a gram above which its windows are counted by their hashes.
-HOT = 2048
-#: Bytes of stretches that are sorted at once.
-SORT_BYTES = 2 << 20
+#: Different stretches of a group above which it is dealt on before it is sorted.
+LARGE = 2048
+#: Bytes of stretches that are sorted at once, and about so many of a task.
+SORT_BYTES, TASK_BYTES = 2 << 20, 4 << 20
 
 _SEED2 = np.uint64(0x5851F42D4C957F2D)
 
@@ -56,11 +63,11 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """For each run of windows with one anchor: row, first window in the row, number of windows, hash of the gram, hash of
-    the stretch and the anchor's place in it."""
+    """For each run of windows with one anchor: row, first window in the row, number of windows, the anchor's place in the
+    stretch, hash of the gram, hash of the stretch and that place."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
     sub = Substrings(data)
     h = sub.grams(gram)
     bits = np.uint64(int(len(h)).bit_length())
@@ -72,26 +79,48 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
     whole = start + length <= offs[row + 1]
     start, anchor, row = start[whole], anchor[whole], row[whole]
     if not len(start):
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
     new = np.ones(len(start), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
     lo = start[new]
     n = np.diff(np.append(np.flatnonzero(new), len(start)))
     a, r = anchor[new], row[new]
-    stretch = sub.hashes(lo, lo + n + length - 1)
-    return r, lo - offs[r], n, h[a], mix(stretch ^ ((a - lo).astype(np.uint64) * _SEED2))
+    return r, lo - offs[r], n, a - lo, h[a], stretch_hashes(data, lo, lo + n + length - 1, a - lo)
+
+
+def stretch_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of stretches and the anchor's place in them, by another family than that of the grams."""
+    return mix(Substrings(data, 1).hashes(begin, end) ^ (place.astype(np.uint64) * _SEED2))
+
+
+class Copies:
+    """Which rows of a task hold a text that fewer than `most` rows before it hold."""
+
+    def __init__(self, most: int):
+        self.most, self.seen = most, {}
+
+    def few(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            n = self.seen.get(key, 0)
+            if n < self.most:
+                self.seen[key] = n + 1
+            keep.append(n < self.most)
+        return batch if all(keep) else batch.filter(pa.array(keep))
 
 
 def anchor_rows(docs: DataFrame, length: int, gram: int, block: int) -> DataFrame:
-    """k1, k2, lo, n, g, e of all documents; a text longer than a block is cut into runs of windows."""
+    """k1, k2, lo, n, p, g, e of all documents; a text longer than a block is cut into runs of windows. Of the copies of a
+    text in a task two serve, as they repeat each other and more would add nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(k1: np.ndarray, k2: np.ndarray, shift: int, data: np.ndarray, offs: np.ndarray) -> pa.RecordBatch:
-            r, lo, n, g, e = anchors(data, offs, length, gram)
-            columns = [k1[r], k2[r], (lo + shift).astype(np.int32), n.astype(np.int16), g.view(np.int64), e.view(np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["k1", "k2", "lo", "n", "g", "e"])
+            r, lo, n, p, g, e = anchors(data, offs, length, gram)
+            columns = [k1[r], k2[r], (lo + shift).astype(np.int32), n.astype(np.int16), p.astype(np.int16), g.view(np.int64), e.view(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["k1", "k2", "lo", "n", "p", "g", "e"])
 
-        for batch in batches:
+        copies = Copies(2)
+        for batch in map(copies.few, batches):
             data, offs = text_bytes(batch.column(2))
             k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             at = 0
@@ -108,7 +137,7 @@ def anchor_rows(docs: DataFrame, length: int, gram: int, block: int) -> DataFram
                 at = to
 
     small = docs.select(*content_key(F.col("text")), "text").filter(F.octet_length("text") >= length)
-    return small.mapInArrow(run, "k1 long, k2 long, lo int, n short, g long, e long")
+    return small.mapInArrow(run, "k1 long, k2 long, lo int, n short, p short, g long, e long")
 
 
 # --- bucket-pointer refinement ----------------------------------------------------------------------------------
@@ -171,30 +200,94 @@ def _ranges(owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return owner[new], at[new], at[last]
 
 
+# --- dealing large groups on --------------------------------------------------------------------------------------
+
+#: A run of windows: its group and content; the stretch it is cut from and its first window there; copies; the anchor's place
+#: in it and its number of windows; from how many to how many bytes before the anchor the group's windows begin; its bytes.
+_RUN = "g long, e long, g0 long, e0 long, off int, c long, p int, n int, near int, far int, string binary"
+
+
+def halves(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """The runs of windows of _RUN, each as two that are dealt by a piece that their half of the windows holds."""
+    g, e, g0, e0, off, c, p, n, near, far = (batch.column(i).to_numpy().astype(np.int64) for i in range(10))
+    data, offs = text_bytes(batch.column(10))
+    begin, middle, sub = offs[:-1], (near + far + 1) // 2, Substrings(data)
+    least = p - n + 1
+    parts = []
+    for left in (True, False):
+        a, z = (np.maximum(least, middle), p) if left else (least, np.minimum(p, middle - 1))
+        own = np.flatnonzero(a <= z)
+        a, z, m, at = a[own], z[own], middle[own], (begin + p)[own]
+        lo, count = begin[own] + p[own] - z, z - a + 1
+        piece = (at - m, at - near[own]) if left else (at - far[own] + length, at - m + 1 + length)
+        group = mix(mix(g[own].view(np.uint64) ^ sub.hashes(*piece)) + np.uint64(left))
+        hi = lo + count + length - 1
+        run = [group.view(np.int64), stretch_hashes(data, lo, hi, z).view(np.int64), g0[own], e0[own], off[own] + p[own] - z, c[own], z, count]
+        run += [m, far[own]] if left else [near[own], m - 1]
+        parts.append((run, lo, hi))
+    runs = [np.concatenate([x[0][i] for x in parts]) for i in range(10)]
+    raw = data.tobytes()
+    strings = [raw[x:y] for _, lo, hi in parts for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64()] + [pa.int32()] * 4
+    names = [x.split()[0] for x in _RUN.split(", ")]
+    return pa.RecordBatch.from_arrays([*(pa.array(x).cast(t) for x, t in zip(runs, kinds, strict=True)), pa.array(strings, pa.binary())], names)
+
+
 # --- plan -------------------------------------------------------------------------------------------------------
 
 
-def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block: int = BLOCK_BYTES) -> DataFrame:
+def _group_sizes(classes: DataFrame, length: int) -> DataFrame:
+    """g, many (different stretches), c (all of them), bytes. classes: g, e, c, n."""
+    return classes.groupBy("g").agg(F.count("*").alias("many"), F.sum("c").alias("c"), F.sum(F.col("n") + F.lit(length - 1)).cast("long").alias("bytes"))
+
+
+def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE, block: int = BLOCK_BYTES) -> DataFrame:
     """k1, k2, s, e: stretches of bytes that are covered by repeated strings; they may overlap. docs has text only."""
+    spark = docs.sparkSession
     rows = saved(anchor_rows(docs, length, gram, block), "anchors")
     # one gram at one place of its windows is a group; the offset is in the stretch's hash
     grams = rows.groupBy("g").agg(F.count("*").alias("c"), (F.min("e") != F.max("e")).alias("mixed")).filter("c > 1").select("g", "mixed")
-    # written, so that the join deals the anchors by itself and a frequent gram's can be split over tasks
+    # tables are written before their joins, so that the joins deal the rows by themselves and a frequent key's can be split
     grams = saved(grams, "grams")
     shared = saved(rows.join(grams, "g"), "shared")
     full = shared.filter("not mixed").select("k1", "k2", F.col("lo").alias("s"), (F.col("lo") + F.col("n") + F.lit(length - 1)).alias("e"))
 
     mixed = shared.filter("mixed")
-    classes = mixed.groupBy("g", "e").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "lo", "n")).alias("at"))
-    classes = saved(classes, "classes")
-    per_gram = saved(classes.groupBy("g").agg(F.count("*").alias("many")), "per_gram")
-    wanted = classes.join(per_gram, "g").select("g", "e", "c", (F.col("many") > hot).alias("hot"), "at.k1", "at.k2", "at.lo", "at.n")
-    asked = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "e", "c", "hot", "lo", "n")).alias("asked"))
-    texts = docs.select(*content_key(F.col("text")), "text").filter(F.octet_length("text") >= length)
-    # of copies, the first row serves
+    classes = mixed.groupBy("g", "e").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "lo", "n", "p")).alias("at"))
+    classes = saved(classes.select("g", "e", "c", "at.*"), "classes")
+    sizes = saved(_group_sizes(classes, length), "sizes")
+    wanted = classes.join(sizes.select("g", "many"), "g")
+    asked = saved(wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "e", "c", "many", "lo", "n", "p")).alias("asked")), "asked")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(Copies(1).few, batches)
+
+    texts = docs.select(*content_key(F.col("text")), "text").filter(F.octet_length("text") >= length).mapInArrow(first, "k1 long, k2 long, text string")
     served = texts.join(asked, ["k1", "k2"]).select(F.inline("asked"), F.encode("text", "UTF-8").alias("bytes"))
-    served = served.select("g", "e", "c", "hot", F.expr(f"substring(bytes, lo + 1, n + {length - 1})").alias("string")).dropDuplicates(["g", "e"])
+    served = served.select("g", "e", "c", "many", "p", "n", F.expr(f"substring(bytes, lo + 1, n + {length - 1})").alias("string")).dropDuplicates(["g", "e"])
     served = saved(served, "stretches")
+    total = sizes.filter(F.col("many") <= large).agg(F.sum("bytes")).first()[0] or 0
+    to_sort = served.filter(F.col("many") <= large).select("g", "e", "c", "string")
+
+    # large groups, dealt on round by round until none is large or its windows begin at one place
+    cut, whole = [], []
+    runs = served.filter(F.col("many") > large).select("g", "e", F.col("g").alias("g0"), F.col("e").alias("e0"), F.lit(0).alias("off"), "c", F.col("p").cast("int"), F.col("n").cast("int"), F.lit(0).alias("near"), F.lit(length - gram).alias("far"), "string")
+    open_ = not sizes.filter(F.col("many") > large).isEmpty()
+    rounds = (length - gram).bit_length()
+    for k in range(rounds if open_ else 0):
+        runs = saved(runs.mapInArrow(lambda batches: (halves(x, length) for x in batches if x.num_rows), _RUN), "runs")
+        equal = runs.groupBy("g", "e").agg(F.sum("c").alias("c"), F.min("n").alias("n"))
+        sizes = saved(_group_sizes(equal, length).filter("c > 1"), "sizes")
+        last = k == rounds - 1
+        dealt = saved(runs.join(sizes.select("g", "many", F.col("c").alias("all")), "g"), "dealt")
+        whole.append(dealt.filter("many = 1"))
+        small = dealt.filter("many > 1" if last else f"many > 1 and many <= {large}")
+        cut.append(small)
+        total += sizes.filter("many > 1").agg(F.sum("bytes")).first()[0] or 0
+        to_sort = to_sort.unionByName(small.groupBy("g", "e").agg(F.sum("c").alias("c"), F.min("string").alias("string")))
+        if last or sizes.filter(F.col("many") > large).isEmpty():
+            break
+        runs = dealt.filter(F.col("many") > large).drop("many", "all").select(*runs.columns)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple] = []
@@ -217,49 +310,28 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
         if kept:
             yield flush()
 
-    cool = served.filter("not hot").select("g", "e", "c", "string").repartition("g").sortWithinPartitions("g")
-    sorted_ = cool.mapInArrow(sort, "g long, e long, a int, b int")
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offs = text_bytes(batch.column(3))
-            size = np.diff(offs) - length + 1
-            row = np.repeat(np.arange(len(size)), size)
-            at = ragged(size)
-            lo = offs[:-1][row] + at
-            h = Substrings(data).hashes(lo, lo + length)
-            other = Substrings(data ^ np.uint8(0xA5)).hashes(lo, lo + length)
-            numbers = [batch.column(i).to_numpy()[row] for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in numbers), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(other.view(np.int64))], ["g", "e", "c", "a", "h1", "h2"])
-
-    each = served.filter("hot").select("g", "e", "c", "string").mapInArrow(windows, "g long, e long, c long, a int, h1 long, h2 long")
-    many = each.groupBy("h1", "h2").agg(F.sum("c").alias("times")).filter("times > 1").select("h1", "h2")
-    # of a stretch's windows, of which there are few, runs are made before they meet the anchors
-    counted = each.join(many, ["h1", "h2"]).groupBy("g", "e").agg(F.collect_set("a").alias("a"))
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2)
-            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-            at = lists.flatten().to_numpy()
-            order = np.lexsort((at, owner))
-            owner, a, b = _ranges(owner[order], at[order])
-            own = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["g", "e", "a", "b"])
-
-    counted = counted.mapInArrow(runs, "g long, e long, a int, b int")
-    dup = sorted_.unionByName(counted)
+    # the dearest stage: its number of tasks follows the counted bytes
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    dup = to_sort.repartition(tasks, "g").sortWithinPartitions("g").mapInArrow(sort, "g long, e long, a int, b int")
+    if cut:
+        dup = saved(dup, "sorted")
+        back = [x.select("g", "e", "g0", "e0", "off").join(dup, ["g", "e"]).select(F.col("g0").alias("g"), F.col("e0").alias("e"), (F.col("off") + F.col("a")).alias("a"), (F.col("off") + F.col("b")).alias("b")) for x in cut]
+        back += [x.select(F.col("g0").alias("g"), F.col("e0").alias("e"), F.col("off").alias("a"), (F.col("off") + F.col("n") - 1).alias("b")) for x in whole]
+        # what was found of the groups that were not dealt on meets the anchors by itself; other groups' names meet none
+        for x in back:
+            dup = dup.unionByName(x)
+        dup = saved(dup, "found")
     part = mixed.join(dup, ["g", "e"])
     part = part.select("k1", "k2", (F.col("lo") + F.col("a")).alias("s"), (F.col("lo") + F.col("b") + F.lit(length)).alias("e"))
     return full.unionByName(part)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, large: int = LARGE, block: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left), kept_text (the same as
     text, without what is left of cut characters) and the columns in `carry`."""
     prepare(docs.sparkSession)
     small = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), docs[id_col].alias("id"), *[docs[c].alias(f"own_{i}") for i, c in enumerate(carry)])
-    found = repeated_stretches(small.select("text"), length, gram, hot, block).distinct()
+    found = repeated_stretches(small.select("text"), length, gram, large, block).distinct()
     spans = found.groupBy("k1", "k2").agg(F.collect_list("s").alias("begins"), F.collect_list("e").alias("stops"))
     joined = small.select(*content_key(F.col("text")), "id", "text", *[f"own_{i}" for i in range(len(carry))]).join(spans, ["k1", "k2"], "left").drop("k1", "k2")
 

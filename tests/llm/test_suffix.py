@@ -48,11 +48,21 @@ def corpus(seed, length):
     return list(enumerate(texts)) + [(None, texts[11]), (3, "other" * 20)]
 
 
-@pytest.mark.parametrize("length,gram,hot,block", [(40, 10, 2048, 1 << 20), (40, 10, 1, 97), (24, 8, 3, 300)])
-def test_brute_force(spark, length, gram, hot, block):
-    rows = corpus(length + hot, length)
+def around(length, gram):
+    """Texts with one gram amid more and less common surroundings, so that its group is dealt on several times."""
+    r = random.Random(length)
+    make = lambda n: "".join(r.choice("pqrstu") for _ in range(n))
+    core = make(length - 3)
+    texts = [make(r.randrange(length)) + core[r.randrange(4) :] + make(r.randrange(length)) for _ in range(60)]
+    texts += [make(5) + core[i : len(core) - j] + make(9) for i in range(0, length - gram, 5) for j in range(0, 12, 3)]
+    return list(enumerate(texts + [core + make(3)] * 2 + [texts[0] + "!" * i for i in range(6)], 1000))
+
+
+@pytest.mark.parametrize("length,gram,large,block", [(40, 10, 2048, 1 << 20), (40, 10, 1, 97), (24, 8, 3, 300), (40, 10, 2, 1 << 20), (64, 8, 4, 500)])
+def test_brute_force(spark, length, gram, large, block):
+    rows = corpus(length + large, length) + around(length, gram)
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, e string").repartition(3)
-    got = suffix.remove_repeats(docs, length=length, gram=gram, hot=hot, block=block).drop("kept", "kept_text").collect()
+    got = suffix.remove_repeats(docs, length=length, gram=gram, large=large, block=block).drop("kept", "kept_text").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(rows, length)))
 
 
