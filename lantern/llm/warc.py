@@ -5,12 +5,14 @@ incrementally, frames the record by its Content-Length and verifies the digests
 bounded by the piece size and one record.
 
 `archive_pages` writes a record for each page. Pages with equal payloads are one response, that of the smallest page_id,
-and revisits, whose block is the HTTP header alone. Tasks write under temporary names and rename, so a task that runs
-again replaces its own archives. The archives stand in the shared folder; their paths travel as rows.
+and revisits, whose block is the HTTP header alone. An archive's name is unique, so a task that runs again or twice at a
+time writes archives of its own; only the paths that a successful task returns as rows are read. The archives stand in the
+shared folder and are read by about a task each, or by one for several small ones.
 
 Defined results: null html is the empty payload; a null page_id is never the smallest unless all are null, and comes back
 null; repeated rows of the smallest page_id are responses each; control characters of a url are percent-encoded and a
-null url is `urn:none`; an empty table gives no archives and no rows; other columns are ignored.
+null url is `urn:none`; payloads of any length are one record each, which is held in memory whole; an empty table gives no
+archives and no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .common import prepare, saved, scratch_path
 
 #: Uncompressed bytes after which a task begins another archive.
 ARCHIVE_BYTES = 64 << 20
+#: Records that a reading task gets, about, in whole archives.
+READ_RECORDS = 4000
 PIECE = 1 << 16
 LEVEL = 4
 #: Date of all records; it is not part of any result.
@@ -186,14 +190,12 @@ def write_archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _filesystem(folder)
-        part, made = TaskContext.get().partitionId(), []
-        out, temporary, size, n = None, "", 0, 0
+        made: list[tuple[str, int]] = []
+        out, name, size, n = None, "", 0, 0
 
         def close() -> None:
             nonlocal out
             out.close()
-            name = f"part-{part:05d}-{len(made):04d}.warc.gz"
-            fs.move(temporary, f"{base}/{name}")
             made.append((f"{folder}/{name}", n))
             out = None
 
@@ -201,8 +203,8 @@ def write_archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Da
             for key, url, html, to in zip(*(batch.column(i) for i in range(4)), strict=True):
                 if out is None:
                     fs.create_dir(base, recursive=True)
-                    temporary, size, n = f"{base}/_{uuid.uuid4().hex}.tmp", 0, 0
-                    out = fs.open_output_stream(temporary)
+                    name, size, n = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz", 0, 0
+                    out = fs.open_output_stream(f"{base}/{name}", compression=None)
                 payload = html.as_buffer().to_pybytes() if html.is_valid else b""
                 refers = to.as_py()
                 data = record_bytes(f"{_PAGE}{'' if key.as_py() is None else key.as_py()}", url.as_py(), payload, None if refers is None else f"{_PAGE}{refers}")
@@ -218,7 +220,9 @@ def write_archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Da
 
 
 def read_archives(paths: DataFrame, kind: str = "bigint") -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, url of the records of the archives in column path."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, url of the records of the archives (path, records)."""
+    archives, records = paths.agg(F.count("*"), F.sum("records")).first()
+    tasks = max(1, min(archives, max(paths.sparkSession.sparkContext.defaultParallelism, -(-(records or 0) // READ_RECORDS))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def page(urn: str | None) -> str | None:
@@ -242,7 +246,7 @@ def read_archives(paths: DataFrame, kind: str = "bigint") -> DataFrame:
                             rows = []
                 yield batch_of(rows)
 
-    rows = paths.select("path").repartition("path").mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string")
+    rows = paths.select("path").repartition(tasks).mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string")
     return rows.withColumn("page_id", F.col("page_id").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind))
 
 

@@ -3,6 +3,7 @@ import hashlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from lantern.llm import warc
 
@@ -34,7 +35,7 @@ def test_reader_refuses():
 
 @pytest.mark.parametrize("least", [0, 4])
 def test_pages(spark, least):
-    rows = [(5, "u", "same"), (3, "u", "same"), (9, "u", "same"), (None, "u", "same"), (1, None, None), (2, "u", ""), (7, "ü\n", "é" * 90000), (8, "u", "abc"), (4, "u", "abc"), (3, "u", "same"), (None, "u", "alone")]
+    rows = [(5, "u", "same"), (3, "u", "same"), (9, "u", "same"), (None, "u", "same"), (1, None, None), (2, "u", ""), (7, "ü\n", "é" * 700000), (8, "u", "abc"), (4, "u", "abc"), (3, "u", "same"), (None, "u", "alone")]
     pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, digest string").repartition(3)
     got = warc.archive_pages(pages, least_bytes=least, archive_bytes=200).drop("url").collect()
     want = []
@@ -46,3 +47,14 @@ def test_pages(spark, least):
         want.append((i, len(b), digest(b), "revisit" if again else "response", first if again else None))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert warc.archive_pages(pages.limit(0)).count() == 0
+
+
+def test_several_tasks_read_and_a_task_may_run_twice(spark):
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(300)], "page_id long, url string, html string").repartition(3)
+    records = warc.with_revisits(pages, "page_id", "url", "html")
+    one, two = (warc.write_archives(records, archive_bytes=4000) for _ in range(2))
+    paths = [{r.path for r in x.collect()} for x in (one, two)]
+    assert len(paths[0]) > 12 and not paths[0] & paths[1]
+    for archives in (one, two):
+        got = warc.read_archives(archives).withColumn("task", F.spark_partition_id()).collect()
+        assert sorted(r.page_id for r in got) == list(range(300)) and len({r.task for r in got}) > 1
