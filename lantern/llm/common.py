@@ -17,9 +17,8 @@ BLOCK_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Send this package to the executors once a session and keep Arrow batches small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Send this package to the executors once a session. The session's settings stay as they are: Spark bounds the bytes of
+    an Arrow batch itself, and functions slice batches by `blocks`."""
     ship(spark)
 
 

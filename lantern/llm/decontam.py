@@ -1,26 +1,29 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
 The corpus is cut into segments of whole documents. A segment stores its terms (64-bit word hashes) with the positions of
-each, sorted by (term, position), and is written as one row of a Parquet table in the shared folder. A benchmark window
-is looked up in every segment: its term with the fewest postings there comes first, and the position lists of the next
-rarer terms, shifted by their offsets in the window, are intersected with what is left, for all windows of a block at
-once. What remains after all terms are the exact places of the phrase. `proximity_matches` intersects with a tolerance.
-
-Benchmark items travel in blocks of at most BLOCK_WORDS words, whose size is counted before; every block is held against
-every segment.
-
-Defined results: null or word-less text has no words, hits or items; a null item_id counts as the empty string; items
-that share an id are one item; repeated documents are separate rows with equal results; empty tables give no rows or
-no hits.
+each, sorted by (term, position), and its documents' lower-cased bytes, and is written as one row of a Parquet table in the
+shared folder. A benchmark window is looked up in every segment: its term with the fewest postings there comes first, and
+the position lists of the next rarer terms, shifted by their offsets in the window, are intersected with what is left, for
+all windows of a block at once. What remains after all terms are the places of the phrase, which are compared with its words
+byte by byte. `proximity_matches` intersects the lists with a tolerance; its terms are known by their hashes alone.
+
+Benchmark items travel in blocks of about BLOCK_WORDS words, whose number follows a count; every block is held against every
+segment. With more than one, blocks are taken one after the other, and what each finds is written.
+
+Defined results: null or word-less text has no words, hits or items; texts of any length are indexed whole, a longer one than
+a segment as a segment of its own; a null item_id counts as the empty string; items that share an id are one item; repeated
+documents are separate rows with equal results; empty tables give no rows or no hits; other columns are ignored or, where
+rows are kept, returned as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,17 +36,20 @@ SEGMENT_WORDS = 1 << 19
 BLOCK_WORDS = 1 << 21
 #: Candidate places that are intersected at once.
 AT_ONCE = 1 << 20
+#: Places that are compared with a window's words at once.
+COMPARED = 1 << 17
 
 
 # --- index ------------------------------------------------------------------------------------------------------
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_words: int = SEGMENT_WORDS) -> DataFrame:
-    """Segments: ids, first (word at which each document begins, and the end), terms, ends, postings (little-endian)."""
+    """Segments: ids, first (word at which each document begins, and the end), terms, ends, postings (little-endian), low (the
+    documents' bytes), offs (byte at which each begins, and the end), seg (a number of its own)."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, hashes, counts, n = [], [], [], 0
+        ids, hashes, counts, texts, sizes, n = [], [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             first = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
@@ -54,9 +60,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             values = [
                 pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column),
                 pa.ListArray.from_arrays(pa.array([0, len(first)], pa.int32()), pa.array(first, pa.int64())),
-                *(pa.array([x.tobytes()], pa.binary()) for x in (terms.astype("<u8"), np.cumsum(size).astype("<i4"), order)),
+                *(pa.array([x.tobytes()], pa.binary()) for x in (terms.astype("<u8"), np.cumsum(size).astype("<i4"), order, np.concatenate(texts))),
+                pa.array([np.append(0, np.cumsum(np.concatenate(sizes)))], pa.list_(pa.int64())),
+                pa.array([uuid.uuid4().int >> 65], pa.int64()),
             ]
-            return pa.RecordBatch.from_arrays(values, ["ids", "first", "terms", "ends", "postings"])
+            return pa.RecordBatch.from_arrays(values, ["ids", "first", "terms", "ends", "postings", "low", "offs", "seg"])
 
         for batch in batches:
             for part in blocks(batch, "text"):
@@ -65,8 +73,10 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 s, e, at = words(low, offs, ALNUM)
                 if n and n + len(s) > segment_words:
                     yield flush()
-                    ids, hashes, counts, n = [], [], [], 0
+                    ids, hashes, counts, texts, sizes, n = [], [], [], [], [], 0
                 ids.append(part.column(0))
+                texts.append(low)
+                sizes.append(np.diff(offs))
                 hashes.append(word_hashes(low, s, e))
                 counts.append(np.diff(at))
                 n += len(s)
@@ -75,7 +85,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     small = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = small.schema["id"].dataType.simpleString()
-    return small.mapInArrow(run, f"ids array<{kind}>, first array<long>, terms binary, ends binary, postings binary")
+    return small.mapInArrow(run, f"ids array<{kind}>, first array<long>, terms binary, ends binary, postings binary, low binary, offs array<long>, seg long")
 
 
 class Segment:
@@ -88,6 +98,9 @@ class Segment:
         self.counts = np.diff(self.ends, prepend=0)
         #: (term's number, position), ascending
         self.lists = np.repeat(np.arange(len(self.terms)) << 32, self.counts) + postings
+        self.low = np.frombuffer(row.column(5)[at].as_buffer(), np.uint8)
+        self.offs = row.column(6)[at].values.to_numpy()
+        self.seg = row.column(7)[at].as_py()
 
     def numbers(self, vocabulary: np.ndarray) -> np.ndarray:
         """The number of each term here, or -1."""
@@ -99,25 +112,47 @@ class Segment:
     def document(self, place: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, place, "right") - 1
 
+    def spelled(self, place: np.ndarray, words_: np.ndarray, items: Items) -> np.ndarray:
+        """Whether the words at the places are, byte by byte, those of the rows of words_ (numbers in the items' vocabulary)."""
+        out = np.ones(len(place), bool)
+        docs, own = np.unique(self.document(place), return_inverse=True)
+        size = self.offs[docs + 1] - self.offs[docs]
+        data = np.concatenate([self.low[self.offs[d] : self.offs[d + 1]] for d in docs.tolist()] or [self.low[:0]])
+        s, e, first = words(data, np.append(0, np.cumsum(size)), ALNUM)
+        at = place - self.first[docs][own] + first[:-1][own]
+        for a in range(0, len(place), COMPARED):
+            for j in range(words_.shape[1]):
+                x, y = at[a : a + COMPARED] + j, words_[a : a + COMPARED, j]
+                n = e[x] - s[x]
+                same = n == items.size[y]
+                some = np.flatnonzero(same)
+                step = ragged(n[some])
+                differ = data[np.repeat(s[x[some]], n[some]) + step] != items.letters[np.repeat(items.begin[y[some]], n[some]) + step]
+                same[some] = np.bincount(np.repeat(np.arange(len(some)), n[some]), weights=differ, minlength=len(some)) == 0
+                out[a : a + COMPARED] &= same
+        return out
+
 
 # --- benchmark items --------------------------------------------------------------------------------------------
 
 
 class Items:
-    """A block of items: distinct windows by their length, and which items hold each."""
+    """A block of items: their vocabulary, distinct windows by their length, and which items hold each."""
 
-    def __init__(self, names: list[str], hashes: list[np.ndarray], window: int = WINDOW):
+    def __init__(self, names: list[str], texts: list[list[bytes]], window: int = WINDOW):
         self.names = sorted(set(names))
         number = {x: i for i, x in enumerate(self.names)}
-        self.vocabulary, flat = np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]), return_inverse=True)
+        vocabulary = sorted({w for t in texts for w in t})
+        of = {w: i for i, w in enumerate(vocabulary)}
+        self.letters = np.frombuffer(b"".join(vocabulary), np.uint8)
+        self.size = np.array([len(w) for w in vocabulary], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.vocabulary = word_hashes(self.letters, self.begin, self.begin + self.size)
         by_length: dict[int, list[tuple[np.ndarray, int]]] = {}
-        at = 0
-        for name, h in zip(names, hashes, strict=True):
-            w = flat[at : at + len(h)]
-            at += len(h)
-            if len(h):
-                k = min(window, len(h))
-                by_length.setdefault(k, []).append((np.lib.stride_tricks.sliding_window_view(w, k), number[name]))
+        for name, t in zip(names, texts, strict=True):
+            if t:
+                k = min(window, len(t))
+                by_length.setdefault(k, []).append((np.lib.stride_tricks.sliding_window_view(np.array([of[w] for w in t]), k), number[name]))
         self.windows = {}
         for k, parts in by_length.items():
             distinct, inverse = np.unique(np.concatenate([x for x, _ in parts]), axis=0, return_inverse=True)
@@ -127,8 +162,8 @@ class Items:
             self.windows[k] = (distinct, begin, pairs[:, 1])
 
 
-def item_blocks(benchmark: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> list[Items]:
-    """The items of a test set as blocks of bounded size; their number follows the counted words."""
+def item_blocks(benchmark: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> tuple[int, Iterator[Items]]:
+    """The items of a test set as blocks of bounded size, one at a time; their number follows the counted words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,18 +171,21 @@ def item_blocks(benchmark: DataFrame, window: int, id_col: str = "item_id", text
                 data, offs = text_bytes(part.column(1))
                 low = LOWER[data]
                 s, e, at = words(low, offs, ALNUM)
-                h = pa.array(word_hashes(low, s, e).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), h)], ["name", "h"])
+                raw = low.tobytes()
+                each = [raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)]
+                joined = [b" ".join(each[a:b]) for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(joined, pa.binary()), pa.array(np.diff(at), pa.int64())], ["name", "w", "n"])
 
     small = benchmark.select(F.coalesce(benchmark[id_col].cast("string"), F.lit("")).alias("name"), benchmark[text_col].cast("string").alias("text"))
-    rows = small.mapInArrow(run, "name string, h array<long>").filter(F.size("h") > 0).distinct()
-    total = rows.agg(F.sum(F.size("h"))).first()[0] or 0
-    n = max(1, -(-total // block_words))
-    out = []
-    for k in range(n):
-        own = rows.filter(F.pmod(F.xxhash64("name", "h"), F.lit(n)) == k).collect() if total else []
-        out.append(Items([r.name for r in own], [np.array(r.h, np.int64).view(np.uint64) for r in own], window))
-    return out
+    rows = saved(small.mapInArrow(run, "name string, w binary, n long").filter("n > 0").distinct(), "items")
+    count = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // block_words))
+
+    def each() -> Iterator[Items]:
+        for k in range(count):
+            own = sorted((r.name, bytes(r.w)) for r in rows.filter(F.pmod(F.xxhash64("name", "w"), F.lit(count)) == k).collect())
+            yield Items([name for name, _ in own], [w.split(b" ") for _, w in own], window)
+
+    return count, each()
 
 
 # --- search -----------------------------------------------------------------------------------------------------
@@ -189,7 +227,9 @@ def phrase_places(seg: Segment, items: Items, k: int) -> tuple[np.ndarray, np.nd
         inside = (place >= 0) & (place + k <= seg.first[np.minimum(doc + 1, len(seg.first) - 1)])
         found_w.append(alive[w[inside]])
         found_p.append(place[inside])
-    return np.concatenate(found_w), np.concatenate(found_p)
+    w, place = np.concatenate(found_w), np.concatenate(found_p)
+    same = seg.spelled(place, distinct[w], items)
+    return w[same], place[same]
 
 
 def near_places(seg: Segment, items: Items, k: int, within: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,27 +267,25 @@ def _owners(seg: Segment, items: Items, k: int, w: np.ndarray, place: np.ndarray
     return np.unique(np.stack([np.repeat(pairs[:, 0], n), owner[np.repeat(begin[pairs[:, 1]], n) + ragged(n)]], axis=1), axis=0)
 
 
-def _hits(index: DataFrame, items: Items) -> DataFrame:
+def _hits(index: DataFrame, items: Broadcast) -> DataFrame:
     """id, seg, ord, n_words, hit (words covered, ascending), items (names, sorted), for every document."""
-    spark = index.sparkSession
-    sent = spark.sparkContext.broadcast(items)
     kind = index.schema["ids"].dataType.elementType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = sent.value
-        names = pa.array(items.names, pa.string())
+        own = items.value
+        names = pa.array(own.names, pa.string())
         for batch in batches:
             for row in range(batch.num_rows):
                 seg = Segment(batch, row)
                 n_docs, n_words = len(seg.ids), int(seg.first[-1])
                 cover = np.zeros(n_words + 1, np.int64)
                 pairs = [np.zeros((0, 2), np.int64)]
-                for k in items.windows:
-                    w, place = phrase_places(seg, items, k)
+                for k in own.windows:
+                    w, place = phrase_places(seg, own, k)
                     if len(w):
                         np.add.at(cover, place, 1)
                         np.add.at(cover, place + k, -1)
-                        pairs.append(_owners(seg, items, k, w, place))
+                        pairs.append(_owners(seg, own, k, w, place))
                 hit = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
                 doc = seg.document(hit)
                 pair = np.unique(np.concatenate(pairs), axis=0)
@@ -257,25 +295,31 @@ def _hits(index: DataFrame, items: Items) -> DataFrame:
                     pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n_docs + 1)), pa.int32()), pa.array(hit - seg.first[doc], pa.int32())),
                     pa.ListArray.from_arrays(pa.array(np.searchsorted(pair[:, 0], np.arange(n_docs + 1)), pa.int32()), names.take(pa.array(pair[:, 1]))),
                     pa.array(np.arange(n_docs), pa.int64()),
-                    pa.concat_arrays([batch.column(5).slice(row, 1)] * n_docs) if n_docs else pa.array([], pa.int64()),
+                    pa.array(np.full(n_docs, seg.seg), pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(out, ["id", "n_words", "hit", "items", "ord", "seg"])
 
-    numbered = index.select("ids", "first", "terms", "ends", "postings", F.xxhash64("terms", "postings", F.spark_partition_id(), F.monotonically_increasing_id()).alias("seg"))
-    return numbered.mapInArrow(run, f"id {kind.simpleString()}, n_words long, hit array<int>, items array<string>, ord long, seg long")
+    return index.select(*_SEGMENT).mapInArrow(run, f"id {kind.simpleString()}, n_words long, hit array<int>, items array<string>, ord long, seg long")
+
+
+_SEGMENT = ["ids", "first", "terms", "ends", "postings", "low", "offs", "seg"]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, segment_words: int = SEGMENT_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and items (their ids, sorted)."""
-    spark = docs.sparkSession
-    prepare(spark)
+    sc = docs.sparkSession.sparkContext
+    prepare(docs.sparkSession)
     index = saved(build_index(docs, id_col, text_col, segment_words), "index")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    parts = item_blocks(benchmark, window, block_words=block_words)
-    hits = _hits(index, parts[0])
-    if len(parts) > 1:
-        for items in parts[1:]:
-            hits = hits.unionByName(_hits(index, items))
+    count, parts = item_blocks(benchmark, window, block_words=block_words)
+    hits = None
+    for items in parts:
+        sent = sc.broadcast(items)
+        found = _hits(index, sent)
+        if count > 1:  # the next block comes when this one is done; after the first, documents without a hit are left out
+            found = saved(found if hits is None else found.filter(F.size("hit") > 0), "hits")
+            sent.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+    if count > 1:
         hits = hits.groupBy("seg", "ord").agg(
             F.first("id").alias("id"), F.first("n_words").alias("n_words"),
             F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -297,14 +341,13 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", wi
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, within: int = 15, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id for documents where all terms of one of the item's windows stand near its rarest term."""
-    spark = docs.sparkSession
-    prepare(spark)
+    prepare(docs.sparkSession)
     index = saved(build_index(docs, id_col, text_col), "index")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     kind = index.schema["ids"].dataType.elementType.simpleString()
+    count, parts = item_blocks(benchmark, window, block_words=block_words)
     out = None
-    for items in item_blocks(benchmark, window, block_words=block_words):
-        sent = spark.sparkContext.broadcast(items)
+    for items in parts:
+        sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -314,10 +357,9 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, within: int = 15, i
                         pair = _owners(seg, sent.value, k, *near_places(seg, sent.value, k, within))
                         yield pa.RecordBatch.from_arrays([seg.ids.take(pa.array(pair[:, 0])), pa.array(sent.value.names, pa.string()).take(pa.array(pair[:, 1]))], [id_col, "item_id"])
 
-        got = index.mapInArrow(run, f"{id_col} {kind}, item_id string")
+        got = index.select(*_SEGMENT).mapInArrow(run, f"{id_col} {kind}, item_id string")
+        if count > 1:
+            got = saved(got, "near")
+            sent.destroy()
         out = got if out is None else out.unionByName(got)
     return out.distinct()
-
-
-def brute_items_sha(names: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()

@@ -1,9 +1,13 @@
+import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lantern.llm import decontam
+from lantern.llm.common import tokens
 
 PATTERN = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -25,7 +29,7 @@ def brute(docs, items):
                     if w[p : p + k] == v[s : s + k]:
                         hit |= set(range(p, p + k))
                         got.add("" if name is None else str(name))
-        out.append((i, len(w), len(hit), len(got), decontam.brute_items_sha(list(got)), bool(hit)))
+        out.append((i, len(w), len(hit), len(got), hashlib.sha256(",".join(sorted(got)).encode()).hexdigest(), bool(hit)))
     return out
 
 
@@ -41,7 +45,7 @@ def case():
             at = r.randrange(len(w) + 1)
             w[at:at] = (r.choice(items)[1] or "").upper().split()
         docs.append((i, r.choice([" ", ", ", "-\n"]).join(w)))
-    docs += [(60, None), (61, ""), (62, "the " * 500), (5, docs[5][1]), (None, docs[6][1])]
+    docs += [(60, None), (61, ""), (62, "the " * 500), (63, "é" * 600_000 + " " + items[5][1]), (5, docs[5][1]), (None, docs[6][1])]
     return docs, items
 
 
@@ -74,3 +78,27 @@ def test_proximity_is_a_query(spark, tmp_path):
     spark.createDataFrame([(7, "a b rare")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = registry.queries()["op10_proximity"](spark, str(tmp_path))
     assert [tuple(r) for r in got.collect()] == [(1, "7")]
+
+
+def test_words_of_one_hash_are_told_apart(spark, monkeypatch):
+    """With hashes of three values, only the comparison of words is left to decide."""
+    few = decontam.word_hashes
+    monkeypatch.setattr(decontam, "word_hashes", lambda *a: few(*a) % 3)
+    docs, items = case()
+    kinds = [list(zip(*x, strict=True)) for x in (docs[:20], items)]
+    texts = [[tokens(t or "") for t in x[1]] for x in kinds]
+    own = decontam.Items(["" if i is None else str(i) for i in kinds[1][0]], texts[1])
+    low = [b" ".join(t) for t in texts[0]]
+    offs = np.append(0, np.cumsum([len(x) for x in low]))
+    data = np.frombuffer(b"".join(low), np.uint8)
+    s, e, first = decontam.words(data, offs, decontam.ALNUM)
+    h = decontam.word_hashes(data, s, e)
+    terms, size = np.unique(h, return_counts=True)
+    raw = [x.tobytes() for x in (terms.astype("<u8"), np.cumsum(size).astype("<i4"), np.argsort(h, kind="stable").astype("<i4"), data)]
+    row = pa.RecordBatch.from_arrays([pa.array([list(range(20))]), pa.array([first]), *(pa.array([x], pa.binary()) for x in raw), pa.array([offs]), pa.array([1])], ["ids", "first", "terms", "ends", "postings", "low", "offs", "seg"])
+    seg = decontam.Segment(row, 0)
+    names = [set() for _ in range(20)]
+    for k in own.windows:
+        for d, i in decontam._owners(seg, own, k, *decontam.phrase_places(seg, own, k)).tolist():
+            names[d].add(own.names[i])
+    assert [len(x) for x in names] == [r[3] for r in brute(docs[:20], items)]
