@@ -10,10 +10,12 @@ the chain. A document's evidence is the sum of the log-odds of its tokens that a
 through a logistic curve, which is fitted on rows as fields score them that were not fitted on them. Offending spans are
 runs of tokens with a marginal of 0.5 or more, as byte offsets; a document under the threshold may hold one.
 
-The field is fitted on at most FIT_ROWS labelled rows, in the order of a hash of their id; every document is scored.
+The field is fitted on at most FIT_ROWS labelled rows, in the order of a hash of their id, with texts of at most 32 KiB, and
+on at most MOST_STRETCHES stretches of STRETCH tokens of them, drawn at random; every document is scored.
 
 Defined results: null or word-less text has score 0 and no spans; texts are scored whole; repeated rows give repeated
-rows; without labels of both classes all scores are 0; an empty table gives an empty result; other columns are ignored.
+rows; without labels of both classes all scores are 0; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -191,13 +193,14 @@ class Field:
     def _learn(self, h: np.ndarray, first: np.ndarray, tags: np.ndarray, ends: np.ndarray, most: int, seed: int) -> None:
         """Weights of the features by the tags."""
         bits, kinds = self.bits, _KINDS + ends.shape[1]
-        # stretches of a document's tokens: all with a T, and a draw of the others
+        # stretches of a document's tokens: a draw of those with a T, half of all at most, and a draw of the others
         begin = np.concatenate([np.arange(a, b, STRETCH) for a, b in zip(first, first[1:], strict=False)] + [np.zeros(0, np.int64)])
         end = np.minimum(begin + STRETCH, first[np.searchsorted(first, begin, "right")])
         ones = np.append(0, np.cumsum(tags))
-        with_t = np.flatnonzero(ones[end] > ones[begin])[: most // 2]
-        without = np.flatnonzero(ones[end] == ones[begin])
         rng = np.random.default_rng(seed)
+        with_t = np.flatnonzero(ones[end] > ones[begin])
+        with_t = np.sort(rng.permutation(with_t)[: most // 2])
+        without = np.flatnonzero(ones[end] == ones[begin])
         without = np.sort(rng.permutation(without)[: most - len(with_t)])
         own = np.concatenate([with_t, without])
         at = np.minimum(begin[own][:, None] + np.arange(STRETCH), len(h) - 1)

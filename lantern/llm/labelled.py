@@ -12,16 +12,23 @@ def remainder(id_col: Column, modulus: int) -> Column:
     return F.crc32(F.encode(F.coalesce(id_col.cast("string"), F.lit("")), "UTF-8")) % modulus
 
 
-def sampled_texts(docs: DataFrame, labels: DataFrame, label: str, fit_rows: int, modulus: int, held: int, id_col: str, text_col: str) -> DataFrame:
-    """text, label (0 or 1) of at most fit_rows labelled rows outside the held-out remainder.
+#: Bytes of a text above which a row is not drawn for fitting; it is scored whole all the same.
+FIT_BYTES = 1 << 15
 
-    The sample is of labels, in the order of a hash of the id, so it has a bounded size and may be broadcast; the texts
-    themselves are not shuffled. Labels that are null or neither 0 nor 1 and ids that are null are not learned from.
-    """
+
+def sampled_texts(docs: DataFrame, labels: DataFrame, label: str, fit_rows: int, modulus: int, held: int, id_col: str, text_col: str, fit_bytes: int = FIT_BYTES) -> DataFrame:
+    """text, label (0 or 1) of at most fit_rows labelled rows outside the held-out remainder, with texts of at most fit_bytes.
+
+    A label and a text an id: of rows that share an id the smallest of each. The sample is in the order of a hash of the id;
+    first of ids that have both, then of their texts, so that a text is only moved if its row is drawn. Labels that are null
+    or neither 0 nor 1 and ids that are null are not learned from."""
     usable = labels.select(labels[id_col].alias("id"), labels[label].cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(0, 1))
-    usable = usable.filter(remainder(F.col("id"), modulus) != held).orderBy(F.xxhash64("id"), "id", "label").limit(fit_rows)
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).filter(F.col("text").isNotNull())
-    return texts.join(F.broadcast(usable), "id").select("text", "label")
+    usable = usable.filter(remainder(F.col("id"), modulus) != held).groupBy("id").agg(F.min("label").alias("label"))
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    texts = texts.filter(F.col("id").isNotNull() & (F.octet_length("text") <= fit_bytes))
+    known = texts.select("id").filter(remainder(F.col("id"), modulus) != held).distinct()
+    drawn = usable.join(known, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(fit_rows)
+    return texts.join(F.broadcast(drawn), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label")).select("text", "label")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
