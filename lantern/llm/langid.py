@@ -8,11 +8,12 @@ scoring is two matrix products for a batch of texts: presence rows by landmark r
 coefficients; for few languages the two are one product with a table.
 
 Every language seen is learned. Landmarks and regression are fitted on a hash's draw of about FIT_ROWS texts of each, or of
-fewer where the languages are so many that the sample would pass SAMPLE texts, but not under LEAST; every document is scored. The score is a softmax over the languages' values.
+fewer where the languages are so many that the sample would pass SAMPLE texts, but not under LEAST. Texts of over 32 KiB are
+drawn only for languages with fewer than LEAST others. Every document is scored, by a softmax over the languages' values.
 
 Defined results: null text and text without a letter are `und` with score 0; texts are scored whole; repeated rows give
-repeated rows; without any labelled text every row is `und`; an empty table gives an empty result; other columns are
-ignored.
+repeated rows; without any labelled text every row is `und`; ties go to the language that sorts first; an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, mix, prepare, text_bytes
-from .labelled import remainder
+from .labelled import FIT_BYTES, remainder
 
 #: So many places that a text of several MB leaves most of them free.
 BITS = 17
@@ -149,14 +150,20 @@ def fit(docs: DataFrame, modulus: int = 5, held: int = 0, fit_rows: int = FIT_RO
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("id"), modulus) != held))
     rows = rows.filter(F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().collect()
+    rows = rows.withColumn("long", F.octet_length("text") > FIT_BYTES)
+    counts: dict[str, dict[bool, int]] = {}
+    for r in rows.groupBy("lang", "long").count().collect():
+        counts.setdefault(r["lang"], {})[r["long"]] = r["count"]
     if not counts:
         return Model([], [])
-    # a share of each language by a hash, about `each` of them; at most twice as many
+    # a share of each language's texts by a hash, about `each` of them; long ones only where there are too few others
     each = min(fit_rows, max(LEAST, sample // len(counts)))
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "lang string, share double")
-    drawn = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).limit(2 * each * len(counts))
-    got = sorted((r.text, r.lang) for r in drawn.select("text", "lang").collect())
+    shares = [(x, long, min(1.0, each / n)) for x, of in counts.items() for long, n in of.items() if not long or of.get(False, 0) < LEAST]
+    table = docs.sparkSession.createDataFrame(shares, "lang string, long boolean, share double")
+    drawn = rows.join(F.broadcast(table), ["lang", "long"]).filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    # a repeated text counts once; the order makes the cut, which bounds the sample, the same in each run
+    drawn = drawn.select("lang", "text").distinct().orderBy(F.xxhash64("text", "lang"), "text", "lang").limit(2 * each * len(counts))
+    got = sorted((r.text, r.lang) for r in drawn.collect())
     return Model([t for t, _ in got], [x for _, x in got])
 
 
