@@ -6,7 +6,7 @@ the leftmost pair of minimum rank. A merge changes two leaves at most: the pair
 its live predecessor; each is a point update of logarithmic cost. A pre-token that is itself a token is taken whole.
 
 Defined results: null text is empty (0 tokens); texts of any length are encoded whole; repeated rows give repeated rows;
-an empty table gives an empty result; other columns are ignored.
+an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -109,6 +109,18 @@ class Pieces(dict):
         return ids
 
 
+#: The codec that a worker made last, by the digest of its ranks and its pattern; later tasks of the worker take it over.
+_MADE: dict[tuple[str, str], Codec] = {}
+
+
+def codec_of(vocabulary: bytes, pattern: str) -> Codec:
+    key = hashlib.sha256(vocabulary).hexdigest(), pattern
+    if key not in _MADE:
+        _MADE.clear()
+        _MADE[key] = Codec(read_ranks(vocabulary), pattern)
+    return _MADE[key]
+
+
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.merger = Merger(ranks)
@@ -134,7 +146,7 @@ def encode_documents(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: s
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(read_ranks(sent.value), pattern)
+        codec = codec_of(sent.value, pattern)
         for batch in batches:
             counts, ids_sha, text_sha, kept = [], [], [], []
             for value in batch.column(1).cast(pa.binary()):
