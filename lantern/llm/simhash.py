@@ -10,8 +10,9 @@ never all pairs, and alternating large-star and small-star rounds join them into
 The trees go to the tasks that search them by a shuffle on the shard's key. Broadcasting them from the driver would pass
 the fingerprints of all documents through it.
 
-Defined results: null or word-less text has fingerprint zero and links like any other; null ids are never a component's
-id unless it has no other; repeated rows are separate rows with equal results; an empty table gives an empty result.
+Defined results: null or word-less text has fingerprint zero and links like any other; texts of any length are hashed whole;
+null ids are never a component's id unless it has no other; repeated rows are separate rows with equal results; an empty table
+gives an empty result; other columns are ignored or, where rows are kept, returned as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from .common import LOWER, SPACED, blocks, content_key, prepare, saved, text_bytes, words
 
@@ -292,13 +294,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """The rows of docs, with all their columns, of one document of each component: that of the smallest id (nulls last);
-    of several texts with that id, the one of the smallest fingerprint and content key; of equal rows, one."""
+    of several texts with that id, the one of the smallest fingerprint and content key; of rows equal in both, the first in the
+    order of all their columns, so that only rows equal in every column are alike to it."""
     keys = content_key(docs[id_col], docs[text_col].cast("string"))
     tagged = docs.select(F.struct(docs[id_col].alias("id"), *keys).alias("id"), docs[text_col].alias("text"))
     each = saved(fingerprint_documents(tagged, "id", "text", shingle), "fingerprints")
     rooted = _rooted(each, F.min(F.struct(F.col("id.id").isNull().alias("none"), F.col("id.id").alias("id"), "fp", F.col("id.k1").alias("k1"), F.col("id.k2").alias("k2"))), radius, hot)
     kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.k1", "least.k2")
     whole = docs.select(*keys, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    first = Window.partitionBy("k1", "k2").orderBy("k1")
+    row = F.col("row")
+    first = Window.partitionBy("k1", "k2").orderBy(*[F.to_json(F.struct(row[f.name])) if isinstance(f.dataType, (ArrayType, MapType, StructType)) else row[f.name] for f in docs.schema.fields])
     joined = whole.join(kept, ["k1", "k2"], "left_semi").withColumn("copy", F.row_number().over(first)).filter("copy = 1")
     return joined.select(*[F.col("row")[c].alias(c) for c in docs.columns])
