@@ -3,14 +3,17 @@
 On a bounded sample, a neighbour graph is cut into balanced parts by recursive spectral bisection with swaps across each
 cut. A small network learns the parts of a vector's neighbours. It then deals every vector of the table to its most
 probable part, and each query to its several most probable parts, whose vectors are reranked by exact distances. How many
-parts a query visits is set on the sample, so that TARGET of its neighbours are found.
+parts a query visits is set on the sample, so that TARGET of its neighbours are found; a query that finds fewer than k
+candidates there visits all parts. There are as many parts as rows call for, but for SAMPLE_PART rows of the sample a part.
 
-Equal vectors are one class with its smallest ids, as no result needs more than k + 1 of them. Parts are split into blocks
+Equal vectors are one class with its k + 1 smallest ids, as no result needs more of them. Parts are split into blocks
 of bounded size on both sides, so no task holds a whole part and no join multiplies rows beyond (query, part, block).
 
-Defined results: vectors that are null, zero, of another length than most, or hold a null or non-finite component take no
-part, nor do rows without an id; rows that repeat id and vector are one candidate; a query's own id is never its
-neighbour; with fewer than k candidates all are returned, each query visiting all parts; empty tables give no rows.
+Defined results: vectors that are null, zero, of another length than most (the shorter, if two are as common), or hold a null
+or non-finite component take no part, nor do rows without an id; rows that repeat id and vector are one candidate; of rows
+that share an id, but not the vector, the nearest counts, on the side of queries as well; a query's own id is never its
+neighbour; ties go to the smaller id; with fewer than k candidates all are returned; empty tables give no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ K = 10
 FIT_ROWS = 8192
 #: Vectors of a part, about.
 PART_ROWS = 2048
-MOST_PARTS = 128
+#: Rows of the sample that a part has at least.
+SAMPLE_PART = 32
 #: Share of the sample's true neighbours that its visits must find.
 TARGET = 0.95
 #: Vectors of a block on either side of a comparison.
@@ -130,7 +134,7 @@ class Parts:
 
     def __init__(self, sample: np.ndarray, rows: int, k: int = K, seed: int = 7, part_rows: int = PART_ROWS, target: float = TARGET):
         rng = np.random.default_rng(seed)
-        want = max(1, min(rows // part_rows, MOST_PARTS, len(sample) // 32))
+        want = max(1, min(rows // part_rows, len(sample) // SAMPLE_PART))
         self.count = 1 << (want.bit_length() - 1)
         self.visits = 1
         if self.count == 1:
@@ -217,8 +221,9 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_c
     width = lengths["n"]
     base, asked = base.filter(F.size("v") == width), usable(queries).filter(F.size("v") == width)
 
+    # repeated rows go before the ranking, which keeps the smallest ids in each task and then of each vector
     smallest = Window.partitionBy("v").orderBy("id")
-    kept = base.withColumn("r", F.dense_rank().over(smallest)).filter(F.col("r") <= k + 1).dropDuplicates(["v", "id"])
+    kept = base.distinct().withColumn("r", F.row_number().over(smallest)).filter(F.col("r") <= k + 1)
     classes = saved(kept.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "classes")
     total = classes.count()
     sample = np.array([r.v for r in classes.select("v").orderBy(F.xxhash64("v"), "v").limit(fit_rows).collect()])
@@ -234,19 +239,10 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_c
         return pd.Series(list(sent.value.routes(_matrix(v)).astype(np.int32)), dtype=object)
 
     index = saved(classes.select("v", "ids", home("v").alias("part")), "index")
-    routed = saved(asked.select("id", "v", F.explode(routes("v")).alias("part")), "routed")
 
-    def sizes(df: DataFrame, name: str) -> dict[int, int]:
+    def sizes(df: DataFrame) -> dict[int, int]:
         return {r.part: -(-r["count"] // block) for r in df.groupBy("part").count().collect()}
 
-    blocks_of, queries_of = sizes(index, "c"), sizes(routed, "q")
-    if not queries_of:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    as_map = lambda m: F.create_map(*[x for p in range(parts.count) for x in (F.lit(p), F.lit(int(m.get(p, 1))))])[F.col("part")]
-    # vectors go to one of their part's blocks and meet every block of its queries, and the other way round
-    left = index.withColumn("c", F.pmod(F.xxhash64("v"), as_map(blocks_of)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), as_map(queries_of) - 1)))
-    right = routed.withColumn("q", F.pmod(F.xxhash64("id"), as_map(queries_of)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), as_map(blocks_of) - 1)))
-
     def compare(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(vectors) or not len(asked):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
@@ -254,7 +250,33 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_c
         row, name, score = rerank(_matrix(asked["v"]), own, _matrix(vectors["v"]), [np.asarray(x) for x in vectors["ids"]], k)
         return pd.DataFrame({"query_id": own[row], "vec_id": name, "score": score})
 
-    found = left.groupBy("part", "c", "q").cogroup(right.groupBy("part", "c", "q")).applyInPandas(compare, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    blocks_of = sizes(index)
+
+    def nearest(routed: DataFrame) -> DataFrame:
+        """query_id, vec_id, score, rank of the k nearest in the parts that queries (id, v, part) are dealt to."""
+        queries_of = sizes(routed)
+        as_map = lambda m: F.create_map(*[x for p in range(parts.count) for x in (F.lit(p), F.lit(int(m.get(p, 1))))])[F.col("part")]
+        # vectors go to one of their part's blocks and meet every block of its queries, and the other way round
+        left = index.withColumn("c", F.pmod(F.xxhash64("v"), as_map(blocks_of)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), as_map(queries_of) - 1)))
+        right = routed.withColumn("q", F.pmod(F.xxhash64("id"), as_map(queries_of)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), as_map(blocks_of) - 1)))
+        found = left.groupBy("part", "c", "q").cogroup(right.groupBy("part", "c", "q")).applyInPandas(compare, "query_id long, vec_id long, score double")
+        return best(found)
+
+    def best(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    routed = saved(asked.distinct().select("id", "v", F.explode(routes("v")).alias("part")), "routed")
+    if routed.isEmpty():
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = nearest(routed)
+    if parts.visits == parts.count:
+        return found
+    found = saved(found, "nearest")
+    full = found.filter(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = saved(asked.distinct().join(full, "id", "left_anti"), "short")
+    if short.isEmpty():
+        return found
+    everywhere = short.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts.count - 1))))
+    return best(found.unionByName(nearest(everywhere)).drop("rank"))
