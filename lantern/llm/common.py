@@ -31,6 +31,20 @@ def content_key(*columns: Column) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), *columns).alias("k1"), F.xxhash64(F.lit(2), *columns).alias("k2")
 
 
+def named(df: DataFrame, name: str) -> Column:
+    """A column by its name, whatever characters that holds."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def row_of(df: DataFrame, names: list[str] | None = None) -> Column:
+    """All columns, or those named, as one struct `row`, so that no name of theirs meets another; see `columns_of`."""
+    return F.struct(F.lit(0).alias(""), *[named(df, c).alias(c) for c in (df.columns if names is None else names)]).alias("row")
+
+
+def columns_of(row: Column, names: list[str]) -> list[Column]:
+    return [row[c].alias(c) for c in names]
+
+
 # --- Arrow text -------------------------------------------------------------------------------------------------
 
 

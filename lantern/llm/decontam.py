@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, blocks, content_key, prepare, ragged, saved, text_bytes, word_hashes, words
+from .common import ALNUM, LOWER, blocks, columns_of, content_key, prepare, ragged, row_of, saved, text_bytes, word_hashes, words
 
 WINDOW = 10
 #: Words of a segment of the index, but for a longer document.
@@ -335,8 +335,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", wi
     keys = content_key(F.coalesce(docs[text_col].cast("string"), F.lit("")))
     found = decontaminate(docs.select(F.struct(*keys).alias("key"), docs[text_col].alias("text")), benchmark, "key", "text", window)
     leaked = found.filter("contaminated").select("key.k1", "key.k2").distinct()
-    whole = docs.select(*keys, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    return whole.join(leaked, ["k1", "k2"], "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    whole = docs.select(*keys, row_of(docs))
+    return whole.join(leaked, ["k1", "k2"], "left_anti").select(*columns_of(F.col("row"), docs.columns))
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, within: int = 15, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:

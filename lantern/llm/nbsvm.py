@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, SPACED, Substrings, blocks, mix, prepare, text_bytes, words
+from .common import ALNUM, LOWER, SPACED, Substrings, blocks, columns_of, mix, prepare, row_of, text_bytes, words
 from .labelled import calibrate, remainder, sampled_texts, sigmoid
 
 BITS = 18
@@ -172,12 +172,13 @@ def keep_accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", id
     """The rows of docs, with all their columns, whose score is at least the threshold."""
     prepare(docs.sparkSession)
     model = fit(sampled_texts(docs, labels, label, fit_rows, modulus, held, id_col, text_col))
-    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    whole = docs.select(row_of(docs), docs[text_col].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, at):
-                p = sent.value.scores(*features(*text_bytes(part.column(at)), sent.value.bits))
-                yield part.filter(pa.array(p >= threshold))
+            for part in blocks(batch, 1):
+                p = sent.value.scores(*features(*text_bytes(part.column(1)), sent.value.bits))
+                yield part.select([0]).filter(pa.array(p >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return whole.mapInArrow(run, whole.select("row").schema).select(*columns_of(F.col("row"), docs.columns))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
-from .common import LOWER, SPACED, blocks, content_key, prepare, saved, text_bytes, words
+from .common import LOWER, SPACED, blocks, columns_of, content_key, prepare, row_of, saved, text_bytes, words
 
 RADIUS = 3
 #: Fingerprints in a shard above which it is split further.
@@ -301,8 +301,8 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     each = saved(fingerprint_documents(tagged, "id", "text", shingle), "fingerprints")
     rooted = _rooted(each, F.min(F.struct(F.col("id.id").isNull().alias("none"), F.col("id.id").alias("id"), "fp", F.col("id.k1").alias("k1"), F.col("id.k2").alias("k2"))), radius, hot)
     kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.k1", "least.k2")
-    whole = docs.select(*keys, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    whole = docs.select(*keys, row_of(docs))
     row = F.col("row")
     first = Window.partitionBy("k1", "k2").orderBy(*[F.to_json(F.struct(row[f.name])) if isinstance(f.dataType, (ArrayType, MapType, StructType)) else row[f.name] for f in docs.schema.fields])
     joined = whole.join(kept, ["k1", "k2"], "left_semi").withColumn("copy", F.row_number().over(first)).filter("copy = 1")
-    return joined.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return joined.select(*columns_of(row, docs.columns))

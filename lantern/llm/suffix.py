@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BLOCK_BYTES, Substrings, content_key, mix, prepare, saved, text_bytes
 
@@ -361,7 +362,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (size, removed, runs)), pa.array(digest, pa.string()), pa.array(left, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in left], pa.string()), *own]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text", *(f"own_{i}" for i in range(len(carry)))])
 
-    kind = small.schema["id"].dataType.simpleString()
-    more = "".join(f", own_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    out = joined.mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string{more}")
+    schema = T.StructType([T.StructField("id", small.schema["id"].dataType)])
+    for name, kind in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept", T.BinaryType()), ("kept_text", T.StringType())):
+        schema = schema.add(name, kind)
+    for i in range(len(carry)):
+        schema = schema.add(small.schema[f"own_{i}"])
+    out = joined.mapInArrow(cut, schema)
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text", *[F.col(f"own_{i}").alias(c) for i, c in enumerate(carry)])
