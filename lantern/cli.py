@@ -1,21 +1,24 @@
-"""Command line: init, index, search, recall, status, scorers, report, eval.
+"""Command line: init, index, search, recall, status, scorers, report, eval, benchmark, serve.
 
-Exit codes: 0 done, 2 no configuration, 3 an evaluation was refused, 75 another build is running."""
+Exit codes: 0 done, 1 a benchmark question failed, 2 no configuration or wrong settings, 3 an evaluation was refused, 75 another
+build is running."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lantern import config as settings
-from lantern.functions.text import is_question
-from lantern.operators import evaluate, ledger, rerank, scorers
-from lantern.plans import search, store
+from lantern.functions import embedders
+from lantern.operators import evaluate, ledger, maintain, scorers
+from lantern.plans import answer, search, store
 from lantern.scratch import saved
 from lantern.sources import files
 
@@ -26,37 +29,33 @@ def session() -> SparkSession:
 
 def search_settings(c: settings.Config) -> search.Settings:
     names = ("chunk_words", "rrf_k", "keyword_weight", "vector_pool", "section_pool", "k", "widen_k", "rare_max_df", "max_windows")
-    dim = int(c.embed_model.partition(":")[2] or 64)
-    at = scorers.load(c.scorer).widen_at if c.widen_at == "auto" else float(c.widen_at)
-    return search.Settings(**{n: getattr(c, n) for n in names}, widen_at=at, dim=dim)
+    at = 0.5 if c.widen_at == "auto" else float(c.widen_at)
+    return search.Settings(**{n: getattr(c, n) for n in names}, widen_at=at, model=c.embed_model, embed_options=c.embedding)
 
 
 def one_query(spark: SparkSession, q: str) -> DataFrame:
     return spark.createDataFrame([(0, q)], "query_id long, q string")
 
 
-def recall(spark: SparkSession, c: settings.Config, queries: DataFrame, top: int = 5) -> DataFrame:
-    """Files of each query with score, heading, passage, mode and note, by the configured scorer; first-stage order where it
-    fails."""
-    s, index = search_settings(c), store.load(spark, c.index)
-    first = search.hybrid(queries, index, s.k, s)
-    pool = saved(search.pool_of(queries, index, first, s), "pool")
-    asks = queries.filter(is_question(F.col("q"))) if c.question_gate else queries
-    windows = rerank.file_windows(index.docs.join(pool.select("path").distinct(), "path", "left_semi"), s.window_words, s.max_windows)
-    pairs = pool.join(asks, "query_id").join(windows, "path").select("query_id", "q", "path", "ord", "heading", "text")
-    scored = saved(scorers.score_windows(pairs, c.scorer), "scored")
-    notes = scored.groupBy("query_id").agg(F.max("note").alias("note"))
-    best = rerank.best_windows(scored.fillna({"score": 0.0}))
-    ranked = rerank.ranked_files(best, pool).filter(F.col("rank") <= top).join(notes, "query_id", "left").join(asks.select("query_id", F.lit(True).alias("asks")), "query_id", "left")
-    failed = F.col("note").isNotNull()
-    mode = F.when(F.col("asks").isNull(), "keyword").when(failed, "first-stage (reranker unavailable)").otherwise("rerank:" + c.scorer.get("backend", "lexical"))
-    passages = windows.select("path", "ord", "heading", "text")
-    out = ranked.join(passages, ["path", "ord"], "left")
-    return out.select("query_id", "path", F.when(F.startswith(mode, F.lit("rerank")), F.col("score")).alias("score"), F.col("heading").alias("section"), F.when(F.col("rank") == 1, F.col("text")).alias("passage"), "rank", mode.alias("mode"), "note")
-
-
-def run_init(path: Path) -> int:
-    target = path / settings.NAME / "config.toml"
+def open_index(spark: SparkSession, c: settings.Config) -> search.Index:
+    return store.load(spark, c.index, c.embed_model)
+
+
+def build_index(spark: SparkSession, c: settings.Config, full: bool = False, allow_local: int = 0) -> dict:
+    docs = files.documents(files.scan(spark, c.roots, c.extensions, c.exclude), c.labels)
+    return store.build(docs, c.index, search_settings(c), full, allow_local=allow_local)
+
+
+def recall(spark: SparkSession, c: settings.Config, queries: DataFrame, top: int = 5, caller: str = "live", rerank: bool = True) -> tuple[DataFrame, DataFrame]:
+    own = os.environ.get("LANTERN_SESSION") or None
+    return answer.recall(queries, open_index(spark, c), c, search_settings(c), top, caller, own, rerank)
+
+
+# --- commands ---------------------------------------------------------------------------------------------------
+
+
+def run_init(a: argparse.Namespace) -> int:
+    target = Path.cwd() / settings.NAME / "config.toml"
     if target.exists():
         print(f"{target} is there already")
         return 0
@@ -66,78 +65,178 @@ def run_init(path: Path) -> int:
     return 0
 
 
-def main(args: list[str] | None = None) -> int:
-    parser = argparse.ArgumentParser("lantern", description=__doc__)
-    sub = parser.add_subparsers(dest="command", required=True)
-    sub.add_parser("init")
-    sub.add_parser("index").add_argument("--full", action="store_true")
+def run_scorers(a: argparse.Namespace) -> int:
+    for k, v in scorers.available().items():
+        print(f"{k:15} {v}")
+    return 0
+
+
+def run_index(a: argparse.Namespace, spark: SparkSession, c: settings.Config) -> int:
+    try:
+        print(json.dumps(build_index(spark, c, a.full, a.allow_local)))
+    except store.Locked as e:
+        print(e, file=sys.stderr)
+        return 75
+    return 0
+
+
+def run_search(a: argparse.Namespace, spark: SparkSession, c: settings.Config) -> int:
+    found = search.hybrid(one_query(spark, a.query), open_index(spark, c), a.k, search_settings(c)).orderBy("rank").collect()
+    print(json.dumps([[r.path, round(r.score, 5)] for r in found]) if a.json else "\n".join(f"{r.score:.5f}  {r.path}" for r in found))
+    return 0
+
+
+def run_recall(a: argparse.Namespace, spark: SparkSession, c: settings.Config) -> int:
+    hits, log = recall(spark, c, one_query(spark, a.query), a.k, rerank=not a.no_rerank)
+    rows, said = hits.orderBy("rank").collect(), log.first()
+    if said.note:
+        print(said.note, file=sys.stderr)
+    if a.json:
+        print(json.dumps([r.asDict() for r in rows]))
+        return 0
+    for r in rows:
+        print(f"{'-' if r.score is None else f'{r.score:.2f}'}  {r.path}  {' '.join(filter(None, [r.kind, r.date, r.section]))}".rstrip())
+    print(f"{said['mode']}{', widened' if said.widened else ''}, {said.pool} files, ${said.usd:.4f}, {said.secs:.1f} s", file=sys.stderr)
+    if rows and rows[0].score is not None and rows[0].score >= (said.widen_at or 0):
+        print("\n" + (rows[0].passage or ""))
+    return 0
+
+
+def run_status(a: argparse.Namespace, spark: SparkSession, c: settings.Config) -> int:
+    index = open_index(spark, c)
+    out = maintain.statistics(index.docs, index.sections).first().asDict() | {"embedding": c.embed_model}
+    out["spend"] = ledger.summary(files.read_ledger(spark, c.ledger), F.current_timestamp()).first().asDict()
+    out["caps"] = {"per_query_usd": c.max_usd_per_query, "daily_usd": c.daily_cap_usd, "eval_daily_usd": c.eval_daily_cap_usd}
+    out["scorers"] = sorted(scorers.available())
+    print(json.dumps(out))
+    return 0
+
+
+def report(spark: SparkSession, c: settings.Config, days: float) -> dict:
+    log = files.read_log(spark, c.recall_log).filter(F.col("ts") >= F.current_timestamp() - F.make_interval(secs=F.lit(days * 86400)))
+    first = F.col("top").getItem(0)
+    rows = log.select("mode", first["score"].alias("top_score"), "widen_at", "widened", "usd", "secs", F.when(F.size("first_stage_top3") > 0, first["path"]).alias("top1"), F.try_element_at("first_stage_top3", F.lit(1)).alias("first1"))
+    modes = {r["mode"]: r["count"] for r in rows.groupBy("mode").count().orderBy("mode").collect()}
+    return {"days": days} | ledger.usage_report(rows).first().asDict() | {"modes": modes}
+
+
+def run_report(a: argparse.Namespace, spark: SparkSession, c: settings.Config) -> int:
+    print(json.dumps(report(spark, c, a.days)))
+    return 0
+
+
+def run_eval(a: argparse.Namespace, spark: SparkSession, c: settings.Config) -> int:
+    if not a.first_stage and not c.eval_daily_cap_usd:
+        print("evaluations are refused while eval_daily_cap_usd is 0", file=sys.stderr)
+        return 3
+    if not a.first_stage and len(a.questions) > 1:
+        print("several question files go with --first-stage only", file=sys.stderr)
+        return 2
+    asked, index, s = files.read_questions(spark, a.questions).orderBy("query_id"), open_index(spark, c), search_settings(c)
+    asked = saved(asked.limit(a.limit) if a.limit else asked, "questions")
+    known = saved(asked.select("query_id", F.explode("gold").alias("path")).join(index.docs.select("path"), "path", "left_semi"), "gold")
+    print(json.dumps(first_stage(asked, known, index, s, a.top, a.depth) if a.first_stage else recall_totals(spark, c, asked, index, s, a.top, a.max_usd)))
+    return 0
+
+
+def first_stage(asked: DataFrame, known: DataFrame, index: search.Index, s: search.Settings, top: int, depth: int) -> dict:
+    """Hits of the first stage over all questions with a gold file in the index, and the time of each searched alone."""
+    own = asked.join(known.select("query_id").distinct(), "query_id", "left_semi").select("query_id", "q")
+    ranks = evaluate.first_relevant(search.hybrid(own, index, depth, s), known, depth)
+    out = evaluate.hit_rates(ranks, asked.count(), top, depth).first().asDict()
+    times = []
+    for r in own.collect():
+        began = time.monotonic()
+        search.hybrid(own.filter(F.col("query_id") == r.query_id), index, depth, s).collect()
+        times.append(round(time.monotonic() - began, 3))
+    return out | {"secs_median": answer.percentile(times, 0.5), "secs_p90": answer.percentile(times, 0.9)}
+
+
+def recall_totals(spark: SparkSession, c: settings.Config, asked: DataFrame, index: search.Index, s: search.Settings, top: int, max_usd: float, block: int = 16) -> dict:
+    """Hits of the first stage and of recall; no further block of questions begins once max_usd is spent."""
+    ids, spent, parts = sorted(r.query_id for r in asked.select("query_id").collect()), 0.0, []
+    for a in range(0, len(ids), block):
+        if spent >= max_usd:
+            print(f"stopped after {a} questions: ${spent:.4f} of ${max_usd:.2f} are spent", file=sys.stderr)
+            break
+        own = asked.filter(F.col("query_id").isin(ids[a : a + block])).select("query_id", "q")
+        hits, log = answer.recall(own, index, c, s, top, "eval", os.environ.get("LANTERN_SESSION") or None)
+        parts.append((saved(search.hybrid(own, index, max(top, 10), s), "base"), hits, log))
+        spent += log.agg(F.sum("usd")).first()[0] or 0.0
+    if not parts:
+        return {"n": 0}
+    base, hits, log = parts[0]
+    for b, h, o in parts[1:]:
+        base, hits, log = base.unionByName(b), hits.unionByName(h), log.unionByName(o)
+    gold = asked.select("query_id", F.explode("gold").alias("path"))
+    return evaluate.compared(base, hits, gold, log.select("query_id", "usd", "secs"), top).first().asDict()
+
+
+def run_benchmark(a: argparse.Namespace, spark: SparkSession, c: settings.Config) -> int:
+    from lantern.plans import benchmark
+
+    try:
+        print(json.dumps(benchmark.run(spark, c, search_settings(c), a.data, a.out, a.n, a.seed, a.include_abstention, a.max_usd)))
+    except benchmark.OtherSettings as e:
+        print(e, file=sys.stderr)
+        return 2
+    except benchmark.NotScored as e:
+        print(e, file=sys.stderr)
+        return 1
+    return 0
+
+
+def run_serve(a: argparse.Namespace, spark: SparkSession, c: settings.Config) -> int:
+    from lantern import server
+
+    server.serve(server.Tools(spark, c), sys.stdin, sys.stdout)
+    return 0
+
+
+def parser() -> argparse.ArgumentParser:
+    top = argparse.ArgumentParser("lantern", description=__doc__)
+    sub = top.add_subparsers(dest="command", required=True)
+    for name in ("init", "status", "scorers", "serve"):
+        sub.add_parser(name)
+    p = sub.add_parser("index")
+    p.add_argument("--full", action="store_true")
+    p.add_argument("--allow-local", type=int, default=0, help="texts that a local model may embed while the service is down")
     for name in ("search", "recall"):
         p = sub.add_parser(name)
         p.add_argument("query")
         p.add_argument("-k", type=int, default=10 if name == "search" else 5)
         p.add_argument("--json", action="store_true")
-    sub.add_parser("status")
-    sub.add_parser("scorers")
-    sub.add_parser("report")
+    p.add_argument("--no-rerank", action="store_true")
+    sub.add_parser("report").add_argument("--days", type=float, default=7)
     p = sub.add_parser("eval")
-    p.add_argument("questions")
+    p.add_argument("questions", nargs="+")
     p.add_argument("--first-stage", action="store_true")
-    a = parser.parse_args(args)
-    if a.command == "init":
-        return run_init(Path.cwd())
-    if a.command == "scorers":
-        for k, v in sorted(scorers.available().items()):
-            print(f"{k:15} {v}")
-        return 0
+    p.add_argument("--limit", type=int, default=0)
+    p.add_argument("--top", type=int, default=5)
+    p.add_argument("--depth", type=int, default=20)
+    p.add_argument("--max-usd", type=float, default=1.0)
+    p = sub.add_parser("benchmark")
+    p.add_argument("out")
+    p.add_argument("--data", required=True)
+    p.add_argument("--n", type=int, default=50)
+    p.add_argument("--seed", type=int, default=0)
+    p.add_argument("--include-abstention", action="store_true")
+    p.add_argument("--max-usd", type=float, default=1.0)
+    return top
+
+
+def main(args: list[str] | None = None) -> int:
+    a = parser().parse_args(args)
+    run = globals()[f"run_{a.command}"]
+    if a.command in ("init", "scorers"):
+        return run(a)
     try:
         c = settings.load()
+        embedders.check(c.embed_model)
     except ValueError as e:
         print(e, file=sys.stderr)
         return 2
-    spark = session()
-    if a.command == "index":
-        docs = files.documents(files.scan(spark, c.roots, c.extensions, c.exclude))
-        try:
-            print(json.dumps(store.build(docs, c.index, search_settings(c), c.embed_model, a.full)))
-        except store.Locked as e:
-            print(e, file=sys.stderr)
-            return 75
-    elif a.command == "search":
-        found = search.hybrid(one_query(spark, a.query), store.load(spark, c.index), a.k, search_settings(c)).orderBy("rank").collect()
-        print(json.dumps([[r.path, round(r.score, 5)] for r in found]) if a.json else "\n".join(f"{r.score:.5f}  {r.path}" for r in found))
-    elif a.command == "recall":
-        rows = recall(spark, c, one_query(spark, a.query), a.k).orderBy("rank").collect()
-        if rows and rows[0].note:
-            print(f"the scorer was skipped ({rows[0].note}): first-stage order only", file=sys.stderr)
-        if a.json:
-            print(json.dumps([r.asDict() for r in rows]))
-        else:
-            for r in rows:
-                print(f"{'-' if r.score is None else f'{r.score:.2f}'}  {r.path}  {r.section or ''}")
-            if rows and rows[0].score is not None and rows[0].score >= search_settings(c).widen_at:
-                print("\n" + (rows[0].passage or "")[:3000])
-        top = [(r.path, r.score) for r in rows[:3]]
-        entry = spark.createDataFrame([(a.query, rows[0].mode if rows else "first-stage", json.dumps(top))], "q string, mode string, top string").withColumn("ts", F.current_timestamp())
-        files.append_json(entry, c.recall_log)
-    elif a.command == "status":
-        index = store.load(spark, c.index)
-        from lantern.operators import maintain
-
-        print(json.dumps(maintain.statistics(index.docs, index.sections).first().asDict() | {"embedding": c.embed_model}))
-        print(json.dumps(ledger.summary(files.read_ledger(spark, c.ledger), F.current_timestamp()).first().asDict()))
-    elif a.command == "report":
-        log = spark.read.json(c.recall_log)
-        print(json.dumps({r["mode"]: r["count"] for r in log.groupBy("mode").count().collect()}))
-    elif a.command == "eval":
-        if not a.first_stage and not c.eval_daily_cap_usd:
-            print("evaluations are refused while eval_daily_cap_usd is 0", file=sys.stderr)
-            return 3
-        asked = files.read_questions(spark, a.questions).persist()
-        index = store.load(spark, c.index)
-        gold = asked.select("query_id", F.explode("gold").alias("path")).join(index.docs.select("path"), "path", "left_semi")
-        ranked = search.hybrid(asked, index, 20, search_settings(c)) if a.first_stage else recall(spark, c, asked, 20)
-        print(json.dumps(evaluate.hit_rates(evaluate.first_relevant(ranked, gold, 20), asked.count()).first().asDict()))
-    return 0
+    return run(a, session(), c)
 
 
 if __name__ == "__main__":

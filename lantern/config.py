@@ -32,6 +32,7 @@ class Config:
     exclude: list[str] = field(default_factory=lambda: [".git/**", "node_modules/**", "**/.obsidian/**"])
     extensions: list[str] = field(default_factory=lambda: [".md"])
     embed_model: str = "hash:64"
+    embedding: dict = field(default_factory=dict)
     chunk_words: int = 350
     rrf_k: int = 60
     keyword_weight: float = 0.5
@@ -87,10 +88,12 @@ def load(path: str | Path | None = None) -> Config:
     for name in ("search", "budget"):
         flat |= raw.get(name, {})
     flat |= {k: raw[k] for k in ("scorer", "labels") if k in raw}
-    if "model" in raw.get("embedding", {}):
-        flat["embed_model"] = raw["embedding"]["model"]
-    if "chunk_words" in raw.get("embedding", {}):
-        flat["chunk_words"] = raw["embedding"]["chunk_words"]
+    # the table's other keys are options of the model
+    embedding = dict(raw.get("embedding", {}))
+    for key, name in (("model", "embed_model"), ("chunk_words", "chunk_words")):
+        if key in embedding:
+            flat[name] = embedding.pop(key)
+    flat["embedding"] = embedding
     if roots := os.environ.get("LANTERN_ROOTS"):
         flat["roots"] = roots.split(os.pathsep)
     if index := os.environ.get("LANTERN_INDEX"):

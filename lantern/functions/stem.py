@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 # Suffix rules of the published algorithm, longest first within a step.
 STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("logi", "log"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
 STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
@@ -81,6 +77,16 @@ def porter(w: str) -> str:
     return w
 
 
-@F.pandas_udf(T.StringType())
-def stem(terms: pd.Series) -> pd.Series:
-    return terms.map(lambda t: porter(t) if t and t.isascii() else t)
+_FORMS: dict[str, str] = {}
+
+
+def stemmed_form(t: str | None) -> str | None:
+    """The stem of an ASCII term; others stay. A worker keeps the stems of terms that it has met, up to a number."""
+    if not t or not t.isascii():
+        return t
+    form = _FORMS.get(t)
+    if form is None:
+        if len(_FORMS) > 200_000:
+            _FORMS.clear()
+        form = _FORMS[t] = porter(t)
+    return form

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import hash_tokens, let
 
@@ -24,28 +32,69 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def hash_buckets(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
-    """key, bucket, value of the signed token counts, without zeros; dim is a power of two up to 256, as the sign is bit 8."""
-    if dim & (dim - 1) or not 1 <= dim <= 256:
-        raise ValueError("the hash embedding takes a power of two up to 256")
-    # tokens are summed by bucket before the shuffle, at most dim rows a key and task
-    low = F.conv(F.substring(F.md5("token"), -4, 4), 16, 10).cast("int")
-    tokens = df.select(key, F.explode(hash_tokens(F.col(text))).alias("token")).select(key, low.alias("low"))
-    signed = tokens.select(key, (F.col("low") % dim).alias("bucket"), F.when(F.col("low").bitwiseAND(256) > 0, 1).otherwise(-1).alias("n"))
-    return signed.groupBy(key, "bucket").agg(F.sum("n").cast("double").alias("value")).filter("value <> 0")
+# --- hash embedding ---------------------------------------------------------------------------------------------
+
+
+def _signed_sums(row: np.ndarray, tokens: pa.Array, rows: int, dim: int) -> np.ndarray:
+    """Unit sums of the tokens' signed buckets by row: the MD5 as a number modulo dim, its bit 8 as the sign."""
+    coded = tokens.dictionary_encode()
+    numbers = [int(md5(t.encode()).hexdigest(), 16) for t in coded.dictionary.to_pylist()]
+    bucket, sign = np.array([h % dim for h in numbers], np.int64), np.array([1.0 if h & 256 else -1.0 for h in numbers])
+    code = coded.indices.to_numpy()
+    sums = np.bincount(row * dim + bucket[code], weights=sign[code], minlength=rows * dim).reshape(rows, dim) if len(code) else np.zeros((rows, dim))
+    return _unit(sums)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(length == 0, 1.0, length)
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def _rows(lists: pa.Array) -> np.ndarray:
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+
+
+def _embedded(df: DataFrame, keys: list[str], tokens: Column, dim: int, one: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    if dim < 1:
+        raise ValueError("a vector has at least one dimension")
+    small = df.select(*keys, tokens.alias("__tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(one(batch.columns[-1]))], [*keys, "embedding"])
+
+    return small.mapInArrow(run, small.drop("__tokens").schema.add("embedding", T.ArrayType(T.DoubleType())))
+
+
+def hash_vectors(df: DataFrame, keys: str | list[str], text: str | Column, dim: int = 64) -> DataFrame:
+    """keys, embedding: the hash embedding of every row's text (unit length, or zero), of any positive dimension. It needs no
+    shuffle, as a text is in one row; each distinct token of a batch is hashed once."""
+
+    def one(tokens: pa.Array) -> np.ndarray:
+        return _signed_sums(_rows(tokens), tokens.flatten(), len(tokens), dim)
+
+    column = F.col(text) if isinstance(text, str) else text
+    return _embedded(df, [keys] if isinstance(keys, str) else keys, hash_tokens(F.coalesce(column, F.lit(""))), dim, one)
+
+
+def mean_hash_vectors(df: DataFrame, keys: str | list[str], texts: Column, dim: int = 64) -> DataFrame:
+    """keys, embedding: the unit mean of the hash embeddings of an array of texts; zero for an empty array."""
 
+    def one(tokens: pa.Array) -> np.ndarray:
+        each, owner = tokens.flatten(), _rows(tokens)
+        sums = np.zeros((len(tokens), dim))
+        np.add.at(sums, owner, _signed_sums(_rows(each), each.flatten(), len(each), dim))
+        many = np.bincount(owner, minlength=len(tokens))[:, None]
+        return _unit(sums / np.maximum(many, 1))
 
-def hash_vectors(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
-    """key, embedding (unit length, or zero) of every row's text."""
-    sums = hash_buckets(df, key, text, dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0.0)))
-    joined = df.select(key).join(sums, key, "left")
-    return joined.select(key, normalize(F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(dense)).alias("embedding"))
+    return _embedded(df, [keys] if isinstance(keys, str) else keys, F.transform(texts, lambda t: hash_tokens(F.coalesce(t, F.lit("")))), dim, one)
 
 
 def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """key, embedding: the unit mean of a key's vectors."""
-    each = df.select(key, F.posexplode(F.col(vector).cast("array<double>")).alias("at", "x"))
-    means = each.groupBy(key, "at").agg(F.avg("x").alias("x"))
-    rows = means.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("v"))
-    return rows.select(key, normalize(F.transform("v", lambda s: s["x"])).alias("embedding"))
+    """key, embedding: the unit mean of a key's vectors, summed in the tasks before the shuffle."""
+    mean = Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))
+    return df.filter(F.col(vector).isNotNull()).groupBy(key).agg(mean.alias("mean")).select(key, normalize(vector_to_array("mean")).alias("embedding"))

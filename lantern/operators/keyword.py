@@ -1,70 +1,150 @@
 """Full-text index and BM25 with column weights.
 
-The postings are one table of (term, path, tf_title, tf_body), built once and partitioned by term; a batch of queries joins
-its tokens to it, so only the postings of query terms are read past the join."""
+The index is a forward table: a document's terms with their counts in title and body, in one row. It is made row by row,
+without a shuffle, as is a search: the terms of a counted block of queries travel to the tasks with their weights, a task
+scores its documents by matrix products and keeps its k best of each query. So a common term is no hot key, and what is
+shuffled is tasks x queries x k rows. Document frequencies are a table of their own, written with the index."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lantern.functions.stem import stem
-from lantern.functions.text import index_terms, query_tokens
+from lantern.functions.stem import stemmed_form
+from lantern.functions.text import index_terms, query_tokens, strip_marks
+from lantern.operators.topk import Best
 
 K1, B = 1.2, 0.75
 TITLE_WEIGHT, BODY_WEIGHT = 5.0, 1.0
 #: Inverse document frequency of a term in half the documents or more.
 FLOOR = 1e-6
+#: Queries that travel to the tasks at once, and documents that are scored at once.
+QUERY_BLOCK, ROWS_AT_ONCE = 512, 512
+
+
+# --- index ------------------------------------------------------------------------------------------------------
+
+
+def _counted(title: pa.Array, body: pa.Array, stemmed: bool) -> tuple[pa.Array, ...]:
+    """dl, terms, tf_title, tf_body of rows from the lists of their tokens."""
+    rows = len(title)
+    sizes = [x.value_lengths().fill_null(0).to_numpy() for x in (title, body)]
+    row = np.concatenate([np.repeat(np.arange(rows), n) for n in sizes])
+    coded = pa.concat_arrays([title.flatten(), body.flatten()]).dictionary_encode()
+    names, code = coded.dictionary, coded.indices.to_numpy()
+    if stemmed and len(names):
+        forms = pa.array([stemmed_form(t) for t in names.to_pylist()], pa.string()).dictionary_encode()
+        names, code = forms.dictionary, forms.indices.to_numpy()[code]
+    key, place = np.unique(row * np.int64(max(1, len(names))) + code, return_inverse=True)
+    in_title = np.bincount(place[: int(sizes[0].sum())], minlength=len(key))
+    total = np.bincount(place, minlength=len(key))
+    offsets = pa.array(np.searchsorted(key, np.arange(rows + 1) * np.int64(max(1, len(names)))).astype(np.int32))
+    lists = [names.take(pa.array(key % max(1, len(names)))), pa.array(in_title.astype(np.int32)), pa.array((total - in_title).astype(np.int32))]
+    return pa.array((sizes[0] + sizes[1]).astype(np.int64)), *(pa.ListArray.from_arrays(offsets, x) for x in lists)
+
+
+def forward(docs: DataFrame, path: str = "path", title: str = "title", body: str = "body", stemmed: bool = True) -> DataFrame:
+    """path, dl (tokens), terms, tf_title, tf_body: a row a document. Stemmed terms are without diacritics."""
+    kind = docs.schema[path].dataType.simpleString()
+    small = docs.select(F.col(path).alias("path"), *[F.coalesce(index_terms(F.col(c), not stemmed), F.array().cast("array<string>")) for c in (title, body)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_counted(batch.column(1), batch.column(2), stemmed)], ["path", "dl", "terms", "tf_title", "tf_body"])
+
+    return small.mapInArrow(run, f"path {kind}, dl long, terms array<string>, tf_title array<int>, tf_body array<int>")
 
 
-def stems(terms: DataFrame) -> DataFrame:
-    """term, stem of the distinct terms of a table: the stemmer runs once a term, not once an occurrence."""
-    return terms.select("term").distinct().withColumn("stem", stem("term"))
+def postings(terms: DataFrame) -> DataFrame:
+    """term, path, tf_title, tf_body of a forward table."""
+    each = terms.select("path", F.inline(F.arrays_zip(F.col("terms").alias("term"), "tf_title", "tf_body")))
+    return each.select("term", "path", F.col("tf_title").cast("long").alias("tf_title"), F.col("tf_body").cast("long").alias("tf_body"))
 
 
-def postings(docs: DataFrame, path: str = "path", title: str = "title", body: str = "body", stemmed: bool = False, diacritics: bool = True) -> DataFrame:
-    """term, path, tf_title, tf_body."""
+def vocabulary(terms: DataFrame) -> DataFrame:
+    """term, n: the number of documents that hold it."""
+    return terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
-    def terms(column: str, is_title: int) -> DataFrame:
-        return docs.select(F.col(path).alias("path"), F.explode(index_terms(F.col(column), diacritics)).alias("term"), F.lit(is_title).alias("is_title"))
 
-    each = terms(title, 1).unionByName(terms(body, 0))
-    counted = each.groupBy("term", "path").agg(F.sum("is_title").alias("tf_title"), F.sum(1 - F.col("is_title")).alias("tf_body"))
-    if not stemmed:
-        return counted
-    joined = counted.join(stems(counted), "term")
-    return joined.groupBy(F.col("stem").alias("term"), "path").agg(F.sum("tf_title").alias("tf_title"), F.sum("tf_body").alias("tf_body"))
+# --- search -----------------------------------------------------------------------------------------------------
 
 
-def lengths(posted: DataFrame, docs: DataFrame, path: str = "path") -> DataFrame:
-    """path, dl (tokens of title and body) of every document."""
-    sums = posted.groupBy("path").agg(F.sum(F.col("tf_title") + F.col("tf_body")).alias("dl"))
-    return docs.select(F.col(path).alias("path")).join(sums, "path", "left").select("path", F.coalesce("dl", F.lit(0)).alias("dl"))
+@F.pandas_udf(T.StringType())
+def _stems(terms):
+    return terms.map(stemmed_form)
 
 
-def query_terms(queries: DataFrame, stemmed: bool = False) -> DataFrame:
+def query_terms(queries: DataFrame, stemmed: bool = True) -> DataFrame:
     """query_id, term, times: a token given twice counts twice."""
-    each = queries.select("query_id", F.explode(query_tokens(F.col("q"))).alias("term")).withColumn("term", F.lower("term"))
-    if stemmed:
-        each = each.join(stems(each), "term").select("query_id", F.col("stem").alias("term"))
+    term = F.lower("term")
+    each = queries.select("query_id", F.explode(query_tokens(F.col("q"))).alias("term"))
+    each = each.select("query_id", (_stems(strip_marks(term)) if stemmed else term).alias("term"))
     return each.groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def bm25(queries: DataFrame, posted: DataFrame, sizes: DataFrame, stemmed: bool = False) -> DataFrame:
-    """query_id, path, score (higher is better)."""
-    totals = sizes.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    asked = query_terms(queries, stemmed)
-    # document frequencies are needed of the asked terms only
-    own = posted.join(asked.select("term").distinct(), "term", "left_semi")
-    df = own.groupBy("term").agg(F.count("*").alias("n"))
-    raw = F.ln((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = df.join(F.broadcast(totals)).select("term", F.when(raw <= 0, F.lit(FLOOR)).otherwise(raw).alias("idf"))
-    # a query's side is small: its weights are ready before the postings multiply by the number of queries
-    weights = asked.join(idf, "term").select("query_id", "term", (F.col("idf") * F.col("times") * (K1 + 1)).alias("weight"))
-    f = TITLE_WEIGHT * F.col("tf_title") + BODY_WEIGHT * F.col("tf_body")
-    part = f / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    parts = own.join(sizes, "path").join(F.broadcast(totals)).select("term", "path", part.alias("part"))
-    return parts.join(weights, "term").groupBy("query_id", "path").agg(F.sum(F.col("part") * F.col("weight")).alias("score"))
+class Weights:
+    """A block of queries: their terms, and each term's weight in each query."""
+
+    def __init__(self, rows: list, n_docs: int):
+        self.ids = sorted({r.query_id for r in rows})
+        names = sorted({r.term for r in rows})
+        place, at = {x: i for i, x in enumerate(self.ids)}, {x: i for i, x in enumerate(names)}
+        self.terms = pa.array(names, pa.string())
+        self.matrix = np.zeros((len(names), len(self.ids)))
+        for r in rows:
+            raw = math.log((n_docs - r.n + 0.5) / (r.n + 0.5))
+            self.matrix[at[r.term], place[r.query_id]] = (raw if raw > 0 else FLOOR) * r.times * (K1 + 1)
+
+
+def search(queries: DataFrame, terms: DataFrame, known: DataFrame, k: int, stemmed: bool = True) -> DataFrame:
+    """query_id, path, score, rank of the k best documents of each query (query_id, q), among those that hold a term of it.
+
+    terms: a forward table; known: its vocabulary."""
+    spark = terms.sparkSession
+    n_docs, average = terms.agg(F.count("*"), F.avg("dl")).first()
+    average = average or 1.0
+    asked = query_terms(queries, stemmed).join(known, "term")
+    id_kind, kind = queries.schema["query_id"].dataType.simpleString(), terms.schema["path"].dataType.simpleString()
+    blocks = max(1, -(-queries.select("query_id").distinct().count() // QUERY_BLOCK))
+    out = None
+    for b in range(blocks):
+        own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        sent = spark.sparkContext.broadcast(Weights(own.collect(), n_docs))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            weights = sent.value
+            best = Best(len(weights.ids), k, highest=True)
+            for batch in batches if weights.ids else ():
+                for a in range(0, batch.num_rows, ROWS_AT_ONCE):
+                    best.add(*_scores(batch.slice(a, ROWS_AT_ONCE), weights, average))
+            if found := best.rows():
+                yield pa.RecordBatch.from_arrays([pa.array(weights.ids).take(pa.array(found[0])), found[2], pa.array(found[1])], ["query_id", "path", "score"])
+
+        got = terms.select("path", "dl", "terms", "tf_title", "tf_body").mapInArrow(run, f"query_id {id_kind}, path {kind}, score double")
+        out = got if out is None else out.unionByName(got)
+    return ranked(out, k)
+
+
+def _scores(part: pa.RecordBatch, weights: Weights, average: float) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(queries, documents) scores, paths, and which documents hold a term of which query."""
+    size = part.column(2).value_lengths().to_numpy()
+    code = pc.index_in(part.column(2).flatten(), weights.terms).fill_null(-1).to_numpy()
+    own = np.flatnonzero(code >= 0)
+    row, code = np.repeat(np.arange(len(size)), size)[own], code[own]
+    f = TITLE_WEIGHT * part.column(3).flatten().to_numpy()[own] + BODY_WEIGHT * part.column(4).flatten().to_numpy()[own]
+    length = part.column(1).to_numpy()[row]
+    used, code = np.unique(code, return_inverse=True)
+    x = np.zeros((part.num_rows, len(used)))
+    x[row, code] = f / (f + K1 * (1 - B + B * length / average))
+    scores = (x @ weights.matrix[used]).T
+    return scores, part.column(0), scores > 0
 
 
 def ranked(scores: DataFrame, k: int, ascending: bool = False, digits: int = 9) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lantern.scratch import saved
+
 
 def index_diff(known: DataFrame, files: DataFrame) -> DataFrame:
     """path, status: new, changed, same or gone. known: path, hash, embedded; files: path, hash. A known document without
@@ -35,12 +37,19 @@ def mark_pending(known: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select("path", "hash", (F.col("status") == "same").alias("embedded"))
 
 
+#: Rows of a range that one task sums.
+RANGE_ROWS = 200_000
+
+
 def budgeted(todo: DataFrame, budget: int) -> DataFrame:
     """path, size, texts, before, fits: smallest first, as long as the texts so far stay within the budget; the first
-    always goes. A document that does not fit does not use the budget up, but nor does a larger one after it."""
-    size = Window.partitionBy("size").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # sums by distinct size first, so that the ordered window is over sizes, not over documents
-    per = todo.groupBy("size").agg(F.sum("texts").alias("own")).withColumn("upto", F.sum("own").over(Window.orderBy("size")))
-    rows = todo.withColumn("run", F.sum("texts").over(size)).join(per, "size")
-    before = F.col("upto") - F.col("own") + F.col("run") - F.col("texts")
-    return rows.select("path", "size", "texts", before.alias("before"), ((before == 0) | (before + F.col("texts") <= budget)).alias("fits"))
+    always goes. A document that does not fit does not use the budget up, but nor does a larger one after it.
+
+    Running sums are taken within ranges of (size, path), which tasks share; the sums of whole ranges, a row each, are added."""
+    ranges = max(1, -(-todo.count() // RANGE_ROWS))
+    rows = saved(todo.select("path", "size", "texts").repartitionByRange(ranges, "size", "path").withColumn("range", F.spark_partition_id()), "ranges")
+    sums = rows.groupBy("range").agg(F.sum("texts").alias("own")).withColumn("upto", F.sum("own").over(Window.orderBy("range")))
+    inner = Window.partitionBy("range").orderBy("size", "path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.col("upto") - F.col("own") + F.sum("texts").over(inner) - F.col("texts")
+    each = rows.join(sums, "range").withColumn("before", before)
+    return each.select("path", "size", "texts", "before", ((F.col("before") == 0) | (F.col("before") + F.col("texts") <= budget)).alias("fits"))

@@ -6,43 +6,65 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.operators.keyword import ranked
+from lantern.operators.topk import Best
 
 #: Query vectors that travel to the tasks at once; more go in further blocks.
-QUERY_BLOCK = 4096
-ROWS_AT_ONCE = 4096
+QUERY_BLOCK = 2048
+ROWS_AT_ONCE = 2048
+
+
+def _finite(part: pa.Array) -> np.ndarray:
+    """Which lists of doubles are whole: neither null nor with a null or non-finite part."""
+    size = part.value_lengths().fill_null(-1).to_numpy()
+    values = pc.is_finite(part.flatten()).fill_null(False).to_numpy(zero_copy_only=False)
+    bad = np.append(0, np.cumsum(~values))
+    end = np.cumsum(np.maximum(size, 0))
+    return (size > 0) & (bad[end] == bad[end - np.maximum(size, 0)])
 
 
 def knn(queries: DataFrame, rows: DataFrame, k: int, key: str = "path", vector: str = "embedding") -> DataFrame:
     """query_id, path, score (Euclidean distance), rank. queries: query_id, embedding.
 
-    Each task compares its rows with a block of queries by one matrix product and keeps its k nearest of each query, with
-    near ties; exact distances and a window over what the tasks kept decide."""
+    Each task compares its rows with a block of queries by matrix products and keeps, over all of its rows, the k nearest of
+    each query by exact distances; a window over what the tasks kept decides. A query meets the vectors of its own length;
+    vectors that are null or hold a null or non-finite component take no part on either side."""
     spark = rows.sparkSession
     kind = rows.schema[key].dataType.simpleString()
+    id_kind = queries.schema["query_id"].dataType.simpleString()
     n = queries.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
     out = None
-    for b in range(max(1, -(-n // QUERY_BLOCK))):
-        block = queries if n <= QUERY_BLOCK else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUERY_BLOCK))) == b)
+    for b in range(blocks):
+        block = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         got = block.select("query_id", F.col(vector).cast("array<double>").alias("v")).collect()
-        ids, q = [r.query_id for r in got], np.array([r.v for r in got], np.float64)
-        sent = spark.sparkContext.broadcast((ids, q))
-        id_kind = queries.schema["query_id"].dataType.simpleString()
+        sized: dict[int, tuple[list, list]] = {}
+        for r in got:
+            if r.v and all(x is not None and np.isfinite(x) for x in r.v):
+                ids, vectors = sized.setdefault(len(r.v), ([], []))
+                ids.append(r.query_id)
+                vectors.append(r.v)
+        sent = spark.sparkContext.broadcast({d: (ids, np.array(v, np.float64)) for d, (ids, v) in sized.items()})
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            for batch in batches:
-                for a in range(0, batch.num_rows if len(ids) else 0, ROWS_AT_ONCE):
-                    part = batch.slice(a, ROWS_AT_ONCE)
-                    x = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
-                    d = (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * q @ x.T
-                    edge = np.partition(d, k - 1, axis=1)[:, k - 1] if x.shape[0] > k else np.full(len(q), np.inf)
-                    i, j = np.nonzero(d <= edge[:, None] + 1e-9 * (1 + np.abs(np.where(np.isfinite(edge), edge, 0))[:, None]))
-                    exact = np.sqrt(((q[i] - x[j]) ** 2).sum(1))
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[t] for t in i], pa.array(ids).type), part.column(0).take(pa.array(j)), pa.array(exact)], ["query_id", "path", "score"])
+            best = {d: Best(len(ids), k, highest=False) for d, (ids, _) in sent.value.items()}
+            for batch in batches if best else ():
+                for a in range(0, batch.num_rows, ROWS_AT_ONCE):
+                    keys, v = batch.column(0).slice(a, ROWS_AT_ONCE), batch.column(1).slice(a, ROWS_AT_ONCE)
+                    whole, size = _finite(v), v.value_lengths().fill_null(-1).to_numpy()
+                    for d, (_, q) in sent.value.items():
+                        own = pa.array(np.flatnonzero(whole & (size == d)))
+                        if len(own):
+                            x = v.take(own).flatten().to_numpy().reshape(-1, d)
+                            square = (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * q @ x.T
+                            best[d].add(np.sqrt(np.maximum(square, 0)), keys.take(own), exact=lambda i, j, q=q, x=x: np.sqrt(((q[i] - x[j]) ** 2).sum(1)), slack=1e-7 * (1 + np.sqrt(np.abs(square).max())))
+            for d, (ids, _) in sent.value.items():
+                if found := best[d].rows():
+                    yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(found[0])), found[2], pa.array(found[1])], ["query_id", "path", "score"])
 
         near = rows.select(F.col(key).alias("path"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null").mapInArrow(run, f"query_id {id_kind}, path {kind}, score double")
         out = near if out is None else out.unionByName(near)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lantern.functions import embedders
 from lantern.functions.text import embedding_texts, fixed_chunks, is_question, plain_words, units_of
-from lantern.functions.vectors import hash_vectors, mean_vectors
+from lantern.functions.vectors import hash_vectors, mean_hash_vectors
 from lantern.operators import keyword, rare, rerank, vector
 from lantern.scratch import saved
 from lantern.shipping import ship
@@ -29,20 +30,26 @@ class Settings:
     rare_max_df: int = 12
     window_words: int = 600
     max_windows: int = 24
-    dim: int = 64
+    model: str = "hash:64"
+    embed_options: dict = field(default_factory=dict)
+
+    @property
+    def dim(self) -> int:
+        return embedders.hash_dim(self.model) or int(self.embed_options.get("dim", 768))
 
 
 @dataclass(frozen=True)
 class Index:
-    """The tables of an index: docs (path, title, body, words), postings, lengths, doc_vectors, sections (with vectors)."""
+    """The tables of an index: docs (path, title, body, text, words), terms (stemmed, a row a document), vocabulary, doc_vectors,
+    sections (with vectors)."""
 
     docs: DataFrame
-    postings: DataFrame
-    lengths: DataFrame
+    terms: DataFrame
+    vocabulary: DataFrame
     doc_vectors: DataFrame
     sections: DataFrame
 
-    TABLES = ("docs", "postings", "lengths", "doc_vectors", "sections")
+    TABLES = ("docs", "terms", "vocabulary", "doc_vectors", "sections")
 
     def save(self, path: str) -> None:
         for name in self.TABLES:
@@ -54,7 +61,8 @@ class Index:
 
     def saved(self) -> Index:
         """The same index from written tables, so that plans over it do not hold its making."""
-        return Index(*[saved(getattr(self, name), name) for name in self.TABLES])
+        terms = saved(self.terms, "terms")
+        return Index(saved(self.docs, "docs"), terms, saved(keyword.vocabulary(terms), "vocabulary"), saved(self.doc_vectors, "doc_vectors"), saved(self.sections, "sections"))
 
 
 def with_words(docs: DataFrame) -> DataFrame:
@@ -62,10 +70,9 @@ def with_words(docs: DataFrame) -> DataFrame:
 
 
 def document_vectors(docs: DataFrame, s: Settings) -> DataFrame:
-    """path, embedding: the unit mean of a document's chunk vectors."""
-    chunks = docs.select("path", F.posexplode(embedding_texts(F.col("title"), fixed_chunks(F.col("body"), s.chunk_words))).alias("ord", "text"))
-    keyed = chunks.select(F.struct("path", "ord").alias("key"), "text")
-    return mean_vectors(hash_vectors(keyed, "key", "text", s.dim).select(F.col("key.path").alias("path"), "embedding"), "path", "embedding")
+    """path, embedding: the unit mean of the vectors of a document's chunks and, if there is one, its summary."""
+    texts = embedding_texts(F.col("title"), fixed_chunks(F.col("body"), s.chunk_words), F.col("summary") if "summary" in docs.columns else None)
+    return mean_hash_vectors(docs, "path", texts, s.dim)
 
 
 def section_rows(docs: DataFrame, s: Settings) -> DataFrame:
@@ -75,19 +82,22 @@ def section_rows(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def section_vectors(sections: DataFrame, s: Settings) -> DataFrame:
-    texts = sections.select(F.struct("path", "section").alias("key"), F.concat("title", F.lit(" > "), "hpath", F.lit("\n"), "text").alias("text"))
-    return hash_vectors(texts, "key", "text", s.dim).select("key.path", "key.section", "embedding")
+    text = F.concat("title", F.lit(" > "), "hpath", F.lit("\n"), "text")
+    return hash_vectors(sections, ["path", "section"], text, s.dim)
 
 
 def build(docs: DataFrame, s: Settings = Settings()) -> Index:
+    """docs: path, title, body and, where the whole file is another text than the body, text."""
     ship(docs.sparkSession)
-    docs = with_words(docs.select("path", "title", F.coalesce("body", F.lit("")).alias("body")))
-    posted = keyword.postings(docs)
-    return Index(docs, posted, keyword.lengths(posted, docs), document_vectors(docs, s), section_vectors(section_rows(docs, s), s))
+    body = F.coalesce("body", F.lit(""))
+    whole = F.coalesce("text", body) if "text" in docs.columns else body
+    docs = with_words(docs.select("path", "title", body.alias("body"), whole.alias("text")))
+    terms = keyword.forward(docs)
+    return Index(docs, terms, keyword.vocabulary(terms), document_vectors(docs, s), section_vectors(section_rows(docs, s), s))
 
 
 def query_vectors(queries: DataFrame, s: Settings) -> DataFrame:
-    return hash_vectors(queries, "query_id", "q", s.dim)
+    return embedders.embedded(queries, "query_id", "q", s.model, s.embed_options, queries=True)
 
 
 @dataclass(frozen=True)
@@ -102,7 +112,7 @@ class Legs:
 
 def legs(queries: DataFrame, index: Index, k: int, s: Settings = Settings()) -> Legs:
     pool = max(k, s.vector_pool)
-    words = keyword.ranked(keyword.bm25(queries, index.postings, index.lengths), pool)
+    words = keyword.search(queries, index.terms, index.vocabulary, pool)
     docs, sections = vector.near(query_vectors(queries, s), index.doc_vectors, index.sections, pool, max(s.section_pool, k))
     return Legs(words, docs, sections, index.sections.select("path").distinct())
 
@@ -119,8 +129,8 @@ def hybrid(queries: DataFrame, index: Index, k: int, s: Settings = Settings()) -
 
 
 def pool_of(queries: DataFrame, index: Index, first: DataFrame, s: Settings) -> DataFrame:
-    files = index.docs.select("path", F.col("body").alias("text"))
-    return rerank.candidate_pool(first, rare.rare_leg(queries, files, s.rare_max_df))
+    """The first stage's files and those with rare terms anywhere in the whole file, frontmatter included."""
+    return rerank.candidate_pool(first, rare.rare_leg(queries, index.docs.select("path", "text"), s.rare_max_df))
 
 
 def score_files(queries: DataFrame, pool: DataFrame, windows: DataFrame, terms: DataFrame) -> DataFrame:

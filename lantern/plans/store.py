@@ -1,24 +1,32 @@
 """A stored index and its incremental maintenance.
 
-Every build writes a new version of the tables beside the old and then a small file that names it, so readers see one
-version or the other. Only one build of an index runs at a time."""
+Every build writes a new version of the tables and then a small file that names it. Such files are only added; readers take
+the newest, so there is an index at every moment, whenever a build may stop. Versions before the last but one are removed by
+the next build. Only one build of an index runs at a time."""
 
 from __future__ import annotations
 
+import contextlib
 import fcntl
 import json
 import os
-import tempfile
 import time
 import uuid
-from hashlib import sha1
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lantern.functions.text import plain_words
+from lantern.functions import embedders
+from lantern.functions.text import embedding_texts, fixed_chunks, plain_words
+from lantern.functions.vectors import mean_vectors
 from lantern.operators import keyword, maintain
 from lantern.plans import search
+from lantern.shipping import ship
+
+#: Seconds after which the lock of a build on a store without file locks counts as left behind.
+LEASE = 12 * 3600
+DOCS = "path string, root string, hash string, title string, body string, text string, kind string, date string, words int, embedded boolean, indexed_at timestamp"
 
 
 class IndexMismatch(RuntimeError):
@@ -29,81 +37,175 @@ class Locked(RuntimeError):
     pass
 
 
+# --- versions ---------------------------------------------------------------------------------------------------
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def _pointers(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files that name versions, oldest first."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(p)) if n.startswith("current-") and n.endswith(".json"))
+
+
 def read_meta(spark: SparkSession, path: str) -> dict | None:
-    fs, p = _fs(spark, f"{path}/current")
-    return json.loads("".join(r[0] for r in spark.read.text(f"{path}/current").collect())) if fs.exists(p) else None
+    names = _pointers(spark, path)
+    return json.loads("".join(r[0] for r in spark.read.text(f"{path}/{names[-1]}").collect())) if names else None
 
 
 def _write_meta(spark: SparkSession, path: str, meta: dict) -> None:
-    fs, p = _fs(spark, f"{path}/current")
-    _, new = _fs(spark, f"{path}/current-{uuid.uuid4().hex}")
-    out = fs.create(new)
+    """The file gets its name when it is whole."""
+    number = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
+    fs, part = _fs(spark, f"{path}/_{number}.tmp")
+    out = fs.create(part)
     out.write(bytearray(json.dumps(meta).encode()))
     out.close()
-    fs.delete(p, False)
-    fs.rename(new, p)
+    if not fs.rename(part, _fs(spark, f"{path}/current-{number}.json")[1]):
+        raise OSError(f"the new version of {path} could not be named")
+
+
+def _prune(spark: SparkSession, path: str, keep: int = 2) -> None:
+    names = _pointers(spark, path)
+    kept = {json.loads("".join(r[0] for r in spark.read.text(f"{path}/{n}").collect()))["version"] for n in names[-keep:]}
+    for name in names[:-keep]:
+        fs, p = _fs(spark, f"{path}/{name}")
+        fs.delete(p, False)
+    fs, p = _fs(spark, path)
+    for s in fs.listStatus(p):
+        if s.isDirectory() and s.getPath().getName().startswith("v-") and s.getPath().getName() not in kept:
+            fs.delete(s.getPath(), True)
+
+
+@contextlib.contextmanager
+def _alone(spark: SparkSession, path: str) -> Iterator[None]:
+    """One build at a time: by a lock on a file beside the index, or, on a store without such locks, by a file that only one
+    can create."""
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+    fs, lock = _fs(spark, f"{path}/.lock")
+    if fs.getScheme() == "file":
+        with open(os.path.join(fs.resolvePath(p).toUri().getPath(), ".lock"), "w") as f:
+            try:
+                fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+            except OSError as e:
+                raise Locked(f"another build of {path} is running") from e
+            yield
+        return
+    if fs.exists(lock) and time.time() - fs.getFileStatus(lock).getModificationTime() / 1000 > LEASE:
+        fs.delete(lock, False)
+    if not fs.createNewFile(lock):
+        raise Locked(f"another build of {path} is running")
+    try:
+        yield
+    finally:
+        fs.delete(lock, False)
 
 
-def load(spark: SparkSession, path: str) -> search.Index:
+def load(spark: SparkSession, path: str, model: str | None = None) -> search.Index:
+    """The newest version; `model`, if given, must be the one that it was built with."""
     meta = read_meta(spark, path)
     if meta is None:
         raise FileNotFoundError(f"no index at {path}; build it first")
+    if model and meta["model"] != model:
+        raise IndexMismatch(f"the index was built with {meta['model']}, not {model}")
+    ship(spark)
     return search.Index.load(spark, f"{path}/{meta['version']}")
 
 
-def build(docs: DataFrame, path: str, s: search.Settings = search.Settings(), model: str | None = None, full: bool = False, embed: bool = True) -> dict:
-    """Bring the index at path up to docs (path, root, hash, title, extra, body): indexed, removed, total, pending.
+# --- building ---------------------------------------------------------------------------------------------------
+
+
+def _vectors(todo: DataFrame, s: search.Settings, at: str, allow_local: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """doc_vectors, sections, and the paths whose vectors are all there (null: of all)."""
+    if embedders.hash_dim(s.model) is not None:
+        return search.document_vectors(todo, s), search.section_vectors(search.section_rows(todo, s), s), None
+    chunks = todo.select("path", F.lit(None).cast("int").alias("section"), F.explode(embedding_texts(F.col("title"), fixed_chunks(F.col("body"), s.chunk_words), F.col("summary"))).alias("text"))
+    sections = search.section_rows(todo, s).select("path", "section", F.concat("title", F.lit(" > "), "hpath", F.lit("\n"), "text").alias("text"))
+    texts = chunks.unionByName(sections)
+    if allow_local:
+        # smallest documents first, as far as their texts fit what the local model is allowed
+        size = texts.groupBy("path").agg(F.count("*").alias("texts")).join(todo.select("path", F.length("body").alias("size")), "path")
+        texts = texts.join(maintain.budgeted(size, allow_local).select("path", F.col("fits").alias("local")), "path")
+    keyed = texts.withColumn("key", F.struct("path", "section"))
+    embedders.embedded(keyed, "key", "text", s.model, s.embed_options).select("key.path", "key.section", "embedding").write.parquet(f"{at}/_texts")
+    each = todo.sparkSession.read.parquet(f"{at}/_texts")
+    done = todo.select("path").join(each.filter("embedding is null").select("path").distinct(), "path", "left_anti")
+    whole = each.join(done, "path", "left_semi")
+    return mean_vectors(whole.filter("section is null"), "path", "embedding"), whole.filter("section is not null"), done
 
-    Documents that did not change keep their rows. Without `embed`, new and changed documents can be found by words alone
-    and wait; a changed one keeps its old vectors."""
+
+def build(docs: DataFrame, path: str, s: search.Settings = search.Settings(), full: bool = False, embed: bool = True, allow_local: int = 0) -> dict:
+    """Bring the index at path up to docs (path, root, hash, title, extra, summary, body, text, kind, date): indexed, removed,
+    total, pending.
+
+    Documents that did not change keep their rows. Without `embed`, or while the embedding service is down, new and changed
+    documents can be found by words alone and wait; a changed one keeps its old vectors. `allow_local`: texts that a local
+    model may embed while the service is down."""
     spark = docs.sparkSession
-    model = model or f"hash:{s.dim}"
-    lock = open(os.path.join(tempfile.gettempdir(), f"lantern-{sha1(path.encode()).hexdigest()}.lock"), "w")  # noqa: SIM115
-    try:
-        fcntl.flock(lock, fcntl.LOCK_EX | fcntl.LOCK_NB)
-    except OSError as e:
-        lock.close()
-        raise Locked(f"another build of {path} is running") from e
+    ship(spark)
+    embedders.check(s.model)
     held: list[DataFrame] = []
 
     def hold(df: DataFrame) -> DataFrame:
         held.append(df.persist())
         return held[-1]
 
-    try:
-        meta = None if full else read_meta(spark, path)
-        if meta and (meta["model"], meta["dim"]) != (model, s.dim):
-            raise IndexMismatch(f"the index was built with {meta['model']} ({meta['dim']}), not {model} ({s.dim})")
-        old = search.Index.load(spark, f"{path}/{meta['version']}") if meta else None
-        rows = hold(docs.select("path", "root", "hash", F.concat_ws(" ", "title", F.nullif("extra", F.lit(""))).alias("title"), "body", F.size(plain_words(F.col("body"))).alias("words")))
-        known = old.docs.select("path", "hash", "embedded") if old else spark.createDataFrame([], "path string, hash string, embedded boolean")
-        diff = hold(maintain.index_diff(known, rows))
-        todo = hold(rows.join(diff.filter("status in ('new', 'changed')").select("path"), "path", "left_semi"))
-        posted = keyword.postings(todo)
-        stamped = todo.withColumn("embedded", F.lit(embed)).withColumn("indexed_at", F.current_timestamp())
-        vectors = search.document_vectors(todo, s) if embed else None
-        sections = search.section_vectors(search.section_rows(todo, s), s) if embed else None
-        fresh = {"docs": stamped, "postings": posted, "lengths": keyword.lengths(posted, todo), "doc_vectors": vectors, "sections": sections}
-        same = diff.filter("status = 'same'").select("path")
-        # without an embedder, changed documents keep their old vectors
-        keep = {n: (diff.filter("status in ('same', 'changed')").select("path") if not embed and n in ("doc_vectors", "sections") else same) for n in fresh}
-        version = f"v-{int(time.time() * 1000)}-{uuid.uuid4().hex[:6]}"
-        for name, new in fresh.items():
-            kept = getattr(old, name).join(keep[name], "path", "left_semi") if old else None
-            both = kept if new is None else new if kept is None else kept.unionByName(new)
-            if both is None:
-                both = spark.createDataFrame([], "path string, embedding array<double>" if name == "doc_vectors" else "path string, section int, embedding array<double>")
-            both.write.parquet(f"{path}/{version}/{name}")
-        _write_meta(spark, path, {"version": version, "model": model, "dim": s.dim})
-        counts = {r.status: r["count"] for r in diff.groupBy("status").count().collect()}
-        now = load(spark, path)
-        return {"indexed": counts.get("new", 0) + counts.get("changed", 0), "removed": counts.get("gone", 0), "total": now.docs.count(), "pending": now.docs.filter(~F.col("embedded")).count()}
-    finally:
-        for df in held:  # or a later build of the same files would read these rows
-            df.unpersist()
-        lock.close()
+    with _alone(spark, path):
+        try:
+            return _build(docs, path, s, full, embed, allow_local, hold)
+        finally:
+            for df in held:  # or a later build of the same files would read these rows
+                df.unpersist()
+
+
+def _build(docs: DataFrame, path: str, s: search.Settings, full: bool, embed: bool, allow_local: int, hold) -> dict:
+    spark = docs.sparkSession
+    meta = None if full else read_meta(spark, path)
+    if meta and (meta["model"], meta["dim"]) != (s.model, s.dim):
+        raise IndexMismatch(f"the index was built with {meta['model']} ({meta['dim']}), not {s.model} ({s.dim})")
+    old = search.Index.load(spark, f"{path}/{meta['version']}") if meta else None
+    version = f"v-{int(time.time() * 1000)}-{uuid.uuid4().hex[:6]}"
+    at = f"{path}/{version}"
+
+    given = lambda c: F.col(c) if c in docs.columns else F.lit("")
+    indexed = F.concat_ws(" ", "title", F.nullif(given("extra"), F.lit("")))
+    rows = hold(docs.select("path", "root", "hash", "title", indexed.alias("indexed"), given("summary").alias("summary"), "body", (F.col("text") if "text" in docs.columns else F.col("body")).alias("text"), given("kind").alias("kind"), given("date").alias("date"), F.size(plain_words(F.col("body"))).alias("words")))
+    known = old.docs.select("path", "hash", "embedded") if old else spark.createDataFrame([], "path string, hash string, embedded boolean")
+    diff = hold(maintain.index_diff(known, rows))
+    fresh = diff.filter("status in ('new', 'changed')").select("path")
+    todo = hold(rows.join(fresh, "path", "left_semi"))
+
+    vectors, sections, done = _vectors(todo, s, at, allow_local) if embed else (None, None, spark.createDataFrame([], "path string"))
+    ready = F.lit(True) if done is None else F.coalesce("ready", F.lit(False))
+    stamped = todo if done is None else todo.join(done.withColumn("ready", F.lit(True)), "path", "left")
+    stamped = stamped.withColumn("embedded", ready).withColumn("indexed_at", F.current_timestamp())
+    names = [x.split()[0] for x in DOCS.split(", ")]
+    same = diff.filter("status = 'same'").select("path")
+    # what waits for vectors keeps those that it had
+    waiting = fresh if not embed else None if done is None else fresh.join(done, "path", "left_anti")
+    kept_vectors = same if waiting is None else same.unionByName(waiting)
+    tables = {
+        "docs": (stamped.select(*names), same, DOCS),
+        "terms": (keyword.forward(todo, title="indexed"), same, None),
+        "doc_vectors": (vectors, kept_vectors, "path string, embedding array<double>"),
+        "sections": (sections, kept_vectors, "path string, section int, embedding array<double>"),
+    }
+    for name, (new, keep, schema) in tables.items():
+        kept = getattr(old, name).join(keep, "path", "left_semi") if old else None
+        both = kept if new is None else new if kept is None else kept.unionByName(new)
+        (spark.createDataFrame([], schema) if both is None else both).write.parquet(f"{at}/{name}")
+    keyword.vocabulary(spark.read.parquet(f"{at}/terms")).write.parquet(f"{at}/vocabulary")
+    _write_meta(spark, path, {"version": version, "model": s.model, "dim": s.dim})
+    _prune(spark, path)
+
+    counts = {r.status: r["count"] for r in diff.groupBy("status").count().collect()}
+    now = load(spark, path)
+    out = {"indexed": counts.get("new", 0) + counts.get("changed", 0), "removed": counts.get("gone", 0), "total": now.docs.count(), "pending": now.docs.filter(~F.col("embedded")).count()}
+    if embed and done is not None and out["pending"]:
+        out["service"] = "down"
+    return out

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lantern.functions.text import body_of, content_hash, excluded, frontmatter_text, html_to_text, parse_frontmatter, session_markdown, title_of
+from lantern.operators.evaluate import document_label, first_date
 from lantern.shipping import ship
 
 FILES = "path string, root string, text string"
 LEDGER = "ts double, pid int, backend string, tokens bigint, usd double, caller string, session string"
+LOG = "ts timestamp, q string, mode string, top array<struct<path:string,score:double>>, pool bigint, widened boolean, usd double, tokens bigint, secs double, note string, kind string, first_stage_top3 array<string>, widen_at double, caller string, session string"
 QUESTION = "q string, gold array<string>, ev array<string>"
 DATASET = "question_id string, question_type string, question string, answer_session_ids array<string>, haystack_session_ids array<string>, haystack_dates array<string>, haystack_sessions array<array<struct<role:string,content:string>>>"
 
@@ -61,33 +63,50 @@ def _quoted(path: str) -> str:
     return "\\Q" + path + "\\E"
 
 
-def documents(files: DataFrame) -> DataFrame:
-    """path, root, hash, title, extra, summary, body, fm of files: title, body and frontmatter values apart."""
+def documents(files: DataFrame, labels: dict | None = None) -> DataFrame:
+    """path, root, hash, title, extra, summary, body, fm, text, kind, date of files: title, body and frontmatter values apart.
+
+    labels: `field`, the frontmatter's key of a document's kind (else "kind"); `defaults`, globs with the kind of files that name
+    none; `date_fields`, keys of its date, the first there counts. Without labels, kind and date are empty."""
     parsed = files.withColumn("fm", parse_frontmatter(frontmatter_text(F.col("text")))).withColumn("body", body_of(F.col("text")))
     value = lambda k: F.try_element_at("fm", F.lit(k))
     extra = F.concat_ws(" ", *[value(k) for k in ("keywords", "tags", "summary", "description")])
-    return parsed.select("path", "root", content_hash(F.col("text")).alias("hash"), title_of(F.col("path"), value("title"), F.col("body")).alias("title"), extra.alias("extra"), F.coalesce(value("summary"), value("description"), F.lit("")).alias("summary"), "body", "fm", "text")
+    kind, date = F.lit(""), F.lit("")
+    if labels:
+        kind = document_label(value(labels.get("field", "kind")), F.col("path"), labels.get("defaults", {}))
+        date = first_date(*[value(k) for k in labels.get("date_fields", [])])
+    return parsed.select("path", "root", content_hash(F.col("text")).alias("hash"), title_of(F.col("path"), value("title"), F.col("body")).alias("title"), extra.alias("extra"), F.coalesce(value("summary"), value("description"), F.lit("")).alias("summary"), "body", "fm", "text", kind.alias("kind"), date.alias("date"))
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Ledger rows; malformed lines are left out, a missing ledger is empty."""
+def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON rows; malformed lines are left out, a missing path is empty."""
     if _status(spark, path) is None:
-        rows = spark.createDataFrame([], LEDGER)
-    else:
-        rows = spark.read.schema(LEDGER).option("mode", "DROPMALFORMED").json(path)
-    return rows.withColumn("ts", F.timestamp_seconds("ts"))
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return read_rows(spark, path, LEDGER).withColumn("ts", F.timestamp_seconds("ts"))
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    return read_rows(spark, path, LOG)
 
 
 def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """query_id, q, gold from a JSON array or JSON lines, told apart by the first character."""
-    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-    array = bool(first) and first[0][0].lstrip().startswith("[")
-    rows = spark.read.schema(QUESTION).option("multiLine", str(array).lower()).json(path)
-    return rows.select(F.xxhash64("q", "gold", "ev").alias("query_id"), "q", F.coalesce("gold", "ev", F.array().cast("array<string>")).alias("gold"))
+def read_questions(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """query_id, q, gold from JSON arrays or JSON lines, told apart by a file's first character."""
+    out = None
+    for path in [paths] if isinstance(paths, str) else paths:
+        first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
+        array = bool(first) and first[0][0].lstrip().startswith("[")
+        rows = spark.read.schema(QUESTION).option("multiLine", str(array).lower()).json(path)
+        rows = rows.select(F.xxhash64("q", "gold", "ev").alias("query_id"), "q", F.coalesce("gold", "ev", F.array().cast("array<string>")).alias("gold"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:

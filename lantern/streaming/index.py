@@ -11,9 +11,14 @@ from lantern.sources import files
 
 
 def refresh_on_arrival(spark: SparkSession, roots: list[str], index: str, checkpoint: str, s: search.Settings = search.Settings(), extensions: list[str] | None = None, exclude: list[str] | None = None) -> StreamingQuery:
-    """Runs until the files there are have been seen; each batch of arrivals is one incremental build, so a stream that
-    starts again after a failure repeats a build without another effect. Files that were deleted go with the next build."""
-    arrivals = spark.readStream.format("binaryFile").schema(spark.read.format("binaryFile").load(roots[0]).schema).option("recursiveFileLookup", "true").load(roots[0]).select("path")
+    """Runs until the files there are, under any root, have been seen; each batch of arrivals is one incremental build, so a
+    stream that starts again after a failure repeats a build without another effect. A build compares the files' hashes with
+    the index, so those that were deleted go with the next one."""
+    schema = spark.read.format("binaryFile").load(roots[0]).schema
+    arrivals = None
+    for root in roots:
+        one = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(root).select("path")
+        arrivals = one if arrivals is None else arrivals.unionByName(one)
 
     def batch(seen: DataFrame, number: int) -> None:
         if not seen.isEmpty():

@@ -3,7 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lantern import cli, config
+from lantern import cli, config, server
+from lantern.functions import embedders
+from lantern.operators import scorers
 from lantern.plans import search, store
 from lantern.sources import files
 from lantern.streaming import index as stream
@@ -55,7 +57,16 @@ def test_index_is_incremental(spark, notes):
     assert "home/garden.md" in {r.path for r in search.hybrid(q, index, 5).filter("query_id = 1").collect()}
     assert built(spark, notes) == {"indexed": 1, "removed": 0, "total": 4, "pending": 0}
     with pytest.raises(store.IndexMismatch):
-        built(spark, notes, model="other:64")
+        store.build(files.documents(files.scan(spark, [str(notes / "notes")])), str(notes / "index"), search.Settings(chunk_words=40, model="hash:32"))
+    with pytest.raises(store.IndexMismatch):
+        store.load(spark, str(notes / "index"), "hash:32")
+    with pytest.raises(embedders.UnknownModel):
+        store.build(files.documents(files.scan(spark, [str(notes / "notes")])), str(notes / "index"), search.Settings(model="no-such-model"))
+    # versions are only added and named when they are whole; all but the last two go
+    assert len([p for p in (notes / "index").iterdir() if p.name.startswith("current-") and p.suffix == ".json"]) == 2
+    (notes / "index/_half.tmp").write_text("{")
+    (notes / "index/v-0-half").mkdir()
+    assert store.load(spark, str(notes / "index")).docs.count() == 4
     with pytest.raises(FileNotFoundError):
         store.load(spark, str(notes / "none"))
 
@@ -85,7 +96,18 @@ def test_command_line(spark, notes, monkeypatch, capsys):
     assert cli.main(["eval", "--first-stage", str(questions)]) == 0
     out = json.loads(capsys.readouterr().out)
     assert (out["n"], out["skipped"], out["hit_1"]) == (1, 1, 1)
-    assert cli.main(["status"]) == 0 and cli.main(["scorers"]) == 0 and cli.main(["report"]) == 0
+    capsys.readouterr()
+    assert cli.main(["status"]) == 0 and cli.main(["scorers"]) == 0
+    assert "command" in capsys.readouterr().out
+    assert cli.main(["recall", "water meter number"]) == 0
+    capsys.readouterr()
+    assert cli.main(["report"]) == 0
+    said = json.loads(capsys.readouterr().out)
+    assert said["queries"] == 2 and said["modes"] == {"keyword": 1, "rerank:lexical": 1} and said["reranked"] == 1 and said["confident_top1"] == 1
+    conf.write_text(conf.read_text() + "[budget]\neval_daily_cap_usd = 1.0\n")
+    assert cli.main(["eval", str(questions), "--top", "3"]) == 0
+    said = json.loads(capsys.readouterr().out)
+    assert (said["n"], said["base_1"], said["recall_top"]) == (2, 1, 1)
     monkeypatch.setenv("LANTERN_CONFIG", str(notes / "empty.toml"))
     (notes / "empty.toml").write_text("")
     assert cli.main(["status"]) == 2
@@ -121,6 +143,15 @@ def test_config(tmp_path, monkeypatch):
 
 
 def test_streams(spark, notes):
+    (notes / "more").mkdir()
+    (notes / "more/late.md").write_text("# Late\nfrom another root\n")
+    both = [str(notes / "notes"), str(notes / "more")]
+    for _ in range(2):
+        stream.refresh_on_arrival(spark, both, str(notes / "both"), str(notes / "ck2"), search.Settings(chunk_words=40), None, ["node_modules/**"]).awaitTermination()
+    assert store.load(spark, str(notes / "both")).docs.count() == 5
+    (notes / "more/later.md").write_text("# Later\n")
+    stream.refresh_on_arrival(spark, both, str(notes / "both"), str(notes / "ck2"), search.Settings(chunk_words=40), None, ["node_modules/**"]).awaitTermination()
+    assert store.load(spark, str(notes / "both")).docs.count() == 6
     query = stream.refresh_on_arrival(spark, [str(notes / "notes")], str(notes / "live"), str(notes / "ck"), search.Settings(chunk_words=40), None, ["node_modules/**"])
     query.awaitTermination()
     assert store.load(spark, str(notes / "live")).docs.count() == 4
@@ -131,3 +162,157 @@ def test_streams(spark, notes):
     q.processAllAvailable()
     q.stop()
     assert {(r.caller, r.usd) for r in spark.sql("select caller, usd from spend_rows").collect()} == {("eval", 1.0), ("live", 2.0), ("live", 9.0)}
+
+
+class Marker(scorers.Scorer):
+    """0.95 for a passage with the marker, else 0.1; with prices, kinds and failures to order."""
+
+    usd_per_token, widen_at = 1e-6, 0.7
+
+    def __init__(self, marker="", window_words=60, kind=None, kind_marker="", fail=False, price=1e-6, prefilter=0):
+        self.marker, self.window_words, self.kind, self.kind_marker, self.fail, self.usd_per_token, self.prefilter_per_file = marker, window_words, kind, kind_marker, fail, price, prefilter
+
+    def score(self, question, passages):
+        if self.fail:
+            raise RuntimeError("scorer is down")
+        self.last_tokens = 10 * len(passages)
+        return [0.95 if self.marker in p.text else 0.1 for p in passages]
+
+    def classify(self, question):
+        if self.kind == "broken":
+            raise RuntimeError("no kinds")
+        self.last_tokens = 7
+        return self.kind
+
+    def for_kind(self, kind):
+        return Marker(self.kind_marker, self.window_words, price=self.usd_per_token) if kind and self.kind_marker else self
+
+
+@pytest.fixture
+def engine(spark, tmp_path):
+    spark.sparkContext.addPyFile(__file__)
+    for i in range(14):
+        (tmp_path / "n").mkdir(exist_ok=True)
+        (tmp_path / f"n/f{i:02}.md").write_text(f"---\nkind: {'record' if i % 2 else 'note'}\nas_of: 2024-05-0{i % 9 + 1}T00\n---\n# File {i}\n" + f"alpha beta number{i} common words here\n" + ("the needle answer " + " ".join(f"filler{j}" for j in range(45)) if i == 13 else ""))
+
+    def ask(q, top=3, keep=False, caller="live", **given):
+        scorer = {"backend": "test_engine:Marker"} | {k: given.pop(k) for k in list(given) if k in ("marker", "kind", "kind_marker", "fail", "price", "prefilter")}
+        scorer = given.pop("scorer", scorer)
+        c = config.Config([str(tmp_path / "n")], str(tmp_path / "index"), scorer=scorer, k=3, widen_k=20, vector_pool=3, **given)
+        if not (tmp_path / "index").exists():
+            c.labels = {"defaults": {}, "date_fields": ["as_of"]}
+            cli.build_index(spark, c)
+        index = cli.open_index(spark, c)
+        hits, log = cli.answer.recall(cli.one_query(spark, q), index, c, cli.search_settings(c), top, caller, "me")
+        return hits.orderBy("rank").collect(), log.first(), c
+
+    return ask
+
+
+def test_recall_widens_once(engine, spark):
+    rows, log, c = engine("where are alpha and beta common?", marker="needle")
+    assert rows[0].path == "f13.md" and rows[0].score == 0.95 and "needle" in rows[0].passage and log.widened and log.pool > 3
+    assert rows[0].kind == "record" and rows[0].date == "2024-05-05" and rows[1].passage is None
+    assert log["mode"] == "rerank:test_engine:Marker" and log.widen_at == 0.7 and len(log.first_stage_top3) == 3 and log.tokens > 0
+    spent = files.read_ledger(spark, c.ledger).collect()
+    assert len(spent) == 2 and all(r.caller == "live" and r.session == "me" for r in spent) and abs(sum(r.usd for r in spent) - log.usd) < 1e-6
+    rows, log, _ = engine("where is alpha beta number1 ?", marker="number1 ")
+    assert rows[0].path == "f01.md" and not log.widened
+    rows, log, _ = engine("where are alpha and beta common?", marker="needle", widen_at=0.05)
+    assert not log.widened and rows[0].score == 0.1
+
+
+def test_recall_keeps_the_first_order_when_scoring_fails(engine):
+    rows, log, _ = engine("where is alpha beta number1 ?", fail=True)
+    assert log["mode"] == "first-stage (reranker unavailable)" and "scorer is down" in log.note and rows[0].score is None and len(rows) == 3
+    rows, log, _ = engine("where is alpha beta number1 ?", scorer={"backend": "nowhere"})
+    assert log["mode"] == "first-stage (reranker unavailable)" and "nowhere" in log.note
+    rows, log, _ = engine("alpha beta number1", marker="needle")
+    assert log["mode"] == "keyword" and rows[0].score is None
+    rows, log, _ = engine("where is alpha beta number1 ?", scorer={"backend": "none"})
+    assert log["mode"] == "first-stage"
+
+
+def test_budget_refuses(engine):
+    rows, log, _ = engine("where are alpha and beta common?", marker="needle", price=1e-3)
+    assert log["mode"] == "first-stage (reranker unavailable)" and "would cost" in log.note and log.usd == 0
+    # the reserve keeps the day's cap for first passes
+    rows, log, c = engine("where are alpha and beta common?", marker="needle", daily_cap_usd=0.0008, max_usd_per_query=1.0)
+    assert log["mode"].startswith("rerank") and not log.widened and "widen skipped: widen reserve" in log.note
+    rows, log, c = engine("where are alpha and beta common?", marker="needle", session_share_frac=0.0001)
+    assert "session share" in log.note
+    rows, log, c = engine("where are alpha and beta common?", marker="needle", caller="eval")
+    assert "evaluations are off" in log.note
+    rows, log, c = engine("where are alpha and beta common?", marker="needle", caller="eval", eval_daily_cap_usd=1.0)
+    assert log["mode"].startswith("rerank") and log.caller == "eval"
+
+
+def test_question_kinds(engine):
+    rows, log, _ = engine("where is alpha beta number1 ?", marker="number1 ", kind="preference", kind_marker="number2 ", question_kinds=True)
+    assert log.kind == "preference" and rows[0].score in (0.1, 0.95) and log.tokens >= 17
+    rows, log, _ = engine("where are alpha and beta common?", marker="number0 ", kind="aggregate", question_kinds=True)
+    assert log.kind == "aggregate" and log.widened and rows[0].path == "f00.md"
+    rows, log, _ = engine("where is alpha beta number1 ?", marker="number1 ", kind="broken", question_kinds=True)
+    assert log.kind is None and rows[0].path == "f01.md" and log["mode"].startswith("rerank")
+
+
+def test_prefilter_of_a_scorer(engine):
+    rows, log, _ = engine("where is alpha beta number1 ?", marker="number1 ", prefilter=1)
+    assert rows[0].path == "f01.md" and rows[0].score == 0.95
+
+
+def test_rare_terms_are_sought_in_the_whole_file(spark, notes):
+    (notes / "notes/home/tagged.md").write_text("---\ntitle: T\nticket: QX-77-ZZ\n---\nnothing of the sort\n")
+    built(spark, notes)
+    index = store.load(spark, str(notes / "index"))
+    q = spark.createDataFrame([(1, "what is QX-77-ZZ about?")], "query_id long, q string")
+    empty = spark.createDataFrame([], "query_id long, path string, rank int")
+    assert [r.path for r in search.pool_of(q, index, empty, search.Settings()).collect()] == ["home/tagged.md"]
+
+
+def test_stems_and_marks(spark, notes):
+    (notes / "notes/home/cafe.md").write_text("# Cafés\nRunning the cafés of Zürich\n")
+    built(spark, notes)
+    index = store.load(spark, str(notes / "index"))
+    from lantern.operators import keyword
+
+    q = spark.createDataFrame([(1, "cafe runs"), (2, "zurich")], "query_id long, q string")
+    got = {(r.query_id, r.path) for r in keyword.search(q, index.terms, index.vocabulary, 5).collect()}
+    assert got == {(1, "home/cafe.md"), (2, "home/cafe.md")}
+
+
+def test_tool_server(spark, notes, monkeypatch):
+    import io
+
+    c = config.Config([str(notes / "notes")], str(notes / "served"), exclude=["node_modules/**"])
+    calls = [{"id": 1, "method": "initialize", "params": {}}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}]
+    calls += [{"id": 3 + i, "method": "tools/call", "params": {"name": n, "arguments": x}} for i, (n, x) in enumerate([("search", {"query": "water"}), ("reindex", {}), ("search", {"query": "water meter", "k": 1}), ("recall", {"question": "What is the water meter number?", "top": 1}), ("recall", {}), ("none", {})])]
+    out = io.StringIO()
+    server.serve(server.Tools(spark, c), io.StringIO("\n".join(map(json.dumps, calls)) + "\nnot json\n"), out)
+    said = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [x["id"] for x in said] == [1, 2, 3, 4, 5, 6, 7, 8, None] and {t["name"] for t in said[1]["result"]["tools"]} == {"recall", "search", "reindex"}
+    text = lambda i: json.loads(said[i]["result"]["content"][0]["text"])
+    assert said[2]["result"]["isError"] and text(3)["indexed"] == 4 and [r["path"] for r in text(4)] == ["home/utilities.md"]
+    assert text(5)["results"][0]["path"] == "home/utilities.md" and "WM-4471" in text(5)["best_section_text"] and text(5)["mode"] == "rerank:lexical"
+    assert said[6]["error"]["code"] == said[7]["error"]["code"] == -32602
+
+
+def test_benchmark_resumes(spark, tmp_path):
+    from lantern.plans import benchmark
+
+    def question(i, kind):
+        turns = lambda t: [{"role": "user", "content": t}, {"role": "assistant", "content": "noted"}]
+        return {"question_id": f"q{i}", "question_type": kind, "question": f"Where did I put the item{i}", "answer": "x", "answer_session_ids": [f"answer_{i}"], "haystack_session_ids": [f"answer_{i}", f"s{i}"], "haystack_dates": ["2024", "2023"], "haystack_sessions": [turns(f"I put the item{i} in the attic"), turns("weather talk and nothing else")]}
+
+    (tmp_path / "d.json").write_text(json.dumps([question(i, "ab"[i % 2]) for i in range(3)]))
+    c = config.Config([], str(tmp_path / "unused"), scorer={"backend": "lexical"}, eval_daily_cap_usd=1.0)
+    s = search.Settings()
+    args = (spark, c, s, str(tmp_path / "d.json"), str(tmp_path / "out"))
+    assert benchmark.run(*args, n=2, max_usd=0.0) == {"n": 0, "by_kind": {}}
+    first = benchmark.run(*args, n=2)
+    assert first["n"] == 2 and first["search_any_1"] == 2 and first["recall_all_5"] == 2 and first["fail_open"] == 0 and set(first["by_kind"]) <= {"a", "b"}
+    assert benchmark.run(*args, n=2) == first
+    with pytest.raises(benchmark.OtherSettings):
+        benchmark.run(*args, n=3)
+    with pytest.raises(benchmark.NotScored):
+        benchmark.run(spark, config.Config([], str(tmp_path / "unused"), scorer={"backend": "command", "command": "false"}, eval_daily_cap_usd=1.0), s, str(tmp_path / "d.json"), str(tmp_path / "out2"), n=1)

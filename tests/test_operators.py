@@ -1,10 +1,20 @@
+import contextlib
+import hashlib
+import json
+import math
+import os
 import sqlite3
+import threading
+from types import SimpleNamespace
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lantern.functions import text
-from lantern.operators import evaluate, keyword, ledger, maintain, rare, rerank, scorers, vector
+from lantern.functions import embedders, text
+from lantern.operators import backends, evaluate, http, keyword, ledger, maintain, rare, rerank, scorers, vector
 from lantern.shipping import ship
 
 
@@ -24,8 +34,8 @@ def test_bm25_like_sqlite(spark):
     q = "garden tomatoes tomatoes planning"
     want = {p: -s for p, s in db.execute("select path, bm25(t, 0, 5.0, 1.0) from t where t match ?", (" OR ".join(f'"{w}"' for w in q.split()),))}
     docs = spark.createDataFrame(rows, "path string, title string, body string")
-    posted = keyword.postings(docs, stemmed=True, diacritics=False)
-    got = {r.path: r.score for r in keyword.bm25(spark.createDataFrame([(1, q)], "query_id long, q string"), posted, keyword.lengths(posted, docs), True).collect()}
+    terms = keyword.forward(docs)
+    got = {r.path: r.score for r in keyword.search(spark.createDataFrame([(1, q)], "query_id long, q string"), terms, keyword.vocabulary(terms), 10).collect()}
     assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-9 for p in want)
 
 
@@ -68,15 +78,239 @@ def test_scorers(spark, tmp_path):
     script.write_text("import json,sys; d=json.load(sys.stdin); print(json.dumps({'scores':[float('yes' in p['text']) for p in d['passages']],'tokens':7}))")
     pairs = spark.createDataFrame([(1, "q?", "a", 0, "", "yes"), (1, "q?", "b", 0, "", "no"), (2, "r?", "a", 0, "", "no")], "query_id long, q string, path string, ord int, heading string, text string")
     got = {(r.query_id, r.path): r for r in scorers.score_windows(pairs, {"backend": "command", "command": ["python3", str(script)], "batch": 1}).collect()}
-    assert got[1, "a"].score == 1 and got[1, "b"].score == 0 and got[1, "a"].tokens + got[1, "b"].tokens == 14
+    assert got[1, "a"].score == 1 and got[1, "b"].score == 0 and got[1, "a"].tokens == 14 and got[1, "b"].tokens is None
     bad = scorers.score_windows(pairs, {"backend": "command", "command": "false"}).collect()
-    assert all(r.score is None and "ScorerError" in r.note for r in bad)
+    assert all(r.score is None for r in bad) and sum("ScorerError" in (r.note or "") for r in bad) == 2
     with pytest.raises(scorers.ScorerError):
         scorers.load({"backend": "no such"})
-    assert scorers.load({"backend": "lantern.operators.scorers:PositionScorer"}).score("q", [1, 2]) == [1.0, 0.5]
-    assert scorers.probability_of_yes([{"token": "maybe", "logprob": 0}]) == 0
+    with pytest.raises(scorers.ScorerError):
+        scorers.load({"backend": "no.module:Here"})
+    assert scorers.load({"backend": "lantern.operators.backends:PositionScorer"}).score("q", [1, 2]) == [1.0, 0.5]
+    assert {"none", "lexical", "command", "openai", "cross-encoder", "decision"} <= set(scorers.available())
+    assert backends.probability_of_yes([{"token": "maybe", "logprob": 0}]) == 0
     p = [scorers.Passage("a", "", "the zebra"), scorers.Passage("b", "", "none")]
-    assert scorers.LexicalScorer().score("which zebra", p) == [1.0, 0.0]
+    assert backends.LexicalScorer().score("which zebra", p) == [1.0, 0.0]
+    for said, n in (([1, 2], 2), ({"scores": [0.5]}, 1)):
+        assert len(backends.Reply.read(said, n).scores) == n
+    for said, n in (([1], 2), ({"score": [1]}, 1), ("x", 1)):
+        with pytest.raises(scorers.ScorerError):
+            backends.Reply.read(said, n)
+    slow = backends.CommandScorer("sleep 5", timeout=0.2)
+    with pytest.raises(scorers.ScorerError):
+        slow.score("q", p)
+    with pytest.raises(scorers.ScorerError):
+        backends.CrossEncoderScorer(model_dir="/nowhere")
+    cross = backends.CrossEncoderScorer(logits=lambda q, texts: [len(t) - 5.0 for t in texts], batch_size=1)
+    assert [round(x, 3) for x in cross.score("q", p)] == [round(1 / (1 + math.exp(-4)), 3), round(1 / (1 + math.exp(1)), 3)]
+
+
+class Service(BaseHTTPRequestHandler):
+    """Answers as the test's function does; None is status 500."""
+
+    def do_POST(self):
+        said = self.server.answer(self.path, json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+        status, body = said if isinstance(said, tuple) else (200, said)
+        data = json.dumps(body).encode()
+        self.send_response(status)
+        self.send_header("Content-Length", str(len(data)))
+        self.end_headers()
+        self.wfile.write(data)
+
+    def log_message(self, *args):
+        pass
+
+
+@contextlib.contextmanager
+def service(answer):
+    httpd = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    httpd.answer = answer
+    threading.Thread(target=httpd.serve_forever, daemon=True).start()
+    try:
+        yield f"http://127.0.0.1:{httpd.server_port}"
+    finally:
+        httpd.shutdown()
+        httpd.server_close()
+
+
+def test_decision_service():
+    asked = []
+
+    def answer(path, body):
+        asked.append(body)
+        if "kind" in body["questions"]:
+            return {"answers": {"kind": {"choice": "preference"}}, "usage": {"input_tokens": 5}}
+        if len(body["state"]["content"]) > 5000:
+            return 422, {"error": "over context"}
+        return {"answers": {"q": {"noul": 0.9 if "zebra" in body["state"]["content"] else 0.2}}, "usage": {"input_tokens": 3}}
+
+    with service(answer) as url:
+        scorer = backends.DecisionScorer(url, tries=1)
+        p = [scorers.Passage("a", "", "the zebra " + "x" * 9000), scorers.Passage("b", "", "none")]
+        assert scorer.score("which?", p) == [0.9, 0.2] and scorer.last_tokens == 6
+        assert scorer.classify("which?") == "preference" and scorer.last_tokens == 5
+        assert "preference" in scorer.for_kind("preference").ask and scorer.for_kind(None) is scorer
+        # a first route that fails is left for good, for the copies as well
+        other = backends.DecisionScorer("http://127.0.0.1:9", fallback_base_url=url, fallback_usd_per_mtok=2.0, tries=1, primary_timeout=0.5)
+        assert other.for_kind("preference").score("q", p[1:]) == [0.2] and other.fell_back and other.usd_per_token == 2e-6
+        with pytest.raises(scorers.ScorerError):
+            backends.DecisionScorer("http://127.0.0.1:9", tries=1, timeout=0.5).score("q", p[1:])
+
+
+def test_http_waits_and_tries_again(monkeypatch):
+    waits, left = [], [429, 503]
+    monkeypatch.setattr(http, "time", SimpleNamespace(sleep=waits.append))
+    with service(lambda path, body: (left.pop(0), {}) if left else {"ok": 1}) as url:
+        assert http.post_json(url, {}) == {"ok": 1} and len(waits) == 2 and waits[1] > waits[0] >= 0.5
+    with service(lambda path, body: (400, {"error": "no"})) as url, pytest.raises(http.HttpError) as e:
+        http.post_json(url, {})
+    assert e.value.status == 400 and len(waits) == 2
+
+
+def test_embedders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(embedders.tempfile, "gettempdir", lambda: str(tmp_path))
+    seen = []
+
+    def answer(path, body):
+        seen.append(body)
+        return {"data": [{"index": i, "embedding": [float(len(t)), 1.0, 5.0]} for i, t in reversed(list(enumerate(body["input"])))]}
+
+    with service(answer) as url:
+        model = embedders.Service(url, dim=2, full_dim=3, batch_size=2, remote_model="m", pause=0)
+        texts = ["Title\nlong body of text", "b", "Other\nx"]
+        v = model.documents(texts)
+        prompts = ["title: Title | text: long body of text", "title: none | text: b", "title: Other | text: x"]
+        assert np.allclose(v, embedders.unit(np.array([[len(t), 1.0] for t in prompts]), 2)) and np.allclose(np.linalg.norm(v, axis=1), 1)
+        assert all(b["dimensions"] == 2 and b["model"] == "m" for b in seen) and sorted(len(b["input"]) for b in seen) == [1, 2]
+        assert [len(t) for b in seen for t in b["input"]] and model.queries(["q"]).shape == (1, 2) and seen[-1]["input"] == ["task: search result | query: q"]
+    gone = embedders.Service("http://127.0.0.1:9", dim=2, pause=0, remote_timeout=0.5, local="test_operators:Plain")
+    with pytest.raises(embedders.ServiceDown):
+        gone.documents(["a"])
+    assert gone.documents(["a"], local=True).shape == (1, 2) and gone.queries(["a"]).shape == (1, 2) and os.path.exists(gone.mark)
+    assert embedders.hash_dim("hash") == 64 and embedders.hash_dim("hash:100") == 100 and embedders.hash_dim("eg2") is None
+    for wrong in ("hash:x", "hash:0", "what", "no.module:Here"):
+        with pytest.raises(embedders.UnknownModel):
+            embedders.check(wrong)
+    rows = spark.createDataFrame([(1, "one two two"), (2, ""), (3, None)], "k long, t string")
+    got = {r.k: r.embedding for r in embedders.embedded(rows, "k", "t", "hash:100").collect()}
+    want = np.zeros(100)
+    for w in ("one", "two", "two"):
+        h = int(hashlib.md5(w.encode()).hexdigest(), 16)
+        want[h % 100] += 1 if h >> 8 & 1 else -1
+    assert np.allclose(got[1], want / np.linalg.norm(want)) and not any(got[2]) and not any(got[3])
+
+
+class Plain:
+    """Two numbers of a text, and the lengths of the batches that it was given."""
+
+    def __init__(self, **options):
+        self.model, self.given = self, []
+
+    def documents(self, texts, local=True):
+        self.given.append([len(t) for t in texts])
+        return np.array([[len(t) + 1.0, 1.0] for t in texts])
+
+    queries = documents
+
+    def embed(self, texts):
+        return self.documents(texts)
+
+
+def test_batches_are_of_one_length():
+    plain = Plain()
+    local = embedders.LocalModel("x", batch=2, model=plain)
+    texts = ["ccc", "a", "dddd", "bb", ""]
+    assert np.allclose(local.documents(texts), embedders.unit(np.array([[len(t) + 1.0, 1.0] for t in texts]), 2)) and plain.given == [[0, 1], [2, 3], [4]]
+
+
+def test_a_build_goes_on_while_the_service_is_down(spark, tmp_path, monkeypatch):
+    from lantern.plans import search, store
+
+    spark.sparkContext.addPyFile(__file__)
+    docs = lambda rows: spark.createDataFrame([(p, "r", h, p, "", b) for p, h, b in rows], "path string, root string, hash string, title string, extra string, body string")
+    down = search.Settings(model="eg2", embed_options={"remote_url": "http://127.0.0.1:9", "dim": 2, "full_dim": 2, "pause": 0, "remote_timeout": 0.5, "local": "test_operators:Plain"}, chunk_words=5)
+    at = str(tmp_path / "i")
+    small, large = ("a", "1", "few words"), ("b", "1", "many words " * 20)
+    assert store.build(docs([small, large]), at, down) == {"indexed": 2, "removed": 0, "total": 2, "pending": 2, "service": "down"}
+    # the smallest go first, as far as the budget of texts allows
+    said = store.build(docs([small, large]), at, down, allow_local=3)
+    assert said["pending"] == 1 and store.load(spark, at, "eg2").doc_vectors.collect()[0].path == "a"
+    # an edited document keeps its old vectors
+    assert store.build(docs([("a", "2", "other words"), large]), at, down)["pending"] == 2
+    now = store.load(spark, at)
+    assert [r.path for r in now.doc_vectors.collect()] == ["a"] and {r.path: r.hash for r in now.docs.collect()} == {"a": "2", "b": "1"}
+
+    def answer(path, body):
+        return {"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in enumerate(body["input"])]}
+
+    with service(answer) as url:
+        up = search.Settings(model="eg2", embed_options=down.embed_options | {"remote_url": url}, chunk_words=5)
+        assert store.build(docs([("a", "2", "other words"), large]), at, up) == {"indexed": 2, "removed": 0, "total": 2, "pending": 0}
+        assert store.load(spark, at).sections.count() > 0
+    with pytest.raises(store.Locked), store._alone(spark, at):
+        store.build(docs([small]), at, down)
+
+
+def test_html(spark):
+    pages = {
+        "<html><head><title> A &amp; B </title><style>p{x:'>'}</style></head><body><h2 class='a>b'>Head</h2><p>one<br>two &lt;b&gt;</p><script>if (a < b) { c(); }</script>three": "# A & B\n\n## Head\n\none\ntwo <b>\nthree",
+        "<title>T</title><h1>Own</h1>text<!-- <p>no</p> --> <b>bold</b>": "# Own\ntext bold",
+        "plain <i>text": "plain text",
+        "<svg><text>no</text></svg><template>no</template><noscript>no</noscript>yes": "yes",
+        "<p>a</p>\n\n\n\n<p>b</p>": "a\n\nb",
+        "open <script>never closed": "open",
+        "": "",
+    }
+    rows = spark.createDataFrame([(i, h) for i, h in enumerate([*pages, None])], "i int, html string").select("i", text.html_to_text(F.col("html")).alias("t"))
+    got = {r.i: r.t for r in rows.collect()}
+    assert [got[i] for i in range(len(pages))] == list(pages.values()) and got[len(pages)] == ""
+    long = "<p " + "a='" + "x" * 200_000 + "' " + "b " * 20_000 + ">shown</p>"
+    assert spark.createDataFrame([(long,)], "html string").select(text.html_to_text(F.col("html")).alias("t")).first().t == "shown"
+
+
+def test_order_statistics(spark):
+    import random
+
+    r = random.Random(3)
+    values = [round(r.expovariate(0.01), 2) for _ in range(3000)] + [7.5] * 900 + [-3.0, 1e9]
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    ranks = [0, 1, 1500, 2700, len(values) - 1]
+    assert ledger.order_statistics(rows, "x", ranks, small=40, ranges=16) == [sorted(values)[k] for k in ranks]
+    with pytest.raises(ValueError):
+        ledger.order_statistics(rows, "x", [len(values)])
+
+
+def test_knn_takes_whole_vectors_of_its_length(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0]), (4, None), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [1.0, 0.0])], "path long, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0]), (3, None), (4, [])], "query_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.path, round(r.score, 9)) for r in vector.knn(q, rows, 2).collect())
+    assert got == [(1, 1, 1, 0.0), (1, 2, 7, 0.0), (2, 1, 3, 1.0)]
+
+
+def test_best_keeps_the_k_best():
+    from lantern.operators.topk import Best
+
+    rng = np.random.default_rng(1)
+    scores = np.round(rng.random((3, 500)), 2)
+    best = Best(3, 7, highest=True)
+    best.most = 50
+    keys = pa.array([f"p{i:03}" for i in rng.permutation(500)])
+    for a in range(0, 500, 40):
+        best.add(scores[:, a : a + 40], keys.slice(a, 40))
+    q, s, k = best.rows()
+    for i in range(3):
+        want = sorted(zip(-scores[i], keys.to_pylist(), strict=True))[:7]
+        assert [(-x, y) for x, y in zip(s[q == i], k.filter(pa.array(q == i)).to_pylist(), strict=True)] == want
+
+
+def test_finder_without_an_automaton(monkeypatch):
+    import sys
+
+    terms = ["ab", "abc", "bcd", "d"]
+    with_tree = rare._finder(terms)
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    plain = rare._finder(terms)
+    for t in ("", "abcd", "xabx", "dd", "bcbcd"):
+        assert plain(t) == with_tree(t)
 
 
 def test_budget_order():
@@ -114,10 +348,13 @@ def test_evaluation(spark):
     gold = spark.createDataFrame([(1, "a"), (1, "b"), (2, "y")], "query_id long, path string")
     got = {r.query_id: tuple(r)[1:] for r in evaluate.any_all(ranked, gold).collect()}
     assert got == {1: (True, True, False, True), 2: (False, False, False, False)}
-    assert evaluate.quotas({"a": 60, "b": 30, "c": 10}, 10) == {"a": 6, "b": 3, "c": 1}
-    assert sum(evaluate.quotas({"a": 97, "b": 2, "c": 1}, 10).values()) == 10
+    quotas = lambda sizes, n: {r.kind: r.quota for r in evaluate.quotas(spark.createDataFrame(sorted(sizes.items()), "kind string, size long"), n).collect()}
+    assert quotas({"a": 60, "b": 30, "c": 10}, 10) == {"a": 6, "b": 3, "c": 1}
+    for sizes, n in (({"a": 97, "b": 2, "c": 1}, 10), ({"a": 5, "b": 5, "c": 5, "d": 5}, 3), ({"a": 3, "b": 3, "c": 3}, 8), ({"a": 1, "b": 50, "c": 50}, 100)):
+        got = quotas(sizes, n)
+        assert sum(got.values()) == n and all(0 <= got[k] <= sizes[k] for k in sizes)
     with pytest.raises(ValueError):
-        evaluate.quotas({"a": 3}, 4)
+        evaluate.stratified_sample(spark.createDataFrame([("1", "a")], "question_id string, kind string"), 4)
     q = spark.createDataFrame([(f"{i}", "ab"[i % 2]) for i in range(40)] + [("9_abs", "a")], "question_id string, kind string")
     one, two = (sorted(r.question_id for r in evaluate.stratified_sample(evaluate.answerable(q), 10, s).collect()) for s in (0, 0))
     assert one == two and len(one) == 10 and "9_abs" not in one
