@@ -37,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK_BYTES, Substrings, content_key, mix, prepare, saved, text_bytes
+from .common import BLOCK_BYTES, Substrings, blocks, content_key, mix, prepare, saved, text_bytes
 
 LENGTH = 200
 GRAM = 50
 #: Different stretches of a group above which it is dealt on before it is sorted.
-LARGE = 2048
+LARGE = 512
 #: Bytes of stretches that are sorted at once, and about so many of a task.
 SORT_BYTES, TASK_BYTES = 2 << 20, 4 << 20
 
@@ -276,7 +276,7 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     open_ = not sizes.filter(F.col("many") > large).isEmpty()
     rounds = (length - gram).bit_length()
     for k in range(rounds if open_ else 0):
-        runs = saved(runs.mapInArrow(lambda batches: (halves(x, length) for x in batches if x.num_rows), _RUN), "runs")
+        runs = saved(runs.mapInArrow(lambda batches: (halves(part, length) for x in batches for part in blocks(x, 10)), _RUN), "runs")
         equal = runs.groupBy("g", "e").agg(F.sum("c").alias("c"), F.min("n").alias("n"))
         sizes = saved(_group_sizes(equal, length).filter("c > 1"), "sizes")
         last = k == rounds - 1
