@@ -3,14 +3,14 @@
 Every rolling 3-word hash of every text is joined to the positions of the templates' 3-word hashes. A match whose words
 are the template's, which is checked on the text itself, votes for its diagonal: the document word at which the template
 would begin. A phrase whose grams all vote for one diagonal stands there word for word; those are the base places.
-Neighbouring diagonals of a template (a word more or less in between) are merged, and a template of which COVERED or more
-is then matched adds its label.
+Neighbouring diagonals of a template (a word or two more or less in between) are merged, and a template of whose distinct grams
+COVERED or more are then matched adds its label.
 
-The templates are a fixed, short list, so their grams are broadcast. Votes are a shuffle of matches only; each document
-also sends one row without a match, so that nothing is joined back.
+The templates, whole license texts among them, are a fixed list of some thousand grams, so their grams are broadcast. Votes are
+a shuffle of matches only; each document also sends one row without a match, so that nothing is joined back.
 
 Defined results: null text is empty and has no words, labels or places (score 0); texts of any length are scanned whole;
-repeated rows give repeated rows; an empty table gives an empty result; other columns are ignored.
+repeated rows give repeated rows; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ALNUM, LOWER, blocks, mix, prepare, text_bytes, tokens, word_hashes, words
+from .license_texts import SENTENCES, TEXTS
 
 K = 3
 #: Share of a template's grams that a merged diagonal must match.
@@ -33,19 +34,7 @@ GAP = 2
 # The phrases of the base labels.
 PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 
-# Sentences of public license notices, of at most 64 grams each.
-NOTICES = [
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "Released under the MIT License"),
-    ("apache-2", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-nc", "Creative Commons Attribution-NonCommercial 4.0 International"),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-]
+NOTICES = TEXTS + SENTENCES
 
 
 def gram_hashes(h: np.ndarray, k: int = K) -> np.ndarray:
@@ -70,8 +59,8 @@ def template_rows(phrases: dict[str, str], notices: list[tuple[str, str]]) -> li
     for number, (label, text, base) in enumerate([*((a, b, True) for a, b in phrases.items()), *((a, b, False) for a, b in notices)]):
         w = tokens(text)
         h = gram_hashes(_word_hashes(w)).view(np.int64).tolist()
-        if not 1 <= len(h) <= 64:
-            raise ValueError(f"a template has 1 to 64 grams of {K} words: {text}")
+        if not h:
+            raise ValueError(f"a template has {K} words or more: {text}")
         rows += [(x, b" ".join(w[i : i + K]).decode(), number, i, len(h), label, base) for i, x in enumerate(h)]
     return rows
 
@@ -123,17 +112,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
 
     lines = votes.groupBy("uid", "template", "diagonal").agg(
         F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.first("size").alias("size"), F.first("label").alias("label"), F.first("base").alias("base"),
-        F.bit_or(F.expr("shiftleft(1L, at)")).alias("matched"),
+        # a gram's position votes once for a diagonal
+        F.collect_list("at").alias("ats"),
     )
     order = Window.partitionBy("uid", "template").orderBy("diagonal")
     new = F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= GAP, 0).otherwise(1)
     lines = lines.withColumn("new", new).withColumn("cluster", F.sum("new").over(order))
-    merged = lines.groupBy("uid", "template", "cluster").agg(
-        F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.first("label").alias("label"),
-        (F.bit_count(F.bit_or("matched")) / F.first("size")).alias("covered"),
-        F.sum(F.expr("if(base and bit_count(matched) = size, 1L, 0L)")).alias("n_base"),
-        F.min(F.expr("if(base and bit_count(matched) = size, diagonal, null)")).alias("first_word"),
-        F.max(F.expr("if(base and bit_count(matched) = size, diagonal, null)")).alias("last_word"),
+    whole = F.expr("base and size(ats) = size")
+    matched = lines.withColumn("place", F.when(whole, F.col("diagonal"))).select("*", F.posexplode_outer("ats").alias("nth", "position"))
+    # positions of merged diagonals count once, a line's place with its first position
+    merged = matched.groupBy("uid", "template", "cluster", "position").agg(
+        *[F.first(c).alias(c) for c in ("id", "n_words", "size", "label")], F.count_if(F.col("place").isNotNull() & (F.col("nth") == 0)).alias("n_base"),
+        F.min("place").alias("first_word"), F.max("place").alias("last_word"),
+    )
+    merged = merged.groupBy("uid", "template", "cluster").agg(
+        F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.first("label").alias("label"), (F.count("position") / F.first("size")).alias("covered"),
+        F.sum("n_base").alias("n_base"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"),
     )
     return merged.groupBy("uid").agg(
         F.first("id").alias(id_col), F.first("n_words").alias("n_words"), F.coalesce(F.sum("n_base"), F.lit(0)).alias("n_base"),

@@ -65,6 +65,25 @@ FROM d LEFT JOIN n USING (u) LEFT JOIN i USING (u)
 """
 
 
+
+def _op6_sql() -> str:
+    """Diagonals of the templates' word triples, by joins and windows."""
+    rows = ", ".join("('%s', %d, %d, %d, '%s', %s)" % (gram, template, at, size, label, str(base).lower()) for _, gram, template, at, size, label, base in licenses.template_rows(licenses.PHRASES, licenses.NOTICES))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS u, doc_id, {_WORDS} AS w FROM documents),
+t(g, template, "at", size, label, base) AS (VALUES {rows}),
+v AS (SELECT u, template, s - 1 - "at" AS diagonal, "at", size, label, base FROM (SELECT u, s, array_to_string(list_slice(w, s, s + 2), ' ') AS g FROM d, unnest(range(1, len(w) - 1)) x(s) WHERE len(w) > 2) JOIN t USING (g)),
+l AS (SELECT u, template, diagonal, any_value(size) AS size, any_value(label) AS label, any_value(base) AND count(*) = any_value(size) AS whole FROM v GROUP BY u, template, diagonal),
+c AS (SELECT *, sum(new) OVER (PARTITION BY u, template ORDER BY diagonal) AS cluster FROM (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY u, template ORDER BY diagonal) <= 2 THEN 0 ELSE 1 END AS new FROM l)),
+m AS (SELECT c.u, c.template, cluster, any_value(c.label) AS label, count(DISTINCT "at") / any_value(c.size)::DOUBLE AS covered FROM c JOIN v ON v.u = c.u AND v.template = c.template AND v.diagonal = c.diagonal GROUP BY c.u, c.template, cluster),
+b AS (SELECT u, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM l WHERE whole GROUP BY u),
+a AS (SELECT u, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT u, label FROM m WHERE covered >= 0.8 UNION ALL SELECT u, label FROM l WHERE whole) GROUP BY u),
+s AS (SELECT u, max(covered) AS score FROM m GROUP BY u)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM d LEFT JOIN b USING (u) LEFT JOIN a USING (u) LEFT JOIN s USING (u)
+"""
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).drop("url")
 
@@ -104,4 +123,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op7_suffix_array_dedup": OP7_SQL, "op10_decontamination": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op6_license_scan": _op6_sql(), "op7_suffix_array_dedup": OP7_SQL, "op10_decontamination": OP10_SQL}

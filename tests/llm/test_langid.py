@@ -70,3 +70,33 @@ def test_more_than_two_hundred_languages(spark):
     few = langid.fit(d, sample=220)
     assert few.names == sorted(set(truth.values()))
     assert np.mean([x.lang_pred == truth[x.doc_id] for x in langid.identify(d, few).collect() if x.held_out]) > 0.95
+
+
+def test_predictions_are_those_of_the_plain_formulas():
+    """Sets of n-grams, their kernels one by one, Nyström features and ridge regression as published."""
+    r = random.Random(11)
+    parts = {"en": ["th", "ing", "and"], "de": ["sch", "und", "über"], "fr": ["eau", "est", "où"]}
+    text = lambda x, n: " ".join("".join(r.choice(parts[x]) for _ in range(r.randrange(1, 4))) for _ in range(n))
+    langs = [x for x in parts for _ in range(12)]
+    texts = [text(x, r.randrange(4, 20)) for x in langs]
+    model = langid.Model(texts, langs, landmarks=9)
+
+    order = np.random.default_rng(3).permutation(len(texts))
+    turns = sorted((t, x, i) for x in sorted(parts) for t, i in enumerate(i for i in order if langs[i] == x))
+    marks = [texts[i] for _, _, i in turns[:9]]
+    w = np.array([[kernel(a, b) for b in marks] for a in marks])
+    value, vector = np.linalg.eigh(w)
+    keep = value > 1e-6 * value.max()
+    root = vector[:, keep] / np.sqrt(value[keep])
+    features = lambda t: np.append(np.array([kernel(t, m) for m in marks]) @ root, 1.0)
+    phi = np.array([features(t) for t in texts])
+    names = sorted(parts)
+    y = np.array([[1.0 if x == n else -1.0 for n in names] for x in langs])
+    ridge = langid.RIDGE * len(texts) * np.eye(phi.shape[1]) / 10
+    fit = np.linalg.solve(phi.T @ phi + ridge, phi.T @ y)
+    probes = [text(x, 8) for x in parts for _ in range(6)] + ["the und où", "zzz"]
+    values = np.array([features(t) for t in probes]) @ fit
+    e = np.exp(langid.STEEP * (values - values.max(axis=1, keepdims=True)))
+    got = model.predict(probes)
+    assert got[0][:-2] == [names[i] for i in values.argmax(axis=1)][:-2]
+    assert np.allclose(got[1], (e / e.sum(axis=1, keepdims=True)).max(axis=1), atol=0.05)

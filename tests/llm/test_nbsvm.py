@@ -65,3 +65,84 @@ def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.score for r in nbsvm.classify(d, none).collect()] == [0.5, 0.5]
     assert nbsvm.classify(d.limit(0), none).count() == 0
+
+
+def plain_features(text):
+    """Sets of token n-grams as strings: words and runs of punctuation, pairs, and triples of shapes."""
+    import re
+
+    found = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0d]+", (text or "").encode())
+    low = [t.lower() for t in found]
+
+    def shape(i):
+        t = found[i]
+        again = i > 0 and low[i] == low[i - 1]
+        if not re.match(rb"[0-9A-Za-z\x80-\xff]", t):
+            return ("punct", t[:1], again)
+        upper = sum(65 <= c <= 90 for c in t)
+        kind = "digit" if re.search(rb"[0-9]", t) else "plain" if not upper else "many" if upper >= 2 else "first" if 65 <= t[0] <= 90 else "one"
+        return (kind, again)
+
+    shapes = [shape(i) for i in range(len(found))]
+    out = {("word", t) for t in low} | {("pair", a, b) for a, b in zip(low, low[1:], strict=False)}
+    return out | {("shape", *x) for x in zip(shapes, shapes[1:], shapes[2:], strict=False)}
+
+
+def plain_model(rows, y, passes=nbsvm.PASSES):
+    """The offset and the values of a text, by the published formulas over sets of strings."""
+    names = {f: i for i, f in enumerate(sorted({f for r in rows for f in r}, key=repr))}
+    size = 1 << nbsvm.BITS
+    counts = [np.full(size, 1.0), np.full(size, 1.0)]
+    for r, label in zip(rows, y, strict=True):
+        for f in r:
+            counts[label][names[f]] += 1
+    ratio = np.log((counts[1] / counts[1].sum()) / (counts[0] / counts[0].sum()))
+    x = np.zeros((len(rows), len(names)))
+    for i, r in enumerate(rows):
+        for f in r:
+            x[i, names[f]] = ratio[names[f]]
+    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-12
+    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    sign, share = 2 * np.array(y) - 1, [np.mean(np.array(y) == k) for k in (0, 1)]
+    w, alpha, rng = np.zeros(x.shape[1]), np.zeros(len(y)), np.random.default_rng(1)
+    for _ in range(passes):
+        for i in rng.permutation(len(y)):
+            new = np.clip(alpha[i] - (sign[i] * (w @ x[i]) - 1) / 2, 0, 0.5 / share[y[i]])
+            w += (new - alpha[i]) * sign[i] * x[i]
+            alpha[i] = new
+
+    def margin(text):
+        v = np.array([ratio[names[f]] if f in names else ratio[-1] for f in plain_features(text)])
+        known = [(names[f], ratio[names[f]]) for f in plain_features(text) if f in names]
+        return sum(w[j] * r for j, r in known) / (np.linalg.norm(v) + 1e-12) + w[-1]
+
+    return margin
+
+
+def test_scores_are_those_of_the_plain_formulas():
+    docs, labels = table()
+    texts = [t for _, t, _ in docs[:160]] + ["A b!! A b", "X1 Y2 z", "aBc ABC abc abc", "a  a\ta"]
+    y = [int(i % 5 != 0) for i in range(160)] + [1, 0, 1, 0]
+    places = [nbsvm.features(*text_bytes(pa.array([t])))[0] for t in texts]
+    model = nbsvm.Model(places, np.array(y))
+    sets = [plain_features(t) for t in texts]
+    assert all(0 <= len(s) - len(p) <= 2 for p, s in zip(places, sets, strict=True))  # some share a place
+    fold = np.arange(len(y)) % 4 == 3
+    train = [i for i in range(len(y)) if not fold[i]]
+    part = plain_model([sets[i] for i in train], [y[i] for i in train])
+    a, b = nbsvm.calibrate(np.array([part(texts[i]) for i in np.flatnonzero(fold)]), np.array(y)[fold])
+    whole = plain_model(sets, y)
+    want = [1 / (1 + np.exp(-np.clip(a * whole(t) + b, -50, 50))) for t in texts]
+    got = [model.scores(p, np.array([0, len(p)]))[0] for p in places]
+    assert np.allclose(got, want, atol=2e-3)
+
+
+def test_the_sample_is_bounded(spark):
+    from lantern.llm.labelled import sampled_texts
+
+    docs = spark.createDataFrame([(7, f"copy {i}") for i in range(2000)] + [(i, "x" * (50_000 if i == 30 else 10)) for i in range(20, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (7, 0)] + [(i, i % 2) for i in range(20, 200)], "doc_id long, quality int")
+    got = sampled_texts(docs, labels, "quality", 5, 4, 2, "doc_id", "text").collect()
+    assert len(got) == 5
+    got = sampled_texts(docs, labels, "quality", 500, 4, 2, "doc_id", "text").collect()
+    assert 25 < len(got) < 42 and sum("copy" in r.text for r in got) <= 1 and max(len(r.text) for r in got) < 100
