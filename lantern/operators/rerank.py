@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lantern.functions.text import content_words, windows_of
+from lantern.functions.text import distinct_content_words, windows_of
+from lantern.scratch import saved
 
 
 def file_windows(files: DataFrame, words: int = 600, most: int = 24, path: str = "path", body: str = "body") -> DataFrame:
@@ -14,25 +15,26 @@ def file_windows(files: DataFrame, words: int = 600, most: int = 24, path: str =
 
 
 def window_terms(windows: DataFrame) -> DataFrame:
-    """path, ord, word: distinct content words of a window."""
-    return windows.select("path", "ord", F.explode(F.array_distinct(content_words(F.col("text")))).alias("word"))
+    """path, ord, words: distinct content words of a window."""
+    return windows.select("path", "ord", distinct_content_words(F.col("text")).alias("words"))
 
 
-def lexical_scores(queries: DataFrame, candidates: DataFrame, terms: DataFrame, windows: DataFrame) -> DataFrame:
-    """query_id, path, ord, raw, score of every window of a query's candidate files.
+def lexical_scores(queries: DataFrame, candidates: DataFrame, terms: DataFrame) -> DataFrame:
+    """query_id, path, ord, raw, score of every window of a query's candidate files (query_id, path). terms: window_terms.
 
     raw sums ln(1 + n/df) over the question's words in the window, n and df over that query's windows; score is its share
-    of the sum over all of the question's words that any of the windows holds, in [0, 1]. candidates: query_id, path."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(content_words(F.col("q")))).alias("word"))
-    pool = candidates.select("query_id", "path").join(windows.select("path", "ord"), "path")
-    n = pool.groupBy("query_id").agg(F.count("*").alias("n"))
-    hits = candidates.select("query_id", "path").join(asked, "query_id").join(terms, ["path", "word"])
-    df = hits.groupBy("query_id", "word").agg(F.count("*").alias("df"))
-    weight = df.join(n, "query_id").select("query_id", "word", F.ln(1 + F.col("n") / F.col("df")).alias("idf"))
-    most = weight.groupBy("query_id").agg(F.sum("idf").alias("most"))
-    raw = hits.join(weight, ["query_id", "word"]).groupBy("query_id", "path", "ord").agg(F.sum("idf").alias("raw"))
-    joined = pool.join(raw, ["query_id", "path", "ord"], "left").join(most, "query_id", "left")
-    return joined.select("query_id", "path", "ord", F.coalesce("raw", F.lit(0.0)).alias("raw"), F.coalesce(F.col("raw") / F.col("most"), F.lit(0.0)).alias("score"))
+    of the sum over all of the question's words that any of the windows holds, in [0, 1]. A window's words stay in its row, and
+    only those that it shares with the question leave it; a question's weights are one small map."""
+    asked = queries.select("query_id", distinct_content_words(F.col("q")).alias("asked"))
+    pairs = candidates.select("query_id", "path").join(terms, "path").join(asked, "query_id")
+    pairs = saved(pairs.select("query_id", "path", "ord", F.array_intersect("asked", "words").alias("hits")), "hits")
+    n = pairs.groupBy("query_id").agg(F.count("*").alias("n"))
+    df = pairs.select("query_id", F.explode("hits").alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("df"))
+    idf = df.join(n, "query_id").select("query_id", "word", F.ln(1 + F.col("n") / F.col("df")).alias("idf"))
+    weights = idf.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "idf"))).alias("weights"), F.sum("idf").alias("most"))
+    raw = F.aggregate("hits", F.lit(0.0), lambda total, word: total + F.element_at("weights", word))
+    each = pairs.join(weights, "query_id", "left").withColumn("raw", F.coalesce(raw, F.lit(0.0)))
+    return each.select("query_id", "path", "ord", "raw", F.coalesce(F.col("raw") / F.col("most"), F.lit(0.0)).alias("score"))
 
 
 def prefilter(scored: DataFrame, per_file: int) -> DataFrame:

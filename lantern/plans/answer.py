@@ -97,7 +97,7 @@ class Pass:
         windows = self.windows(wanted)
         pairs = wanted.select("query_id", "path").join(asks, "query_id").join(windows, "path")
         if self.scorer.prefilter_per_file:
-            cut = rerank.prefilter(rerank.lexical_scores(asks, wanted, rerank.window_terms(windows), windows), self.scorer.prefilter_per_file)
+            cut = rerank.prefilter(rerank.lexical_scores(asks, wanted, rerank.window_terms(windows)), self.scorer.prefilter_per_file)
             pairs = pairs.join(cut.select("query_id", "path", "ord"), ["query_id", "path", "ord"], "left_semi")
         pairs = saved(pairs, "pairs")
         price = self.scorer.usd_per_token

@@ -355,8 +355,8 @@ def candidate_pool(spark: SparkSession, d: str) -> DataFrame:
 def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     asked, index, pool = _pool(spark, d)
     wanted = index.docs.join(pool.select("path").distinct(), "path", "left_semi")
-    windows = saved(rerank.file_windows(wanted, SETTINGS.window_words, SETTINGS.max_windows), "windows")
-    return asked, pool, rerank.lexical_scores(asked, pool, rerank.window_terms(windows), windows)
+    terms = saved(rerank.window_terms(rerank.file_windows(wanted, SETTINGS.window_words, SETTINGS.max_windows)), "terms")
+    return asked, pool, rerank.lexical_scores(asked, pool, terms)
 
 
 @query

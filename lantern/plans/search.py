@@ -133,8 +133,8 @@ def pool_of(queries: DataFrame, index: Index, first: DataFrame, s: Settings) ->
     return rerank.candidate_pool(first, rare.rare_leg(queries, index.docs.select("path", "text"), s.rare_max_df))
 
 
-def score_files(queries: DataFrame, pool: DataFrame, windows: DataFrame, terms: DataFrame) -> DataFrame:
-    return rerank.best_windows(rerank.lexical_scores(queries, pool, terms, windows))
+def score_files(queries: DataFrame, pool: DataFrame, terms: DataFrame) -> DataFrame:
+    return rerank.best_windows(rerank.lexical_scores(queries, pool, terms))
 
 
 def recall(queries: DataFrame, index: Index, s: Settings = Settings(), top: int = 5, question_gate: bool = True) -> DataFrame:
@@ -144,19 +144,20 @@ def recall(queries: DataFrame, index: Index, s: Settings = Settings(), top: int
     widen_at is widened once: files of a larger first stage that are not in the pool are scored among themselves."""
     found = legs(queries, index, max(s.widen_k, s.k), s)
     found = Legs(saved(found.words, "words"), saved(found.docs, "near"), saved(found.sections, "near"), found.long_paths)
-    wide, first = fused(found, max(s.widen_k, s.k), s), saved(fused(found, s.k, s), "first")
+    wide = saved(fused(found, max(s.widen_k, s.k), s), "wide")
+    first = wide.filter(F.col("rank") <= s.k) if max(s.k, s.vector_pool) == max(s.widen_k, s.vector_pool) else saved(fused(found, s.k, s), "first")
     pool = saved(pool_of(queries, index, first, s), "pool")
     asks = queries.filter(is_question(F.col("q"))) if question_gate else queries
     wanted = wide.select("path").union(pool.select("path")).distinct()
-    windows = saved(rerank.file_windows(index.docs.join(wanted, "path", "left_semi"), s.window_words, s.max_windows), "windows")
+    windows = rerank.file_windows(index.docs.join(wanted, "path", "left_semi"), s.window_words, s.max_windows)
     terms = saved(rerank.window_terms(windows), "terms")
     own = pool.join(asks.select("query_id"), "query_id", "left_semi")
-    scored = saved(score_files(asks, own, windows, terms), "scored")
+    scored = saved(score_files(asks, own, terms), "scored")
     unsure = scored.groupBy("query_id").agg(F.max("score").alias("best")).filter(F.col("best") < s.widen_at).select("query_id")
     size = own.groupBy("query_id").agg(F.max("pos").alias("n"))
     more = wide.join(unsure, "query_id", "left_semi").join(own, ["query_id", "path"], "left_anti").join(size, "query_id")
-    more = more.select("query_id", "path", (F.col("n") + F.col("rank")).alias("pos"))
-    again = score_files(asks, more, windows, terms)
+    more = saved(more.select("query_id", "path", (F.col("n") + F.col("rank")).alias("pos")), "more")
+    again = score_files(asks, more, terms)
     ranked = rerank.ranked_files(scored.unionByName(again), own.unionByName(more))
     widened = more.select("query_id").distinct().withColumn("widened", F.lit(True))
     asked = ranked.join(widened, "query_id", "left").select("query_id", "path", "score", "ord", "rank", F.lit("rerank:lexical").alias("mode"), F.coalesce("widened", F.lit(False)).alias("widened"))

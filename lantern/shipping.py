@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,7 +18,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_lantern_shipped", False):
         return
     top = Path(__file__).resolve().parent
-    archive = os.path.join(tempfile.mkdtemp(), "lantern_code.zip")
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "lantern_code.zip")
     with zipfile.ZipFile(archive, "w") as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, str(p.relative_to(top.parent)))

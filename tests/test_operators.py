@@ -66,7 +66,7 @@ def test_prefilter_keeps_the_hit(spark):
     windows = spark.createDataFrame(wins, "path string, ord int, heading string, text string")
     q = spark.createDataFrame([(1, "where is the zebra answer?")], "query_id long, q string")
     pool = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "query_id long, path string, pos int")
-    scored = rerank.lexical_scores(q, pool, rerank.window_terms(windows), windows)
+    scored = rerank.lexical_scores(q, pool, rerank.window_terms(windows))
     kept = {(r.path, r.ord) for r in rerank.prefilter(scored, 2).collect()}
     assert kept == {("a", 10), ("a", 0), ("b", 0)}
     best = {r.path: r.ord for r in rerank.best_windows(scored).collect()}
