@@ -25,8 +25,9 @@ K1, B = 1.2, 0.75
 TITLE_WEIGHT, BODY_WEIGHT = 5.0, 1.0
 #: Inverse document frequency of a term in half the documents or more.
 FLOOR = 1e-6
-#: Queries that travel to the tasks at once, and documents that are scored at once.
-QUERY_BLOCK, ROWS_AT_ONCE = 512, 512
+#: Queries and documents that are scored at once, and blocks of queries that travel to the tasks together, so that the index is
+#: read once for all of them.
+QUERY_BLOCK, ROWS_AT_ONCE, SCAN_BLOCKS = 512, 512, 16
 
 
 # --- index ------------------------------------------------------------------------------------------------------
@@ -90,17 +91,27 @@ def query_terms(queries: DataFrame, stemmed: bool = True) -> DataFrame:
 
 
 class Weights:
-    """A block of queries: their terms, and each term's weight in each query."""
+    """A block of queries: their terms, and each term's weights in the queries that hold it."""
 
     def __init__(self, rows: list, n_docs: int):
         self.ids = sorted({r.query_id for r in rows})
         names = sorted({r.term for r in rows})
         place, at = {x: i for i, x in enumerate(self.ids)}, {x: i for i, x in enumerate(names)}
         self.terms = pa.array(names, pa.string())
-        self.matrix = np.zeros((len(names), len(self.ids)))
-        for r in rows:
-            raw = math.log((n_docs - r.n + 0.5) / (r.n + 0.5))
-            self.matrix[at[r.term], place[r.query_id]] = (raw if raw > 0 else FLOOR) * r.times * (K1 + 1)
+        raw = [math.log((n_docs - r.n + 0.5) / (r.n + 0.5)) for r in rows]
+        term = np.array([at[r.term] for r in rows], np.int64)
+        order = np.argsort(term, kind="stable")
+        self.begin = np.searchsorted(term[order], np.arange(len(names) + 1))
+        self.query = np.array([place[r.query_id] for r in rows], np.int64)[order]
+        self.weight = np.array([(x if x > 0 else FLOOR) * r.times * (K1 + 1) for x, r in zip(raw, rows, strict=True)])[order]
+
+    def matrix(self, terms: np.ndarray) -> np.ndarray:
+        """The weights of some terms, a row each, in all queries."""
+        n = self.begin[terms + 1] - self.begin[terms]
+        at = np.arange(n.sum()) + np.repeat(self.begin[terms] - np.cumsum(n) + n, n)
+        out = np.zeros((len(terms), len(self.ids)))
+        out[np.repeat(np.arange(len(terms)), n), self.query[at]] = self.weight[at]
+        return out
 
 
 def search(queries: DataFrame, terms: DataFrame, known: DataFrame, k: int, stemmed: bool = True) -> DataFrame:
@@ -112,20 +123,26 @@ def search(queries: DataFrame, terms: DataFrame, known: DataFrame, k: int, stemm
     average = average or 1.0
     asked = query_terms(queries, stemmed).join(known, "term")
     id_kind, kind = queries.schema["query_id"].dataType.simpleString(), terms.schema["path"].dataType.simpleString()
-    blocks = max(1, -(-queries.select("query_id").distinct().count() // QUERY_BLOCK))
+    scans = max(1, -(-queries.select("query_id").distinct().count() // (QUERY_BLOCK * SCAN_BLOCKS)))
     out = None
-    for b in range(blocks):
-        own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        sent = spark.sparkContext.broadcast(Weights(own.collect(), n_docs))
+    for scan in range(scans):
+        own = asked if scans == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(scans)) == scan)
+        rows = sorted(own.collect(), key=lambda r: (r.query_id, r.term))
+        block = {x: i // QUERY_BLOCK for i, x in enumerate(dict.fromkeys(r.query_id for r in rows))}
+        parts: list[list] = [[] for _ in range(max(block.values(), default=-1) + 1)]
+        for r in rows:
+            parts[block[r.query_id]].append(r)
+        sent = spark.sparkContext.broadcast([Weights(part, n_docs) for part in parts])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            weights = sent.value
-            best = Best(len(weights.ids), k, highest=True)
-            for batch in batches if weights.ids else ():
+            blocks = [(weights, Best(len(weights.ids), k, highest=True)) for weights in sent.value]
+            for batch in batches if blocks else ():
                 for a in range(0, batch.num_rows, ROWS_AT_ONCE):
-                    best.add(*_scores(batch.slice(a, ROWS_AT_ONCE), weights, average))
-            if found := best.rows():
-                yield pa.RecordBatch.from_arrays([pa.array(weights.ids).take(pa.array(found[0])), found[2], pa.array(found[1])], ["query_id", "path", "score"])
+                    for weights, best in blocks:
+                        best.add(*_scores(batch.slice(a, ROWS_AT_ONCE), weights, average))
+            for weights, best in blocks:
+                if found := best.rows():
+                    yield pa.RecordBatch.from_arrays([pa.array(weights.ids).take(pa.array(found[0])), found[2], pa.array(found[1])], ["query_id", "path", "score"])
 
         got = terms.select("path", "dl", "terms", "tf_title", "tf_body").mapInArrow(run, f"query_id {id_kind}, path {kind}, score double")
         out = got if out is None else out.unionByName(got)
@@ -143,7 +160,7 @@ def _scores(part: pa.RecordBatch, weights: Weights, average: float) -> tuple[np.
     used, code = np.unique(code, return_inverse=True)
     x = np.zeros((part.num_rows, len(used)))
     x[row, code] = f / (f + K1 * (1 - B + B * length / average))
-    scores = (x @ weights.matrix[used]).T
+    scores = (x @ weights.matrix(used)).T
     return scores, part.column(0), scores > 0
 
 

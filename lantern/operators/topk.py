@@ -16,7 +16,7 @@ class Best:
         self.k, self.sign, self.digits = k, -1.0 if highest else 1.0, digits
         self.edge = np.full(queries, np.inf)
         self.held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
-        self.size, self.most = 0, 4 * k * queries + (1 << 17)
+        self.size, self.most = 0, 4 * k * queries + (1 << 15)
 
     def add(self, scores: np.ndarray, keys: pa.Array, eligible: np.ndarray | None = None, exact=None, slack: float = 0.0) -> None:
         """scores: (queries, rows). eligible: which of them count. exact: a function of queries and rows that gives the

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from lantern.operators.keyword import ranked
 from lantern.operators.topk import Best
 
-#: Query vectors that travel to the tasks at once; more go in further blocks.
-QUERY_BLOCK = 2048
-ROWS_AT_ONCE = 2048
+#: Queries and rows that are compared at once, and blocks of queries that travel to the tasks together, so that the rows are
+#: read once for all of them.
+QUERY_BLOCK, ROWS_AT_ONCE, SCAN_BLOCKS = 2048, 2048, 16
 
 
 def _finite(part: pa.Array) -> np.ndarray:
@@ -30,40 +30,40 @@ def _finite(part: pa.Array) -> np.ndarray:
 def knn(queries: DataFrame, rows: DataFrame, k: int, key: str = "path", vector: str = "embedding") -> DataFrame:
     """query_id, path, score (Euclidean distance), rank. queries: query_id, embedding.
 
-    Each task compares its rows with a block of queries by matrix products and keeps, over all of its rows, the k nearest of
+    Each task compares its rows with blocks of queries by matrix products and keeps, over all of its rows, the k nearest of
     each query by exact distances; a window over what the tasks kept decides. A query meets the vectors of its own length;
     vectors that are null or hold a null or non-finite component take no part on either side."""
     spark = rows.sparkSession
     kind = rows.schema[key].dataType.simpleString()
     id_kind = queries.schema["query_id"].dataType.simpleString()
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    scans = max(1, -(-queries.count() // (QUERY_BLOCK * SCAN_BLOCKS)))
     out = None
-    for b in range(blocks):
-        block = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        got = block.select("query_id", F.col(vector).cast("array<double>").alias("v")).collect()
-        sized: dict[int, tuple[list, list]] = {}
-        for r in got:
+    for scan in range(scans):
+        own = queries if scans == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(scans)) == scan)
+        sized: dict[int, list] = {}
+        for r in own.select("query_id", F.col(vector).cast("array<double>").alias("v")).collect():
             if r.v and all(x is not None and np.isfinite(x) for x in r.v):
-                ids, vectors = sized.setdefault(len(r.v), ([], []))
-                ids.append(r.query_id)
-                vectors.append(r.v)
-        sent = spark.sparkContext.broadcast({d: (ids, np.array(v, np.float64)) for d, (ids, v) in sized.items()})
+                sized.setdefault(len(r.v), []).append(r)
+        parts = [same[a : a + QUERY_BLOCK] for same in sized.values() for a in range(0, len(same), QUERY_BLOCK)]
+        sent = spark.sparkContext.broadcast([([r.query_id for r in p], np.array([r.v for r in p], np.float64)) for p in parts])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            best = {d: Best(len(ids), k, highest=False) for d, (ids, _) in sent.value.items()}
-            for batch in batches if best else ():
+            blocks = [(ids, q, Best(len(ids), k, highest=False)) for ids, q in sent.value]
+            for batch in batches if blocks else ():
                 for a in range(0, batch.num_rows, ROWS_AT_ONCE):
                     keys, v = batch.column(0).slice(a, ROWS_AT_ONCE), batch.column(1).slice(a, ROWS_AT_ONCE)
                     whole, size = _finite(v), v.value_lengths().fill_null(-1).to_numpy()
-                    for d, (_, q) in sent.value.items():
+                    for d in {q.shape[1] for _, q, _ in blocks}:
                         own = pa.array(np.flatnonzero(whole & (size == d)))
-                        if len(own):
-                            x = v.take(own).flatten().to_numpy().reshape(-1, d)
-                            square = (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * q @ x.T
-                            best[d].add(np.sqrt(np.maximum(square, 0)), keys.take(own), exact=lambda i, j, q=q, x=x: np.sqrt(((q[i] - x[j]) ** 2).sum(1)), slack=1e-7 * (1 + np.sqrt(np.abs(square).max())))
-            for d, (ids, _) in sent.value.items():
-                if found := best[d].rows():
+                        if not len(own):
+                            continue
+                        x, names = v.take(own).flatten().to_numpy().reshape(-1, d), keys.take(own)
+                        for _, q, best in blocks:
+                            if q.shape[1] == d:
+                                square = (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * q @ x.T
+                                best.add(np.sqrt(np.maximum(square, 0)), names, exact=lambda i, j, q=q, x=x: np.sqrt(((q[i] - x[j]) ** 2).sum(1)), slack=1e-7 * (1 + np.sqrt(np.abs(square).max())))
+            for ids, _, best in blocks:
+                if found := best.rows():
                     yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(found[0])), found[2], pa.array(found[1])], ["query_id", "path", "score"])
 
         near = rows.select(F.col(key).alias("path"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null").mapInArrow(run, f"query_id {id_kind}, path {kind}, score double")

@@ -39,6 +39,28 @@ def test_bm25_like_sqlite(spark):
     assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-9 for p in want)
 
 
+def test_many_blocks_of_queries_give_the_same(spark, monkeypatch):
+    rows = [(f"d{i:03}", f"t{i % 7}", " ".join(f"w{(i * j) % 23}" for j in range(1, 9))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "path string, title string, body string").repartition(3)
+    terms = keyword.forward(docs)
+    q = spark.createDataFrame([(i, f"w{i % 23} w{(5 * i) % 23} t{i % 7} none") for i in range(40)], "query_id long, q string")
+    v = spark.createDataFrame([(i, [float(i % 11), float(i % 5)][: 1 + i % 2]) for i in range(40)], "query_id long, embedding array<double>")
+    w = spark.createDataFrame([(r[0], [float(i % 13), float(i % 4)][: 1 + i % 2]) for i, r in enumerate(rows)], "path string, embedding array<double>")
+
+    def found():
+        a = keyword.search(q, terms, keyword.vocabulary(terms), 4).collect()
+        b = vector.knn(v, w, 4).collect()
+        return [sorted((r.query_id, r["rank"], r.path, round(r.score, 9)) for r in x) for x in (a, b)]
+
+    whole = found()
+    assert len(whole[1]) == 160
+    for module in (keyword, vector):
+        monkeypatch.setattr(module, "QUERY_BLOCK", 3)
+        monkeypatch.setattr(module, "SCAN_BLOCKS", 4)
+        monkeypatch.setattr(module, "ROWS_AT_ONCE", 17)
+    assert found() == whole
+
+
 def test_fusion_and_pool(spark):
     leg = lambda paths: spark.createDataFrame([(1, p, i + 1) for i, p in enumerate(paths)], "query_id long, path string, rank int")
     fused = [r.path for r in vector.fuse([(leg(["a", "b", "c"]), 1.0), (leg(["c", "d"]), 0.5)], 60).orderBy("rank").collect()]
