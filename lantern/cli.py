@@ -114,8 +114,7 @@ def run_status(a: argparse.Namespace, spark: SparkSession, c: settings.Config) -
 
 def report(spark: SparkSession, c: settings.Config, days: float) -> dict:
     log = files.read_log(spark, c.recall_log).filter(F.col("ts") >= F.current_timestamp() - F.make_interval(secs=F.lit(days * 86400)))
-    first = F.col("top").getItem(0)
-    rows = log.select("mode", first["score"].alias("top_score"), "widen_at", "widened", "usd", "secs", F.when(F.size("first_stage_top3") > 0, first["path"]).alias("top1"), F.try_element_at("first_stage_top3", F.lit(1)).alias("first1"))
+    rows = answer.logged(log)
     modes = {r["mode"]: r["count"] for r in rows.groupBy("mode").count().orderBy("mode").collect()}
     return {"days": days} | ledger.usage_report(rows).first().asDict() | {"modes": modes}
 

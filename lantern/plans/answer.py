@@ -251,6 +251,13 @@ def _log(hits: DataFrame, first: DataFrame, wide: DataFrame, pool: DataFrame, st
     return both.select(F.current_timestamp().alias("ts"), "q", "mode", "top", F.coalesce("pool", F.lit(0)).alias("pool"), "widened", F.round("usd", 6).alias("usd"), "tokens", F.round("secs", 2).alias("secs"), "note", "kind", "first_stage_top3", at.alias("widen_at"), F.lit(caller).alias("caller"), F.lit(session).cast("string").alias("session"), "query_id")
 
 
+def logged(log: DataFrame) -> DataFrame:
+    """A recall log's rows as `ledger.usage_report` takes them."""
+    first = F.try_element_at("top", F.lit(1))
+    compared = F.when(F.size("first_stage_top3") > 0, first["path"])
+    return log.select("mode", first["score"].alias("top_score"), "widen_at", "widened", "usd", "secs", compared.alias("top1"), F.try_element_at("first_stage_top3", F.lit(1)).alias("first1"))
+
+
 def percentile(values: list[float], share: float) -> float | None:
     """The order statistic at a share of the number of values; None without any."""
     return sorted(values)[min(len(values) - 1, math.floor(len(values) * share))] if values else None

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from lantern.functions import text as T
 from lantern.functions import vectors as V
-from lantern.operators import evaluate, keyword, ledger, maintain, rare, rerank, vector
-from lantern.plans import search
-from lantern.scratch import once, saved
+from lantern.config import Config
+from lantern.operators import evaluate, keyword, ledger, maintain, rare, rerank, scorers, vector
+from lantern.plans import answer, benchmark, search
+from lantern.scratch import once, saved, scratch_path
 from lantern.shipping import ship
+from lantern.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 SETTINGS = search.Settings()
@@ -132,6 +134,16 @@ def frontmatter_body(spark: SparkSession, d: str) -> DataFrame:
     return n.select("c_custkey", F.coalesce(F.try_element_at("fm", F.lit("title")), F.lit("")).alias("title"), F.coalesce(F.try_element_at("fm", F.lit("segment")), F.lit("")).alias("segment"), "body")
 
 
+@query
+def indexed_title(spark: SparkSession, d: str) -> DataFrame:
+    """Files as documents: the words of the frontmatter that are indexed beside the title, and the label of each."""
+    c, key = read(spark, d, "customer"), F.col("c_custkey")
+    fm = F.concat(F.lit("---\ntitle: "), "c_name", F.lit("\nkeywords: "), "c_mktsegment", F.when(key % 2 == 0, F.concat(F.lit("\nsummary: nation "), F.col("c_nationkey").cast("string"))).otherwise(""), F.when(key % 3 == 0, "\nkind: note").otherwise(""), F.lit("\nas_of: 2024-02-0"), (key % 9 + 1).cast("string"), F.lit("T00:00\n---\n"))
+    rows = c.select(F.concat(F.when(key % 5 == 0, "log/").otherwise("home/"), key.cast("string"), F.lit(".md")).alias("path"), F.lit("r").alias("root"), F.concat(fm, F.lit("body "), key.cast("string")).alias("text"))
+    docs = files.documents(rows, {"defaults": {"log/*": "record"}, "date_fields": ["missing", "as_of"]})
+    return docs.select("path", F.concat_ws(" ", "title", F.nullif("extra", F.lit(""))).alias("indexed"), "summary", "body", "kind", "date")
+
+
 @query
 def doc_title(spark: SparkSession, d: str) -> DataFrame:
     p, key = read(spark, d, "part"), F.col("p_partkey")
@@ -209,6 +221,17 @@ def session_markdown(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", T.session_markdown(F.col("conv_id"), F.lit("2024-01-01"), F.col("turns")).alias("markdown"))
 
 
+@query
+def dataset_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark questions whose haystacks are conversations, a question for each remainder by 7, as documents under blind names."""
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("content")))), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    c = read(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
+    each = c.groupBy((F.col("conv_id") % 7).cast("string").alias("question_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("conv_id").cast("string").alias("id"), F.concat(F.lit("2024-01-"), F.lpad((F.col("conv_id") % 28 + 1).cast("string"), 2, "0")).alias("date"), "turns"))).alias("s"))
+    data = each.select("question_id", F.transform("s", lambda x: x["id"]).alias("haystack_session_ids"), F.transform("s", lambda x: x["date"]).alias("haystack_dates"), F.transform("s", lambda x: x["turns"]).alias("haystack_sessions"), F.transform(F.slice("s", 1, 2), lambda x: x["id"]).alias("answer_session_ids"))
+    rows = benchmark.sessions(data).join(benchmark.gold(data), "question_id")
+    return rows.select("question_id", "path", F.md5("body").alias("body_md5"), F.array_contains("gold", F.col("path")).alias("gold"))
+
+
 # --- vectors ----------------------------------------------------------------------------------------------------
 
 
@@ -397,6 +420,32 @@ def answer_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "path", "rank", "mode", F.round("score", 6).alias("score"), "ord")
 
 
+@query
+def plugin_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The windows of the pool as a plug-in scorer sees and scores them, a question in a task."""
+    asked, index, pool = _pool(spark, d)
+    windows = rerank.file_windows(index.docs.join(pool.select("path").distinct(), "path", "left_semi"), SETTINGS.window_words, SETTINGS.max_windows)
+    pairs = pool.select("query_id", "path").join(asked, "query_id").join(windows, "path")
+    return scorers.score_windows(pairs, {"backend": "lexical"}).select("query_id", "path", "ord", F.round("score", 6).alias("score"))
+
+
+@query
+def recall_with_scorer(spark: SparkSession, d: str) -> DataFrame:
+    """The whole recall by a plug-in scorer: gate, budget, windows, scores and one widening."""
+    c = Config([], scratch_path(spark, "recall"), scorer={"backend": "lexical"}, widen_at=SETTINGS.widen_at)
+    hits, _ = answer.recall(questions(spark, d), index_of(spark, d), c, SETTINGS, 5, record=False)
+    return hits.select("query_id", "path", "rank", "mode", F.round("score", 6).alias("score"))
+
+
+@query
+def recall_log_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What a recall logs of each question."""
+    c = Config([], scratch_path(spark, "recall"), scorer={"backend": "lexical"}, widen_at=SETTINGS.widen_at)
+    answer.recall(questions(spark, d), index_of(spark, d), c, SETTINGS, 5)
+    log = files.read_log(spark, c.recall_log)
+    return log.select("q", "mode", "widened", "pool", F.size("top").alias("n_top"), F.round(F.col("top").getItem(0)["score"], 6).alias("best"), F.element_at("first_stage_top3", 1).alias("first"), "usd")
+
+
 @query
 def widen_once(spark: SparkSession, d: str) -> DataFrame:
     found = search.recall(questions(spark, d), index_of(spark, d), SETTINGS)
@@ -459,6 +508,27 @@ def doc_labels(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(labels, "doc_id", "left").select("doc_id", kind.alias("kind"), evaluate.first_date(F.lit(""), F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"), F.lit("T00:00"))).alias("date"))
 
 
+@query
+def ledger_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Spend appended to a ledger in two calls and read back, summed by caller and day."""
+    path, rows = scratch_path(spark, "ledger"), spend(spark, d)
+    rows = rows.select(F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("micros"), "event_id", "tokens", "usd", "caller", "session")
+    rows = rows.select((F.col("micros") / 1e6).alias("ts"), F.lit(1).alias("pid"), F.lit("lexical").alias("backend"), F.col("tokens").cast("long").alias("tokens"), "usd", "caller", "session", "event_id")
+    for part in (0, 1):
+        files.append_json(rows.filter(F.col("event_id") % 2 == part).drop("event_id"), path)
+    back = files.read_ledger(spark, path).withColumn("caller", ledger.caller_of(F.col("caller")))
+    return back.groupBy("caller", F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), F.round(F.sum("usd"), 6).alias("usd"), F.countDistinct("session").alias("sessions"))
+
+
+@query
+def logged_report(spark: SparkSession, d: str) -> DataFrame:
+    """The usage report over a recall log that was written and read back."""
+    path, rows = scratch_path(spark, "log"), recall_log(spark, d)
+    name = lambda c: F.concat(F.lit("f"), F.col(c).cast("string"))
+    files.append_json(rows.select("mode", F.array(F.struct(name("top1").alias("path"), F.col("top_score").alias("score"))).alias("top"), "widened", "usd", "secs", F.array(name("first1")).alias("first_stage_top3"), "widen_at"), path)
+    return ledger.usage_report(answer.logged(files.read_log(spark, path)))
+
+
 # --- maintenance ------------------------------------------------------------------------------------------------
 
 
@@ -510,6 +580,18 @@ def gold(spark: SparkSession, d: str) -> DataFrame:
     return asked.join(rare.term_files(asked, _files(spark, d)), "term").select("query_id", "path").distinct()
 
 
+@query
+def question_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Questions written as JSON lines and read back, with the gold files that the index holds; every fifth names one it doesn't."""
+    path = scratch_path(spark, "questions")
+    own = gold(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_set("path")).alias("gold"))
+    rows = items(spark, d).join(own, "query_id", "left").select("q", F.when(F.col("query_id") % 5 == 0, F.array(F.lit("doc/none.md"))).otherwise(F.col("gold")).alias("gold"), F.when(F.col("query_id") % 5 != 0, F.lit(None)).otherwise(F.array(F.lit("unused"))).alias("ev"))
+    rows.write.json(path)
+    asked = files.read_questions(spark, path)
+    known = asked.select("query_id", F.explode("gold").alias("path")).join(corpus(spark, d).select("path"), "path", "left_semi").groupBy("query_id").agg(F.count("*").alias("known"))
+    return asked.join(known, "query_id", "left").groupBy("q").agg(F.sum(F.size("gold")).alias("n_gold"), F.sum(F.coalesce("known", F.lit(0))).alias("known"))
+
+
 @query
 def eval_first_stage(spark: SparkSession, d: str) -> DataFrame:
     asked, own = items(spark, d), saved(gold(spark, d), "gold")

@@ -308,6 +308,17 @@ QUERIES: dict[str, tuple[list[str], str]] = {
     "none_scores": (["pool"], "SELECT query_id, path, pos, round(1.0::DOUBLE - (pos - 1) / count(*) OVER (PARTITION BY query_id)::DOUBLE, 6) AS score FROM pool"),
     "token_estimate": (["pool", "windows", "questions"], "SELECT query_id, sum(length(text) + length(q) + 200)::BIGINT // 3 AS tokens FROM pool JOIN windows USING (path) JOIN questions USING (query_id) GROUP BY query_id"),
     "answer_search": (["recalled"], "SELECT query_id, path, rank, mode, round(score, 6) AS score, ord FROM recalled WHERE rank <= 5"),
+    "plugin_scores": (["s_scored"], "SELECT query_id, path, ord, round(score, 6) AS score FROM s_scored"),
+    "recall_with_scorer": (["recalled"], "SELECT query_id, path, rank, mode, round(score, 6) AS score FROM recalled WHERE rank <= 5"),
+    "recall_log_rows": (["recalled", "wider", "pool", "q20_hybrid", "questions"], """SELECT q, mode, query_id IN (SELECT query_id FROM wider) AS widened, (SELECT count(*) FROM pool p WHERE p.query_id = r.query_id) + (SELECT count(*) FROM wider w WHERE w.query_id = r.query_id) AS pool, least(3, n) AS n_top, best,
+      (SELECT path FROM q20_hybrid h WHERE h.query_id = r.query_id AND h.rank = 1) AS first, 0.0::DOUBLE AS usd FROM (SELECT query_id, any_value(mode) AS mode, count(*) AS n, round(max(score) FILTER (rank = 1), 6) AS best FROM recalled WHERE rank <= 5 GROUP BY query_id) r JOIN questions USING (query_id)"""),
+    "ledger_rows": (["spend"], "SELECT caller, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS calls, sum(tokens)::BIGINT AS tokens, round(sum(usd), 6) AS usd, count(DISTINCT session) AS sessions FROM spend GROUP BY 1, 2"),
+    "indexed_title": ([], """SELECT (CASE WHEN c_custkey % 5 = 0 THEN 'log/' ELSE 'home/' END) || c_custkey || '.md' AS path, c_name || ' ' || c_mktsegment || (CASE WHEN c_custkey % 2 = 0 THEN ' nation ' || c_nationkey ELSE '' END) AS indexed, CASE WHEN c_custkey % 2 = 0 THEN 'nation ' || c_nationkey ELSE '' END AS summary,
+      'body ' || c_custkey AS body, CASE WHEN c_custkey % 3 = 0 THEN 'note' WHEN c_custkey % 5 = 0 THEN 'record' ELSE '' END AS kind, '2024-02-0' || (c_custkey % 9 + 1) AS date FROM customer"""),
+    "dataset_sessions": ([], r"""WITH c AS (SELECT conv_id, (conv_id % 7)::VARCHAR AS question_id, 's' || left(sha256((conv_id % 7)::VARCHAR || ':' || conv_id), 10) AS name, row_number() OVER (PARTITION BY conv_id % 7 ORDER BY conv_id::VARCHAR) AS r,
+       string_agg('**' || role || ':** ' || coalesce(text, ''), E'\n\n' ORDER BY turn) AS turns FROM conversations GROUP BY conv_id)
+      SELECT question_id, name || '.md' AS path, md5('# Session ' || name || E'\n\nDate: 2024-01-' || lpad((conv_id % 28 + 1)::VARCHAR, 2, '0') || E'\n\n' || turns) AS body_md5, r <= 2 AS gold FROM c"""),
+    "question_rows": (["asked", "gold"], "SELECT q, sum(CASE WHEN query_id % 5 = 0 THEN 1 ELSE coalesce(n, 0) END)::BIGINT AS n_gold, sum(CASE WHEN query_id % 5 = 0 THEN 0 ELSE coalesce(n, 0) END)::BIGINT AS known FROM asked LEFT JOIN (SELECT query_id, count(*) AS n FROM gold GROUP BY query_id) USING (query_id) GROUP BY q"),
     "widen_once": (["recalled", "wider"], "SELECT query_id, query_id IN (SELECT query_id FROM wider) AS widened, round(max(score), 6) AS best FROM recalled WHERE rank <= 5 GROUP BY query_id"),
     "gate_modes": (["gated"], "SELECT CASE WHEN asks THEN 'rerank:lexical' ELSE 'keyword' END AS mode, count(*) AS n, min(query_id) AS first_query FROM gated GROUP BY 1"),
     "rolling_spend": (["spend"], "SELECT event_id, caller, round(sum(usd) OVER (PARTITION BY caller ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW), 6) AS spend FROM spend"),
@@ -333,6 +344,8 @@ QUERIES: dict[str, tuple[list[str], str]] = {
     "answerable_filter": (["kept_types"], "SELECT kind, c AS n FROM kept_types"),
 }
 
+QUERIES["logged_report"] = QUERIES["usage_report"]
+
 
 def oracle_sql() -> dict[str, str]:
     out = {k: with_ctes(n, s) if n else s for k, (n, s) in QUERIES.items()}
