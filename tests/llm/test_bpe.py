@@ -19,7 +19,7 @@ def test_matches_library(vocabulary):
     ranks = bpe.read_ranks(vocabulary)
     want = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
-    for t in TEXTS:
+    for t in [*TEXTS, "the quick brown Füchse 12 " * 50_000 + "xyz" * 20_000]:
         ids = codec.encode(t)
         assert ids.tolist() == want.encode_ordinary(t)
         assert codec.decode(ids) == t.encode()

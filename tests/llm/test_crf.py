@@ -53,7 +53,7 @@ def test_held_out(spark):
             w.insert(r.randrange(len(w) + 1), r.choice(bad).upper())
         docs.append((i, " ".join(w)))
         labels.append((i, None if i == 9 else int(toxic)))
-    docs += [(600, None), (601, "..."), (602, "é1 grok é2"), (None, "grok"), (0, docs[0][1]), (603, "é1 " * 100000 + "zorp")]
+    docs += [(600, None), (601, "..."), (602, "é1 grok é2"), (None, "grok"), (0, docs[0][1]), (603, "é1 " * 300000 + "zorp")]
     d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, spans int").repartition(3)
     got = crf.classify(d, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
     assert len(got) == len(docs)
@@ -61,7 +61,7 @@ def test_held_out(spark):
     assert all(x.predicted == int(x.doc_id % 4 == 0) for x in held)
     by = {x.doc_id: x for x in got}
     assert by[600].score == 0 and by[601].score == 0 and by[603].predicted == 1
-    assert [tuple(s) for s in by[602].spans] == [(4, 8)] and [tuple(s) for s in by[603].spans] == [(400000, 400004)]
+    assert [tuple(s) for s in by[602].spans] == [(4, 8)] and [tuple(s) for s in by[603].spans] == [(1200000, 1200004)]
     none = crf.classify(d, spark.createDataFrame([], "doc_id long, toxic int")).agg({"score": "max"}).first()[0]
     assert none == 0 and crf.classify(d.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
 

@@ -29,7 +29,7 @@ def texts():
 
 
 def test_base_matches_brute_force(spark):
-    rows = [(i, t, "mit") for i, t in enumerate(texts())] + [(None, "cc by nc", "a"), (5, "cc by nc", "b")]
+    rows = [(i, t, "mit") for i, t in enumerate(texts())] + [(None, "cc by nc", "a"), (5, "cc by nc", "b"), (7000, "CC BY-NC " * 120_000 + "x", "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, label string").repartition(3)
     got = licenses.scan(docs).collect()
     have = sorted(str((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels)) for r in got)

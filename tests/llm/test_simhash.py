@@ -74,3 +74,12 @@ def test_components(spark, hot):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
+
+
+def test_long_texts(spark):
+    r = random.Random(8)
+    long = " ".join(r.choice("abcdefgh") * r.randrange(1, 9) for _ in range(260_000))
+    rows = [(1, long), (2, long.upper()), (3, "short " + long)]
+    assert len(long) > 1 << 20
+    got = {x.doc_id: (x.fingerprint, x.component_id) for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: f for i, (f, _) in got.items()} == {i: f"{brute_print(t):016x}" for i, t in rows} and got[2] == got[1] and got[1][1] == 1
