@@ -4,7 +4,8 @@ On a bounded sample, a neighbour graph is cut into balanced parts by recursive s
 cut. A small network learns the parts of a vector's neighbours. It then deals every vector of the table to its most
 probable part, and each query to its several most probable parts, whose vectors are reranked by exact distances. How many
 parts a query visits is set on the sample, so that TARGET of its neighbours are found; a query that finds fewer than k
-candidates there visits all parts. There are as many parts as rows call for, but for SAMPLE_PART rows of the sample a part.
+candidates there visits all parts. There are as many parts as rows call for, up to 2,048, as each takes 32 vectors of a sample
+of 65,536 at most; in a still larger table parts grow and are searched in blocks.
 
 Equal vectors are one class with its k + 1 smallest ids, as no result needs more of them. Parts are split into blocks
 of bounded size on both sides, so no task holds a whole part and no join multiplies rows beyond (query, part, block).
@@ -18,6 +19,8 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -26,8 +29,11 @@ from pyspark.sql import functions as F
 from .common import prepare, saved
 
 K = 10
-#: Distinct vectors at most that the parts and the network are fitted on.
-FIT_ROWS = 8192
+#: Distinct vectors that the parts and the network are fitted on: at least FIT_ROWS, if there are so many, more where the rows
+#: call for more parts, and MOST_FIT at most.
+FIT_ROWS, MOST_FIT = 8192, 65_536
+#: Vectors of the sample on which the number of visits is set, at most.
+TESTED = 4096
 #: Vectors of a part, about.
 PART_ROWS = 2048
 #: Rows of the sample that a part has at least.
@@ -46,10 +52,11 @@ def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     k = min(k, len(x) - 1)
     norm = (x * x).sum(1)
     out = np.empty((len(x), k), np.int64)
-    for a in range(0, len(x), 1024):
-        d = norm - 2 * x[a : a + 1024] @ x.T
+    step = max(64, (1 << 23) // len(x))
+    for a in range(0, len(x), step):
+        d = norm - 2 * x[a : a + step] @ x.T
         d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-        out[a : a + 1024] = np.argpartition(d, k - 1, axis=1)[:, :k]
+        out[a : a + step] = np.argpartition(d, k - 1, axis=1)[:, :k]
     return out
 
 
@@ -111,7 +118,8 @@ class Router:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
-    def fit(self, x: np.ndarray, target: np.ndarray, rng: np.random.Generator, rounds: int = 25, batch: int = 256) -> None:
+    def fit(self, x: np.ndarray, target: Callable[[np.ndarray], np.ndarray], rng: np.random.Generator, rounds: int = 25, batch: int = 256) -> None:
+        """target: the probabilities to learn of some rows of x."""
         m, s, t = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w], 0
         for _ in range(rounds):
             order = rng.permutation(len(x))
@@ -120,7 +128,7 @@ class Router:
                 h = np.maximum(x[own] @ self.w[0] + self.w[1], 0)
                 z = h @ self.w[2] + self.w[3]
                 z = np.exp(z - z.max(axis=1, keepdims=True))
-                d = (z / z.sum(axis=1, keepdims=True) - target[own]) / len(own)
+                d = (z / z.sum(axis=1, keepdims=True) - target(own)) / len(own)
                 back = (d @ self.w[2].T) * (h > 0)
                 t += 1
                 for i, g in enumerate([x[own].T @ back, back.sum(0), h.T @ d, d.sum(0)]):
@@ -143,16 +151,21 @@ class Parts:
         x = (sample - self.mean) / self.scale
         graph = neighbour_graph(sample, k)
         label = balanced_parts(graph, self.count, rng)
-        soft = np.zeros((len(x), self.count))
-        np.add.at(soft, (np.repeat(np.arange(len(x)), graph.shape[1]), label[graph].ravel()), 0.5 / graph.shape[1])
-        soft[np.arange(len(x)), label] += 0.5
         held = rng.permutation(len(x))
-        test, train = held[: len(x) // 4], held[len(x) // 4 :]
+        many = min(len(x) // 4, TESTED)
+        test, train = held[:many], held[many:]
+
+        def shares(rows: np.ndarray) -> np.ndarray:
+            """Of a vector's own part one half, and the other of those of its neighbours."""
+            own, out = train[rows], np.zeros((len(rows), self.count))
+            np.add.at(out, (np.repeat(np.arange(len(own)), graph.shape[1]), label[graph[own]].ravel()), 0.5 / graph.shape[1])
+            out[np.arange(len(own)), label[own]] += 0.5
+            return out
+
         self.net = Router(sample.shape[1], self.count, rng)
-        self.net.fit(x[train], soft[train], rng)
-        p = self.net.probabilities(x)
-        home = p.argmax(1)
-        order = np.argsort(-p[test], axis=1)
+        self.net.fit(x[train], shares, rng)
+        home = self.homes(sample)
+        order = np.argsort(-self.net.probabilities(x[test]), axis=1)
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.arange(self.count)[None, :].repeat(len(test), 0), 1)
         found = np.take_along_axis(rank, home[graph[test]], 1)
@@ -160,7 +173,10 @@ class Parts:
         self.visits = next(m for m in range(1, self.count + 1) if share[m - 1] >= target)
 
     def homes(self, x: np.ndarray) -> np.ndarray:
-        return np.zeros(len(x), np.int64) if self.count == 1 else self.net.probabilities((x - self.mean) / self.scale).argmax(1)
+        if self.count == 1:
+            return np.zeros(len(x), np.int64)
+        parts = [self.net.probabilities((x[a : a + 2048] - self.mean) / self.scale).argmax(1) for a in range(0, len(x), 2048)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
     def routes(self, x: np.ndarray) -> np.ndarray:
         if self.count == 1:
@@ -226,7 +242,8 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_c
     kept = base.distinct().withColumn("r", F.row_number().over(smallest)).filter(F.col("r") <= k + 1)
     classes = saved(kept.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "classes")
     total = classes.count()
-    sample = np.array([r.v for r in classes.select("v").orderBy(F.xxhash64("v"), "v").limit(fit_rows).collect()])
+    wanted = min(MOST_FIT, max(fit_rows, SAMPLE_PART * (total // part_rows)))
+    sample = np.array([r.v for r in classes.select("v").orderBy(F.xxhash64("v"), "v").limit(wanted).collect()])
     parts = Parts(sample, total, k, part_rows=part_rows, target=target)
     sent = spark.sparkContext.broadcast(parts)
 
@@ -255,10 +272,12 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_c
     def nearest(routed: DataFrame) -> DataFrame:
         """query_id, vec_id, score, rank of the k nearest in the parts that queries (id, v, part) are dealt to."""
         queries_of = sizes(routed)
-        as_map = lambda m: F.create_map(*[x for p in range(parts.count) for x in (F.lit(p), F.lit(int(m.get(p, 1))))])[F.col("part")]
+        # a row a part, of which there are 2,048 at most
+        sizes_of = spark.createDataFrame([(p, blocks_of.get(p, 1), queries_of.get(p, 1)) for p in range(parts.count)], "part int, n_c int, n_q int")
+        sized = lambda df: df.join(F.broadcast(sizes_of), "part")
         # vectors go to one of their part's blocks and meet every block of its queries, and the other way round
-        left = index.withColumn("c", F.pmod(F.xxhash64("v"), as_map(blocks_of)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), as_map(queries_of) - 1)))
-        right = routed.withColumn("q", F.pmod(F.xxhash64("id"), as_map(queries_of)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), as_map(blocks_of) - 1)))
+        left = sized(index).select("v", "ids", "part", F.pmod(F.xxhash64("v"), F.col("n_c")).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("q"))
+        right = sized(routed).select("id", "v", "part", F.pmod(F.xxhash64("id"), F.col("n_q")).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("n_c") - 1)).alias("c"))
         found = left.groupBy("part", "c", "q").cogroup(right.groupBy("part", "c", "q")).applyInPandas(compare, "query_id long, vec_id long, score double")
         return best(found)
 
