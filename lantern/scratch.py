@@ -22,8 +22,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_MADE: set[str] = set()
+
+
+def _folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder, which goes when the application's driver ends."""
+    path = f"{shared_dir(spark)}/lantern-{spark.sparkContext.applicationId}"
+    if path not in _MADE:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _MADE.add(path)
+    return path
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lantern-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -49,5 +64,6 @@ def clear(spark: SparkSession) -> None:
     """Delete this session's scratch tables; results that still read them are void after it."""
     for key in [k for k in _KEPT if k[0] == spark.sparkContext.applicationId]:
         del _KEPT[key]
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lantern-{spark.sparkContext.applicationId}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _MADE.discard(_folder(spark))
