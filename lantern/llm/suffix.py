@@ -44,7 +44,7 @@ GRAM = 50
 #: Different stretches of a group above which it is dealt on before it is sorted.
 LARGE = 512
 #: Bytes of stretches that are sorted at once, and about so many of a task.
-SORT_BYTES, TASK_BYTES = 2 << 20, 4 << 20
+SORT_BYTES, TASK_BYTES = 1 << 20, 4 << 20
 
 _SEED2 = np.uint64(0x5851F42D4C957F2D)
 
