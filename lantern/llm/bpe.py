@@ -39,18 +39,19 @@ class Merger:
         self.pieces = {v: k for k, v in ranks.items()}
 
     def merge(self, piece: bytes) -> list[int]:
-        whole = self.ranks.get(piece)
+        ranks, longest = self.ranks, self.longest
+        whole = ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, rank, longest = len(piece), self.ranks.get, self.longest
+        n, rank = len(piece), ranks.get
         if n < 2:
-            return [self.ranks[piece[i : i + 1]] for i in range(n)]
-        size = 1 << (n - 1).bit_length()
-        tree = [_NONE] * (2 * size)
-        for i in range(n - 1):
-            tree[size + i] = rank(piece[i : i + 2], _NONE)
+            return [ranks[piece[i : i + 1]] for i in range(n)]
+        # a leaf for each pair of neighbours; its place is that of the pair's first byte
+        size = 1 << (n - 2).bit_length()
+        tree = [_NONE] * size + [rank(piece[i : i + 2], _NONE) for i in range(n - 1)] + [_NONE] * (size - n + 1)
         for i in range(size - 1, 0, -1):
-            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+            one, two = tree[2 * i], tree[2 * i + 1]
+            tree[i] = one if one <= two else two
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while (least := tree[1]) != _NONE:
             node = 1
@@ -61,30 +62,49 @@ class Merger:
             at = node - size
             gone = after[at]
             end = after[at] = after[gone]
-            changed = [(gone, _NONE)]
             if end < n:
                 before[end] = at
                 to = after[end]
-                changed.append((at, rank(piece[at:to], _NONE) if to - at <= longest else _NONE))
+                value = rank(piece[at:to], _NONE) if to - at <= longest else _NONE
             else:
-                changed.append((at, _NONE))
+                value = _NONE
+            # point updates: up from a leaf as long as an inner node changes
+            while True:
+                tree[node] = value
+                if node == 1:
+                    break
+                other = tree[node ^ 1]
+                if other < value:
+                    value = other
+                node >>= 1
+                if tree[node] == value:
+                    break
+            if gone < n - 1:
+                node, value = size + gone, _NONE
+                while True:
+                    tree[node] = value
+                    other = tree[node ^ 1]
+                    if other < value:
+                        value = other
+                    node >>= 1
+                    if not node or tree[node] == value:
+                        break
             left = before[at]
             if left >= 0:
-                changed.append((left, rank(piece[left:end], _NONE) if end - left <= longest else _NONE))
-            for at, value in changed:
-                node = size + at
-                tree[node] = value
-                while node > 1:
+                node, value = size + left, rank(piece[left:end], _NONE) if end - left <= longest else _NONE
+                while True:
+                    tree[node] = value
+                    if node == 1:
+                        break
                     other = tree[node ^ 1]
                     if other < value:
                         value = other
                     node >>= 1
                     if tree[node] == value:
                         break
-                    tree[node] = value
         out, at = [], 0
         while at < n:
-            out.append(self.ranks[piece[at : after[at]]])
+            out.append(ranks[piece[at : after[at]]])
             at = after[at]
         return out
 
