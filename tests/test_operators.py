@@ -275,7 +275,7 @@ def test_a_build_goes_on_while_the_service_is_down(spark, tmp_path, monkeypatch)
 def test_html(spark):
     pages = {
         "<html><head><title> A &amp; B </title><style>p{x:'>'}</style></head><body><h2 class='a>b'>Head</h2><p>one<br>two &lt;b&gt;</p><script>if (a < b) { c(); }</script>three": "# A & B\n\n## Head\n\none\ntwo <b>\nthree",
-        "<title>T</title><h1>Own</h1>text<!-- <p>no</p> --> <b>bold</b>": "# Own\ntext bold",
+        "<title>T</title><h1>Own</h1>text<!-- <p>no</p> --> <b>bold</b>": "# T\n\nT\n\n# Own\ntext bold",
         "plain <i>text": "plain text",
         "<svg><text>no</text></svg><template>no</template><noscript>no</noscript>yes": "yes",
         "<p>a</p>\n\n\n\n<p>b</p>": "a\n\nb",

@@ -54,8 +54,9 @@ def test_documents(spark):
     assert one(spark, text.fixed_chunks(F.col("d"), 2), d=" a b\nc ") == ["a b", "c"] and one(spark, text.fixed_chunks(F.col("d"), 2), d="") == [""]
     assert one(spark, text.excluded(F.col("p"), ["node_modules/**", "**/x/**", "[ab]?.md"]), p="q/x/y.md") and not one(spark, text.excluded(F.col("p"), ["**/x/**"]), p="x/y.md")
     html = "<html><head><title>My  page</title><style>p{}</style></head><body><h2>Sub</h2><p>one &amp; two<script>no()</script><div>end"
-    assert text.html_text(html) == "# My page\n\n## Sub\n\none & two\nend"
-    assert text.html_text(None) == "" and text.html_text("<h1>T</h1>").startswith("# T")
+    page = lambda h: spark.createDataFrame([(h,)], "h string").select(text.html_to_text(F.col("h")).alias("t")).first().t
+    assert page(html) == "# My page\n\n## Sub\n\none & two\nend"
+    assert page(None) == "" and page("<h1>T</h1>").startswith("# T")
 
 
 def test_prompts_and_probability(spark):
@@ -77,7 +78,7 @@ def test_vectors(spark):
     n = sum(x * x for x in want) ** 0.5
     assert all(abs(a - b / n) < 1e-12 for a, b in zip(got["a"], want, strict=True)) and set(got["b"]) == {0.0} == set(got["c"])
     with pytest.raises(ValueError):
-        vectors.hash_vectors(df, "k", "t", 48)
+        vectors.hash_vectors(df, "k", "t", 0)
 
 
 def test_stemmer_like_the_engine_of_sqlite():
