@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import ann, bpe, crf, decontam, langid, licenses, nbsvm, simhash, suffix, warc
+from . import ann, bpe, collocations, crf, decontam, langid, licenses, nbsvm, negatives, ngram_lm, simhash, suffix, warc
 from .common import table
+from .labelled import remainder
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +66,29 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN n USING (u) LEFT JOIN i USING (u)
 """
 
+OP11_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS c FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS (SELECT vec_id, label, c[i] AS x, i FROM v, unnest(range(1, len(c) + 1)) t(i)),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, sum(a.x * b.x)::BIGINT AS score FROM e a JOIN e b USING (i) WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id GROUP BY ALL),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM d)),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+f AS (SELECT lang, w[s:s + m - 1] AS p, count(*) AS f FROM w, unnest([1, 2, 3, 4]) x(m), unnest(range(1, len(w) - m + 2)) y(s) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, p, f AS a, k, p[1:k] AS one, p[k + 1:] AS two FROM f, unnest(range(1, len(p))) x(k)),
+t AS (SELECT c.lang, c.p, a, k, f1.f AS l, f2.f AS r, (2000000::HUGEINT * a // (f1.f + f2.f))::BIGINT AS score FROM c JOIN f f1 ON f1.lang = c.lang AND f1.p = one JOIN f f2 ON f2.lang = c.lang AND f2.p = two),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS i FROM t) WHERE i = 1),
+i AS (SELECT lang, p[s:s + m - 1] AS p, max(f) AS longer FROM f, unnest(range(2, len(p))) x(m), unnest(range(1, len(p) - m + 2)) y(s) GROUP BY ALL),
+o AS (SELECT b.*, array_to_string(p, ' ') AS phrase FROM b LEFT JOIN i USING (lang, p) WHERE NOT coalesce(100::HUGEINT * longer >= 80::HUGEINT * a, false))
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o) JOIN n USING (lang) WHERE rank <= 2000
+"""
 
 
 def _op6_sql() -> str:
@@ -118,9 +143,24 @@ def op10_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.proximity_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, rows.filter("vec_id % 100 = 0"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ngram_lm.score_texts(docs, remainder(docs["doc_id"], 10) == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": corpus_pipeline.run, "op1_warc": op1_warc, "op2_ann_learned_partitions": op2_ann_learned_partitions, "op3_quality_nbsvm": op3_quality_nbsvm, "op4_language_id": op4_language_id, "op5_toxicity_crf": op5_toxicity_crf, "op6_license_scan": op6_license_scan, "op10_decontamination": op10_decontamination, "op10_proximity": op10_proximity, "op7_suffix_array_dedup": op7_suffix_array_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_simhash_bktree": op9_simhash_bktree}
+    return {"pipeline": corpus_pipeline.run, "op1_warc": op1_warc, "op2_ann_learned_partitions": op2_ann_learned_partitions, "op3_quality_nbsvm": op3_quality_nbsvm, "op4_language_id": op4_language_id, "op5_toxicity_crf": op5_toxicity_crf, "op6_license_scan": op6_license_scan, "op10_decontamination": op10_decontamination, "op10_proximity": op10_proximity, "op7_suffix_array_dedup": op7_suffix_array_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_simhash_bktree": op9_simhash_bktree, "op11_hard_negatives": op11_hard_negatives, "op12_collocations": op12_collocations, "op13_backoff_lm": op13_backoff_lm}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op6_license_scan": _op6_sql(), "op7_suffix_array_dedup": OP7_SQL, "op10_decontamination": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op6_license_scan": _op6_sql(), "op7_suffix_array_dedup": OP7_SQL, "op10_decontamination": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_collocations": OP12_SQL}
