@@ -178,8 +178,10 @@ def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, le
     """id, url, html, refers_to (null: a response)."""
     small = pages.select(pages[id_col].alias("id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"))
     small = small.withColumn("digest", F.unhex(F.sha1("html")))
-    groups = small.filter(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
-    joined = small.join(groups.select("digest", "first"), "digest", "left")
+    sized = small.filter(F.octet_length("html") >= least_bytes).select("id", "digest")
+    groups = sized.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
+    # written before the join, which then deals the pages by itself, so that a frequent payload's can be split
+    joined = small.join(saved(groups.select("digest", "first"), "first"), "digest", "left")
     return joined.select("id", "url", "html", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
