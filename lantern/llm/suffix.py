@@ -334,6 +334,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), docs[id_col].alias("id"), *[docs[c].alias(f"own_{i}") for i, c in enumerate(carry)])
     found = repeated_stretches(small.select("text"), length, gram, large, block).distinct()
     spans = found.groupBy("k1", "k2").agg(F.collect_list("s").alias("begins"), F.collect_list("e").alias("stops"))
+    # written before the join, which then deals the texts by itself, so that a frequent text's rows can be split
+    spans = saved(spans, "spans")
     joined = small.select(*content_key(F.col("text")), "id", "text", *[f"own_{i}" for i in range(len(carry))]).join(spans, ["k1", "k2"], "left").drop("k1", "k2")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
