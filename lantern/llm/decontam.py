@@ -334,7 +334,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", wi
     """The rows of docs, with all their columns, that hold no window of the benchmark."""
     keys = content_key(F.coalesce(docs[text_col].cast("string"), F.lit("")))
     found = decontaminate(docs.select(F.struct(*keys).alias("key"), docs[text_col].alias("text")), benchmark, "key", "text", window)
-    leaked = found.filter("contaminated").select("key.k1", "key.k2").distinct()
+    # written before the join, which then deals the documents by itself, so that a frequent text's rows can be split
+    leaked = saved(found.filter("contaminated").select("key.k1", "key.k2").distinct(), "leaked")
+    if leaked.isEmpty():
+        return docs
     whole = docs.select(*keys, row_of(docs))
     return whole.join(leaked, ["k1", "k2"], "left_anti").select(*columns_of(F.col("row"), docs.columns))
 
