@@ -256,15 +256,17 @@ def links(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFram
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of the graph with edges (fp, to): root is the smallest node of the component.
 
-    Rounds of large-star and small-star, each written to a table, until the edges stay as they are.
+    Rounds of large-star and small-star, each written to a table, until the edges stay as they are. What is found of each node is
+    written before it meets the edges, so that the edges of a component's centre are dealt by the join alone and can be split.
     """
     now = saved(edges.select(F.greatest("fp", "to").alias("u"), F.least("fp", "to").alias("v")).filter("u <> v").distinct(), "edges")
     sign = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = saved(large, "large")
+        small = saved(large.groupBy("u").agg(F.min("v").alias("m")), "small")
         joined = large.join(small, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = saved(joined.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -280,15 +282,15 @@ def _rooted(each: DataFrame, least: Column, radius: int, hot: int) -> DataFrame:
     """fp, root, least (by the expression) of the distinct fingerprints in `each`."""
     distinct = saved(each.groupBy("fp").agg(least.alias("least")), "distinct")
     to = components(links(distinct.select("fp"), radius, hot))
-    return distinct.join(to, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return saved(distinct.join(to, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """One row a document: doc_id, fingerprint (16 lowercase hex digits), component_id."""
     each = saved(fingerprint_documents(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "id", "text", shingle), "fingerprints")
     rooted = _rooted(each, F.min("id"), radius, hot)
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
+    ids = saved(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
+    named = saved(rooted.join(ids, "root").select("fp", "component_id"), "named")
     return each.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -300,9 +302,11 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     tagged = docs.select(F.struct(docs[id_col].alias("id"), *keys).alias("id"), docs[text_col].alias("text"))
     each = saved(fingerprint_documents(tagged, "id", "text", shingle), "fingerprints")
     rooted = _rooted(each, F.min(F.struct(F.col("id.id").isNull().alias("none"), F.col("id.id").alias("id"), "fp", F.col("id.k1").alias("k1"), F.col("id.k2").alias("k2"))), radius, hot)
-    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.k1", "least.k2")
+    kept = saved(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.k1", "least.k2"), "kept")
     whole = docs.select(*keys, row_of(docs))
     row = F.col("row")
     first = Window.partitionBy("k1", "k2").orderBy(*[F.to_json(F.struct(row[f.name])) if isinstance(f.dataType, (ArrayType, MapType, StructType)) else row[f.name] for f in docs.schema.fields])
-    joined = whole.join(kept, ["k1", "k2"], "left_semi").withColumn("copy", F.row_number().over(first)).filter("copy = 1")
+    # a task keeps the first of its copies before they are dealt, so that a frequent text is one row a task
+    firsts = whole.withColumn("copy", F.row_number().over(first)).filter("copy = 1")
+    joined = firsts.join(kept, ["k1", "k2"], "left_semi")
     return joined.select(*columns_of(row, docs.columns))
