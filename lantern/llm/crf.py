@@ -10,8 +10,8 @@ the chain. A document's evidence is the sum of the log-odds of its tokens that a
 through a logistic curve, which is fitted on rows as fields score them that were not fitted on them. Offending spans are
 runs of tokens with a marginal of 0.5 or more, as byte offsets; a document under the threshold may hold one.
 
-The field is fitted on at most FIT_ROWS labelled rows, in the order of a hash of their id, with texts of at most 32 KiB, and
-on at most MOST_STRETCHES stretches of STRETCH tokens of them, drawn at random; every document is scored.
+The field is fitted on at most FIT_ROWS labelled rows, in the order of a hash of their id, of a text over 32 KiB on so many
+bytes of its stretches, drawn from the whole of it, and on at most MOST_STRETCHES stretches of STRETCH tokens of them, drawn at random; every document is scored.
 
 Defined results: null or word-less text has score 0 and no spans; texts are scored whole; repeated rows give repeated
 rows; without labels of both classes all scores are 0; an empty table gives an empty result; other columns are ignored,

@@ -5,8 +5,8 @@ their shapes (case, digits, punctuation, a repeat of the token before), hashed t
 log-count ratio of its smoothed counts in either class. A linear hinge-loss model over these values is fitted by dual
 coordinate descent, and a logistic curve through margins of a part that the model has not seen gives the score.
 
-Counts and model are fitted on at most FIT_ROWS labelled rows, in the order of a hash of their id, with texts of at most
-32 KiB; every document is scored.
+Counts and model are fitted on at most FIT_ROWS labelled rows, in the order of a hash of their id, and of a text over 32 KiB
+on so many bytes of its stretches, drawn from the whole of it; every document is scored.
 
 Defined results: null or empty text has no features and the score of the model's offset; texts are scored whole; repeated
 rows give repeated rows; ids without a label are scored alike; without labels of both classes every score is the mean of

@@ -4,6 +4,7 @@ import random
 import numpy as np
 
 from lantern.llm import crf
+from lantern.llm.labelled import FIT_BYTES
 
 
 def brute_marginals(odds, trans):
@@ -83,3 +84,18 @@ def test_families_of_rare_words(spark):
     got = crf.classify(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     held = [(x.doc_id % 6 == 0, x.predicted) for x in got.collect() if x.held_out]
     assert np.mean([p for t, p in held if t]) > 0.9 and np.mean([p for t, p in held if not t]) < 0.02
+
+
+def test_only_long_labelled_texts(spark):
+    r = random.Random(6)
+    plain = [f"é{i}" for i in range(300)]
+    docs, labels = [], []
+    for i in range(90):
+        w = [r.choice(plain) for _ in range(12_000)]
+        for _ in range(400 if i % 3 == 0 else 0):
+            w[r.randrange(len(w))] = r.choice(["grok", "blarg", "zorp"])
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(i % 3 == 0)))
+    assert min(len(t.encode()) for _, t in docs) > FIT_BYTES
+    got = crf.classify(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert all(x.predicted == int(x.doc_id % 3 == 0) for x in got if x.held_out)

@@ -6,6 +6,7 @@ import pyarrow as pa
 
 from lantern.llm import nbsvm
 from lantern.llm.common import text_bytes
+from lantern.llm.labelled import FIT_BYTES, STRETCH_BYTES, drawn_stretches, sampled_texts
 
 
 def table():
@@ -138,11 +139,42 @@ def test_scores_are_those_of_the_plain_formulas():
 
 
 def test_the_sample_is_bounded(spark):
-    from lantern.llm.labelled import sampled_texts
-
     docs = spark.createDataFrame([(7, f"copy {i}") for i in range(2000)] + [(i, "x" * (50_000 if i == 30 else 10)) for i in range(20, 60)], "doc_id long, text string")
     labels = spark.createDataFrame([(7, 1), (7, 0)] + [(i, i % 2) for i in range(20, 200)], "doc_id long, quality int")
     got = sampled_texts(docs, labels, "quality", 5, 4, 2, "doc_id", "text").collect()
     assert len(got) == 5
     got = sampled_texts(docs, labels, "quality", 500, 4, 2, "doc_id", "text").collect()
-    assert 25 < len(got) < 42 and sum("copy" in r.text for r in got) <= 1 and max(len(r.text) for r in got) < 100
+    assert 25 < len(got) < 43 and sum("copy" in r.text for r in got) <= 1
+    assert sorted(len(r.text) for r in got)[-2] < 100 and max(len(r.text) for r in got) <= FIT_BYTES  # id 30 is bounded, not left out
+
+
+def test_stretches_are_of_the_whole_text():
+    text = " ".join(f"wörd{i}" for i in range(40_000)).encode()
+    got = drawn_stretches(text)
+    assert FIT_BYTES - 3 * STRETCH_BYTES < len(got) <= FIT_BYTES + FIT_BYTES // STRETCH_BYTES and got == drawn_stretches(text)
+    at = [int(w[5:]) for w in got.split()]
+    assert at == sorted(set(at)) and min(at) < 8000 and max(at) > 32_000  # words are whole, from all over
+    assert drawn_stretches(text[:1000]) == text[:1000] and drawn_stretches(b"") == b""
+    solid = "é".encode() * 100_000
+    assert solid.decode().startswith(drawn_stretches(solid).replace(b"\n", b"").decode())
+
+
+def test_only_long_labelled_texts(spark):
+    """Labels are learned from texts of any length, also where only the long ones have a label."""
+    r = random.Random(5)
+    plain = [f"w{i}" for i in range(300)]
+
+    def text(good, words):
+        return " ".join(r.choice(plain) if r.random() < 0.9 else ("Well" if good else "!!") for _ in range(words))
+
+    long = [(i, text(i % 2, 14_000)) for i in range(48)]
+    short = [(100 + i, text(i % 2, 300)) for i in range(40)]
+    assert min(len(t) for _, t in long) > 1.5 * FIT_BYTES
+    docs = spark.createDataFrame(long + short, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in long], "doc_id long, quality int")
+    got = nbsvm.classify(docs, labels).collect()
+    assert all((x.score > 0.5) == bool(x.doc_id % 2) for x in got if x.held_out or x.doc_id >= 100)
+    # one label stands on long texts alone
+    mixed = spark.createDataFrame([(i, i % 2) for i, _ in long if i % 2] + [(i, i % 2) for i, _ in short if not i % 2], "doc_id long, quality int")
+    got = nbsvm.classify(docs, mixed).collect()
+    assert all((x.score > 0.5) == (x.doc_id < 100) for x in got if x.held_out and (x.doc_id < 100) == bool(x.doc_id % 2))
