@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import random
+import threading
 import time
 import urllib.error
 import urllib.request
 from dataclasses import dataclass
 
 # Answers of a service that is busy or failing, after which another try makes sense.
-AGAIN = [429, 500, 502, 503, 504]
+AGAIN = [429, 500, 502, 503, 520, 529]
 
 
 class HttpError(RuntimeError):
@@ -20,6 +21,11 @@ class HttpError(RuntimeError):
         super().__init__(f"HTTP {status}: {text}" if status else text)
         self.status = status
 
+    @property
+    def elsewhere(self) -> bool:
+        """Whether another service may do better: the request itself was not refused."""
+        return not 400 <= self.status < 500
+
 
 @dataclass(frozen=True)
 class Patience:
@@ -47,3 +53,40 @@ def post_json(url: str, body: dict, token: str = "", patience: Patience = Patien
         if failed >= patience.tries or error.status not in (0, *AGAIN):
             raise error
         time.sleep(patience.wait(failed, float(asked) if asked.replace(".", "", 1).isdigit() else 0.0))
+
+
+@dataclass(frozen=True)
+class Endpoint:
+    """A service: where it is, its model and price, and how patiently it is asked."""
+
+    url: str
+    model: str = ""
+    usd_per_token: float = 0.0
+    workers: int = 32
+    patience: Patience = Patience()
+
+
+class Chain:
+    """Services that can stand for each other, in the order of preference. One that fails for good is passed over from then on,
+    by all that share the chain."""
+
+    def __init__(self, endpoints: list[Endpoint], token: str = ""):
+        self.endpoints, self.token, self.failures = endpoints, token, []
+        self.lock = threading.Lock()
+
+    @property
+    def current(self) -> Endpoint:
+        return self.endpoints[len(self.failures)]
+
+    def ask(self, path: str, body: dict) -> dict:
+        for place in range(len(self.failures), len(self.endpoints)):
+            own = self.endpoints[place]
+            try:
+                return post_json(own.url.rstrip("/") + path, {"model": own.model} | body, self.token, own.patience)
+            except HttpError as e:
+                if not e.elsewhere or place + 1 == len(self.endpoints):
+                    raise
+                with self.lock:
+                    if len(self.failures) == place:
+                        self.failures.append(str(e)[:120])
+        raise AssertionError

@@ -5,8 +5,9 @@ import math
 import os
 import sqlite3
 import threading
-from types import SimpleNamespace
+import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -188,8 +189,57 @@ def test_http_waits_and_tries_again(monkeypatch):
     assert e.value.status == 400 and len(waits) == 2
 
 
-def test_embedders(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(embedders.tempfile, "gettempdir", lambda: str(tmp_path))
+def test_a_key_from_a_file(tmp_path, monkeypatch):
+    at = tmp_path / "keys"
+    at.write_text("# note=1\nexport A_KEY='abc='\nB_KEY=def\n")
+    assert backends.key_of("A_KEY", str(at)) == "abc=" and backends.key_of("B_KEY", str(at)) == "def" and backends.key_of("C_KEY", str(at)) == ""
+    at.write_text("# a secret alone\nxyz\n")
+    assert backends.key_of("", str(at)) == "xyz" and backends.key_of("", "") == ""
+    monkeypatch.setenv("A_KEY", "of the environment")
+    assert backends.key_of("A_KEY", str(at)) == "of the environment"
+
+
+def test_a_chain_passes_over_what_failed():
+    asked = []
+
+    def answer(path, body):
+        asked.append(body["model"])
+        return (400, {"error": "no"}) if body.get("bad") else {"ok": 1}
+
+    with service(answer) as url:
+        points = [http.Endpoint("http://127.0.0.1:9", "a", patience=http.Patience(1, 0.5)), http.Endpoint(url, "b"), http.Endpoint(url, "c")]
+        chain = http.Chain(points)
+        assert chain.ask("/x", {}) == {"ok": 1} and chain.current.model == "b" and len(chain.failures) == 1
+        with pytest.raises(http.HttpError):  # a request that is refused is refused elsewhere as well
+            chain.ask("/x", {"bad": 1})
+        assert chain.current.model == "b" and asked == ["b", "b"]
+
+
+def test_texts_are_dealt_by_length_and_requests_bounded(spark, tmp_path):
+    """Batches of texts of one length over all tasks, and no more requests at once than the service is to get."""
+    now, most, sizes, lock = [0], [0], [], threading.Lock()
+
+    def answer(path, body):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+            lengths = [len(t) for t in body["input"]]
+            sizes.append((min(lengths), max(lengths)))
+        time.sleep(0.02)
+        with lock:
+            now[0] -= 1
+        return {"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in enumerate(body["input"])]}
+
+    with service(answer) as url:
+        rows = spark.createDataFrame([(i, "x" * (i * 37 % 400)) for i in range(800)], "k long, t string").repartition(4)
+        got = embedders.embedded(rows, "k", "t", "eg2", {"remote_url": url, "dim": 2, "full_dim": 2, "batch_size": 20, "inflight": 2}).collect()
+        assert len(got) == 800 and all(r.embedding is not None for r in got)
+        assert most[0] <= 2 and len(sizes) >= 40
+        # a batch spans what its share of the lengths spans, not all of them
+        assert max(b - a for a, b in sizes) <= 40
+
+
+def test_embedders(spark):
     seen = []
 
     def answer(path, body):
@@ -207,7 +257,13 @@ def test_embedders(spark, tmp_path, monkeypatch):
     gone = embedders.Service("http://127.0.0.1:9", dim=2, pause=0, remote_timeout=0.5, local="test_operators:Plain")
     with pytest.raises(embedders.ServiceDown):
         gone.documents(["a"])
-    assert gone.documents(["a"], local=True).shape == (1, 2) and gone.queries(["a"]).shape == (1, 2) and os.path.exists(gone.mark)
+    assert gone.documents(["a"], local=True).shape == (1, 2) and gone.queries(["a"]).shape == (1, 2) and not gone.health.well(gone.url)
+    now = [0.0]
+    health = embedders.Health(120, lambda: now[0])
+    health.fails("u")
+    assert not health.well("u") and health.well("other")
+    now[0] = 120.0
+    assert health.well("u")
     assert embedders.hash_dim("hash") == 64 and embedders.hash_dim("hash:100") == 100 and embedders.hash_dim("eg2") is None
     for wrong in ("hash:x", "hash:0", "what", "no.module:Here"):
         with pytest.raises(embedders.UnknownModel):
@@ -237,6 +293,31 @@ class Plain:
         return self.documents(texts)
 
 
+def test_model_files(spark, tmp_path):
+    """Real ONNX files: an embedding model and a model of question and passage."""
+    from onnx_file import write_model
+
+    table = np.array([[0, 0], [0, 0], [1, 0], [0, 1], [3, 4]], np.float32)
+    write_model(tmp_path, table, ["red", "blue", "green"])
+    model = embedders.OnnxModel(str(tmp_path), batch=2)
+    want = [[1, 0], [1 / math.sqrt(2)] * 2, [0.6, 0.8], [0, 0]]
+    assert np.allclose(model.documents(["red", "red blue", "green green green", "unknown"]), want)
+    rows = spark.createDataFrame([(0, "red"), (1, "blue red"), (2, None)], "k int, t string")
+    got = {r.k: r.embedding for r in embedders.embedded(rows, "k", "t", "lantern.functions.embedders:OnnxModel", {"folder": str(tmp_path)}).collect()}
+    assert np.allclose(got[0], [1, 0]) and np.allclose(got[1], [1 / math.sqrt(2)] * 2) and np.allclose(got[2], [0, 0])
+    # a service without an address is the local model alone
+    stands = embedders.Service(dim=2, local="lantern.functions.embedders:OnnxModel", local_options={"folder": str(tmp_path)})
+    assert np.allclose(stands.queries(["green"]), [[0.6, 0.8]])
+    with pytest.raises(embedders.UnknownModel):
+        embedders.OnnxModel(str(tmp_path), file="none.onnx")
+    other = tmp_path / "cross"
+    other.mkdir()
+    write_model(other, np.array([[0], [0], [2], [-3], [1]], np.float32), ["red", "blue", "green"], summed=True)
+    cross = scorers.load({"backend": "cross-encoder", "model_dir": str(other), "batch_size": 2})
+    found = cross.score("red", [scorers.Passage("a", "", t) for t in ("blue", "green", "nothing known", "red red")])
+    assert np.allclose(found, [1 / (1 + math.exp(-x)) for x in (-1, 3, 2, 6)], atol=1e-6)
+
+
 def test_batches_are_of_one_length():
     plain = Plain()
     local = embedders.LocalModel("x", batch=2, model=plain)
