@@ -1,9 +1,11 @@
 """Full-text index and BM25 with column weights.
 
-The index is a forward table: a document's terms with their counts in title and body, in one row. It is made row by row,
-without a shuffle, as is a search: the terms of a counted block of queries travel to the tasks with their weights, a task
-scores its documents by matrix products and keeps its k best of each query. So a common term is no hot key, and what is
-shuffled is tasks x queries x k rows. Document frequencies are a table of their own, written with the index."""
+The index is a forward table: a document's terms with their counts in title and body, in one row, made row by row without a
+shuffle; and the same as postings in document shards (see `postings`). A few queries whose terms have a small share of all
+postings are searched by the postings. A batch that would read most of them anyway is searched by a scan of the forward table:
+the terms of a counted block of queries travel to the tasks with their weights, a task scores its documents by matrix products
+and keeps its k best of each query. So a common term is no hot key, and what is shuffled is tasks x queries x k rows. Both ways
+give the same rows. Document frequencies are a table of their own, written with the index."""
 
 from __future__ import annotations
 
@@ -13,12 +15,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lantern.functions.stem import stemmed_form
 from lantern.functions.text import index_terms, query_tokens, strip_marks
+from lantern.operators import postings as postings_
 from lantern.operators.topk import Best
 
 K1, B = 1.2, 0.75
@@ -63,6 +66,18 @@ def forward(docs: DataFrame, path: str = "path", title: str = "title", body: str
     return small.mapInArrow(run, f"path {kind}, dl long, terms array<string>, tf_title array<int>, tf_body array<int>")
 
 
+def shard_rows(terms: DataFrame) -> DataFrame:
+    """The postings of a sharded forward table, with the weights of title and body in their counts."""
+    return postings_.blocks_of(terms, TITLE_WEIGHT, BODY_WEIGHT)
+
+
+def shards_of(terms: DataFrame, write) -> postings_.Shards:
+    """The postings of a written, sharded forward table, and their sums. `write` writes a table and reads it back."""
+    rows = write(shard_rows(terms))
+    docs, words, held = terms.agg(F.count("*"), F.sum("dl"), F.sum(F.size("terms"))).first()
+    return postings_.Shards(rows, None, docs, words or 0, held or 0)
+
+
 def postings(terms: DataFrame) -> DataFrame:
     """term, path, tf_title, tf_body of a forward table."""
     each = terms.select("path", F.inline(F.arrays_zip(F.col("terms").alias("term"), "tf_title", "tf_body")))
@@ -74,6 +89,11 @@ def vocabulary(terms: DataFrame) -> DataFrame:
     return terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
+def sorted_vocabulary(known: DataFrame) -> DataFrame:
+    """By term, so that a search reads the pages of its own terms."""
+    return known.repartitionByRange("term").sortWithinPartitions("term")
+
+
 # --- search -----------------------------------------------------------------------------------------------------
 
 
@@ -114,12 +134,27 @@ class Weights:
         return out
 
 
-def search(queries: DataFrame, terms: DataFrame, known: DataFrame, k: int, stemmed: bool = True) -> DataFrame:
+def by_postings(queries: DataFrame, terms: DataFrame, known: DataFrame, shards: postings_.Shards, k: int, stemmed: bool) -> DataFrame | None:
+    """The search by postings, or None where a scan of all documents is no dearer."""
+    asked = query_terms(queries, stemmed).limit(postings_.QUERIES * postings_.TERMS).collect()
+    names = sorted({r.term for r in asked})
+    if len({r.query_id for r in asked}) > postings_.QUERIES or len(names) > postings_.TERMS or not names:
+        return None
+    n = {r.term: r.n for r in known.filter(postings_.any_of("term", names)).collect()}
+    if not n or sum(n.values()) > postings_.SHARE * shards.postings:
+        return None
+    weights = Weights([Row(query_id=r.query_id, term=r.term, times=r.times, n=n[r.term]) for r in asked if r.term in n], shards.docs)
+    return postings_.search_shards(weights, shards, terms, k, shards.words / shards.docs or 1.0, K1, B, queries.schema["query_id"].dataType.simpleString())
+
+
+def search(queries: DataFrame, terms: DataFrame, known: DataFrame, k: int, stemmed: bool = True, shards: postings_.Shards | None = None) -> DataFrame:
     """query_id, path, score, rank of the k best documents of each query (query_id, q), among those that hold a term of it.
 
-    terms: a forward table; known: its vocabulary."""
+    terms: a forward table; known: its vocabulary; shards: its postings, if there are any."""
+    if shards is not None and (found := by_postings(queries, terms, known, shards, k, stemmed)) is not None:
+        return ranked(found, k)
     spark = terms.sparkSession
-    n_docs, average = terms.agg(F.count("*"), F.avg("dl")).first()
+    n_docs, average = (shards.docs, shards.words / (shards.docs or 1)) if shards is not None else terms.agg(F.count("*"), F.avg("dl")).first()
     average = average or 1.0
     asked = query_terms(queries, stemmed).join(known, "term")
     id_kind, kind = queries.schema["query_id"].dataType.simpleString(), terms.schema["path"].dataType.simpleString()

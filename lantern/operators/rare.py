@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.functions.text import rare_terms
+from lantern.operators import grams
 from lantern.scratch import saved
 
 #: Distinct terms, or pairs of terms, that travel to the tasks at once; more go in further blocks.
@@ -46,9 +47,10 @@ def _blocks(rows: DataFrame, size: int) -> Iterator[list]:
         yield (rows if n == 1 else rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(n)) == b)).collect()
 
 
-def files_with(terms: DataFrame, files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+def files_with(terms: DataFrame, files: DataFrame, path: str = "path", text: str = "text", signatures: DataFrame | None = None) -> DataFrame:
     """path, terms: which of the distinct terms a file holds, whatever their case, for files that hold any; a row a file and
-    block of terms. A text is read once for all terms of a block."""
+    block of terms. A text is read once for all terms of a block; where files have signatures (`grams.signed`), only the blocks of files
+    that may hold one of the terms are read."""
     spark = files.sparkSession
     kind = files.schema[path].dataType.simpleString()
     out = None
@@ -66,7 +68,8 @@ def files_with(terms: DataFrame, files: DataFrame, path: str = "path", text: str
                 own = [i for i, x in enumerate(held) if x]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array([held[i] for i in own], pa.list_(pa.string()))], ["path", "terms"])
 
-        got = files.select(path, text).mapInArrow(run, f"path {kind}, terms array<string>")
+        own = files if signatures is None else grams.pruned(files, signatures, [r.term for r in block])
+        got = own.select(path, text).mapInArrow(run, f"path {kind}, terms array<string>")
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -76,11 +79,11 @@ def term_files(terms: DataFrame, files: DataFrame, path: str = "path", text: str
     return files_with(terms, files, path, text).select(F.explode("terms").alias("term"), "path")
 
 
-def rare_leg(queries: DataFrame, files: DataFrame, max_df: int = 12) -> DataFrame:
+def rare_leg(queries: DataFrame, files: DataFrame, max_df: int = 12, signatures: DataFrame | None = None) -> DataFrame:
     """query_id, path, score, rank: 1/df of each term in at most max_df files, and 1/(2 df) of each pair of commoner terms
     that at most max_df files hold together."""
     asked = saved(query_rare_terms(queries), "asked")
-    held = saved(files_with(asked, files), "held")
+    held = saved(files_with(asked, files, signatures=signatures), "held")
     counts = saved(document_counts(held), "counts")
     rare = counts.filter(F.col("df") <= max_df)
     # a common term's files go before anything is joined

@@ -301,7 +301,7 @@ def term_stems(spark: SparkSession, d: str) -> DataFrame:
 
 def _words(spark: SparkSession, d: str, queries_: DataFrame) -> DataFrame:
     index = index_of(spark, d)
-    found = keyword.search(queries_, index.terms, index.vocabulary, 50)
+    found = keyword.search(queries_, index.terms, index.vocabulary, 50, shards=index.shards)
     return found.select("query_id", "path", "rank", F.round("score", 6).alias("score"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lantern.functions import embedders
 from lantern.functions.text import embedding_texts, fixed_chunks, is_question, plain_words, units_of
 from lantern.functions.vectors import hash_vectors, mean_hash_vectors
-from lantern.operators import keyword, rare, rerank, vector
+from lantern.operators import grams, keyword, postings, rare, rerank, vector
 from lantern.scratch import saved
 from lantern.shipping import ship
 
@@ -41,28 +41,23 @@ class Settings:
 @dataclass(frozen=True)
 class Index:
     """The tables of an index: docs (path, title, body, text, words), terms (stemmed, a row a document), vocabulary, doc_vectors,
-    sections (with vectors)."""
+    sections (with vectors); and, if they were made, the postings in shards and the trigram signatures of blocks of docs."""
 
     docs: DataFrame
     terms: DataFrame
     vocabulary: DataFrame
     doc_vectors: DataFrame
     sections: DataFrame
-
-    TABLES = ("docs", "terms", "vocabulary", "doc_vectors", "sections")
-
-    def save(self, path: str) -> None:
-        for name in self.TABLES:
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-
-    @classmethod
-    def load(cls, spark, path: str) -> Index:
-        return cls(*[spark.read.parquet(f"{path}/{name}") for name in cls.TABLES])
+    shards: postings.Shards | None = None
+    signatures: DataFrame | None = None
 
     def saved(self) -> Index:
-        """The same index from written tables, so that plans over it do not hold its making."""
-        terms = saved(self.terms, "terms")
-        return Index(saved(self.docs, "docs"), terms, saved(keyword.vocabulary(terms), "vocabulary"), saved(self.doc_vectors, "doc_vectors"), saved(self.sections, "sections"))
+        """The same index from written tables, so that plans over it do not hold its making; with postings and signatures."""
+        terms = saved(postings.sharded(self.terms), "terms")
+        shards = keyword.shards_of(terms, lambda rows: saved(rows, "postings", **postings.PAGE))
+        vocabulary = saved(keyword.sorted_vocabulary(keyword.vocabulary(terms)), "vocabulary", **postings.PAGE)
+        docs = saved(grams.signed(self.docs), "docs", **grams.WRITE)
+        return Index(docs.drop("signature"), terms, vocabulary, saved(self.doc_vectors, "doc_vectors"), saved(self.sections, "sections"), shards, grams.signatures_of(docs))
 
 
 def with_words(docs: DataFrame) -> DataFrame:
@@ -112,7 +107,7 @@ class Legs:
 
 def legs(queries: DataFrame, index: Index, k: int, s: Settings = Settings()) -> Legs:
     pool = max(k, s.vector_pool)
-    words = keyword.search(queries, index.terms, index.vocabulary, pool)
+    words = keyword.search(queries, index.terms, index.vocabulary, pool, shards=index.shards)
     docs, sections = vector.near(query_vectors(queries, s), index.doc_vectors, index.sections, pool, max(s.section_pool, k))
     return Legs(words, docs, sections, index.sections.select("path").distinct())
 
@@ -130,7 +125,7 @@ def hybrid(queries: DataFrame, index: Index, k: int, s: Settings = Settings()) -
 
 def pool_of(queries: DataFrame, index: Index, first: DataFrame, s: Settings) -> DataFrame:
     """The first stage's files and those with rare terms anywhere in the whole file, frontmatter included."""
-    return rerank.candidate_pool(first, rare.rare_leg(queries, index.docs.select("path", "text"), s.rare_max_df))
+    return rerank.candidate_pool(first, rare.rare_leg(queries, index.docs, s.rare_max_df, index.signatures))
 
 
 def score_files(queries: DataFrame, pool: DataFrame, terms: DataFrame) -> DataFrame:

@@ -41,11 +41,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back, which cuts the lineage."""
+def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back, which cuts the lineage. options: the writer's."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**options).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
