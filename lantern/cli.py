@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import re
 import sys
 import time
 from pathlib import Path
@@ -23,6 +24,10 @@ from lantern.scratch import saved
 from lantern.sources import files
 
 
+#: Characters of a passage that are shown, and questions that are timed.
+PASSAGE, TIMED = 3000, 20
+
+
 def session() -> SparkSession:
     return SparkSession.builder.appName("lantern").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
@@ -55,12 +60,18 @@ def recall(spark: SparkSession, c: settings.Config, queries: DataFrame, top: int
 
 
 def run_init(a: argparse.Namespace) -> int:
-    target = Path.cwd() / settings.NAME / "config.toml"
-    if target.exists():
-        print(f"{target} is there already")
-        return 0
+    """Here by default, as a configuration is found from any folder below; `--home` for all folders."""
+    target = (Path.home() if a.home else Path.cwd()) / settings.NAME / "config.toml"
+    if target.exists() and not a.force:
+        print(f"{target} is there already; --force writes it anew", file=sys.stderr)
+        return 1
+    text = settings.TEMPLATE
+    if a.root:
+        text = re.sub(r"(?m)^roots = .*$", lambda _: "roots = " + json.dumps([str(Path(r).expanduser().resolve()) for r in a.root]), text, count=1)
+    if a.backend:
+        text = re.sub(r"(?m)^backend = .*$", lambda _: "backend = " + json.dumps(a.backend), text, count=1)
     target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_text(settings.TEMPLATE)
+    target.write_text(text)
     print(f"wrote {target}")
     return 0
 
@@ -86,19 +97,46 @@ def run_search(a: argparse.Namespace, spark: SparkSession, c: settings.Config) -
     return 0
 
 
+def shown_answer(query: str, rows: list, said) -> dict:
+    """An answer as one document."""
+    labels = lambda r: {k: v for k, v in (("type", r.kind), ("date", r.date)) if r.kind}
+    return {
+        "query": query, "mode": said["mode"], "pool": said.pool, "widened": said.widened, "usd": said.usd, "tokens": said.tokens, "secs": said.secs, "note": said.note, "kind": said.kind,
+        "reranked": said["mode"].startswith("rerank"), "warning": skipped(said), "results": [{"path": r.path, "score": r.score, "section": r.section} | labels(r) for r in rows], "passage": (rows[0].passage or "") if rows else "",
+    }
+
+
+def skipped(said) -> str:
+    """A warning that a question which should have been scored was not."""
+    return f"! NOT RERANKED ({said.note or 'no reason given'}): this is the first stage's order; check before citing" if said["mode"].startswith(answer.FAILED) else ""
+
+
 def run_recall(a: argparse.Namespace, spark: SparkSession, c: settings.Config) -> int:
-    hits, log = recall(spark, c, one_query(spark, a.query), a.k, rerank=not a.no_rerank)
+    if a.backend:
+        c.scorer = {**c.scorer, "backend": a.backend}
+    if a.k:
+        c.k = a.k
+    hits, log = recall(spark, c, one_query(spark, a.query), a.top, rerank=not a.no_rerank)
     rows, said = hits.orderBy("rank").collect(), log.first()
-    if said.note:
-        print(said.note, file=sys.stderr)
+    warning = skipped(said)
+    if warning:
+        print(warning, file=sys.stderr)
     if a.json:
-        print(json.dumps([r.asDict() for r in rows]))
+        print(json.dumps(shown_answer(a.query, rows, said)))
         return 0
+    if warning:
+        print(warning)
     for r in rows:
-        print(f"{'-' if r.score is None else f'{r.score:.2f}'}  {r.path}  {' '.join(filter(None, [r.kind, r.date, r.section]))}".rstrip())
-    print(f"{said['mode']}{', widened' if said.widened else ''}, {said.pool} files, ${said.usd:.4f}, {said.secs:.1f} s", file=sys.stderr)
-    if rows and rows[0].score is not None and rows[0].score >= (said.widen_at or 0):
-        print("\n" + (rows[0].passage or ""))
+        label = f"  [{' · '.join(filter(None, [r.kind, r.date]))}]" if r.kind else ""
+        print(f"{'-' if r.score is None else f'{r.score:.2f}'}  {r.path}{label}" + (f"\n      § {r.section[:100]}" if r.section else ""))
+    sure = bool(rows) and rows[0].score is not None and rows[0].score >= (said.widen_at or 0)
+    if sure and rows[0].passage and not a.no_passage:
+        cut = " … (cut; open the file)" if len(rows[0].passage) > PASSAGE else ""
+        print(f"\n--- {rows[0].path} ---\n{rows[0].passage[:PASSAGE]}{cut}")
+    parts = [said["mode"], f"{said.pool} files", f"${said.usd:.4f}", f"{said.secs:.1f} s", said.kind, "widened" if said.widened else "", said.note]
+    print(", ".join(filter(None, parts)), file=sys.stderr)
+    if rows and rows[0].score is not None and not sure:
+        print("low confidence: no file clearly states the answer", file=sys.stderr)
     return 0
 
 
@@ -139,12 +177,13 @@ def run_eval(a: argparse.Namespace, spark: SparkSession, c: settings.Config) ->
 
 
 def first_stage(asked: DataFrame, known: DataFrame, index: search.Index, s: search.Settings, top: int, depth: int) -> dict:
-    """Hits of the first stage over all questions with a gold file in the index, and the time of each searched alone."""
+    """Hits of the first stage over all questions with a gold file in the index, and the time of TIMED of them searched alone."""
     own = asked.join(known.select("query_id").distinct(), "query_id", "left_semi").select("query_id", "q")
     ranks = evaluate.first_relevant(search.hybrid(own, index, depth, s), known, depth)
     out = evaluate.hit_rates(ranks, asked.count(), top, depth).first().asDict()
     times = []
-    for r in own.collect():
+    # a search alone takes its time whatever the question is, so a few questions tell
+    for r in own.orderBy(F.xxhash64("query_id"), "query_id").limit(TIMED).collect():
         began = time.monotonic()
         search.hybrid(own.filter(F.col("query_id") == r.query_id), index, depth, s).collect()
         times.append(round(time.monotonic() - began, 3))
@@ -195,17 +234,28 @@ def run_serve(a: argparse.Namespace, spark: SparkSession, c: settings.Config) ->
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser("lantern", description=__doc__)
     sub = top.add_subparsers(dest="command", required=True)
-    for name in ("init", "status", "scorers", "serve"):
+    for name in ("status", "scorers", "serve"):
         sub.add_parser(name)
+    p = sub.add_parser("init")
+    p.add_argument("--root", action="append", help="a folder of notes; may be given several times")
+    p.add_argument("--backend", help="the scorer")
+    p.add_argument("--home", action="store_true", help="for all folders, instead of this one")
+    p.add_argument("--force", action="store_true", help="even if there is one")
     p = sub.add_parser("index")
     p.add_argument("--full", action="store_true")
     p.add_argument("--allow-local", type=int, default=0, help="texts that a local model may embed while the service is down")
-    for name in ("search", "recall"):
-        p = sub.add_parser(name)
-        p.add_argument("query")
-        p.add_argument("-k", type=int, default=10 if name == "search" else 5)
-        p.add_argument("--json", action="store_true")
+    p = sub.add_parser("search")
+    p.add_argument("query")
+    p.add_argument("-k", type=int, default=10)
+    p.add_argument("--json", action="store_true")
+    p = sub.add_parser("recall")
+    p.add_argument("query")
+    p.add_argument("--top", type=int, default=5)
+    p.add_argument("-k", type=int, default=0, help="files of the first stage")
+    p.add_argument("--backend", help="another scorer for this call")
     p.add_argument("--no-rerank", action="store_true")
+    p.add_argument("--no-passage", action="store_true")
+    p.add_argument("--json", action="store_true")
     sub.add_parser("report").add_argument("--days", type=float, default=7)
     p = sub.add_parser("eval")
     p.add_argument("questions", nargs="+")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lantern.scratch import saved
+
 DAY = 86_400
 
 
@@ -13,15 +15,32 @@ def caller_of(caller: Column) -> Column:
     return F.when(caller == "eval", "eval").otherwise("live")
 
 
+#: Edges and rows of a range whose running sum one task takes.
+RANGE_ROWS = 200_000
+
+
 def rolling_spend(ledger: DataFrame, by: tuple[str, ...] = ("caller",), seconds: int = DAY) -> DataFrame:
     """Each row with spend: the usd of its group in the window that ends with it, equal times included.
 
-    The window is partitioned by group and day-sized stretch, so that a group that holds most rows is not one task: a row's
-    window reaches into its own stretch and the one before, so each row serves two stretches and answers in one."""
-    at = ledger.withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("stretch", F.floor(F.col("micros") / (seconds * 1_000_000)))
-    both = at.withColumn("serves", F.explode(F.array("stretch", F.col("stretch") + 1)))
-    window = Window.partitionBy(*by, "serves").orderBy("micros").rangeBetween(-seconds * 1_000_000, 0)
-    return both.withColumn("spend", F.sum("usd").over(window)).filter("serves = stretch").drop("micros", "stretch", "serves")
+    A window's sum is the difference of two running sums, at its end and just before its begin. Rows and these edges are dealt to
+    ranges of (group, time), of which a busy group's day takes as many as it has rows for; each range sums its own, and the sums
+    of whole ranges, a row a range and group, are added. Sums are decimals, so that differences are exact."""
+    rows = ledger.withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp"))).filter("micros is not null")
+    rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "spend")
+    key, usd, none = F.to_json(F.struct(*by)).alias("key"), F.coalesce(F.col("usd").cast("decimal(28,12)"), F.lit(0)).cast("decimal(28,12)").alias("usd"), F.lit(0).cast("decimal(28,12)").alias("usd")
+    # edges come after the rows of their time: side 1 is the end, -1 the last moment before the begin, 0 a row itself
+    edge = lambda at, side: rows.select(key, at.alias("micros"), F.lit(1).alias("after"), "row", none, F.lit(side).alias("side"))
+    events = rows.select(key, "micros", F.lit(0).alias("after"), "row", usd, F.lit(0).alias("side"))
+    events = events.unionByName(edge(F.col("micros"), 1)).unionByName(edge(F.col("micros") - seconds * 1_000_000 - 1, -1))
+    ranges = max(1, -(-3 * rows.count() // RANGE_ROWS))
+    order = ["micros", "after", "row"]
+    dealt = saved(events.repartitionByRange(ranges, "key", *order).withColumn("range", F.spark_partition_id()), "edges")
+    sums = dealt.groupBy("range", "key").agg(F.sum("usd").alias("own"))
+    earlier = F.sum("own").over(Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    sums = saved(sums.select("range", "key", F.coalesce(earlier, F.lit(0)).alias("before")), "sums")
+    inner = F.sum("usd").over(Window.partitionBy("range", "key").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    upto = dealt.withColumn("inner", inner).filter("side <> 0").join(sums, ["range", "key"]).select("row", ((F.col("inner") + F.col("before")) * F.col("side")).alias("part"))
+    return rows.join(upto.groupBy("row").agg(F.sum("part").cast("double").alias("spend")), "row").drop("row", "micros")
 
 
 def summary(ledger: DataFrame, now: Column, seconds: int = DAY) -> DataFrame:

@@ -1,228 +1,175 @@
 """Answer-aware recall with a plug-in scorer for a batch of questions: gate, budget, scores, one widening, records.
 
-Plans find and cut the candidates; a scorer sees the windows of a question in one task. What decides whether a question may be
-scored is its own estimate and the spend so far, so questions are admitted one after the other in the order of their ids, a
-block of questions at a time. A question that fails keeps its first order; what was paid is recorded all the same."""
+All questions of a batch are one plan: they are searched, admitted, scored and widened together, so the index is scanned as often
+for ten thousand questions as for ten, but for the searches' own blocks. What is known of a question is a row of a table, not of
+the driver. Questions are admitted in the order of their ids by their estimates and the spend so far (`admission`); what was
+really spent counts from the second pass on. A question that fails keeps its first order; what was paid is recorded all the
+same, and records that can't be written are a note on the result."""
 
 from __future__ import annotations
 
-import math
 import os
 import time
-from dataclasses import dataclass, field
+import uuid
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lantern.config import Config
 from lantern.functions.text import is_question
-from lantern.operators import ledger, rerank, scorers
+from lantern.operators import admission, ledger, rerank, scorers
 from lantern.plans import search
 from lantern.scratch import saved
 from lantern.sources import files
 
 FAILED = "first-stage (reranker unavailable)"
 HITS = "query_id {0}, path string, score double, section string, passage string, rank int, mode string, note string, kind string, date string"
-#: Questions that are answered at once.
-BLOCK = 256
-
-
-@dataclass
-class Budget:
-    """Caps of spend in US dollars; `day` and `session_day` are the spend of the last day when the batch began."""
-
-    per_query: float
-    daily: float
-    caller: str = "live"
-    session: str | None = None
-    session_share: float = 0.0
-    day: float = 0.0
-    session_day: float = 0.0
-    spent: dict = field(default_factory=dict)
-
-    @classmethod
-    def of(cls, c: Config, rows: DataFrame, caller: str, session: str | None) -> Budget:
-        """With the spend of the last day from a ledger."""
-        recent = rows.filter((F.col("ts") >= F.current_timestamp() - F.expr("interval 24 hours")) & (ledger.caller_of(F.col("caller")) == caller))
-        day, own = recent.agg(F.coalesce(F.sum("usd"), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("session") == F.lit(session), F.col("usd"))), F.lit(0.0))).first()
-        return cls(c.max_usd_per_query, c.eval_daily_cap_usd if caller == "eval" else c.daily_cap_usd, caller, session, c.session_share_frac, day, own)
-
-    def refusal(self, query, usd: float, ceiling: float = 1.0) -> str | None:
-        """Why a spend for a query is refused, or None; the same tests in the same order as `ledger.verdict`."""
-        before = self.spent.get(query, 0.0)
-        tests = [(self.per_query and before + usd > self.per_query, f"the query would cost ${before + usd:.4f}, more than ${self.per_query:.2f}")]
-        if self.daily:
-            tests.append((ceiling < 1 and self.day + usd > self.daily * ceiling, f"widen reserve: {ceiling:.0%} of ${self.daily:.2f} a day are for first passes"))
-            tests.append((self.day + usd > self.daily, f"daily cap of ${self.daily:.2f} for {self.caller} calls"))
-            share = self.caller == "live" and self.session and 0 < self.session_share < 1
-            tests.append((share and self.session_day + usd > self.daily * self.session_share, f"session share: {self.session_share:.0%} of ${self.daily:.2f} a day"))
-        if self.caller == "eval" and not self.daily:
-            return "evaluations are off"
-        return next((why for over, why in tests if over), None) if usd > 0 else None
-
-    def spend(self, query, usd: float) -> None:
-        self.spent[query] = self.spent.get(query, 0.0) + usd
-        self.day, self.session_day = self.day + usd, self.session_day + usd
-
-
-@dataclass
-class State:
-    """What is known of a question."""
-
-    q: str
-    mode: str = ""
-    notes: list = field(default_factory=list)
-    kind: str | None = None
-    fell: str = ""
-    tokens: int = 0
-    usd: float = 0.0
-    widened: bool = False
-    secs: float = 0.0
+#: What a pass of scoring says of a question.
+SAID = "due double, why string, tokens long, usd double, note string, kind string, fell string, secs double"
 
 
+def caps_of(c: Config, rows: DataFrame, caller: str, session: str | None) -> admission.Caps:
+    """The caps of the configuration, with the spend of the last day from a ledger."""
+    recent = rows.filter((F.col("ts") >= F.current_timestamp() - F.expr("interval 24 hours")) & (ledger.caller_of(F.col("caller")) == caller))
+    day, own = recent.agg(F.coalesce(F.sum("usd"), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("session") == F.lit(session), F.col("usd"))), F.lit(0.0))).first()
+    return admission.Caps(c.max_usd_per_query, c.eval_daily_cap_usd if caller == "eval" else c.daily_cap_usd, caller, session, c.session_share_frac, day, own)
+
+
+@dataclass(frozen=True)
 class Pass:
-    """One round of scoring: the windows of files, their estimates, admission, scores and records."""
-
-    def __init__(self, c: Config, options: dict, scorer: scorers.Scorer, index: search.Index, budget: Budget, states: dict, max_windows: int):
-        self.c, self.options, self.scorer, self.index, self.budget, self.states, self.max_windows = c, options, scorer, index, budget, states, max_windows
-        self.records: list[tuple] = []
-
-    def windows(self, wanted: DataFrame) -> DataFrame:
-        """path, ord, heading, text of the files' windows, as large as the scorer likes them."""
-        docs = self.index.docs.join(wanted.select("path").distinct(), "path", "left_semi")
-        return saved(rerank.file_windows(docs, self.scorer.window_words, self.max_windows), "windows")
-
-    def score(self, asks: DataFrame, wanted: DataFrame, ceiling: float, kinds: bool) -> tuple[DataFrame, set, DataFrame]:
-        """(query_id, path, ord, score) of wanted files (query_id, path), the queries that were scored, and the windows."""
-        windows = self.windows(wanted)
-        pairs = wanted.select("query_id", "path").join(asks, "query_id").join(windows, "path")
-        if self.scorer.prefilter_per_file:
-            cut = rerank.prefilter(rerank.lexical_scores(asks, wanted, rerank.window_terms(windows)), self.scorer.prefilter_per_file)
-            pairs = pairs.join(cut.select("query_id", "path", "ord"), ["query_id", "path", "ord"], "left_semi")
-        pairs = saved(pairs, "pairs")
-        price = self.scorer.usd_per_token
-        estimate = {r.query_id: r.tokens for r in scorers.estimates(pairs, self.scorer, self.options).collect()}
-        admitted, due = [], {}
-        for query in sorted(estimate):
-            state = self.states[query]
-            due[query] = (estimate[query] + ((len(state.q) + 900) / 3 if kinds else 0)) * price
-            why = self.budget.refusal(query, due[query], ceiling)
-            if why:
-                state.notes.append(why)
-            else:
-                self.budget.spend(query, due[query])
-                admitted.append((query, state.kind))
-        spark = pairs.sparkSession
-        id_kind = pairs.schema["query_id"].dataType.simpleString()
-        let = spark.createDataFrame(admitted, f"query_id {id_kind}, kind string")
-        scored = saved(scorers.score_windows(pairs.join(F.broadcast(let), "query_id"), self.options, kinds), "scored")
-        done = set()
-        for r in scored.filter("tokens is not null").collect():  # a row a query
-            state = self.states[r.query_id]
-            tokens = r.tokens or (estimate[r.query_id] if price and r.note is None else 0)
-            state.tokens, state.usd = state.tokens + tokens, state.usd + tokens * price
-            state.kind, state.fell, state.secs = state.kind or r.kind, state.fell or r.fell_back or "", state.secs + r.secs
-            self.budget.spend(r.query_id, tokens * price - due[r.query_id])
-            if tokens:
-                self.records.append((time.time(), os.getpid(), self.scorer.name, int(tokens), tokens * price, self.budget.caller, self.budget.session))
-            if r.note:
-                state.notes.append(r.note)
-            else:
-                done.add(r.query_id)
-        return scored.select("query_id", "path", "ord", "score"), done, windows
+    """One round of scoring: the windows of files, the scores (query_id, path, ord, score), what is said of each question
+    (query_id and SAID), and the caps after it."""
+
+    windows: DataFrame
+    scores: DataFrame
+    said: DataFrame
+    caps: admission.Caps
+
+    @property
+    def done(self) -> DataFrame:
+        """query_id, kind of the questions that were scored."""
+        return self.said.filter("why is null and note is null and tokens is not null").select("query_id", "kind")
+
+
+def scored(c: Config, scorer: scorers.Scorer, index: search.Index, asks: DataFrame, wanted: DataFrame, caps: admission.Caps, kinds: bool, max_windows: int) -> Pass:
+    """Score the windows of wanted files (query_id, path) for asks (query_id, q, before: usd so far, kind)."""
+    docs = index.docs.join(wanted.select("path").distinct(), "path", "left_semi")
+    windows = saved(rerank.file_windows(docs, scorer.window_words, max_windows), "windows")
+    asked = asks.select("query_id", "q")
+    pairs = wanted.select("query_id", "path").join(asked, "query_id").join(windows, "path")
+    if scorer.prefilter_per_file:
+        cut = rerank.prefilter(rerank.lexical_scores(asked, wanted, rerank.window_terms(windows)), scorer.prefilter_per_file)
+        pairs = pairs.join(cut.select("query_id", "path", "ord"), ["query_id", "path", "ord"], "left_semi")
+    pairs, price = saved(pairs, "pairs"), float(scorer.usd_per_token)
+    more = (F.length("q") + 900) / 3 if kinds else F.lit(0.0)
+    due = scorers.estimates(pairs, scorer, c.scorer).withColumnRenamed("tokens", "estimate").join(asks, "query_id")
+    due = saved(due.select("query_id", "estimate", ((F.col("estimate") + more) * price).alias("due"), "before", "kind"), "estimates")
+    verdicts, after = admission.admit(due, caps)
+    verdicts = saved(verdicts, "verdicts")
+    let = verdicts.filter("why is null").select("query_id").join(due.select("query_id", "kind"), "query_id")
+    found = saved(scorers.score_windows(pairs.join(let, "query_id"), c.scorer, kinds), "scored")
+    # a row a question; a scorer that doesn't say what it was billed is taken to be billed its estimate
+    rows = found.filter("tokens is not null").select("query_id", F.col("tokens").alias("billed"), "note", "kind", F.col("fell_back").alias("fell"), "secs")
+    said = verdicts.join(rows, "query_id", "left").join(due.select("query_id", "estimate"), "query_id")
+    billed = F.when(F.col("billed") > 0, F.col("billed")).when(F.col("billed").isNotNull(), F.when(F.col("note").isNull() & F.lit(price > 0), F.col("estimate")).otherwise(0))
+    said = said.withColumn("tokens", billed.cast("long"))
+    said = saved(said.select("query_id", "due", "why", "tokens", (F.col("tokens") * price).alias("usd"), "note", "kind", "fell", "secs"), "said")
+    real = said.agg(F.coalesce(F.sum("usd"), F.lit(0.0))).first()[0]
+    return Pass(windows, found.select("query_id", "path", "ord", "score"), said, caps.after(real))
+
+
+def spend_rows(said: DataFrame, scorer: scorers.Scorer, caller: str, session: str | None) -> DataFrame:
+    """A ledger's rows of a pass."""
+    return said.filter("tokens > 0").select(F.lit(time.time()).alias("ts"), F.lit(os.getpid()).alias("pid"), F.lit(scorer.name).alias("backend"), "tokens", "usd", F.lit(caller).alias("caller"), F.lit(session).cast("string").alias("session"))
 
 
 def recall(queries: DataFrame, index: search.Index, c: Config, s: search.Settings, top: int = 5, caller: str = "live", session: str | None = None, rerank_: bool = True, record: bool = True) -> tuple[DataFrame, DataFrame]:
     """The best `top` files of each query (query_id, q), as in HITS, and a log row a query. With `record`, spend goes to the
     ledger and the log rows to the recall log."""
-    ids = sorted(r.query_id for r in queries.select("query_id").distinct().collect())
-    hits = log = None
-    for a in range(0, max(1, len(ids)), BLOCK):
-        own = queries if len(ids) <= BLOCK else queries.filter(F.col("query_id").between(ids[a], ids[min(a + BLOCK, len(ids)) - 1]))
-        one, two = _block(own, index, c, s, top, caller, session, rerank_, record)
-        hits, log = (one, two) if hits is None else (hits.unionByName(one), log.unionByName(two))
-    return hits, log
-
-
-def _block(queries: DataFrame, index: search.Index, c: Config, s: search.Settings, top: int, caller: str, session: str | None, rerank_: bool, record: bool) -> tuple[DataFrame, DataFrame]:
-    spark, began = queries.sparkSession, time.monotonic()
-    id_kind = queries.schema["query_id"].dataType.simpleString()
+    began, backend = time.monotonic(), c.scorer.get("backend", "lexical")
+    shaped = is_question(F.col("q")) if c.question_gate else F.lit(True)
+    mode = F.lit("first-stage") if not rerank_ else F.when(~shaped, "keyword").otherwise("first-stage" if backend == "none" else f"rerank:{backend}")
+    asked = saved(queries.select("query_id", "q", mode.alias("mode")), "asked")
+    queries = asked.select("query_id", "q")
     found = search.legs(queries, index, max(s.widen_k, s.k), s)
     found = search.Legs(saved(found.words, "words"), saved(found.docs, "near"), saved(found.sections, "near"), found.long_paths)
     first = saved(search.fused(found, s.k, s), "first")
     pool = saved(search.pool_of(queries, index, first, s), "pool")
-
-    asked = queries.select("query_id", "q", is_question(F.col("q")).alias("asks")).collect()
-    states = {r.query_id: State(r.q) for r in asked}
-    backend = c.scorer.get("backend", "lexical")
-    for r in asked:
-        shaped = r.asks or not c.question_gate
-        states[r.query_id].mode = "first-stage" if not rerank_ or (shaped and backend == "none") else f"rerank:{backend}" if shaped else "keyword"
-    scoring = [i for i, x in states.items() if x.mode.startswith("rerank")]
-    asks = saved(queries.join(spark.createDataFrame([(i,) for i in scoring], f"query_id {id_kind}"), "query_id", "left_semi").select("query_id", "q"), "asks")
+    asks = asked.filter(F.startswith("mode", F.lit("rerank"))).select("query_id", "q", F.lit(0.0).alias("before"), F.lit(None).cast("string").alias("kind"))
     own = pool.join(asks.select("query_id"), "query_id", "left_semi")
-    best, ranked_pool, passages = None, own, None
-    widen_at, records = s.widen_at, []
-    if scoring:
+
+    one = two = best = scorer = None
+    wide, windows, widen_at, failed = own, None, s.widen_at, None
+    if not asks.isEmpty():
         try:
             scorer = scorers.load(c.scorer)
-        except Exception as e:
-            scorer = None
-            for i in scoring:
-                states[i].notes.append(f"{type(e).__name__}: {str(e)[:200]}")
-        done: set = set()
-        if scorer is not None:
-            widen_at = scorer.widen_at if c.widen_at == "auto" else float(c.widen_at)
-            run = Pass(c, c.scorer, scorer, index, Budget.of(c, files.read_ledger(spark, c.ledger), caller, session), states, s.max_windows)
-            scored, done, passages = run.score(asks, own, 1.0, c.question_kinds)
-            best, ranked_pool, passages = _widened(run, found, asks, own, scored, done, passages, c, s, widen_at)
-            records = run.records
-        for i in scoring:
-            if i not in done:
-                states[i].mode = FAILED
-    for state in states.values():
-        if state.fell:
-            state.mode += " (fallback)"
-            state.notes.append(f"the first route was down: {state.fell}")
-    hits = _hits(pool, ranked_pool, best, passages, index, states, id_kind, top)
-    hits = saved(hits, "hits")
-    secs = (time.monotonic() - began) / max(1, len(states))
-    log = saved(_log(hits, first, ranked_pool, pool, states, id_kind, widen_at, secs, caller, session), "log")
+        except Exception as e:  # whatever a plug-in raises, the queries must be answered
+            failed = f"{type(e).__name__}: {str(e)[:200]}"
+    if scorer is not None:
+        widen_at = scorer.widen_at if c.widen_at == "auto" else float(c.widen_at)
+        one = scored(c, scorer, index, asks, own, caps_of(c, files.read_ledger(asks.sparkSession, c.ledger, days=2), caller, session), c.question_kinds, s.max_windows)
+        best, windows = saved(rerank.best_windows(one.scores.fillna({"score": 0.0})), "best"), one.windows
+        tops = best.groupBy("query_id").agg(F.max("score").alias("top"))
+        unsure = (F.coalesce("top", F.lit(0.0)) < widen_at) | F.coalesce(F.col("kind").isin(c.widen_kinds), F.lit(False))
+        call = saved(one.done.join(tops, "query_id", "left").filter(unsure).select("query_id", "kind"), "unsure")
+        if s.widen_k > s.k and not call.isEmpty():
+            two, more = _widened(one, scorer, found, index, asks, own, call, c, s)
+            new = two.done.select("query_id")
+            best = best.unionByName(rerank.best_windows(two.scores.join(new, "query_id", "left_semi").fillna({"score": 0.0})))
+            wide = own.unionByName(more.join(new, "query_id", "left_semi"))
+            windows = windows.unionByName(two.windows).dropDuplicates(["path", "ord"])
+    states = saved(_states(asked, one, two, failed), "states")
+    hits = saved(_hits(pool, wide, best, windows, index, states, top), "hits")
+    secs = (time.monotonic() - began) / max(1, states.count())
+    log = saved(_log(hits, first, wide, pool, states, widen_at, secs, caller, session), "log")
     if record:
-        if records:
-            files.append_json(spark.createDataFrame(records, files.LEDGER), c.ledger)
-        if states:
-            files.append_json(log, c.recall_log)
+        batch = uuid.uuid4().hex
+        spends = [spend_rows(p.said, scorer, caller, session) for p in (one, two) if p is not None]
+        wrongs = [_kept(spends[0] if len(spends) == 1 else spends[0].unionByName(spends[1]), c.ledger, F.timestamp_seconds("ts"), batch, "ledger") if spends else None, _kept(log, c.recall_log, F.col("ts"), batch, "recall log")]
+        for why in filter(None, wrongs):
+            noted = F.concat_ws("; ", "note", F.lit(why))
+            hits, log = hits.withColumn("note", noted), log.withColumn("note", noted)
     return hits, log
 
 
-def _widened(run: Pass, found: search.Legs, asks: DataFrame, own: DataFrame, scored: DataFrame, done: set, windows: DataFrame, c: Config, s: search.Settings, widen_at: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Best windows, pool and windows after the files of a larger first stage were scored for queries that call for it."""
-    best = saved(rerank.best_windows(scored.fillna({"score": 0.0})), "best")
-    tops = {r.query_id: r.top for r in best.groupBy("query_id").agg(F.max("score").alias("top")).collect()}
-    call = [i for i in done if tops.get(i, 0.0) < widen_at or run.states[i].kind in c.widen_kinds]
-    if not call or s.widen_k <= s.k:
-        return best, own, windows
-    spark, id_kind = own.sparkSession, own.schema["query_id"].dataType.simpleString()
-    wider = spark.createDataFrame([(i,) for i in call], f"query_id {id_kind}")
+def _kept(rows: DataFrame, path: str, at: Column, batch: str, name: str) -> str | None:
+    """Append records; what went wrong, as the answer stands without them."""
+    try:
+        files.append_rows(rows, path, at, batch)
+    except Exception as e:
+        return f"the {name} could not be written: {type(e).__name__}: {str(e).splitlines()[0][:120] if str(e) else path}"
+    return None
+
+
+def _widened(one: Pass, scorer: scorers.Scorer, found: search.Legs, index: search.Index, asks: DataFrame, own: DataFrame, call: DataFrame, c: Config, s: search.Settings) -> tuple[Pass, DataFrame]:
+    """A pass over the files of a larger first stage that the pool lacks, and these files (query_id, path, pos)."""
     size = own.groupBy("query_id").agg(F.max("pos").alias("n"))
-    more = search.fused(found, s.widen_k, s).join(wider, "query_id", "left_semi").join(own, ["query_id", "path"], "left_anti").join(size, "query_id")
+    more = search.fused(found, s.widen_k, s).join(call, "query_id", "left_semi").join(own, ["query_id", "path"], "left_anti").join(size, "query_id")
     more = saved(more.select("query_id", "path", (F.col("n") + F.col("rank")).cast("int").alias("pos")), "more")
-    notes = {i: len(run.states[i].notes) for i in call}
-    again, new, extra = run.score(asks.join(wider, "query_id", "left_semi"), more, 1.0 - c.widen_reserve_frac, False)
-    for i in call:
-        run.states[i].widened = i in new
-        late = run.states[i].notes[notes[i] :]
-        run.states[i].notes[notes[i] :] = [f"widen skipped: {x}" for x in late]
-    let = spark.createDataFrame([(i,) for i in new], f"query_id {id_kind}")
-    again = again.join(let, "query_id", "left_semi")
-    return best.unionByName(rerank.best_windows(again.fillna({"score": 0.0}))), own.unionByName(more.join(let, "query_id", "left_semi")), windows.unionByName(extra).dropDuplicates(["path", "ord"])
-
-
-def _hits(pool: DataFrame, wide: DataFrame, best: DataFrame | None, windows: DataFrame | None, index: search.Index, states: dict, id_kind: str, top: int) -> DataFrame:
-    spark = pool.sparkSession
-    rows = [(i, x.mode, "; ".join(x.notes) or None, x.mode.startswith("rerank")) for i, x in states.items()]
-    info = F.broadcast(spark.createDataFrame(rows, f"query_id {id_kind}, mode string, note string, scored boolean"))
+    again = asks.select("query_id", "q").join(call, "query_id").join(one.said.select("query_id", F.col("usd").alias("before")), "query_id")
+    caps = replace(one.caps, ceiling=1.0 - c.widen_reserve_frac)
+    return scored(c, scorer, index, again, more, caps, False, s.max_windows), more
+
+
+def _states(asked: DataFrame, one: Pass | None, two: Pass | None, failed: str | None) -> DataFrame:
+    """query_id, q, mode, note, widened, usd, tokens, secs, kind: what came of each question."""
+    none = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in SAID.split(", ")]
+    side = lambda p, name: (p.said.select("query_id", F.struct(*[x.split()[0] for x in SAID.split(", ")]).alias(name)) if p is not None else asked.select("query_id", F.struct(*none).alias(name)))
+    both = asked.join(side(one, "a"), "query_id", "left").join(side(two, "b"), "query_id", "left")
+    scored_ = F.col("a.why").isNull() & F.col("a.note").isNull() & F.col("a.tokens").isNotNull()
+    fell = F.coalesce(F.nullif("a.fell", F.lit("")), F.nullif("b.fell", F.lit("")))
+    asks = F.startswith("mode", F.lit("rerank"))
+    late = lambda c: F.concat(F.lit("widen skipped: "), F.col(c))
+    notes = F.concat_ws("; ", F.when(asks, F.lit(failed).cast("string")), "a.why", "a.note", late("b.why"), late("b.note"), F.concat(F.lit("the first route was down: "), fell))
+    sums = lambda c, zero: F.coalesce(f"a.{c}", F.lit(zero)) + F.coalesce(f"b.{c}", F.lit(zero))
+    mode = F.concat(F.when(asks & ~scored_, FAILED).otherwise(F.col("mode")), F.when(fell.isNotNull(), " (fallback)").otherwise(""))
+    widened = F.coalesce(F.col("b.why").isNull() & F.col("b.note").isNull() & F.col("b.tokens").isNotNull(), F.lit(False))
+    return both.select("query_id", "q", mode.alias("mode"), F.nullif(notes, F.lit("")).alias("note"), widened.alias("widened"), sums("usd", 0.0).alias("usd"), sums("tokens", 0).cast("long").alias("tokens"), sums("secs", 0.0).alias("secs"), F.coalesce("a.kind", "b.kind").alias("kind"))
+
+
+def _hits(pool: DataFrame, wide: DataFrame, best: DataFrame | None, windows: DataFrame | None, index: search.Index, states: DataFrame, top: int) -> DataFrame:
+    info = states.select("query_id", "mode", "note", F.startswith("mode", F.lit("rerank")).alias("scored"))
     plain = pool.join(info, "query_id").filter("not scored").select("query_id", "path", F.col("pos").cast("int").alias("rank"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("ord"), "mode", "note")
     if best is not None:
         own = wide.join(info, "query_id").filter("scored")
@@ -239,13 +186,11 @@ def _hits(pool: DataFrame, wide: DataFrame, best: DataFrame | None, windows: Dat
     return cut.select("query_id", "path", "score", F.col("heading").alias("section"), F.when(F.col("rank") == 1, F.col("text")).alias("passage"), "rank", "mode", "note", given("kind").alias("kind"), given("date").alias("date"))
 
 
-def _log(hits: DataFrame, first: DataFrame, wide: DataFrame, pool: DataFrame, states: dict, id_kind: str, widen_at: float, secs: float, caller: str, session: str | None) -> DataFrame:
-    spark = hits.sparkSession
+def _log(hits: DataFrame, first: DataFrame, wide: DataFrame, pool: DataFrame, states: DataFrame, widen_at: float, secs: float, caller: str, session: str | None) -> DataFrame:
     best = hits.filter("rank <= 3").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path", "score"))), lambda x: F.struct(x["path"].alias("path"), x["score"].alias("score"))).alias("top"))
     three = first.filter("rank <= 3").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("first_stage_top3"))
     size = pool.groupBy("query_id").agg(F.count("*").alias("pool")).join(wide.groupBy("query_id").agg(F.count("*").alias("wide")), "query_id", "left").select("query_id", F.coalesce("wide", "pool").alias("pool"))
-    rows = [(i, x.q, x.mode, x.widened, x.usd, x.tokens, max(secs, x.secs), "; ".join(x.notes) or None, x.kind) for i, x in states.items()]
-    info = spark.createDataFrame(rows, f"query_id {id_kind}, q string, mode string, widened boolean, usd double, tokens long, secs double, note string, kind string")
+    info = states.withColumn("secs", F.greatest("secs", F.lit(secs)))
     both = info.join(best, "query_id", "left").join(three, "query_id", "left").join(size, "query_id", "left")
     at = F.when(F.startswith("mode", F.lit("rerank")), F.lit(float(widen_at)))
     return both.select(F.current_timestamp().alias("ts"), "q", "mode", "top", F.coalesce("pool", F.lit(0)).alias("pool"), "widened", F.round("usd", 6).alias("usd"), "tokens", F.round("secs", 2).alias("secs"), "note", "kind", "first_stage_top3", at.alias("widen_at"), F.lit(caller).alias("caller"), F.lit(session).cast("string").alias("session"), "query_id")
@@ -260,4 +205,4 @@ def logged(log: DataFrame) -> DataFrame:
 
 def percentile(values: list[float], share: float) -> float | None:
     """The order statistic at a share of the number of values; None without any."""
-    return sorted(values)[min(len(values) - 1, math.floor(len(values) * share))] if values else None
+    return sorted(values)[min(len(values) - 1, int(len(values) * share))] if values else None

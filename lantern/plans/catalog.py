@@ -11,7 +11,7 @@ from lantern.functions import text as T
 from lantern.functions import vectors as V
 from lantern.config import Config
 from lantern.operators import evaluate, keyword, ledger, maintain, rare, rerank, scorers, vector
-from lantern.plans import answer, benchmark, search
+from lantern.plans import answer, benchmark, search, store
 from lantern.scratch import once, saved, scratch_path
 from lantern.shipping import ship
 from lantern.sources import files
@@ -310,6 +310,35 @@ def keyword_search(spark: SparkSession, d: str) -> DataFrame:
     return _words(spark, d, items(spark, d))
 
 
+def rare_words(spark: SparkSession, d: str) -> DataFrame:
+    """The three longest words of each item, ties by name: queries that ask for a small share of the postings."""
+    w = F.array_distinct(F.transform(T.plain_words(F.lower("q")), lambda x: F.regexp_replace(x, "[^a-z0-9]", "")))
+    longest = F.slice(F.array_sort(F.transform(w, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("w")))), 1, 3)
+    return items(spark, d).select("query_id", F.concat_ws(" ", F.transform(longest, lambda x: x["w"])).alias("q"))
+
+
+@query
+def keyword_postings(spark: SparkSession, d: str) -> DataFrame:
+    """A search that goes by the postings of its terms, where they are few."""
+    return _words(spark, d, rare_words(spark, d))
+
+
+@query
+def segment_search(spark: SparkSession, d: str) -> DataFrame:
+    """A keyword search over a stored index of several segments: an older state of the documents, of which a seventh had another
+    text and some are gone since, and an eleventh came late."""
+    docs = corpus(spark, d).select("path", F.lit("r").alias("root"), T.content_hash(F.col("body")).alias("hash"), "title", F.lit("").alias("extra"), "body", "doc_id")
+    gone = docs.filter("doc_id % 13 = 0").withColumn("path", F.concat(F.lit("gone/"), "path"))
+    older = docs.filter("doc_id % 11 <> 0").withColumns({"body": F.when(F.col("doc_id") % 7 == 0, F.lit("an older text")).otherwise(F.col("body")), "hash": F.when(F.col("doc_id") % 7 == 0, F.lit("old")).otherwise(F.col("hash"))})
+    path = scratch_path(spark, "segments")
+    store.build(older.unionByName(gone).drop("doc_id"), path, SETTINGS)
+    store.build(docs.filter("doc_id % 11 <> 0 or doc_id % 2 = 0").drop("doc_id"), path, SETTINGS)
+    store.build(docs.drop("doc_id"), path, SETTINGS)
+    index = store.load(spark, path)
+    found = keyword.search(items(spark, d), index.terms, index.vocabulary, 50, shards=index.shards)
+    return found.select("query_id", "path", "rank", F.round("score", 6).alias("score"))
+
+
 @query
 def bm25_weighted(spark: SparkSession, d: str) -> DataFrame:
     """Queries that name a document by its title, which weighs five times a word of the body."""
@@ -510,12 +539,12 @@ def doc_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ledger_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Spend appended to a ledger in two calls and read back, summed by caller and day."""
+    """Spend appended to a ledger in two batches, one of them twice, and read back, summed by caller and day."""
     path, rows = scratch_path(spark, "ledger"), spend(spark, d)
     rows = rows.select(F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("micros"), "event_id", "tokens", "usd", "caller", "session")
     rows = rows.select((F.col("micros") / 1e6).alias("ts"), F.lit(1).alias("pid"), F.lit("lexical").alias("backend"), F.col("tokens").cast("long").alias("tokens"), "usd", "caller", "session", "event_id")
-    for part in (0, 1):
-        files.append_json(rows.filter(F.col("event_id") % 2 == part).drop("event_id"), path)
+    for part in (0, 1, 1):
+        files.append_rows(rows.filter(F.col("event_id") % 2 == part).drop("event_id"), path, F.timestamp_seconds("ts"), f"part-{part}")
     back = files.read_ledger(spark, path).withColumn("caller", ledger.caller_of(F.col("caller")))
     return back.groupBy("caller", F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), F.round(F.sum("usd"), 6).alias("usd"), F.countDistinct("session").alias("sessions"))
 

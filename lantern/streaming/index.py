@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,20 +13,20 @@ from lantern.sources import files
 
 
 def refresh_on_arrival(spark: SparkSession, roots: list[str], index: str, checkpoint: str, s: search.Settings = search.Settings(), extensions: list[str] | None = None, exclude: list[str] | None = None) -> StreamingQuery:
-    """Runs until the files there are, under any root, have been seen; each batch of arrivals is one incremental build, so a
-    stream that starts again after a failure repeats a build without another effect. A build compares the files' hashes with
-    the index, so those that were deleted go with the next one."""
-    schema = spark.read.format("binaryFile").load(roots[0]).schema
-    arrivals = None
-    for root in roots:
-        one = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(root).select("path")
-        arrivals = one if arrivals is None else arrivals.unionByName(one)
+    """Runs until the files there are, under any root, have been seen; each batch of arrivals is one segment of the index.
+
+    Only the arrivals' own files are opened. What was deleted since is found by listing the roots, which opens none. The index
+    holds the hash of each path, and is the state of the stream: a batch that is repeated after a failure finds its files there
+    and writes nothing."""
+    arriving = reduce(DataFrame.unionByName, [files.arrivals(spark, root) for root in roots])
 
     def batch(seen: DataFrame, number: int) -> None:
-        if not seen.isEmpty():
-            store.build(files.documents(files.scan(spark, roots, extensions, exclude)), index, s)
+        if seen.isEmpty():
+            return
+        own = {root: seen.filter(F.col("root") == root).select("where", "content") for root in roots}
+        store.build(files.documents(files.shown(spark, own, extensions, exclude)), index, s, listed=files.listed(spark, roots, extensions, exclude))
 
-    return arrivals.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def spend_by_window(ledger: DataFrame, width: str = "24 hours", slide: str = "1 hour", late: str = "1 hour") -> DataFrame:
