@@ -78,6 +78,12 @@ cte(
     rf"""SELECT item_id AS query_id, coalesce((CASE WHEN item_id % 3 = 2 THEN 'mention of' ELSE 'Where is' END) || ' "' || array_to_string(list_slice({plain("text")}, 2, 4), ' ') || '" stated with '
      || upper({plain("text")}[6]) || ' ' || array_to_string(list_slice({plain("text")}, 7, 14), ' ') || ' and ' || upper({plain("text")}[10]) || (CASE WHEN item_id % 3 = 2 THEN '' ELSE '?' END), '') AS q FROM benchmark""",
 )
+cte(
+    "longest_words",
+    [],
+    r"""SELECT item_id AS query_id, coalesce(array_to_string(list_transform(list_slice(list_sort(list_transform(list_distinct(list_transform(string_split_regex(lower(text), '\s+'), lambda x: regexp_replace(x, '[^a-z0-9]', '', 'g'))),
+     lambda x: {'n': -length(x), 'w': x})), 1, 3), lambda x: x.w), ' '), '') AS q FROM benchmark""",
+)
 cte("posted", ["docs"], r"""SELECT term, path, sum(t)::BIGINT AS tf_title, sum(b)::BIGINT AS tf_body FROM (
   SELECT path, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}]+')) AS term, 1 AS t, 0 AS b FROM docs
   UNION ALL SELECT path, unnest(regexp_extract_all(lower(body), '[\p{L}\p{N}]+')), 0, 1 FROM docs) GROUP BY ALL""")
@@ -89,7 +95,7 @@ TOKENS = "unnest(list_filter(regexp_extract_all(q, '[A-Za-z0-9]+'), lambda t: le
 # the stemmed index: whole words without marks, then their stems
 cte("plain_words", ["docs"], r"""SELECT unnest(regexp_extract_all(strip_accents(lower(title)), '[\p{L}\p{N}]+')) AS term, path, 1 AS t, 0 AS b FROM docs
   UNION ALL SELECT unnest(regexp_extract_all(strip_accents(lower(body)), '[\p{L}\p{N}]+')), path, 0, 1 FROM docs""")
-cte("stemmed", ["plain_words", "asked", "questions"], stems(f"SELECT term FROM plain_words UNION SELECT lower(t) FROM (SELECT {TOKENS} AS t FROM (SELECT q FROM asked UNION ALL SELECT q FROM questions))"))
+cte("stemmed", ["plain_words", "asked", "questions", "longest_words"], stems(f"SELECT term FROM plain_words UNION SELECT lower(t) FROM (SELECT {TOKENS} AS t FROM (SELECT q FROM asked UNION ALL SELECT q FROM questions UNION ALL SELECT q FROM longest_words))"))
 cte("stem_posted", ["plain_words", "stemmed"], "SELECT coalesce(s.stem, w.term) AS term, path, sum(t)::BIGINT AS tf_title, sum(b)::BIGINT AS tf_body FROM plain_words w LEFT JOIN stemmed s ON s.term = w.term GROUP BY ALL")
 
 
@@ -144,6 +150,7 @@ def hybrid(name: str, source: str, k: int, base: str | None = None) -> None:
 cte("named", ["asked"], "SELECT query_id, q || ' ' || (query_id * 10 + 11) || ' ' || (query_id * 10 + 11) AS q FROM asked")
 bm25("n", "named")
 bm25("u", "asked", plain=True)
+bm25("r", "longest_words")
 hybrid("a", "asked", 10)
 hybrid("a20", "asked", 20, "a")
 hybrid("q20", "questions", 20)
@@ -291,6 +298,8 @@ QUERIES: dict[str, tuple[list[str], str]] = {
     "tokenize_unicode": (["docs"], r"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, regexp_extract_all(lower(body), '[\p{L}\p{N}]+') AS t FROM docs)"),
     "term_postings": (["posted"], "SELECT term, path, tf_title, tf_body FROM posted"),
     "keyword_search": (["a_words"], "SELECT query_id, path, rank, round(score, 6) AS score FROM a_words WHERE rank <= 50"),
+    "keyword_postings": (["r_words"], "SELECT query_id, path, rank, round(score, 6) AS score FROM r_words WHERE rank <= 50"),
+    "segment_search": (["a_words"], "SELECT query_id, path, rank, round(score, 6) AS score FROM a_words WHERE rank <= 50"),
     "bm25_unstemmed": (["u_words"], "SELECT query_id, path, rank, round(score, 6) AS score FROM u_words WHERE rank <= 50"),
     "term_stems": (["stem_posted"], "SELECT term AS stem, count(*) AS documents FROM stem_posted GROUP BY term"),
     "bm25_weighted": (["n_words"], "SELECT query_id, path, rank, round(score, 6) AS score FROM n_words WHERE rank <= 50"),
