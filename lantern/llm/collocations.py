@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .coded import BREAKS, CODED_BYTES, PIECE_WORDS, Coder, block_name, planes, unplaned
+from .coded import BREAKS, PIECE_WORDS, Coder, block_name, planes, unplaned
 from .common import blocks as slices_of
 from .common import list_array, mix, prepare, saved, scratch_path, text_bytes
 
@@ -40,7 +40,9 @@ LEAST = 30
 #: Rows of the report a language.
 TOP = 2000
 #: Fragments of a partition, about; a pivot with more occurrences is dealt to several.
-PARTITION_ROWS = 1 << 20
+PARTITION_ROWS = 1 << 19
+#: Bytes of text of a block, about.
+CODED_BYTES = 8 << 20
 #: Shares by which the first rows of a language are found before they meet.
 SHARES = 64
 
