@@ -343,7 +343,11 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", wi
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, within: int = 15, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, item_id for documents where all terms of one of the item's windows stand near its rarest term."""
+    """doc_id, item_id for documents where all terms of one of the item's windows stand near its rarest term.
+
+    Near is at most `within` words away in the same document; the rarest term is that with the fewest occurrences in the
+    document's segment of the index, the first of the window on ties. Null and empty texts match nothing; rows that repeat an id
+    are one; an empty table on either side gives no rows; other columns are ignored."""
     prepare(docs.sparkSession)
     index = saved(build_index(docs, id_col, text_col), "index")
     kind = index.schema["ids"].dataType.elementType.simpleString()

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,37 @@ def test_proximity(spark):
     assert sorted(r.doc_id for r in decontam.proximity_matches(d, b, within=5).collect()) == [1, 2]
 
 
+def brute_near(docs, items, within, window=10):
+    """Of documents in one segment."""
+    words_ = [(i, tokens(t or "")) for i, t in docs]
+    count = Counter(w for _, t in words_ for w in t)
+    out = set()
+    for name, text in items:
+        own = tokens(text or "")
+        k = min(window, len(own))
+        for s in range(len(own) - k + 1) if k else ():
+            part = own[s : s + k]
+            lead = min(range(k), key=lambda i: (count[part[i]], i))
+            for doc, t in words_:
+                if any(t[p] == part[lead] and all(w in t[max(0, p - within) : p + within + 1] for w in part) for p in range(len(t))):
+                    out.add((doc, name))
+    return out
+
+
+def test_proximity_against_brute_force(spark):
+    r = random.Random(9)
+    names = [f"w{i}" for i in range(30)]
+    items = [(f"i{j}", " ".join(r.choices(names, k=n))) for j, n in enumerate([1, 2, 3, 4, 5, 10, 13])] + [("none", None), ("empty", " "), ("i1", "w3 w4")]
+    docs = [(i, " ".join(r.choices(names, k=r.randrange(0, 60)))) for i in range(120)]
+    docs += [(500, None), (501, ""), (502, items[6][1]), (502, items[6][1]), docs[3], (503, "x " * 50 + items[5][1])]
+    d = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, item_id int").coalesce(1)
+    b = spark.createDataFrame([(i, t, 2) for i, t in items], "item_id string, text string, doc_id int")
+    want = brute_near(docs, items, 6)
+    got = decontam.proximity_matches(d, b, within=6).collect()
+    assert len(got) == len(want) > 50 and {tuple(x) for x in got} == want
+    assert decontam.proximity_matches(d.limit(0), b).count() == 0 and decontam.proximity_matches(d, b.limit(0)).count() == 0
+
+
 def test_proximity_is_a_query(spark, tmp_path):
     from lantern.llm import registry
 
