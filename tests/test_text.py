@@ -93,3 +93,13 @@ def test_stemmer_like_the_engine_of_sqlite():
         db.execute("delete from t")
         db.execute("insert into t values (?)", (w,))
         assert db.execute("select term from v").fetchone()[0] == stem.porter(w), w
+
+
+def test_upper_case_keeps_lengths(spark):
+    """As DuckDB's upper does, on which the questions' SQL rests."""
+    import duckdb
+
+    words = ["straße", "ŉa", "ᾳx", "ﬁn", "éa", "𐐨b", "", "ẞß"]
+    got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(text.simple_upper(F.col("w"))).collect()]
+    con = duckdb.connect()
+    assert got == [con.execute("select upper(?)", [w]).fetchall()[0][0] for w in words] and got[0] == "STRAẞE"
