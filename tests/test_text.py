@@ -103,3 +103,10 @@ def test_upper_case_keeps_lengths(spark):
     got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(text.simple_upper(F.col("w"))).collect()]
     con = duckdb.connect()
     assert got == [con.execute("select upper(?)", [w]).fetchall()[0][0] for w in words] and got[0] == "STRAẞE"
+
+
+def test_references_without_a_semicolon(spark):
+    page = "<title>x &amp; y&amp</title><p>a &amp;lt; &copy;&am &#65; &#x42; &ampx; b &amp</p>"
+    got = spark.createDataFrame([(page,)], "h string").select(text.html_to_text(F.col("h"), closed=True), text.html_to_text(F.col("h"))).first()
+    assert got[0] == "# x & y&amp\n\nx & y&amp\na &lt; ©&am A B &ampx; b &amp"
+    assert got[1] == "# x & y&\n\nx & y&\na &lt; ©&am A B &x; b &"
