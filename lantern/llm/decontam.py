@@ -39,6 +39,10 @@ AT_ONCE = 1 << 20
 #: Places that are compared with a window's words at once.
 COMPARED = 1 << 17
 
+#: How segments are written: a row has megabytes, so the writer looks at its size after each row, not after a hundred, and a
+#: reader gets a few of them at once, however well they are compressed.
+WRITE = {"parquet.block.size": str(16 << 20), "parquet.block.row.count.limit": "4", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
+
 
 # --- index ------------------------------------------------------------------------------------------------------
 
@@ -88,6 +92,10 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return small.mapInArrow(run, f"ids array<{kind}>, first array<long>, terms binary, ends binary, postings binary, low binary, offs array<long>, seg long")
 
 
+def stored_index(docs: DataFrame, id_col: str, text_col: str, segment_words: int = SEGMENT_WORDS) -> DataFrame:
+    return saved(build_index(docs, id_col, text_col, segment_words), "index", **WRITE)
+
+
 class Segment:
     def __init__(self, row: pa.RecordBatch, at: int):
         self.ids = row.column(0)[at].values
@@ -309,7 +317,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and items (their ids, sorted)."""
     sc = docs.sparkSession.sparkContext
     prepare(docs.sparkSession)
-    index = saved(build_index(docs, id_col, text_col, segment_words), "index")
+    index = stored_index(docs, id_col, text_col, segment_words)
     count, parts = item_blocks(benchmark, window, block_words=block_words)
     hits = None
     for items in parts:
@@ -349,7 +357,7 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, within: int = 15, i
     document's segment of the index, the first of the window on ties. Null and empty texts match nothing; rows that repeat an id
     are one; an empty table on either side gives no rows; other columns are ignored."""
     prepare(docs.sparkSession)
-    index = saved(build_index(docs, id_col, text_col), "index")
+    index = stored_index(docs, id_col, text_col)
     kind = index.schema["ids"].dataType.elementType.simpleString()
     count, parts = item_blocks(benchmark, window, block_words=block_words)
     out = None

@@ -33,11 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK_BYTES, Substrings, blocks, content_key, mix, prepare, saved, text_bytes
+from .common import BLOCK_BYTES, Substrings, blocks, content_key, list_array, mix, prepare, saved, text_bytes
 
 LENGTH = 200
 GRAM = 50
@@ -237,24 +237,31 @@ def halves(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
 # --- plan -------------------------------------------------------------------------------------------------------
 
 
+def ahead_of(places: str, by: Column) -> Column:
+    return F.transform(places, lambda x: x + by)
+
+
 def _group_sizes(classes: DataFrame, length: int) -> DataFrame:
     """g, many (different stretches), c (all of them), bytes. classes: g, e, c, n."""
     return classes.groupBy("g").agg(F.count("*").alias("many"), F.sum("c").alias("c"), F.sum(F.col("n") + F.lit(length - 1)).cast("long").alias("bytes"))
 
 
 def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE, block: int = BLOCK_BYTES) -> DataFrame:
-    """k1, k2, s, e: stretches of bytes that are covered by repeated strings; they may overlap. docs has text only."""
+    """k1, k2, s, e: first bytes and ends of stretches that are covered by repeated strings, a list each; they may overlap. docs has
+    text only."""
     spark = docs.sparkSession
     rows = saved(anchor_rows(docs, length, gram, block), "anchors")
     # one gram at one place of its windows is a group; the offset is in the stretch's hash
     grams = rows.groupBy("g").agg(F.count("*").alias("c"), (F.min("e") != F.max("e")).alias("mixed")).filter("c > 1").select("g", "mixed")
     # tables are written before their joins, so that the joins deal the rows by themselves and a frequent key's can be split
     grams = saved(grams, "grams")
-    shared = saved(rows.join(grams, "g"), "shared")
-    full = shared.filter("not mixed").select("k1", "k2", F.col("lo").alias("s"), (F.col("lo") + F.col("n") + F.lit(length - 1)).alias("e"))
+    # a row a place of a text, whatever the number of tasks that held a copy of it
+    shared = rows.join(grams, "g").groupBy("k1", "k2", "lo", "n", "p", "g", "e", "mixed").agg(F.count("*").alias("c"))
+    shared = saved(shared, "shared")
+    full = shared.filter("not mixed").select("k1", "k2", F.array("lo").alias("s"), F.array(F.col("lo") + F.col("n") + F.lit(length - 1)).alias("e"))
 
     mixed = shared.filter("mixed")
-    classes = mixed.groupBy("g", "e").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "lo", "n", "p")).alias("at"))
+    classes = mixed.groupBy("g", "e").agg(F.sum("c").alias("c"), F.min(F.struct("k1", "k2", "lo", "n", "p")).alias("at"))
     classes = saved(classes.select("g", "e", "c", "at.*"), "classes")
     sizes = saved(_group_sizes(classes, length), "sizes")
     wanted = classes.join(sizes.select("g", "many"), "g")
@@ -298,7 +305,9 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
             owner, at = repeats([x[3] for x in kept], np.array([x[2] for x in kept]), length)
             owner, a, b = _ranges(owner, at)
             g, e = np.array([x[0] for x in kept], np.int64), np.array([x[1] for x in kept], np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(g[owner]), pa.array(e[owner]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["g", "e", "a", "b"])
+            own, head = np.unique(owner, return_index=True)
+            edge = np.append(head, len(owner))
+            return pa.RecordBatch.from_arrays([pa.array(g[own]), pa.array(e[own]), *(list_array(pa.array(x.astype(np.int32)), edge) for x in (a, b))], ["g", "e", "a", "b"])
 
         for batch in batches:
             for g, e, c, string in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -313,17 +322,20 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
 
     # the dearest stage: its number of tasks follows the counted bytes
     tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
-    dup = to_sort.repartition(tasks, "g").sortWithinPartitions("g").mapInArrow(sort, "g long, e long, a int, b int")
+    dup = to_sort.repartition(tasks, "g").sortWithinPartitions("g").mapInArrow(sort, "g long, e long, a array<int>, b array<int>")
     if cut:
         dup = saved(dup, "sorted")
-        back = [x.select("g", "e", "g0", "e0", "off").join(dup, ["g", "e"]).select(F.col("g0").alias("g"), F.col("e0").alias("e"), (F.col("off") + F.col("a")).alias("a"), (F.col("off") + F.col("b")).alias("b")) for x in cut]
-        back += [x.select(F.col("g0").alias("g"), F.col("e0").alias("e"), F.col("off").alias("a"), (F.col("off") + F.col("n") - 1).alias("b")) for x in whole]
+        # lists travel as they are, so that a join gives a row for a row
+        back = [x.select("g", "e", "g0", "e0", "off").join(dup, ["g", "e"]).select(F.col("g0").alias("g"), F.col("e0").alias("e"), ahead_of("a", F.col("off")).alias("a"), ahead_of("b", F.col("off")).alias("b")) for x in cut]
+        back += [x.select(F.col("g0").alias("g"), F.col("e0").alias("e"), F.array("off").alias("a"), F.array(F.col("off") + F.col("n") - 1).alias("b")) for x in whole]
         # what was found of the groups that were not dealt on meets the anchors by itself; other groups' names meet none
         for x in back:
             dup = dup.unionByName(x)
+        # a window is in one run at most, so these lists are no longer than a stretch has windows
+        dup = dup.groupBy("g", "e").agg(F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("b")).alias("b"))
         dup = saved(dup, "found")
     part = mixed.join(dup, ["g", "e"])
-    part = part.select("k1", "k2", (F.col("lo") + F.col("a")).alias("s"), (F.col("lo") + F.col("b") + F.lit(length)).alias("e"))
+    part = part.select("k1", "k2", ahead_of("a", F.col("lo")).alias("s"), ahead_of("b", F.col("lo") + F.lit(length)).alias("e"))
     return full.unionByName(part)
 
 
@@ -332,8 +344,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text, without what is left of cut characters) and the columns in `carry`."""
     prepare(docs.sparkSession)
     small = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), docs[id_col].alias("id"), *[docs[c].alias(f"own_{i}") for i, c in enumerate(carry)])
-    found = repeated_stretches(small.select("text"), length, gram, large, block).distinct()
-    spans = found.groupBy("k1", "k2").agg(F.collect_list("s").alias("begins"), F.collect_list("e").alias("stops"))
+    found = repeated_stretches(small.select("text"), length, gram, large, block)
+    spans = found.groupBy("k1", "k2").agg(F.flatten(F.collect_list("s")).alias("begins"), F.flatten(F.collect_list("e")).alias("stops"))
     # written before the join, which then deals the texts by itself, so that a frequent text's rows can be split
     spans = saved(spans, "spans")
     joined = small.select(*content_key(F.col("text")), "id", "text", *[f"own_{i}" for i in range(len(carry))]).join(spans, ["k1", "k2"], "left").drop("k1", "k2")

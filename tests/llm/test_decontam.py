@@ -134,3 +134,15 @@ def test_words_of_one_hash_are_told_apart(spark, monkeypatch):
         for d, i in decontam._owners(seg, own, k, *decontam.phrase_places(seg, own, k)).tolist():
             names[d].add(own.names[i])
     assert [len(x) for x in names] == [r[3] for r in brute(docs[:20], items)]
+
+
+def test_segments_are_written_in_small_row_groups(spark):
+    """A row of the index has megabytes; few of them are held at once."""
+    from pyarrow import parquet
+
+    docs = spark.range(60).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 100000) as text").coalesce(1)
+    index = decontam.stored_index(docs, "doc_id", "text", 1)
+    files = [parquet.read_metadata(p.removeprefix("file://")) for p in index.inputFiles()]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 60
+    assert max(g.total_byte_size for g in groups) < 24 << 20, [(g.num_rows, g.total_byte_size) for g in groups]

@@ -89,3 +89,14 @@ def test_empty_and_carry(spark):
     docs = spark.createDataFrame([(1, "é" * 150, "fr"), (2, "é" * 150 + "!", None)], "doc_id long, text string, lang string")
     got = sorted(map(tuple, suffix.remove_repeats(docs, carry=("lang",)).drop("kept_sha256", "kept_text").collect()))
     assert got == [(1, 300, 300, 1, bytearray(b""), "fr"), (2, 301, 300, 1, bytearray(b"!"), None)]
+
+
+def test_copies_in_many_tasks_add_no_rows(spark):
+    """A place of a text is found once, in however many tasks its copies stand."""
+    r = random.Random(5)
+    line = lambda n: " ".join(f"{r.randrange(10**6)}" for _ in range(n))
+    passage = line(60)
+    rows = [(f"{line(80)} {passage} {line(80)}",) for _ in range(6)] * 40
+    docs = spark.createDataFrame(rows, "text string")
+    few, many = (suffix.repeated_stretches(docs.repartition(n)).count() for n in (1, 24))
+    assert 0 < many == few
