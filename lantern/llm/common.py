@@ -16,16 +16,8 @@ __all__ = ["clear", "saved", "scratch_path", "shared_dir"]
 BLOCK_BYTES = 1 << 20
 
 
-#: Bytes of an Arrow batch, where the session doesn't say.
-BATCH_BYTES = 4 << 20
-
-
 def prepare(spark: SparkSession) -> None:
-    """Send this package to the executors once a session, and bound the bytes of Arrow batches lower than Spark does, unless
-    the session sets a bound: a worker and its task hold several copies of a batch of texts. No other setting changes."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(BATCH_BYTES))
+    """Send this package to the executors and bound the bytes of Arrow batches; see `ship`."""
     ship(spark)
 
 
