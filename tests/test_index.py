@@ -206,3 +206,29 @@ def test_blocks_without_a_candidate_are_not_read(spark):
 def test_filters_of_many_values(spark, n):
     df = spark.range(1000)
     assert df.filter(postings.any_of("id", list(range(n)))).count() == n
+
+
+def test_a_search_by_words_writes_the_keyword_part_alone(spark, monkeypatch):
+    """No vectors, documents or signatures; the rows are those of the whole index, which takes the part as it is."""
+    from lantern import scratch
+    from lantern.plans import catalog
+
+    names, plain = [], search.saved
+    monkeypatch.setattr(search, "saved", lambda df, name, **given: (names.append(name), plain(df, name, **given))[1])
+    monkeypatch.setattr(scratch, "_KEPT", {})
+    d = "/root/testdata/sf0.001"
+    found = ranks(catalog.queries()["keyword_postings"](spark, d))
+    assert found and set(names) <= {"terms", "vocabulary", "postings"}
+    index = catalog.index_of(spark, d)
+    assert names.count("terms") == 1 and {"docs", "doc_vectors", "sections"} <= set(names)
+    whole = keyword.search(catalog.rare_words(spark, d), index.terms, index.vocabulary, 50)
+    assert found == ranks(whole)
+
+
+def test_shards_in_the_pass_that_makes_the_terms(spark):
+    _, docs = corpus(spark, 200)
+    two, one = postings.sharded(keyword.forward(docs), 30), keyword.forward(docs, shard_docs=30)
+    rows = lambda df: sorted((r.path, r.dl, sorted(zip(r.terms, r.tf_title, r.tf_body, strict=True)), r.ord) for r in df.collect())
+    assert one.schema == two.schema and rows(one) == rows(two)
+    late = keyword.shards_of(saved(one, "terms"), lambda _: pytest.fail("no search went by them"), late=True)
+    assert late.docs == 200

@@ -110,3 +110,13 @@ def test_references_without_a_semicolon(spark):
     got = spark.createDataFrame([(page,)], "h string").select(text.html_to_text(F.col("h"), closed=True), text.html_to_text(F.col("h"))).first()
     assert got[0] == "# x & y&amp\n\nx & y&amp\na &lt; ©&am A B &ampx; b &amp"
     assert got[1] == "# x & y&\n\nx & y&\na &lt; ©&am A B &x; b &"
+
+
+def test_stems_that_are_met_again_outlast_the_rest(monkeypatch):
+    made, porter = [], stem.porter
+    monkeypatch.setattr(stem, "porter", lambda w: (made.append(w), porter(w))[1])
+    for i in range(450_000):
+        if i % 40_000 == 0:
+            assert stem.stemmed_form("relational") == "relat"
+        stem.stemmed_form(f"w{i}")
+    assert made.count("relational") == 1 and len(stem._FORMS) + len(getattr(stem, "_OLDER", ())) < 210_000
