@@ -232,3 +232,20 @@ def test_shards_in_the_pass_that_makes_the_terms(spark):
     assert one.schema == two.schema and rows(one) == rows(two)
     late = keyword.shards_of(saved(one, "terms"), lambda _: pytest.fail("no search went by them"), late=True)
     assert late.docs == 200
+
+
+def test_chunks_that_are_sections_are_hashed_once(spark):
+    """With headings, odd white space, short and empty texts beside them, vectors are those of each text alone; the text is written once."""
+    s = search.Settings(chunk_words=5)
+    bodies = ["a b c d e f g h i j k l", "# h\nb c d e f g h", "b c\n## two\nd e f g h i j", "b\u00a0c d e f g h i j", "b c d e f\u001cg h i", "b #c d\te\x0bf g\r\nh", "", "a b c d e", "Straße ΟΔΟΣ éa b c_d e-f g ΣΑΣ.", " b c d e f g ", None, "`\n```\nb c d e f g"]
+    docs = spark.createDataFrame([(f"p{i}", None if i == 5 else f"T{i} Σ", b) for i, b in enumerate(bodies)], "path string, title string, body string")
+    built = search.build(docs, s)
+    index = built.saved()
+    words = search.with_words(docs.fillna({"body": ""}))
+    rows = lambda df: sorted((r.path, r["section"] if "section" in df.columns else 0, tuple(r.embedding)) for r in df.collect())
+    assert rows(index.doc_vectors) == rows(built.doc_vectors) == rows(search.document_vectors(words, s))
+    plain = rows(search.section_vectors(search.section_rows(words, s), s))
+    assert rows(index.sections) == rows(built.sections) == plain
+    assert {r.path for r in built.apart.collect()} == {"p1", "p2", "p3", "p4"}
+    assert all(r.text == r.body for r in index.docs.collect()) and index.docs.count() == len(bodies)
+    assert "text" not in index.docs.inputFiles()[0] and sorted(spark.read.parquet(index.docs.inputFiles()[0].rsplit("/", 1)[0]).columns) == ["block", "body", "path", "signature", "title", "words"]
