@@ -246,6 +246,6 @@ def test_chunks_that_are_sections_are_hashed_once(spark):
     assert rows(index.doc_vectors) == rows(built.doc_vectors) == rows(search.document_vectors(words, s))
     plain = rows(search.section_vectors(search.section_rows(words, s), s))
     assert rows(index.sections) == rows(built.sections) == plain
-    assert {r.path for r in built.apart.collect()} == {"p1", "p2", "p3", "p4"}
+    assert {r.path for r in search.apart_sections(words, s).collect()} == {"p1", "p2", "p3", "p4"}
     assert all(r.text == r.body for r in index.docs.collect()) and index.docs.count() == len(bodies)
     assert "text" not in index.docs.inputFiles()[0] and sorted(spark.read.parquet(index.docs.inputFiles()[0].rsplit("/", 1)[0]).columns) == ["block", "body", "path", "signature", "title", "words"]
